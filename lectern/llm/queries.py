@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.llm import exact_dedup, quality_rules, url_filters
+from lectern.llm import byte_bpe, exact_dedup, packing, quality_rules, url_filters
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
