@@ -81,13 +81,13 @@ class Slice:
         np.cumsum(mask, out=c[1:])
         return c[self.offs[1:]] - c[self.offs[:-1]]
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and rows of all runs of bytes outside 0x20 and 0x09-0x0D."""
+    def words(self, table: np.ndarray = _SOLID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and rows of all runs of bytes in `table`; by default those outside 0x20 and 0x09-0x0D."""
         n = len(self.data)
         if not n:
             z = np.zeros(0, dtype=np.int64)
             return z, z, z
-        solid = _SOLID[self.data]
+        solid = table[self.data]
         before = np.empty(n, dtype=bool)
         before[0], before[1:] = False, solid[:-1]
         inner = self.offs[:-1]

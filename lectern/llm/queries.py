@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lectern.llm import byte_bpe, exact_dedup, packing, quality_rules, url_filters
+from lectern.llm import byte_bpe, exact_dedup, language_id, packing, quality_rules, toxicity, url_filters
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_language_id": language_id.op6_language_id,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_quality_rules": quality_rules.op10_quality_rules,
