@@ -26,8 +26,7 @@ class Scratch:
     """Intermediate tables as Parquet in the shared folder.
 
     A table that is written survives lost executors and cuts the lineage.
-    `free` deletes one that nothing reads any more; it also lets Spark's
-    cleaner remove the shuffle files of the finished steps.
+    `forget` deletes one that nothing reads any more.
     """
 
     def __init__(self, spark: SparkSession):
@@ -41,13 +40,17 @@ class Scratch:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def free(self, *names: str) -> None:
+    def forget(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def sweep(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of finished steps."""
         gc.collect()
-        jvm.System.gc()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

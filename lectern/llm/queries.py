@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.llm import byte_bpe, exact_dedup, language_id, packing, quality_rules, toxicity, url_filters
+from lectern.llm import byte_bpe, exact_dedup, language_id, ngram_join, packing, quality_rules, toxicity, url_filters
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_packing": packing.op2_packing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
