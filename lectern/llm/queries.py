@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import byte_bpe, exact_dedup, language_id, ngram_join, packing, quality_rules, toxicity, url_filters
+from lectern.llm import byte_bpe, exact_dedup, language_id, ngram_join, packing, quality_rules, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_language_id": language_id.op6_language_id,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_quality_rules": quality_rules.op10_quality_rules,
