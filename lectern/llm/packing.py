@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,36 +36,75 @@ WINDOW = 4096
 OPEN_WINDOWS = 8
 MERGE_TASKS = 32
 END_ID = 2
-CACHE = 300_000
+CACHE = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
+_BELOW_MARKS = bytes(range(0xCA))
+# Fixed value: the vocabulary's own pattern, used on words of code points below U+0280.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds:
-    """Ids of whole texts from a cache of white-space-free words.
+    """Ids of whole texts from caches of white-space-free words and of their pieces.
 
     The vocabulary drops white space and its pattern never spans any, so a text's
-    ids are those of its words one after the other.
+    ids are those of its words one after the other, and a word's are those of the
+    pattern's matches in it. Unknown pieces are encoded many at a time; the id that
+    ends a match tells where each one ends.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned little-endian 32-bit integers."""
-        words = text.encode().split()
-        known = self.known
-        new = list({w for w in words if w not in known})
+        data = text.encode()
+        # Without combining marks (none below U+0300) lower-casing may come first.
+        words = (data if data.translate(None, _BELOW_MARKS) else data.lower()).split()
+        new = {w for w in words if w not in self.known}
         if new:
-            if len(known) > CACHE:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for word, found in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+            if len(self.known) > CACHE:
+                self.known.clear()
+                new = set(words)
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _learn(self, words: set[bytes]) -> None:
+        cut, whole = {}, []
+        for w in words:
+            if w.isalpha():  # ASCII letters only: one match
+                cut[w] = (w.decode().lower(),)
+            elif w.translate(None, _BELOW_MARKS) or b"<|" in w:
+                whole.append(w)
+            else:
+                cut[w] = _PIECE(w.decode().lower())
+        for w, found in zip(whole, self.tokenizer.encode_batch([w.decode() for w in whole], add_special_tokens=False), strict=True):
+            self.known[w] = _packed(found.ids)
+        if len(self.pieces) > CACHE // 2:
+            self.pieces.clear()
+        new = list({p for found in cut.values() for p in found if p not in self.pieces})
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(part):
+                raw, begin = ids.tobytes(), 0
+                for piece, end in zip(part, (4 * stop).tolist(), strict=True):
+                    self.pieces[piece], begin = raw[begin:end], end
+            else:
+                for piece in part:
+                    self.pieces[piece] = _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        for w, found in cut.items():
+            self.known[w] = b"".join(map(self.pieces.__getitem__, found))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
