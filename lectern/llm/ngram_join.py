@@ -27,7 +27,7 @@ comparisons as it has members.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; a
 text of fewer than n words is one shingle; repeated rows are members of the same
-class; an empty table gives an empty result; other columns are ignored.
+class, and a doc_id stands for one text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -136,40 +136,70 @@ def _class_key(u: np.ndarray) -> bytes:
     return hashlib.blake2b(u.tobytes(), digest_size=16).digest()
 
 
+def _short(key: bytes) -> int:
+    """The class as a long, for rows on the move; two classes may share one, which only adds candidates."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in slices(b.column("text")):
             sets = word_sets(s)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(s.first, s.rows), pa.array([len(u) for u in sets], pa.int64()), pa.array([_class_key(u) if len(u) else None for u in sets], pa.binary())],
-                ["doc_id", "n", "class_key"],
-            )
+            keys = [_class_key(u) if len(u) else None for u in sets]
+            arrays = [pa.array([len(u) for u in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([None if k is None else _short(k) for k in keys], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s.first, s.rows), *arrays], ["doc_id", "n", "class_key", "class"])
 
 
 def _signature_rows(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
             for s in slices(b.column("text")):
-                sig, doc, place = [], [], []
-                for i, u in enumerate(word_sets(s)):
-                    if not len(u) or ids[s.first + i] is None:
-                        continue
-                    key = _class_key(u)
-                    if key in seen:  # an equal set of this task has spoken for the class
+                sig, own, place = [], [], []
+                for u in word_sets(s):
+                    key = _class_key(u) if len(u) else None
+                    if key is None or key in seen:  # an equal set of this task has spoken for the class
                         continue
                     seen.add(key)
                     for found, where in bands.signatures(u):
                         sig.append(found)
                         place.append(where)
-                        doc.append(np.full(len(found), ids[s.first + i], dtype=np.int64))
+                        own.append(np.full(len(found), _short(key), dtype=np.int64))
                 if sig:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sig))), pa.array(np.concatenate(doc)), pa.array(np.concatenate(place))], ["sig", "doc", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sig))), pa.array(np.concatenate(own)), pa.array(np.concatenate(place))], ["sig", "class", "place"])
 
     return run
 
 
+def _allocate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cost-based allocation: of a set's shared segments the cheapest are chosen, only as far as its slack requires."""
+    for b in batches:
+        own = b.column("class").to_numpy()
+        lists = b.column("rows")
+        bounds = lists.offsets.to_numpy()
+        flat = lists.values
+        k, place, sig = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("k", "place", "sig"))
+        out_sig, out_class, out_chosen = [], [], []
+        for i in range(b.num_rows):
+            part = slice(bounds[i], bounds[i + 1])
+            where, back = np.unique(place[part], return_inverse=True)
+            cost = np.bincount(back, weights=k[part])
+            worth, group = where >> 44 & 3, where >> 46
+            order = np.lexsort((where, cost, group))
+            spent = np.cumsum(worth[order]) - worth[order]
+            head = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
+            total = np.add.reduceat(worth[order], head)
+            size = np.diff(np.append(head, len(order)))
+            need = np.repeat(total, size) - (where[order] >> 24 & (1 << 20) - 1)
+            chosen = np.zeros(len(where), dtype=bool)
+            chosen[order] = spent - np.repeat(spent[head], size) < need
+            out_sig.append(sig[part])
+            out_chosen.append(chosen[back])
+            out_class.append(np.full(bounds[i + 1] - bounds[i], own[i]))
+        if out_sig:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_sig, out_class, out_chosen)], ["sig", "class", "chosen"])
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in slices(b.column("text")):
@@ -190,35 +220,28 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`."""
     scratch = Scratch(docs.sparkSession)
     docs = texts(docs)
-    summary = scratch.keep(docs.mapInArrow(_summaries, "doc_id long, n long, class_key binary"), "summary")
-    classes = summary.filter("class_key IS NOT NULL").groupBy("class_key").agg(F.min("doc_id").alias("rep"))
-    member = scratch.keep(summary.join(classes, "class_key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "member")
-
-    rows = docs.mapInArrow(_signature_rows(percent), "sig long, doc long, place long")
-    shared = rows.withColumn("k", F.count("*").over(Window.partitionBy("sig"))).filter("k > 1").drop("k")
-    shared = scratch.keep(shared, "shared")
+    summary = scratch.keep(docs.mapInArrow(_summaries, "doc_id long, n long, class_key binary, class long"), "summary")
+    classes = summary.filter("class_key IS NOT NULL").groupBy("class_key", "class", "n").agg(F.min("doc_id").alias("rep"))
+    classes = scratch.keep(classes, "classes")
+
+    rows = docs.mapInArrow(_signature_rows(percent), "sig long, class long, place long")
+    same = Window.partitionBy("sig")
+    shared = rows.withColumns({"k": F.count("*").over(same), "least": F.min("class").over(same), "most": F.max("class").over(same)})
+    shared = scratch.keep(shared.filter("least < most").select("sig", "class", "place", "k"), "shared")
     scratch.sweep()
 
-    # Copies of one set from several tasks become one row of their class.
-    to_rep = member.select(F.col("doc_id").alias("doc"), "rep", "n").distinct()
-    rows = scratch.keep(shared.join(to_rep, "doc").select("sig", F.col("rep").alias("doc"), "place", "n").distinct(), "rows")
-    cost = rows.groupBy("sig").agg(F.count("*").alias("k")).filter("k > 1")
-    rows = rows.join(cost, "sig")
-
-    # Cost-based allocation: shared segments enter, cheapest first, only as far as the slack requires.
-    places = rows.groupBy("doc", "place").agg(F.sum("k").alias("cost"))
-    places = places.withColumns({"group": F.shiftright("place", 46), "worth": F.shiftright("place", 44).bitwiseAND(3), "slack": F.shiftright("place", 24).bitwiseAND((1 << 20) - 1)})
-    by_cost = Window.partitionBy("doc", "group").orderBy("cost", "place")
-    spent = F.sum("worth").over(by_cost.rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("worth").over(Window.partitionBy("doc", "group"))
-    chosen = places.withColumn("chosen", F.coalesce(spent, F.lit(0)) < total - F.col("slack")).select("doc", "place", "chosen")
-    flagged = rows.join(chosen, ["doc", "place"]).select("sig", "doc", "n", "chosen")
-    live = flagged.groupBy("sig").agg(F.max("chosen").alias("any")).filter("any").select("sig")
-    flagged = scratch.keep(flagged.join(live, "sig").groupBy("sig", "doc", "n").agg(F.max("chosen").alias("chosen")), "flagged")
-    scratch.forget("shared", "rows")
-
-    wanted = flagged.select(F.col("doc").alias("doc_id")).distinct()
-    sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows, "doc long, items array<long>"), "sets")
+    per_class = shared.groupBy("class").agg(F.collect_list(F.struct("k", "place", "sig")).alias("rows"))
+    flagged = scratch.keep(per_class.mapInArrow(_allocate, "sig long, class long, chosen boolean"), "flagged_all")
+    scratch.forget("shared")
+    scratch.sweep()
+    live = flagged.filter("chosen").select("sig").distinct()
+    reps = classes.select("class", F.col("rep").alias("doc"), "n")
+    flagged = scratch.keep(flagged.join(live, "sig", "left_semi").join(reps, "class").groupBy("sig", "doc", "n").agg(F.max("chosen").alias("chosen")), "flagged")
+    scratch.forget("flagged_all")
+
+    wanted = scratch.keep(flagged.select(F.col("doc").alias("doc_id")).distinct(), "wanted")
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows, "doc long, items array<long>")
+    sets = scratch.keep(sets, "sets")
     scratch.sweep()
 
     comps = scratch.keep(wanted.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp")), "comps0")
@@ -245,10 +268,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         new = comps.join(joined.withColumnRenamed("id", "comp"), "comp", "left").select("doc", F.coalesce("component", "comp").alias("comp"))
         comps = scratch.keep(new, f"comps{turn + 1}")
         scratch.forget(f"pairs{turn}", f"links{turn}")
+        scratch.sweep()
     scratch.forget("sets", "flagged")
 
-    out = member.join(comps.withColumnRenamed("doc", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+    group = classes.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").select("class_key", F.coalesce("comp", "rep").alias("component"))
+    out = summary.join(group, "class_key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
