@@ -161,8 +161,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def keep_latest(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay: of equal texts, the one with the largest doc_id."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    gone = exact_groups(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,8 +278,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of its group of near copies."""
-    kept = jaccard_components(docs, percent).filter("component_id = doc_id").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    gone = jaccard_components(docs, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lectern.llm import byte_bpe, exact_dedup, language_id, ngram_join, packing, quality_rules, suffix_dedup, toxicity, url_filters
+from lectern.llm import byte_bpe, exact_dedup, language_id, lm_scoring, ngram_join, packing, quality_rules, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_packing": packing.op2_packing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
