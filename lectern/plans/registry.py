@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.operators import catalog
+from lectern.operators import catalog, transcript
 
-MODULES = (catalog,)
+MODULES = (catalog, transcript)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
