@@ -236,8 +236,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch.sweep()
     live = flagged.filter("chosen").select("sig").distinct()
     reps = classes.select("class", F.col("rep").alias("doc"), "n")
-    flagged = scratch.keep(flagged.join(live, "sig", "left_semi").join(reps, "class").groupBy("sig", "doc", "n").agg(F.max("chosen").alias("chosen")), "flagged")
-    scratch.forget("flagged_all")
+    met = flagged.join(live, "sig", "left_semi").join(reps, "class").groupBy("sig", "doc", "n").agg(F.max("chosen").alias("chosen"))
+    met = scratch.keep(met, "met")
+    size = met.groupBy("sig").agg(F.count("*").alias("k"))
+    shares = met.join(size, "sig").groupBy("doc").agg(F.sum("k").alias("shares"))
+    flagged = scratch.keep(met.join(shares, "doc"), "flagged")
+    scratch.forget("flagged_all", "met")
 
     wanted = scratch.keep(flagged.select(F.col("doc").alias("doc_id")).distinct(), "wanted")
     sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows, "doc long, items array<long>")
@@ -247,7 +251,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comps = scratch.keep(wanted.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp")), "comps0")
     for turn in range(STAR_ROUNDS + 1):
         now = flagged.join(comps, "doc")
-        mixed = now.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("doc", "comp", "n"), F.xxhash64("doc", F.lit(turn))).alias("hub")).filter("least < most")
+        # First the set that shares most with all others is the hub, as an original is of its copies; then others by chance.
+        hub_rank = F.struct("shares", "doc") if turn == 0 else F.struct(F.xxhash64("doc", F.lit(turn)), "doc")
+        mixed = now.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max_by(F.struct("doc", "comp", "n"), hub_rank).alias("hub")).filter("least < most")
         if turn < STAR_ROUNDS:
             near = now.join(mixed.select("sig", "hub"), "sig").filter("comp <> hub.comp").select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("hub.doc").alias("b"), F.col("hub.n").alias("nb"))
             votes = near.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("votes"))

@@ -86,12 +86,19 @@ class Runs:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for b in batches:
-        known = b.column("doc").to_numpy(zero_copy_only=False)
+        versions = b.column("version").to_numpy()
         for s in slices(b.column("text")):
+            own = versions[s.first : s.first + s.rows]
+            new = np.zeros(s.rows, dtype=bool)
+            for i, v in enumerate(own.tolist()):  # a text speaks once per task for all its copies
+                new[i] = v not in seen
+                seen.add(v)
             r = Runs(s)
-            _, once = np.unique(mix(r.token + r.row.astype(U)), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(r.token[once])), pa.array(known[s.first + r.row[once]])], ["token", "doc"])
+            ok = np.flatnonzero(new[r.row])
+            _, once = np.unique(mix(r.token[ok] + r.row[ok].astype(U)), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(r.token[ok][once])), pa.array(own[r.row[ok][once]])], ["token", "version"])
 
 
 def _neighbours(columns: list[str], emit):
@@ -115,15 +122,19 @@ def _neighbours(columns: list[str], emit):
 
 
 def _shared(x: dict[str, np.ndarray], before, last: bool):
-    """Rows whose token also occurs in another document. `before`: whether the row held back is known to be one."""
-    same = (x["token"][1:] == x["token"][:-1]) & (x["doc"][1:] != x["doc"][:-1])
+    """Rows whose token also occurs in another text, once each. `before`: whether the row held back is known to be one."""
+    equal = x["token"][1:] == x["token"][:-1]
+    same = equal & (x["version"][1:] == x["version"][:-1])
     hit = np.zeros(len(x["token"]), dtype=bool)
-    hit[1:] |= same
-    hit[:-1] |= same
+    hit[1:] |= equal & ~same
+    hit[:-1] |= equal & ~same
     hit[0] |= bool(before)
+    # Of equal rows the last one speaks, and knows what the first one saw.
+    for i in np.flatnonzero(same):
+        hit[i + 1] |= hit[i]
     n = len(hit) if last else len(hit) - 1
-    keep = np.flatnonzero(hit[:n])
-    out = pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in ("token", "doc")], ["token", "doc"])
+    keep = np.flatnonzero(hit[:n] & ~np.append(same, False)[:n])
+    out = pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in ("token", "version")], ["token", "version"])
     return out, hit[-1], {c: v[-1:] for c, v in x.items()}
 
 
@@ -154,9 +165,20 @@ def _runs_of_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ok = np.flatnonzero(np.isin(mix(r.token + r.row.astype(U)), wanted))
             context, row = r.contexts()[ok], r.row[ok]
             start, stop = r.start[ok], r.stop[ok]
-            data = [s.data[a : z + SPAN - 1].tobytes() for a, z in zip(start, stop, strict=True)]
-            arrays = [signed(r.token[ok]), signed(context), doc[s.first + row], version[s.first + row], start - s.offs[row], stop - start]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(data, pa.binary())], ["token", "context", "doc", "version", "start", "n", "data"])
+            arrays = [signed(r.token[ok]), signed(context), doc[s.first + row], version[s.first + row], start - s.offs[row], (stop - start).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays)], ["token", "context", "doc", "version", "start", "n"])
+
+
+def _open_data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each text's open runs."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            rows = []
+            for r in b.slice(at, 256).to_pylist():
+                raw = r["text"].encode()
+                rows += [(x["token"], r["doc"], r["version"], x["start"], raw[x["start"] : x["start"] + x["n"] + SPAN - 1]) for x in r["runs"]]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["token", "doc", "version", "start", "data"])
 
 
 def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -231,33 +253,36 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     originals = digests.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("digest", "least")
     copies = scratch.keep(digests.join(originals, "digest").filter("doc > least").select("doc", "version", "size").distinct(), "copies")
 
-    anchors = keyed.select("doc", "text").mapInArrow(_anchors, "token long, doc long")
-    buckets = anchors.repartitionByRange("token").sortWithinPartitions("token", "doc")
-    hits = scratch.keep(buckets.mapInArrow(_neighbours(["token", "doc"], _shared), "token long, doc long").distinct(), "hits")
+    anchors = keyed.select("version", "text").mapInArrow(_anchors, "token long, version long")
+    buckets = anchors.repartitionByRange("token").sortWithinPartitions("token", "version")
+    hits = scratch.keep(buckets.mapInArrow(_neighbours(["token", "version"], _shared), "token long, version long"), "hits")
     scratch.sweep()
 
-    per_doc = hits.groupBy("doc").agg(F.collect_list("token").alias("tokens"))
-    fresh = keyed.join(per_doc, "doc").join(copies.select("doc", "version"), ["doc", "version"], "left_anti").select("doc", "version", "text", "tokens")
-    runs = fresh.mapInArrow(_runs_of_hits, "token long, context long, doc long, version long, start long, n long, data binary")
-    runs = scratch.keep(runs, "runs")
+    per_text = hits.groupBy("version").agg(F.collect_list("token").alias("tokens"))
+    fresh = keyed.join(per_text, "version").join(copies.select("doc", "version"), ["doc", "version"], "left_anti").select("doc", "version", "text", "tokens")
+    runs = scratch.keep(fresh.mapInArrow(_runs_of_hits, "token long, context long, doc long, version long, start long, n int"), "runs")
+    scratch.forget("hits")
     scratch.sweep()
 
     contexts = runs.groupBy("token", "context").agg(F.min("doc").alias("least"))
     several = contexts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token", F.lit(True).alias("several"))
     settled = runs.join(contexts.join(several, "token", "left"), ["token", "context"])
-    settled = settled.filter("doc > least OR several").select("token", "doc", "version", "start", "n", F.when(F.col("doc") == F.col("least"), F.col("data")).alias("data"))
+    settled = settled.filter("doc > least OR several").select("token", "doc", "version", "start", "n", (F.col("doc") == F.col("least")).alias("open"))
     settled = scratch.keep(settled, "settled")
-    scratch.forget("runs", "hits")
+    scratch.forget("runs")
     scratch.sweep()
 
-    halves = scratch.keep(settled.filter("data IS NOT NULL").mapInArrow(_halves, "key long, doc long, version long, start long, data binary"), "halves")
+    open_runs = settled.filter("open").groupBy("doc", "version").agg(F.collect_list(F.struct("token", "start", "n")).alias("runs"))
+    cut = keyed.join(open_runs, ["doc", "version"]).select("doc", "version", "text", "runs").mapInArrow(_open_data, "token long, doc long, version long, start long, data binary")
+    halves = scratch.keep(cut.mapInArrow(_halves, "key long, doc long, version long, start long, data binary"), "halves")
+    scratch.sweep()
     open_keys = halves.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("key")
     strings = halves.join(open_keys, "key").mapInArrow(_strings, "token long, doc long, version long, start long")
     strings = strings.repartition("token").sortWithinPartitions("token", "doc")
     later = strings.mapInArrow(_neighbours(["token", "doc", "version", "start"], _later), "doc long, version long, start long, n long")
 
     whole = copies.select("doc", "version", F.lit(0).cast("long").alias("start"), (F.col("size") - SPAN + 1).cast("long").alias("n"))
-    spans = settled.filter("data IS NULL").select("doc", "version", "start", "n").unionByName(later).unionByName(whole)
+    spans = settled.filter("NOT open").select("doc", "version", "start", F.col("n").cast("long").alias("n")).unionByName(later).unionByName(whole)
     out = scratch.keep(spans.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
     scratch.forget("settled", "halves", "digests", "copies")
     scratch.sweep()
