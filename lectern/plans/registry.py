@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.operators import align, catalog, chunking, search, transcript
+from lectern.operators import align, catalog, chunking, jobs, search, textjobs, transcript
 
-MODULES = (catalog, transcript, chunking, search, align)
+MODULES = (catalog, transcript, chunking, search, align, jobs, textjobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
