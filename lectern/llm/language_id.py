@@ -157,6 +157,24 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def _predict(column: pa.Array, model: ByteCnn | None) -> tuple[list[str], list[float]]:
+    names, scores = [], []
+    letters = [has_letter(t) for t in column.to_pylist()]
+    for s in slices(column):
+        total = np.zeros((s.rows, len(model.labels) if model else 1))
+        start, row, held = windows(s)
+        for at in range(0, len(start) if model else 0, 64):
+            part = slice(at, at + 64)
+            p = model.probabilities(gather(s, start[part], held[part]))
+            np.add.at(total, row[part], p * held[part][:, None])
+        best, size = total.argmax(axis=1), np.maximum(np.diff(s.offs), 1)
+        for i in range(s.rows):
+            known = model is not None and letters[s.first + i]
+            names.append(model.labels[best[i]] if known else "und")
+            scores.append(min(1.0, float(total[i, best[i]] / size[i])) if known else 0.0)
+    return names, scores
+
+
 def predictor(model: ByteCnn | None):
     """A column function: text to (lang_pred, score)."""
 
@@ -164,19 +182,11 @@ def predictor(model: ByteCnn | None):
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             names, scores = [], []
-            letters = [has_letter(t) for t in column.to_pylist()]
-            for s in slices(column):
-                total = np.zeros((s.rows, len(model.labels) if model else 1))
-                start, row, held = windows(s)
-                for at in range(0, len(start) if model else 0, 64):
-                    part = slice(at, at + 64)
-                    p = model.probabilities(gather(s, start[part], held[part]))
-                    np.add.at(total, row[part], p * held[part][:, None])
-                best, size = total.argmax(axis=1), np.maximum(np.diff(s.offs), 1)
-                for i in range(s.rows):
-                    known = model is not None and letters[s.first + i]
-                    names.append(model.labels[best[i]] if known else "und")
-                    scores.append(min(1.0, float(total[i, best[i]] / size[i])) if known else 0.0)
+            # A few rows at a time: a batch of whole texts is large.
+            for at in range(0, len(column), 256):
+                found = _predict(column.slice(at, 256), model)
+                names += found[0]
+                scores += found[1]
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return predict
