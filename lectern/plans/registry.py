@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.operators import align, catalog, chunking, incremental, jobs, notes, search, textjobs, transcript
+from lectern.operators import align, catalog, chunking, incremental, jobs, models, notes, search, textjobs, transcript
 
-MODULES = (catalog, transcript, chunking, search, align, jobs, textjobs, notes, incremental)
+MODULES = (catalog, transcript, chunking, search, align, jobs, textjobs, notes, incremental, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
