@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,7 @@ class Scratch:
         """Let Spark's cleaner remove the shuffle files of finished steps."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -42,7 +42,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
+    x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)
     x *= U(0x94D049BB133111EB)
     x ^= x >> U(31)
@@ -75,6 +75,13 @@ class Slice:
         _, inv = _powers(len(self.data) + 1)
         return mix((s[ends] - s[starts]) * inv[starts])
 
+    def sliding(self, size: int) -> np.ndarray:
+        """Hashes of all byte strings of this size, those across rows included."""
+        s = self.prefix(False)
+        n = len(self.data) - size + 1
+        _, inv = _powers(len(self.data) + 1)
+        return mix((s[size:] - s[:n]) * inv[:n]) if n > 0 else np.zeros(0, dtype=U)
+
     def per_row(self, mask: np.ndarray) -> np.ndarray:
         """Count of set bytes in each row."""
         c = np.zeros(len(mask) + 1, dtype=np.int64)

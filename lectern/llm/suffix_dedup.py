@@ -6,8 +6,8 @@ KEY-byte string of smallest hash is one, so two documents that share SPAN bytes
 share an anchor at the same place in them. Leading tokens of a suffix are the
 hashed KEY bytes at its anchor.
 
-1. Anchor suffixes are range-partitioned by their leading token with Spark's
-   sampled splitters and sorted within their bucket; equal tokens never cross a
+1. Anchor suffixes are range-partitioned by their leading token with
+   splitters from a sample and sorted within their bucket; equal tokens never cross a
    border, and neighbours of different documents are the shared ones.
 2. The starts that belong to a shared anchor form a run with its context (all
    bytes that its strings cover). Equal contexts settle a run at once: all but the
@@ -43,6 +43,9 @@ SPAN = 50
 KEY = 24
 WINDOW = SPAN - KEY + 1
 HALF = WINDOW // 2
+#: One text in so many gives the splitters.
+SAMPLE = 64
+ANCHORS = "token long, version long, bucket int"
 
 
 def _window_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -64,8 +67,7 @@ class Runs:
         self.token = np.zeros(0, dtype=U)
         if n < SPAN:
             return
-        at = np.arange(n - KEY + 1)
-        h = s.hashes(at, at + KEY, lower=False)
+        h = s.sliding(KEY)
         least = _window_min(h, WINDOW)
         valid = np.zeros(n + 1, dtype=np.int8)
         long = np.flatnonzero(np.diff(s.offs) >= SPAN)
@@ -85,20 +87,35 @@ class Runs:
         return self.slice.hashes(self.start, self.stop + SPAN - 1, lower=False)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    for b in batches:
-        versions = b.column("version").to_numpy()
-        for s in slices(b.column("text")):
-            own = versions[s.first : s.first + s.rows]
-            new = np.zeros(s.rows, dtype=bool)
-            for i, v in enumerate(own.tolist()):  # a text speaks once per task for all its copies
-                new[i] = v not in seen
-                seen.add(v)
-            r = Runs(s)
-            ok = np.flatnonzero(new[r.row])
-            _, once = np.unique(mix(r.token[ok] + r.row[ok].astype(U)), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(r.token[ok][once])), pa.array(own[r.row[ok][once]])], ["token", "version"])
+def _anchors(splitters: list[int]):
+    """(token, version, bucket) of the sampled suffixes; splitters cut the tokens into buckets."""
+    edges = np.array(splitters, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            versions = b.column("version").to_numpy()
+            for s in slices(b.column("text")):
+                own = versions[s.first : s.first + s.rows]
+                new = np.zeros(s.rows, dtype=bool)
+                for i, v in enumerate(own.tolist()):  # a text speaks once per task for all its copies
+                    new[i] = v not in seen
+                    seen.add(v)
+                r = Runs(s)
+                ok = np.flatnonzero(new[r.row])
+                _, once = np.unique(mix(r.token[ok] + r.row[ok].astype(U)), return_index=True)
+                token = signed(r.token[ok][once])
+                bucket = np.searchsorted(edges, token, side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(own[r.row[ok][once]]), pa.array(bucket)], ["token", "version", "bucket"])
+
+    return run
+
+
+def _splitters(keyed: DataFrame, buckets: int) -> list[int]:
+    """Borders of equally filled buckets, from the tokens of a sample of texts."""
+    sample = keyed.filter(F.pmod("version", F.lit(SAMPLE)) == 0).mapInArrow(_anchors([]), ANCHORS)
+    found = sample.select(F.percentile_approx("token", [i / buckets for i in range(1, buckets)], 10_000).alias("p")).first()["p"] if buckets > 1 else []
+    return sorted(found or [])
 
 
 def _neighbours(columns: list[str], emit):
@@ -192,8 +209,7 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, doc, version, start = _columns(b, "token", "doc", "version", "start")
         first = 0
         for s in slices(b.column("data")):
-            at = np.arange(max(0, len(s.data) - KEY + 1))
-            h = s.hashes(at, at + KEY, lower=False)
+            h = s.sliding(KEY)
             rows = np.arange(s.rows)
             # The anchor: the first place from the last start on where the run's token stands.
             n = np.diff(s.offs) - SPAN + 1
@@ -253,8 +269,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     originals = digests.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("digest", "least")
     copies = scratch.keep(digests.join(originals, "digest").filter("doc > least").select("doc", "version", "size").distinct(), "copies")
 
-    anchors = keyed.select("version", "text").mapInArrow(_anchors, "token long, version long")
-    buckets = anchors.repartitionByRange("token").sortWithinPartitions("token", "version")
+    source, n = keyed.select("version", "text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    anchors = source.mapInArrow(_anchors(_splitters(source, n)), ANCHORS)
+    buckets = anchors.repartitionById(n, "bucket").select("token", "version").sortWithinPartitions("token", "version")
     hits = scratch.keep(buckets.mapInArrow(_neighbours(["token", "version"], _shared), "token long, version long"), "hits")
     scratch.sweep()
 
