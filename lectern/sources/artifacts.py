@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Suffixes that are read as text.
 TEXT_SUFFIXES = (".txt", ".md", ".markdown", ".csv", ".json", ".html", ".htm", ".xml", ".py", ".js", ".tex", ".srt", ".vtt")
-SLIDES = "array<struct<slide:string,title:string,content:string,notes:string,images:array<string>,visual_text:array<string>,preview_image:string>>"
+SLIDE = "struct<slide:string,title:string,content:string,notes:string,images:array<string>,visual_text:array<string>,preview_image:string>"
 
 
 def text_corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,8 +23,8 @@ def slide_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """#6: slides.json files under subject/lecture folders; items that are no objects or have no number are dropped, unreadable files give no row."""
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="slides.json").withColumn("path", F.col("_metadata.file_path"))
     parts = F.split("path", "/")
-    items = F.from_json("value", SLIDES)
-    rows = files.select(F.element_at(parts, -3).alias("subject"), F.element_at(parts, -2).alias("lecture"), F.explode(items).alias("s"))
+    items = F.filter(F.from_json("value", "array<string>"), lambda x: F.startswith(x, F.lit("{")))
+    rows = files.select(F.element_at(parts, -3).alias("subject"), F.element_at(parts, -2).alias("lecture"), F.explode(items).alias("item")).withColumn("s", F.from_json("item", SLIDE))
     return rows.filter(F.col("s.slide").rlike("^[0-9]+$")).select("subject", "lecture", F.col("s.slide").cast("int").alias("slide"), "s.title", "s.content", "s.notes", "s.images", "s.visual_text", "s.preview_image")
 
 
