@@ -50,11 +50,16 @@ def chunk_bounds(text: Column, size: int, overlap: int) -> Column:
 def chunked(rows: DataFrame, size: int, overlap: int) -> DataFrame:
     """Rows with `text` to rows with `piece` (from 1), `pieces` and `content`; texts without content give none."""
     keep = [c for c in rows.columns if c != "text"]
-    clean = rows.withColumn("text", clean_text("text"))
-    bounds = clean.select(*keep, "text", chunk_bounds(F.col("text"), size, overlap).alias("b"))
-    out = bounds.select(*keep, "text", F.size("b").alias("pieces"), F.posexplode("b").alias("piece", "x"))
-    content = F.trim(F.substring("text", F.col("x.start") + 1, F.col("x.stop") - F.col("x.start")))
-    return out.select(*keep, (F.col("piece") + 1).alias("piece"), "pieces", content.alias("content"))
+
+    def pieces(text: Column) -> Column:
+        def cut(bounds: Column) -> Column:
+            content = lambda x: F.trim(F.substring(text, x["start"] + 1, x["stop"] - x["start"]))
+            return F.transform(bounds, lambda x, i: F.struct((i + 1).alias("piece"), F.size(bounds).alias("pieces"), content(x).alias("content")))
+
+        return _let(chunk_bounds(text, size, overlap), cut)
+
+    # Cleaned text and bounds are bound once; as columns of their own they would be inlined wherever they are used.
+    return rows.select(*keep, F.explode(_let(clean_text("text"), pieces)).alias("x")).select(*keep, "x.piece", "x.pieces", "x.content")
 
 
 def library_chunks(sections: DataFrame) -> DataFrame:

@@ -72,7 +72,10 @@ def _written(name: str, spark: bool) -> str:
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in _RAW:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        cores = spark.sparkContext.defaultParallelism
+        # A text table in fewer splits than there are cores is spread; a large one already is.
+        return df.repartition(cores) if name in ("documents", "embeddings") and df.rdd.getNumPartitions() < cores else df
     sql = _written(name, True)
     return spark.sql(sql, **{t: frame(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", sql))})
 
