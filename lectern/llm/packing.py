@@ -36,7 +36,7 @@ WINDOW = 4096
 OPEN_WINDOWS = 8
 MERGE_TASKS = 32
 END_ID = 2
-CACHE = 400_000
+CACHE = 600_000
 VOCABULARY = "word_bpe_49k.json"
 _BELOW_MARKS = bytes(range(0xCA))
 # Fixed value: the vocabulary's own pattern, used on words of code points below U+0280.
