@@ -45,7 +45,8 @@ WINDOW = SPAN - KEY + 1
 HALF = WINDOW // 2
 #: One text in so many gives the splitters.
 SAMPLE = 64
-ANCHORS = "token long, version long, bucket int"
+CELLS = 1024
+ANCHORS = "token long, version long"
 
 
 def _window_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -87,35 +88,35 @@ class Runs:
         return self.slice.hashes(self.start, self.stop + SPAN - 1, lower=False)
 
 
-def _anchors(splitters: list[int]):
-    """(token, version, bucket) of the sampled suffixes; splitters cut the tokens into buckets."""
-    edges = np.array(splitters, dtype=np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            versions = b.column("version").to_numpy()
-            for s in slices(b.column("text")):
-                own = versions[s.first : s.first + s.rows]
-                new = np.zeros(s.rows, dtype=bool)
-                for i, v in enumerate(own.tolist()):  # a text speaks once per task for all its copies
-                    new[i] = v not in seen
-                    seen.add(v)
-                r = Runs(s)
-                ok = np.flatnonzero(new[r.row])
-                _, once = np.unique(mix(r.token[ok] + r.row[ok].astype(U)), return_index=True)
-                token = signed(r.token[ok][once])
-                bucket = np.searchsorted(edges, token, side="right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(own[r.row[ok][once]]), pa.array(bucket)], ["token", "version", "bucket"])
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, version) of the sampled suffixes."""
+    seen: set[int] = set()
+    for b in batches:
+        versions = b.column("version").to_numpy()
+        for s in slices(b.column("text")):
+            own = versions[s.first : s.first + s.rows]
+            new = np.zeros(s.rows, dtype=bool)
+            for i, v in enumerate(own.tolist()):  # a text speaks once per task for all its copies
+                new[i] = v not in seen
+                seen.add(v)
+            r = Runs(s)
+            ok = np.flatnonzero(new[r.row])
+            _, once = np.unique(mix(r.token[ok] + r.row[ok].astype(U)), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(r.token[ok][once])), pa.array(own[r.row[ok][once]])], ["token", "version"])
 
-    return run
 
+def _bucket(keyed: DataFrame, buckets: int):
+    """A column: which of the equally filled ranges of tokens a token lies in.
 
-def _splitters(keyed: DataFrame, buckets: int) -> list[int]:
-    """Borders of equally filled buckets, from the tokens of a sample of texts."""
-    sample = keyed.filter(F.pmod("version", F.lit(SAMPLE)) == 0).mapInArrow(_anchors([]), ANCHORS)
+    Splitters are quantiles of the tokens of a sample of texts, rounded to CELLS cells
+    of the range of tokens, so a row finds its bucket in a table by its leading bits.
+    """
+    sample = keyed.filter(F.pmod("version", F.lit(SAMPLE)) == 0).mapInArrow(_anchors, ANCHORS)
     found = sample.select(F.percentile_approx("token", [i / buckets for i in range(1, buckets)], 10_000).alias("p")).first()["p"] if buckets > 1 else []
-    return sorted(found or [])
+    starts = (np.arange(CELLS, dtype=np.int64) - CELLS // 2) * ((1 << 64) // CELLS)
+    table = np.searchsorted(np.sort(np.array(found or [], dtype=np.int64)), starts, side="right")
+    cell = F.shiftright("token", 64 - (CELLS.bit_length() - 1)) + CELLS // 2
+    return F.element_at(F.array(*[F.lit(int(x)) for x in table]), (cell + 1).cast("int"))
 
 
 def _neighbours(columns: list[str], emit):
@@ -270,8 +271,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copies = scratch.keep(digests.join(originals, "digest").filter("doc > least").select("doc", "version", "size").distinct(), "copies")
 
     source, n = keyed.select("version", "text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchors = source.mapInArrow(_anchors(_splitters(source, n)), ANCHORS)
-    buckets = anchors.repartitionById(n, "bucket").select("token", "version").sortWithinPartitions("token", "version")
+    buckets = source.mapInArrow(_anchors, ANCHORS).repartitionById(n, _bucket(source, n)).sortWithinPartitions("token", "version")
     hits = scratch.keep(buckets.mapInArrow(_neighbours(["token", "version"], _shared), "token long, version long"), "hits")
     scratch.sweep()
 
@@ -284,7 +284,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     contexts = runs.groupBy("token", "context").agg(F.min("doc").alias("least"))
     several = contexts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token", F.lit(True).alias("several"))
     settled = runs.join(contexts.join(several, "token", "left"), ["token", "context"])
-    settled = settled.filter("doc > least OR several").select("token", "doc", "version", "start", "n", (F.col("doc") == F.col("least")).alias("open"))
+    settled = settled.filter("doc > least OR several").select(F.when(F.col("doc") == F.col("least"), F.col("token")).alias("token"), "doc", "version", "start", "n", (F.col("doc") == F.col("least")).alias("open"))
     settled = scratch.keep(settled, "settled")
     scratch.forget("runs")
     scratch.sweep()
