@@ -173,10 +173,6 @@ def narration_chunks(docs: DataFrame, limit: int = 320) -> DataFrame:
     return docs.select("document_id", F.posexplode(cut_points(F.col("text"), limit, sentences=True)).alias("piece", "text"))
 
 
-def _short(docs: DataFrame) -> DataFrame:
-    return docs.filter("size_bytes < 6000").select("document_id", "text")
-
-
 def _slides(slides: DataFrame, segments: DataFrame) -> DataFrame:
     paragraphs = segments.select((F.col("lecture") % 20).alias("lecture"), (F.col("lecture") * 100 + F.col("segment")).alias("paragraph"), "text")
     return source_documents(slides, paragraphs, paragraphs.filter("paragraph % 3 = 0").select("lecture", "paragraph", (F.col("paragraph") % 5 + 1).alias("slide")))
@@ -223,8 +219,8 @@ QUERIES = {
     "source_documents": query(_slides, "m_slides", "m_segments"),
     "cleanup_batches": query(lambda s: cleanup_batches(s, 12_000, 1000), "m_segments"),
     "block_batches": query(lambda s: block_batches(s, 1000), "m_segments"),
-    "markdown_batches": query(lambda d: markdown_batches(_short(d), 700), "m_docs"),
-    "narration_chunks": query(lambda d: narration_chunks(_short(d)), "m_docs"),
+    "markdown_batches": query(lambda d: markdown_batches(d, 700), "m_docs"),
+    "narration_chunks": query(lambda d: narration_chunks(d), "m_docs"),
 }
 
 _PARAGRAPHS = "pp AS (SELECT lecture % 20 AS lecture, lecture * 100 + segment AS paragraph, text FROM m_segments)"
@@ -238,9 +234,9 @@ ORACLES = {
       UNION ALL SELECT lecture, 'transcript-' || paragraph || '-chunk-' || piece, 'transcript', NULL, piece, content, CASE WHEN paragraph % 3 = 0 THEN paragraph % 5 + 1 END FROM c2""",
     "cleanup_batches": f"{_S}, {_fold('m_segments', 'lecture', 'segment', 'length(text) + 120', 2000)} SELECT lecture, segment, batch FROM f",
     "block_batches": f"{_S}, fit AS (SELECT * FROM m_segments WHERE length(text) <= 1000), {_fold('fit', 'lecture', 'segment', 'length(text)', 1000)} SELECT lecture, segment, batch FROM f UNION ALL SELECT lecture, segment, -1 FROM m_segments WHERE length(text) > 1000",
-    "markdown_batches": f"""{_D}, bl AS (SELECT document_id, unnest(b) AS b, generate_subscripts(b, 1) AS i FROM (SELECT document_id, regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\n\\s*\\n') AS b FROM m_docs WHERE size_bytes < 6000)),
+    "markdown_batches": f"""{_D}, bl AS (SELECT document_id, unnest(b) AS b, generate_subscripts(b, 1) AS i FROM (SELECT document_id, regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\n\\s*\\n') AS b FROM m_docs)),
       src AS (SELECT document_id, i, regexp_replace(b, '^\\s+|\\s+$', '', 'g') AS t FROM bl), {_cuts("src", "document_id, i", 700, False)}, pc AS (SELECT document_id, piece, row_number() OVER (PARTITION BY document_id ORDER BY i, j) AS n FROM cut WHERE j > 0),
       {_fold("pc", "document_id", "n", "length(piece)", 700, 2)} SELECT document_id, batch, string_agg(piece, chr(10) || chr(10) ORDER BY n) AS text FROM f JOIN pc USING (document_id, n) GROUP BY ALL""",
-    "narration_chunks": f"{_D}, src AS (SELECT document_id, text AS t FROM m_docs WHERE size_bytes < 6000), {_cuts('src', 'document_id', 320, True)} SELECT document_id, j - 1 AS piece, piece AS text FROM cut WHERE j > 0",
+    "narration_chunks": f"{_D}, src AS (SELECT document_id, text AS t FROM m_docs), {_cuts('src', 'document_id', 320, True)} SELECT document_id, j - 1 AS piece, piece AS text FROM cut WHERE j > 0",
 }
 ORACLES["narration_chunks"] = ORACLES["narration_chunks"].replace("piece AS text", "piece AS text")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.rules import clean_text, cosine, occurrences
-from lectern.operators.catalog import in_scope, is_internal
+from lectern.operators.catalog import is_internal
 from lectern.operators.chunking import CHUNKS, library_chunks, text_sections
 from lectern.sources.model import TABLES, cte, query  # noqa: F401
 
@@ -166,7 +166,7 @@ QUERIES = {
     "passages_in_document": query(lambda q, d: passages_with_fallback(q.withColumn("document_id", F.col("question_id") * 3), _chunks(d), d), "m_questions", "m_docs"),
     "evidence_text": query(lambda q, d: evidence_text(ranked_search(q, _chunks(d), d, 4), _chunks(d)), "m_questions", "m_docs"),
     "chat_history": query(chat_history, "conversations"),
-    "document_body": query(lambda d: document_body(in_scope(d, "src2"), _chunks(d)), "m_docs"),
+    "document_body": query(lambda d: document_body(d, _chunks(d)), "m_docs"),
     "nearest_vectors": query(_knn, "embeddings"),
     "retrieval_quality": query(lambda q, d, lab: retrieval_quality(ranked_search(q, _chunks(d), d, 50), lab), "m_questions", "m_docs", "labels"),
 }
@@ -192,7 +192,7 @@ ORACLES = {
       SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ordinal) AS place, document_id, ordinal, score FROM b WHERE score > 0 QUALIFY place <= 6 UNION ALL SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY ordinal) AS place, document_id, ordinal, score FROM b WHERE top = 0 QUALIFY place <= 4""",
     "evidence_text": f"{_RANK} SELECT question_id, string_agg('[S' || place || '] ' || locator || ': ' || substr(content, 1, 200), chr(10) ORDER BY place) AS evidence FROM rk JOIN m_chunks USING (document_id, locator) WHERE place <= 4 GROUP BY question_id",
     "chat_history": r"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'Assistant' ELSE 'Student' END AS role, substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 2000) AS content FROM l WHERE k <= 8 AND role IN ('assistant', 'user') AND regexp_replace(text, '\s', '', 'g') <> ''""",
-    "document_body": f"{CHUNKS} SELECT document_id, name, coalesce((SELECT string_agg(content, chr(10) ORDER BY ordinal) FROM m_chunks c WHERE c.document_id = d.document_id), '') AS body FROM m_docs d WHERE subject = 'src2'",
+    "document_body": f"{CHUNKS} SELECT document_id, name, coalesce((SELECT string_agg(content, chr(10) ORDER BY ordinal) FROM m_chunks c WHERE c.document_id = d.document_id), '') AS body FROM m_docs d",
     "nearest_vectors": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 100 = 0)
       SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place, id, distance FROM s QUALIFY place <= 4""",
     "retrieval_quality": f"{_RANK} SELECT question_id, count(*) AS labelled, sum(quality)::BIGINT AS good FROM rk JOIN labels ON doc_id = document_id WHERE place <= 50 GROUP BY question_id",
