@@ -20,10 +20,12 @@ D + 1 units are reached: passages that many documents share are skipped as long
 as the rest of a document suffices.
 
 Links are verified exactly on the whole sets. Equal sets are one class and are
-joined once. Inside a group of candidates, sets are first compared with a hub; in
-the end every candidate pair whose two sets are not yet connected is compared, so
-no component misses a link, while a group of near copies costs about as many
-comparisons as it has members.
+joined once. Inside a group of candidates, sets are first compared with a hub. In
+the end the candidate pairs whose two sets are not yet connected are compared, but
+for those that cannot be similar: a set shares at most those elements with another
+component that occur outside its own, and these are counted for each set. So no
+component misses a link, while variants of one text whose own edits are too many
+drop out before they are paired.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; a
 text of fewer than n words is one shingle; repeated rows are members of the same
@@ -216,6 +218,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _known_elsewhere(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """doc and how many of its elements also occur in another component of `members` (doc, comp): no set there shares more with it."""
+    items = sets.join(members, "doc").select("doc", "comp", F.explode("items").alias("item"))
+    across = items.groupBy("item").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("item")
+    return items.select("doc", "item").join(across, "item", "left_semi").groupBy("doc").agg(F.count("*").alias("known"))
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`."""
     scratch = Scratch(docs.sparkSession)
@@ -260,9 +269,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             votes = votes.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))).filter(F.col("place") <= HUBS)
         else:
             now = now.join(mixed.select("sig"), "sig")
-            one = now.filter("chosen").select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-            two = now.select("sig", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-            votes = one.join(two, "sig").filter("ca <> cb")
+            known = scratch.keep(_known_elsewhere(sets, now.select("doc", "comp").distinct()), "known")
+            scratch.sweep()
+            now = now.join(known, "doc").filter(f"100 * known >= {percent} * n")
+            one = now.filter("chosen").select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("known").alias("ka"))
+            two = now.select("sig", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("known").alias("kb"))
+            votes = one.join(two, "sig").filter(f"ca <> cb AND {100 + percent} * least(ka, kb) >= {percent} * (na + nb)")
         close = votes.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         pairs = scratch.keep(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs{turn}")
         if pairs.isEmpty():
@@ -275,7 +287,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         comps = scratch.keep(new, f"comps{turn + 1}")
         scratch.forget(f"pairs{turn}", f"links{turn}")
         scratch.sweep()
-    scratch.forget("sets", "flagged")
+    scratch.forget("sets", "flagged", "known")
 
     group = classes.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").select("class_key", F.coalesce("comp", "rep").alias("component"))
     out = summary.join(group, "class_key", "left")

@@ -15,7 +15,7 @@ from lectern.llm import byte_bpe, exact_dedup, language_id, lm_scoring, ngram_jo
 from lectern.llm.queries import ORACLES, QUERIES
 from tests.compare import connection, same
 from tests.conftest import SF
-from tests.llm.data import SHAPE, documents, texts
+from tests.llm.data import SHAPE, documents, sentence, texts
 
 TEXTS = dict(texts())
 
@@ -73,6 +73,19 @@ def test_ngram_join_of_many_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_ngram_join_of_variants_around_the_threshold(spark):
+    r = np.random.default_rng(21)
+    words, passage, rows = sentence(62, 120).split(), sentence(63, 40), []
+    for i in range(160):
+        own = list(words)
+        for at in r.choice(120, r.integers(0, 8), replace=False):
+            own[at] = f"edit{r.integers(0, 400)}"
+        rows.append((i, " ".join(own) if i % 4 else f"{passage} {sentence(1000 + i, 60)}"))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert len({c for _, c in got.values()}) > 20
+
+
 def test_exact_dedup(docs, empty):
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()}
     assert {(1, 4, 4, False), (2, 4, 4, False), (4, 4, 4, True), (5, 6, 2, False), (6, 6, 2, True), (8, 9, 2, False), (17, 17, 2, True)} <= got
