@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one block of a blocked job holds at most, long single texts aside.
 BLOCK_BYTES = 12 << 20
+#: Rows of one Arrow batch where each row brings a whole text and a list.
+TEXT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,10 +36,18 @@ class Scratch:
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}", 0
         self.paths: dict[str, str] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """Write `df`; `batch_rows` limits the Arrow batches of this step, for rows that are wide."""
         self.n += 1
         path = f"{self.at}/{self.n}-{name}"
-        df.write.parquet(path)
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        usual = self.spark.conf.get(setting)
+        if batch_rows:
+            self.spark.conf.set(setting, batch_rows)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(setting, usual)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lectern.llm._spark import Scratch, table
+from lectern.llm._spark import TEXT_ROWS, Scratch, table
 from lectern.llm._text import U, Slice, mix, signed, slices
 
 SPAN = 50
@@ -277,7 +277,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     per_text = hits.groupBy("version").agg(F.collect_list("token").alias("tokens"))
     fresh = keyed.join(per_text, "version").join(copies.select("doc", "version"), ["doc", "version"], "left_anti").select("doc", "version", "text", "tokens")
-    runs = scratch.keep(fresh.mapInArrow(_runs_of_hits, "token long, context long, doc long, version long, start long, n int"), "runs")
+    runs = scratch.keep(fresh.mapInArrow(_runs_of_hits, "token long, context long, doc long, version long, start long, n int"), "runs", TEXT_ROWS)
     scratch.forget("hits")
     scratch.sweep()
 
@@ -291,7 +291,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     open_runs = settled.filter("open").groupBy("doc", "version").agg(F.collect_list(F.struct("token", "start", "n")).alias("runs"))
     cut = keyed.join(open_runs, ["doc", "version"]).select("doc", "version", "text", "runs").mapInArrow(_open_data, "token long, doc long, version long, start long, data binary")
-    halves = scratch.keep(cut.mapInArrow(_halves, "key long, doc long, version long, start long, data binary"), "halves")
+    halves = scratch.keep(cut.mapInArrow(_halves, "key long, doc long, version long, start long, data binary"), "halves", TEXT_ROWS)
     scratch.sweep()
     open_keys = halves.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("key")
     strings = halves.join(open_keys, "key").mapInArrow(_strings, "token long, doc long, version long, start long")
