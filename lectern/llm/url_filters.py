@@ -2,7 +2,8 @@
 
 A rule is a regular expression over the URL in the form `host` + `path`. Its
 literal tokens, runs of [a-z0-9] that any match must contain whole, are counted
-over the corpus, and the rule is filed under the rarest of them. A URL looks up
+over the corpus, and the rule is filed under the rarest of them. A rule of several
+alternatives is filed under the rarest token of each alternative. A URL looks up
 its own tokens, and only the rules found that way run their expression.
 
 List rules name a host and a path prefix; they fit that host and its subdomains.
@@ -33,12 +34,12 @@ _ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule: its name, its verdict, its expression over lower-cased host + path, its literals, its rank."""
+    """A rule: its name, its verdict, its expression over lower-cased host + path, the literals of each alternative, its rank."""
 
     name: str
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
+    alternatives: tuple[tuple[str, ...], ...]
     rank: int = 0
 
 
@@ -46,12 +47,12 @@ def list_rule(verdict: str, text: str) -> Rule:
     """`host/path`: that host and its subdomains, paths that start with the path (case matters there)."""
     host, _, path = text.partition("/")
     whole = re.findall(r"[a-z0-9]+(?=[^a-z0-9])", "/" + path)
-    return Rule(text, verdict, rf"^(?:[^/]*\.)?{re.escape(host)}/{re.escape(path)}", (*_TOKEN.findall(host), *whole), len(text))
+    return Rule(text, verdict, rf"^(?:[^/]*\.)?{re.escape(host)}/{re.escape(path)}", ((*_TOKEN.findall(host), *whole),), len(text))
 
 
-def pattern_rule(name: str, pattern: str, *tokens: str) -> Rule:
-    """A block rule of the policy; `tokens` are literals that every match contains as whole tokens."""
-    return Rule(name, "block", pattern, tokens)
+def pattern_rule(name: str, pattern: str, *alternatives: tuple[str, ...]) -> Rule:
+    """A block rule of the policy; every match contains all literals of one of the `alternatives` as whole tokens."""
+    return Rule(name, "block", pattern, alternatives)
 
 
 LIST_RULES = (
@@ -63,25 +64,26 @@ LIST_RULES = (
 )
 
 POLICY = (
-    pattern_rule("tracker-host", r"^(?:[^/]*\.)?(?:ads|adserver|doubleclick|tracking)\.", "ads"),
-    pattern_rule("login-path", r"^[^/]*/(?:[^?#]*/)?login(?:/|$)", "login"),
-    pattern_rule("cart-path", r"^[^/]*/(?:[^?#]*/)?cart(?:/|$)", "cart"),
-    pattern_rule("adult-host", r"^(?:[^/]*\.)?xxx(?:\.|/)", "xxx"),
-    pattern_rule("casino-host", r"^(?:[^/]*\.)?casino(?:\.|/)", "casino"),
-    pattern_rule("executable", r"^[^/]*/.*\.exe$", "exe"),
+    pattern_rule("tracker-host", r"^(?:[^/]*\.)?(?:ads|adserver|doubleclick|tracking)\.", ("ads",), ("adserver",), ("doubleclick",), ("tracking",)),
+    pattern_rule("login-path", r"^[^/]*/(?:[^?#]*/)?login(?:/|$)", ("login",)),
+    pattern_rule("cart-path", r"^[^/]*/(?:[^?#]*/)?cart(?:/|$)", ("cart",)),
+    pattern_rule("adult-host", r"^(?:[^/]*\.)?xxx(?:\.|/)", ("xxx",)),
+    pattern_rule("casino-host", r"^(?:[^/]*\.)?casino(?:\.|/)", ("casino",)),
+    pattern_rule("executable", r"^[^/]*/.*\.exe$", ("exe",)),
 )
 
 
 class RuleIndex:
-    """Rules by their rarest literal; rules without a literal are candidates for every URL."""
+    """Rules by the rarest literal of each alternative; rules with an alternative without a literal are candidates for every URL."""
 
     def __init__(self, rules: tuple[Rule, ...], counts: dict[str, int]):
         self.by_token: dict[str, list] = defaultdict(list)
         self.always: list = []
         for r in rules:
             entry = (r, re.compile(r.pattern, re.S))
-            if r.tokens:
-                self.by_token[min(r.tokens, key=lambda t: (counts.get(t, 0), t))].append(entry)
+            if r.alternatives and all(r.alternatives):
+                for token in {min(a, key=lambda t: (counts.get(t, 0), t)) for a in r.alternatives}:
+                    self.by_token[token].append(entry)
             else:
                 self.always.append(entry)
 
@@ -115,7 +117,7 @@ def split_url(url):
 
 def token_counts(pages: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
     """In how many URLs each literal of the rules occurs: one row per literal reaches the driver."""
-    wanted = sorted({t for r in rules for t in r.tokens})
+    wanted = sorted({t for r in rules for a in r.alternatives for t in a})
     found = F.array_intersect(F.split(F.lower(F.coalesce("url", F.lit(""))), "[^a-z0-9]+"), F.array(*map(F.lit, wanted)))
     rows = pages.select(F.explode(found).alias("token")).groupBy("token").count().collect()
     return {r["token"]: r["count"] for r in rows}

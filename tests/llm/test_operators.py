@@ -1,8 +1,10 @@
 """Each numbered operator on odd rows, against brute force or a defined result."""
 
 import hashlib
+import tempfile
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -188,6 +190,15 @@ def test_url_filters(spark):
     assert url_filters.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_filters_of_every_alternative(spark):
+    urls = ["http://ads.site.net/x", "https://doubleclick.net/x", "http://tracking.site.net/y", "http://adserver.a.net/", "http://a.tracking.b/ads", "http://nodoubleclick.net/x", "http://a.net/tracking"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge_urls(pages).collect()}
+    assert got == dict(enumerate([(None, "block")] * 5 + [(None, "allow")] * 2))
+    pages.toPandas().to_parquet(folder := f"{tempfile.mkdtemp()}/pages.parquet")
+    same(url_filters.judge_urls(pages), connection(Path(folder).parent), url_filters.OP9_SQL)
+
+
 def test_language_id(spark, docs, empty):
     larger = SF.replace("0.001", "0.01")
     table = spark.read.parquet(f"{larger}/documents.parquet")
