@@ -1,14 +1,15 @@
 """Language-model scoring with a gated recurrent network over words.
 
-Words of the whole corpus are counted first. The most frequent HEAD words (a fixed
-number) are outputs of their own, the others share the classes of their last byte.
+Words of the whole corpus are counted first. The most frequent words are outputs of
+their own, the others share classes by their last two bytes; `sizes` says how both
+grow with the vocabulary.
 The output softmax is factored: a class given the state, then a word given class
 and state for head words, or given the class alone, by its count, for the others.
 Output biases start from the counts, so training only adds what context tells.
 
-Training is truncated backpropagation in numpy on a fixed share of the training
-documents, TRAIN_SHARE, in rounds: every task trains from the same parameters on
-its own documents, and the changes are averaged by tokens. Scoring carries the
+Training is truncated backpropagation in numpy, one pass over all training documents
+in rounds: in each round every task trains from the same parameters on its own
+documents of that round, and the changes are averaged by tokens. Scoring carries the
 state of each document across windows of STEPS tokens, many documents abreast, so
 the log-likelihood covers complete documents.
 
@@ -24,6 +25,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,12 +38,14 @@ from pyspark.sql import functions as F
 from lectern.llm._spark import Scratch, n_blocks, split_by, table, texts
 
 HIDDEN = 16
-HEAD = 1024
-GROUP = 32
-TAIL = 32
+LEAST_HEAD = 1024
 STEPS = 24
 ABREAST = 384
-TRAIN_SHARE = 1 / 24
+TRAIN_ABREAST = 128
+#: Tokens that a training task holds at once, long single texts aside.
+TRAIN_TOKENS = 2_000_000
+#: Floats of one row of parameter changes.
+SLICE = 1 << 18
 ROUNDS = 3
 RATE = 0.08
 SMOOTH = 0.1
@@ -53,36 +57,47 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def tail_class(word: bytes) -> int:
-    """One of the TAIL classes of words outside the head: by last byte."""
-    return word[-1] & (TAIL - 1)
+def sizes(distinct: int) -> tuple[int, int, int]:
+    """Head words, head words of a class, and tail classes for a vocabulary: they grow with its square root, or the root of that."""
+    head = max(LEAST_HEAD, 4 * math.isqrt(distinct))
+    group = 1 << round(math.log2(head) / 2)
+    return head, group, group
+
+
+def tail_class(last: int, before: int, tail: int) -> int:
+    """One of the `tail` classes of words outside the head: by the last byte and the one before it (0 where there is none)."""
+    return (last + 31 * before) % tail
 
 
 class Vocabulary:
-    """Head words and the classes: GROUP head words to a class, then the tail classes."""
+    """Head words and the classes: `group` head words to a class, then the tail classes."""
 
     def __init__(self, head: list[tuple[str, int]], tail_mass: np.ndarray, total: int, distinct: int):
         self.total, self.distinct = total, distinct
+        self.group, self.tail = sizes(distinct)[1], len(tail_mass)
         self.index = {w.encode(): i for i, (w, _) in enumerate(head)}
         self.count = np.array([c for _, c in head], dtype=np.float64)
-        self.groups = max(1, -(-len(head) // GROUP))
-        self.classes = self.groups + TAIL
-        mass = np.zeros(self.groups * GROUP)
+        self.groups = max(1, -(-len(head) // self.group))
+        self.classes = self.groups + self.tail
+        #: Symbols: head words, tail classes, the start of a document.
+        self.head = self.groups * self.group
+        self.start = self.head + self.tail
+        mass = np.zeros(self.head)
         mass[: len(head)] = self.count + SMOOTH
-        self.word_bias = np.full(self.groups * GROUP, -30.0)
+        self.word_bias = np.full(self.head, -30.0)
         self.word_bias[: len(head)] = np.log(mass[: len(head)])
         # An unseen word belongs to a tail class, so each keeps the share of one unseen word.
         self.tail_mass = tail_mass + SMOOTH
-        self.class_bias = np.log(np.append(np.maximum(mass.reshape(self.groups, GROUP).sum(axis=1), 1e-9), self.tail_mass))
+        self.class_bias = np.log(np.append(np.maximum(mass.reshape(self.groups, self.group).sum(axis=1), 1e-9), self.tail_mass))
         self.class_bias -= self.class_bias.max()
 
     def base(self, count):
         return np.log10((np.asarray(count) + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        """Head words by index, tail words by HEAD + class."""
-        find = self.index
-        return np.array([find.get(w) if w in find else HEAD + (w[-1] & (TAIL - 1)) for w in words], dtype=np.int32)
+        """Head words by index, tail words by head + class."""
+        find, head, tail = self.index.get, self.head, self.tail
+        return np.array([i if (i := find(w)) is not None else head + tail_class(w[-1], w[-2] if len(w) > 1 else 0, tail) for w in words], dtype=np.int32)
 
 
 class Gru:
@@ -92,12 +107,12 @@ class Gru:
         self.v = v
         rng, h = np.random.default_rng(5), HIDDEN
         self.p = params or {
-            "emb": rng.normal(0, 0.1, (HEAD + TAIL + 1, 3 * h)).astype(np.float32),
+            "emb": rng.normal(0, 0.1, (v.start + 1, 3 * h)).astype(np.float32),
             "rec": rng.normal(0, 0.2, (h, 3 * h)).astype(np.float32),
             "cls": np.zeros((h, v.classes), dtype=np.float32),
             "cls_b": v.class_bias.astype(np.float32),
-            "word": np.zeros((v.groups, h, GROUP), dtype=np.float32),
-            "word_b": v.word_bias.reshape(v.groups, GROUP).astype(np.float32),
+            "word": np.zeros((v.groups, h, v.group), dtype=np.float32),
+            "word_b": v.word_bias.reshape(v.groups, v.group).astype(np.float32),
         }
 
     def run(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
@@ -116,8 +131,8 @@ class Gru:
 
     def losses(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, tuple]:
         """ln probability of symbols y from states h (both flat); what the gradients need comes along."""
-        tail = y >= HEAD
-        cls = np.where(tail, self.v.groups + y - HEAD, y // GROUP)
+        tail = y >= self.v.head
+        cls = np.where(tail, self.v.groups + y - self.v.head, y // self.v.group)
         a = h @ self.p["cls"] + self.p["cls_b"]
         a -= a.max(axis=1, keepdims=True)
         pc = np.exp(a)
@@ -134,7 +149,7 @@ class Gru:
             b -= b.max(axis=1, keepdims=True)
             pw = np.exp(b)
             total = pw.sum(axis=1)
-            at = y[rows] % GROUP
+            at = y[rows] % self.v.group
             out[rows] += b[np.arange(len(rows)), at] - np.log(total)
             parts.append((rows, g, pw / total[:, None], at))
         return out, (cls, pc / sums[:, None], parts)
@@ -143,48 +158,57 @@ class Gru:
         """One truncated window: forward, backward, an Adagrad step. Returns the state to go on with."""
         n, p = HIDDEN, self.p
         states, trace = self.run(x, h)
-        flat, want, use = states.reshape(-1, n), y.ravel(), live.ravel()
+        use = np.flatnonzero(live.ravel())
+        flat, want = states.reshape(-1, n)[use], y.ravel()[use]
         _, (cls, pc, parts) = self.losses(flat, want)
-        scale = 1 / max(1, use.sum())
+        scale = np.float32(1 / max(1, len(use)))
         d = pc
         d[np.arange(len(want)), cls] -= 1
-        d *= (use * scale)[:, None]
-        g = {"cls": flat.T @ d, "cls_b": d.sum(axis=0), "word": np.zeros_like(p["word"]), "word_b": np.zeros_like(p["word_b"])}
-        dh = d @ p["cls"].T
+        d *= scale
+
+        def step(k: str, at, g: np.ndarray) -> None:
+            """An Adagrad step of the rows `at` of a parameter."""
+            g = np.clip(g, -1, 1)
+            seen = memory[k][at] + g * g
+            memory[k][at] = seen
+            p[k][at] -= rate * g / (np.sqrt(seen) + 1e-4)
+
+        du = d @ p["cls"].T
         for rows, c, pw, at in parts:
             pw[np.arange(len(rows)), at] -= 1
-            pw *= (use[rows] * scale)[:, None]
-            g["word"][c] += flat[rows].T @ pw
-            g["word_b"][c] += pw.sum(axis=0)
-            dh[rows] += pw @ p["word"][c].T
+            pw *= scale
+            du[rows] += pw @ p["word"][c].T
+            step("word", c, flat[rows].T @ pw)
+            step("word_b", c, pw.sum(axis=0))
+        dh = np.zeros((x.size, n), dtype=np.float32)
+        dh[use] = du
         dh = dh.reshape(states.shape)
-        g["rec"], g["emb"] = np.zeros_like(p["rec"]), np.zeros_like(p["emb"])
+        rec, de = np.zeros_like(p["rec"]), np.empty((*x.shape, 3 * n), dtype=np.float32)
         back = np.zeros_like(h)
         for t in reversed(range(len(x))):
             prev, z, s, c, rc = trace[t]
             dn = dh[t] + back
             dz, dc = dn * (c - prev) * z * (1 - z), dn * z * (1 - c * c)
             ds = dc * rc * s * (1 - s)
-            de = np.concatenate([dz, ds, dc], axis=1)
+            de[t, :, :n], de[t, :, n : 2 * n], de[t, :, 2 * n :] = dz, ds, dc
             dr = np.concatenate([dz, ds, dc * s], axis=1)
-            np.add.at(g["emb"], x[t], de)
-            g["rec"] += prev.T @ dr
+            rec += prev.T @ dr
             back = dn * (1 - z) + dr @ p["rec"].T
-        for k, w in p.items():
-            step = np.clip(g[k], -1, 1)
-            memory[k] += step * step
-            w -= rate * step / (np.sqrt(memory[k]) + 1e-4)
+        # Only symbols of this window have a gradient in the embeddings.
+        order = np.argsort(x.ravel(), kind="stable")
+        symbols, first = np.unique(x.ravel()[order], return_index=True)
+        step("emb", symbols, np.add.reduceat(de.reshape(-1, 3 * n)[order], first, axis=0))
+        step("rec", slice(None), rec)
+        step("cls", slice(None), flat.T @ d)
+        step("cls_b", slice(None), d.sum(axis=0))
         return states[-1]
 
 
-START = HEAD + TAIL
-
-
 class Abreast:
     """Sequences side by side: each step window holds the next tokens of every open document."""
 
-    def __init__(self, docs: list[np.ndarray], width: int):
-        self.docs, self.width = docs, width
+    def __init__(self, docs: list[np.ndarray], width: int, start: int):
+        self.docs, self.width, self.start = docs, width, start
 
     def windows(self):
         """Yields (document numbers, fresh, x, y, live) with arrays (STEPS, rows)."""
@@ -197,7 +221,7 @@ class Abreast:
             if not slot:
                 return
             steps = min(STEPS, max(len(self.docs[d]) - at for d, at in slot))
-            x = np.full((steps, len(slot)), START, dtype=np.int32)
+            x = np.full((steps, len(slot)), self.start, dtype=np.int32)
             y = np.zeros((steps, len(slot)), dtype=np.int32)
             live = np.zeros((steps, len(slot)), dtype=bool)
             for i, (d, at) in enumerate(slot):
@@ -253,17 +277,31 @@ def _flush(found: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(w), pa.int64()), pa.array(w, pa.string()), pa.array(n[at : at + 50_000], pa.int64())], ["block", "word", "n"])
 
 
+def _encoded(v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """All documents, some TRAIN_TOKENS tokens at a time."""
+    docs, n = [], 0
+    for b in batches:
+        for text in b.column("text"):
+            docs.append(v.encode(tokens(text.as_py())))
+            n += len(docs[-1])
+            if n >= TRAIN_TOKENS:
+                yield docs
+                docs, n = [], 0
+    if docs:
+        yield docs
+
+
 def _train_task(v: Vocabulary, params: dict[str, np.ndarray], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = [v.encode(tokens(t)) for b in batches for t in b.column("text").to_pylist()]
-        if not docs:
-            return
-        model = Gru(v, {k: w.copy() for k, w in params.items()})
+        model, n = Gru(v, {k: w.copy() for k, w in params.items()}), 0
         memory = {k: np.full_like(w, 1e-3) for k, w in params.items()}
-        _drive(Abreast(docs, 48), lambda which, x, y, live, h: model.train(x, y, live, h, rate, memory))
-        n = sum(map(len, docs))
-        for k, w in model.p.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n], pa.int64()), pa.array([((w - params[k]) * n).astype("<f4").tobytes()], pa.binary())], ["name", "n", "change"])
+        for docs in _encoded(v, batches):
+            _drive(Abreast(docs, TRAIN_ABREAST, v.start), lambda which, x, y, live, h: model.train(x, y, live, h, rate, memory))
+            n += sum(map(len, docs))
+        for k, w in model.p.items() if n else ():
+            change = ((w - params[k]) * n).astype("<f4").ravel()
+            for i, at in enumerate(range(0, len(change), SLICE)):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i], pa.int64()), pa.array([n], pa.int64()), pa.array([change[at : at + SLICE].tobytes()], pa.binary())], ["name", "slice", "n", "change"])
 
     return run
 
@@ -272,20 +310,27 @@ def _sum_changes(found: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(len(found["change"].iloc[0]) // 4)
     for c in found["change"]:
         total += np.frombuffer(c, dtype="<f4")
-    return pd.DataFrame({"name": found["name"].iloc[:1], "n": [int(found["n"].sum())], "change": [total.astype("<f4").tobytes()]})
+    return pd.DataFrame({"name": found["name"].iloc[:1], "slice": found["slice"].iloc[:1], "n": [int(found["n"].sum())], "change": [total.astype("<f4").tobytes()]})
+
+
+def training_rounds(docs: DataFrame) -> list[DataFrame]:
+    """The training documents (text) of each round: every one of them is in just one round."""
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(ROUNDS))
+    return [docs.filter(~F.col("held_out") & (turn == i)).select("text") for i in range(ROUNDS)]
 
 
-def train(sample: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
-    """Rounds of local training and averaging over the rows of `sample` (text)."""
+def train(rounds: list[DataFrame], v: Vocabulary) -> dict[str, np.ndarray]:
+    """Rounds of local training and averaging over the rows (text) of each."""
     params = Gru(v).p
-    shape = "name string, n long, change binary"
-    for turn in range(ROUNDS):
-        changes = sample.mapInArrow(_train_task(v, params, RATE / (1 + turn)), shape)
+    shape = "name string, slice long, n long, change binary"
+    for turn, rows in enumerate(rounds):
+        changes = rows.mapInArrow(_train_task(v, params, RATE / (1 + turn)), shape)
         # Two levels, so that no task adds up more than a share of the changes.
-        first = changes.withColumn("part", F.pmod(F.hash("change"), F.lit(16))).groupBy("name", "part").applyInPandas(_sum_changes, shape)
-        for r in first.groupBy("name").applyInPandas(_sum_changes, shape).collect():
+        first = changes.withColumn("part", F.pmod(F.hash("change"), F.lit(16))).groupBy("name", "slice", "part").applyInPandas(_sum_changes, shape)
+        for r in first.groupBy("name", "slice").applyInPandas(_sum_changes, shape).collect():
             mean = np.frombuffer(r["change"], dtype="<f4") / max(1, r["n"])
-            params[r["name"]] = params[r["name"]] + mean.reshape(params[r["name"]].shape).astype(np.float32)
+            at = r["slice"] * SLICE
+            params[r["name"]].reshape(-1)[at : at + len(mean)] += mean.astype(np.float32)
     return params
 
 
@@ -298,11 +343,11 @@ def _score_block(v: Vocabulary, params: dict[str, np.ndarray]):
             found = tokens(text)
             c = np.array([count[w] for w in found], dtype=np.float64)
             codes = v.encode(found)
-            tail = codes >= HEAD
+            tail = codes >= v.head
             encoded.append(codes)
             n_known.append(int((c > 0).sum()))
             base.append(float(v.base(c).sum()))
-            extra.append(float(np.log10((c[tail] + SMOOTH) / v.tail_mass[codes[tail] - HEAD]).sum()))
+            extra.append(float(np.log10((c[tail] + SMOOTH) / v.tail_mass[codes[tail] - v.head]).sum()))
         score = np.array(extra)
 
         def work(which, x, y, live, h):
@@ -311,7 +356,7 @@ def _score_block(v: Vocabulary, params: dict[str, np.ndarray]):
             score[which] += (ln.reshape(y.shape) * live).sum(axis=0) / np.log(10)
             return states[-1]
 
-        _drive(Abreast(encoded, ABREAST), work)
+        _drive(Abreast(encoded, ABREAST, v.start), work)
         n = len(ids)
         arrays = [pa.array(ids, pa.int64()), pa.array(docs.column("held_out").to_pylist(), pa.bool_()), pa.array([len(e) for e in encoded], pa.int64()), pa.array(n_known, pa.int64())]
         arrays += [pa.array([v.total] * n, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
@@ -333,18 +378,16 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     counts = scratch.keep(per_block.groupBy("word").agg(F.sum("n").cast("long").alias("total")), "counts")
     scratch.sweep()
     facts = counts.agg(F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v")).first()
-    head = counts.filter("total > 0").orderBy(F.desc("total"), "word").limit(HEAD).collect()
+    size, _, classes = sizes(int(facts["v"] or 0))
+    head = counts.filter("total > 0").orderBy(F.desc("total"), "word").limit(size).collect()
     names = F.broadcast(spark.createDataFrame([(r["word"],) for r in head], "word string"))
-    last = F.conv(F.substring(F.hex(F.encode("word", "utf-8")), -2, 2), 16, 10).cast("int").bitwiseAND(TAIL - 1)
-    tail = np.zeros(TAIL)
-    for r in counts.join(names, "word", "left_anti").filter("total > 0").groupBy(last.alias("class")).agg(F.sum(F.col("total") + F.lit(SMOOTH)).alias("mass")).collect():
-        tail[r["class"]] = r["mass"]
+    ends = F.conv(F.substring(F.concat(F.lit("00"), F.hex(F.encode("word", "utf-8"))), -4, 4), 16, 10).cast("int")
+    tail = np.zeros(classes)
+    for r in counts.join(names, "word", "left_anti").filter("total > 0").groupBy(ends.alias("ends")).agg(F.sum(F.col("total") + F.lit(SMOOTH)).alias("mass")).collect():
+        tail[tail_class(r["ends"] & 255, r["ends"] >> 8, classes)] += r["mass"]
     v = Vocabulary([(r["word"], r["total"]) for r in head], tail, int(facts["n"] or 0), int(facts["v"] or 0))
 
-    pick = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * TRAIN_SHARE)
-    sample = scratch.keep(docs.filter(~F.col("held_out") & pick).select("text"), "sample")
-    params = train(sample, v)
-    scratch.forget("sample")
+    params = train(training_rounds(docs), v)
     scratch.sweep()
 
     # Each block's words with the corpus counts: its dictionary.

@@ -245,3 +245,21 @@ def test_lm_scoring(docs, empty):
 def test_lm_scoring_beats_the_base(spark):
     got = QUERIES["op4_lm_scoring"](spark, SF.replace("0.001", "0.01")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
+
+
+def test_lm_scoring_learns_from_all_training_documents(spark):
+    docs = documents(spark, [(i, f"n{i} " + "left right up down " * 1500) for i in range(12)]).distinct()
+    held = F.col("doc_id") == 0
+    got = lm_scoring.score_documents(docs, held).collect()
+    # By counts alone each word of the cycle is one of four.
+    assert len(got) == 12
+    assert all(r.score > 0.8 * r.base_score for r in got)
+    rounds = [{r.text.split()[0] for r in d.collect()} for d in lm_scoring.training_rounds(docs.withColumn("held_out", held))]
+    assert sorted(n for d in rounds for n in d) == sorted(f"n{i}" for i in range(1, 12))
+
+
+def test_lm_scoring_sizes_grow_with_the_vocabulary():
+    small, large, huge = (lm_scoring.sizes(n) for n in (1000, 10**7, 10**9))
+    assert all(a < b < c for a, b, c in zip(small, large, huge, strict=True))
+    v = lm_scoring.Vocabulary([("a", 5)], np.zeros(large[2]), 5, 10**7)
+    assert len({*v.encode([f"x{chr(97 + i)}".encode() for i in range(26)])}) == 26
