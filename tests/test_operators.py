@@ -108,3 +108,14 @@ def test_overview_covers_the_lecture():
 def test_digest_shrinks(spark):
     rows = spark.createDataFrame([(1, i, "word " * 200) for i in range(30)], "lecture long, slide long, note string")
     assert len(notes.digest_rounds(rows, 12_000, 9_000, 4_000).first().digest) <= 12_000
+
+
+def test_digest_reads_all_of_each_pack(spark):
+    filler = "The same words come again and again. " * 600
+    long = filler + "Eigenvalues decide stability. "
+    rows = spark.createDataFrame([(1, 0, long), (1, 1, filler + "Zebras graze."), (2, 0, "short")], "lecture long, slide long, note string")
+    got = {r.lecture: r.digest for r in notes.digest_rounds(rows, 12_000, 9_000, 4_000).collect()}
+    assert "Eigenvalues decide stability." in got[1] and "Zebras graze." in got[1]
+    assert len(got[1]) <= 12_000 and got[2] == "short"
+    assert notes._telling("x" * 5000 + " last", 4_000).endswith(" last")
+    assert len(notes._telling(" ".join(f"word{i}" for i in range(5000)), 4_000)) <= 4_000
