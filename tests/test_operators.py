@@ -119,3 +119,11 @@ def test_digest_reads_all_of_each_pack(spark):
     assert len(got[1]) <= 12_000 and got[2] == "short"
     assert notes._telling("x" * 5000 + " last", 4_000).endswith(" last")
     assert len(notes._telling(" ".join(f"word{i}" for i in range(5000)), 4_000)) <= 4_000
+
+
+@pytest.mark.parametrize("name", ["overview_sentences", "extractive_overview", "evidence_reduction", "hierarchical_digest"])
+def test_lectures_do_not_grow_with_the_table(spark, tmp_path, name):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'A sentence about topic ' || id || '.' AS text", "'en' AS lang", "'s' AS source", "10L AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = notes.QUERIES[name](spark, str(tmp_path)).select("lecture").distinct().count()
+    assert got == 2000 // notes.DOCS_PER_LECTURE
