@@ -20,23 +20,8 @@ _LOWER[65:91] += 32
 _SOLID = np.ones(256, dtype=bool)
 _SOLID[[0x20, *range(0x09, 0x0E)]] = False
 
-_rng = np.random.default_rng(20240131)
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-_BASE = int(_rng.integers(2**62, 2**63)) | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_POW = np.ones(1, dtype=U)
-_POWINV = np.ones(1, dtype=U)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, for n positions."""
-    global _POW, _POWINV
-    if len(_POW) < n:
-        m = max(n, SLICE_BYTES + 1)
-        for_base, for_inv = np.full(m, _BASE, dtype=U), np.full(m, _INV, dtype=U)
-        for_base[0] = for_inv[0] = U(1)
-        _POW, _POWINV = np.cumprod(for_base), np.cumprod(for_inv)
-    return _POW[:n], _POWINV[:n]
+_SEED = U(0x9C1F3A75D2E84B63)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,32 +40,45 @@ class Slice:
     def __init__(self, first: int, data: np.ndarray, offs: np.ndarray):
         self.first, self.data, self.offs = first, data, offs
         self.rows = len(offs) - 1
-        self._sum: dict[bool, np.ndarray] = {}
+        self._chunks: dict[bool, np.ndarray] = {}
 
     def lowered(self) -> np.ndarray:
         return _LOWER[self.data]
 
-    def prefix(self, lower: bool) -> np.ndarray:
-        """Prefix sums that give the hash of any byte range."""
-        if lower not in self._sum:
-            pw, _ = _powers(len(self.data) + 1)
-            out = np.zeros(len(self.data) + 1, dtype=U)
-            np.cumsum(_BYTE[self.lowered() if lower else self.data] * pw[:-1], out=out[1:])
-            self._sum[lower] = out
-        return self._sum[lower]
+    def chunks(self, lower: bool) -> np.ndarray:
+        """The eight bytes from each position on as one little-endian integer; zeros follow the end."""
+        if lower not in self._chunks:
+            padded = np.zeros(len(self.data) + 8, dtype=np.uint8)
+            padded[: len(self.data)] = self.lowered() if lower else self.data
+            self._chunks[lower] = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        return self._chunks[lower]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-        """64-bit hashes of the byte ranges [start, end)."""
-        s = self.prefix(lower)
-        _, inv = _powers(len(self.data) + 1)
-        return mix((s[ends] - s[starts]) * inv[starts])
+        """64-bit hashes of the byte ranges [start, end), eight bytes at a time through `mix`.
+
+        Two different ranges get the same hash with a chance of about 2**-64.
+        """
+        words, left = self.chunks(lower), ends - starts
+        out = mix(left.astype(U) ^ _SEED)
+        todo, at = np.arange(len(starts)), starts
+        while len(todo):
+            part = words[at] & _MASK[np.minimum(left, 8)]
+            out[todo] = mix((out[todo] ^ part) * U(0x9E3779B97F4A7C15))
+            more = np.flatnonzero(left > 8)
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+        return out
 
     def sliding(self, size: int) -> np.ndarray:
-        """Hashes of all byte strings of this size, those across rows included."""
-        s = self.prefix(False)
-        n = len(self.data) - size + 1
-        _, inv = _powers(len(self.data) + 1)
-        return mix((s[size:] - s[:n]) * inv[:n]) if n > 0 else np.zeros(0, dtype=U)
+        """Hashes of all byte strings of this size, a multiple of eight, those across rows included."""
+        words, n = self.chunks(False), len(self.data) - size + 1
+        if n <= 0:
+            return np.zeros(0, dtype=U)
+        out = words[:n] * U(0xD6E8FEB86659FD93)
+        for k in range(8, size, 8):
+            out ^= out >> U(29)
+            out += words[k : k + n]
+            out *= U(0xD6E8FEB86659FD93)
+        return mix(out)
 
     def per_row(self, mask: np.ndarray) -> np.ndarray:
         """Count of set bytes in each row."""

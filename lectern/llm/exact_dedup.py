@@ -8,8 +8,8 @@ against the whole SHA-256 digest kept in the bucket. When a copy with a larger i
 appears, the live entry is deleted and the new one inserted.
 
 Edge cases: null text counts as the empty text (all of these form one group);
-rows that repeat a doc_id are members of the group in their own right and are all
-kept or all dropped; an empty table gives an empty result; further columns of the
+rows that repeat a doc_id are members of the group in their own right, and of equal
+ones all are kept or all dropped; an empty table gives an empty result; further columns of the
 input, whatever their names, are ignored.
 """
 
@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm._spark import Scratch, table, texts
+from lectern.llm._spark import Scratch, fresh, table, texts
 
 SLOTS = 4
 MAX_KICKS = 400
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class CuckooIndex:
@@ -161,8 +162,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def keep_latest(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay: of equal texts, the one with the largest doc_id."""
-    gone = exact_groups(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    gone = exact_groups(docs).filter("NOT kept").select(F.col("doc_id").alias(one := fresh(docs, "gone_id")), F.col("text_sha256").alias(two := fresh(docs, "gone_digest"))).distinct()
+    digest = F.sha2(F.translate(F.coalesce(docs["text"].cast("string"), F.lit("")), UPPER, UPPER.lower()).cast("binary"), 256)
+    return docs.join(gone, (docs["doc_id"] == gone[one]) & (digest == gone[two]), "left_anti")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,21 +20,27 @@ D + 1 units are reached: passages that many documents share are skipped as long
 as the rest of a document suffices.
 
 Links are verified exactly on the whole sets. Equal sets are one class and are
-joined once. Inside a group of candidates, sets are first compared with a hub. In
-the end the candidate pairs whose two sets are not yet connected are compared, but
-for those that cannot be similar: a set shares at most those elements with another
-component that occur outside its own, and these are counted for each set. So no
-component misses a link, while variants of one text whose own edits are too many
-drop out before they are paired.
+joined once. Inside a group of candidates, sets are first compared with a hub. What
+then remains are candidates whose two sets are not yet connected; in a large group
+of variants these would be very many pairs. So each set is described by a
+reference, the elements that most sets with its hub have: r of its elements are in
+the reference, the others are its own. Two sets share at most r elements plus those
+of the one's own elements that the other has. A pair is therefore similar only if
+r is large enough for both, and then the index pairs them, or if it shares enough
+own elements of one, and then it is found by the rarest of these. All other
+candidates are too far apart, whatever their number, and need not be paired.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; a
 text of fewer than n words is one shingle; repeated rows are members of the same
-class, and a doc_id stands for one text; an empty table gives an empty result; other columns are ignored.
+class; rows with one doc_id are one node, so several texts of a doc_id count as
+linked; an empty table gives an empty result; other columns are ignored. Elements are
+64-bit hashes: two different shingles are taken for one with a chance of 2**-64.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm._components import components
-from lectern.llm._spark import Scratch, table, texts
+from lectern.llm._spark import Scratch, fresh, table, texts
 from lectern.llm._text import U, Slice, grams, mix, signed, slices
 
 WORDS = 5
@@ -52,6 +58,11 @@ SMALL = 26
 STAR_ROUNDS = 2
 HUBS = 2
 
+#: Least similarity in percent: below, a similar pair may share too little for the pigeonhole.
+LEAST_PERCENT = 51
+#: Ratio of set sizes in one band of the last step.
+SIZE_BAND = 1.05
+
 _EDGES = [1]
 while _EDGES[-1] < 1 << 40:
     _EDGES.append(max(_EDGES[-1] + 1, -(-_EDGES[-1] * 3 // 2)))
@@ -84,6 +95,8 @@ class Bands:
     """Size bands for one threshold: segments, deletion neighbourhoods and membership."""
 
     def __init__(self, percent: int):
+        if not LEAST_PERCENT <= percent <= 100:
+            raise ValueError(f"percent is {percent}; it must be from {LEAST_PERCENT} to 100")
         self.percent = percent
 
     def of(self, n: int) -> list[int]:
@@ -110,8 +123,9 @@ class Bands:
             need = self.units(len(u), band)
             if need == 1:
                 continue
-            m, near = self.shape(band)
+            base, near = self.shape(band)
             for function in range(64):
+                m = min(base << (function // 4), (1 << 24) - 1)  # more segments where few do not spread a set
                 salt = ((band << 8) + function + 1) * 0xD1342543DE82EF95 % (1 << 64)
                 seg = ((mix(u + U(salt)) >> U(32)) * U(m) >> U(32)).astype(np.int64)
                 order = np.argsort(seg, kind="stable")
@@ -131,7 +145,7 @@ class Bands:
                 if slack >= 0:
                     break
             else:
-                raise AssertionError("no function spreads this set")
+                raise AssertionError(f"no function spreads a set of {len(u)} elements")
 
 
 def _class_key(u: np.ndarray) -> bytes:
@@ -218,11 +232,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _known_elsewhere(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """doc and how many of its elements also occur in another component of `members` (doc, comp): no set there shares more with it."""
-    items = sets.join(members, "doc").select("doc", "comp", F.explode("items").alias("item"))
-    across = items.groupBy("item").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("item")
-    return items.select("doc", "item").join(across, "item", "left_semi").groupBy("doc").agg(F.count("*").alias("known"))
+def _band(n):
+    """Column: the size band of n elements in the last step."""
+    return F.floor(F.log(n.cast("double")) / math.log(SIZE_BAND)).cast("int")
+
+
+def _bands_up_to(n, limit, percent: int):
+    """Column: the bands of all sizes that a set of n elements can be similar to, up to `limit`."""
+    return F.sequence(_band(F.ceil(n * percent / 100)), _band(F.least(limit, F.floor(n * 100 / percent))))
+
+
+def _against_reference(sets: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, comp, n, r and own of all `members` (doc, comp, hub): elements in the reference of their hub, and the others."""
+    held = sets.join(members, "doc")
+    of = members.groupBy("hub").agg(F.count("*").alias("of"))
+    often = held.select("hub", F.explode("items").alias("item")).groupBy("hub", "item").agg(F.count("*").alias("k")).join(of, "hub").filter("2 * k > of")
+    centre = scratch.keep(often.groupBy("hub").agg(F.collect_list("item").alias("centre")), "centres")
+    there = F.coalesce("centre", F.array().cast("array<long>"))
+    return held.join(centre, "hub", "left").select("doc", "comp", F.size("items").alias("n"), F.size(F.array_intersect("items", there)).alias("r"), F.array_except("items", there).alias("own"))
+
+
+def _pairs_by_own(sets: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, na, b, nb) of different components that share an own element of a, by a's rarest ones.
+
+    Of k own elements that other components have, in order of frequency, the one at
+    place p is the first that a shares with b only if b is small enough for the
+    elements from there on, and r, to reach the similarity.
+    """
+    items = sets.join(described.select("doc", "comp"), "doc").select("doc", "comp", F.size("items").alias("n"), F.explode("items").alias("item"))
+    across = items.groupBy("item").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("k")).filter("least < most").select("item", "k")
+    own = described.select("doc", "comp", "n", "r", F.explode("own").alias("item")).join(across, "item")
+    lists = own.groupBy("doc", "comp", "n", "r").agg(F.array_sort(F.collect_list(F.struct("k", "item"))).alias("known"))
+    probes = lists.select("*", F.posexplode("known").alias("p", "e"))
+    probes = probes.withColumn("limit", F.floor((100 + percent) * (F.size("known") - F.col("p") + F.col("r")) / percent) - F.col("n")).filter(f"100 * limit >= {percent} * n")
+    one = probes.select(F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), "limit", F.col("e.item").alias("item"), F.explode(_bands_up_to(F.col("n"), F.col("limit"), percent)).alias("band"))
+    two = items.select("item", _band(F.col("n")).alias("band"), F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+    return one.join(two, ["item", "band"]).filter("ca <> cb AND nb <= limit").select("a", "na", "b", "nb")
+
+
+def _pairs_by_index(now: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, na, b, nb) of different components that share a signature and whose references leave both of them room."""
+    room = described.select("doc", "n", (F.floor((100 + percent) * F.col("r") / percent) - F.col("n")).alias("limit")).filter(f"100 * limit >= {percent} * n")
+    able = now.select("sig", "doc", "comp", "chosen", "shares").join(room, "doc")
+    main = able.groupBy("sig").agg(F.max_by("comp", F.struct("shares", "doc")).alias("main"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("sig", "main")
+    out = able.join(main, "sig").filter("comp <> main")
+    one = out.select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("limit").alias("la"), F.col("chosen").alias("one"), F.explode(_bands_up_to(F.col("n"), F.col("limit"), percent)).alias("band"))
+    two = able.select("sig", _band(F.col("n")).alias("band"), F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("limit").alias("lb"), F.col("chosen").alias("two"))
+    return one.join(two, ["sig", "band"]).filter("ca <> cb AND nb <= la AND na <= lb AND (one OR two)").select("a", "na", "b", "nb")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -267,14 +323,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             near = now.join(mixed.select("sig", "hub"), "sig").filter("comp <> hub.comp").select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("hub.doc").alias("b"), F.col("hub.n").alias("nb"))
             votes = near.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("votes"))
             votes = votes.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))).filter(F.col("place") <= HUBS)
+            if turn == 0:
+                votes = scratch.keep(votes, "votes")
+                hubs = votes.filter("place = 1").groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("hub"))
         else:
-            now = now.join(mixed.select("sig"), "sig")
-            known = scratch.keep(_known_elsewhere(sets, now.select("doc", "comp").distinct()), "known")
+            now = scratch.keep(now.join(mixed.select("sig"), "sig"), "rest")
+            members = now.select("doc", "comp").distinct().join(hubs, "doc", "left").select("doc", "comp", F.coalesce("hub", "doc").alias("hub"))
+            described = scratch.keep(_against_reference(sets, scratch.keep(members, "members"), scratch), "described")
             scratch.sweep()
-            now = now.join(known, "doc").filter(f"100 * known >= {percent} * n")
-            one = now.filter("chosen").select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("known").alias("ka"))
-            two = now.select("sig", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("known").alias("kb"))
-            votes = one.join(two, "sig").filter(f"ca <> cb AND {100 + percent} * least(ka, kb) >= {percent} * (na + nb)")
+            votes = _pairs_by_index(now, described, percent).unionByName(_pairs_by_own(sets, described, percent))
         close = votes.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         pairs = scratch.keep(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs{turn}")
         if pairs.isEmpty():
@@ -287,7 +344,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         comps = scratch.keep(new, f"comps{turn + 1}")
         scratch.forget(f"pairs{turn}", f"links{turn}")
         scratch.sweep()
-    scratch.forget("sets", "flagged", "known")
+    scratch.forget("sets", "flagged", "rest", "members", "centres", "described", "votes")
 
     group = classes.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").select("class_key", F.coalesce("comp", "rep").alias("component"))
     out = summary.join(group, "class_key", "left")
@@ -296,8 +353,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of its group of near copies."""
-    gone = jaccard_components(docs, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    gone = jaccard_components(docs, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias(name := fresh(docs, "gone"))).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,10 +96,13 @@ def _stats(s: Slice) -> dict[str, np.ndarray]:
     out = {"n_words": count(row), "word_chars": s.per_row(_SOLID[s.data] & ((s.data & 0xC0) != 0x80)), "n_symbols": s.per_row(_SYMBOL[s.data])}
     full = np.flatnonzero(lines.words > 0)
     stop = lines.ends[full] - (s.data[lines.ends[full] - 1] == 10)
-    key = mix(s.hashes(lines.starts[full], stop, lower=False) + lines.row[full].astype(U))
-    first = np.zeros(len(full), dtype=bool)
-    first[np.unique(key, return_index=True)[1]] = True
-    out["n_dup_lines"] = count(lines.row[full[~first]])
+    raw, seen, again = s.data.tobytes(), set(), []
+    for r, a, e in zip(lines.row[full].tolist(), lines.starts[full].tolist(), stop.tolist(), strict=True):
+        line = (r, raw[a:e])
+        if line in seen:
+            again.append(r)
+        seen.add(line)
+    out["n_dup_lines"] = count(np.array(again, dtype=np.int64))
     at, tri = grams(s.hashes(starts, ends, lower=False), row, 3)
     twice = at[_runs(mix(tri + row[at].astype(U))) > 1] if len(at) else at
     covered = np.zeros(len(starts) + 2, dtype=bool)

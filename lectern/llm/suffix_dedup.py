@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lectern.llm._spark import TEXT_ROWS, Scratch, table
+from lectern.llm._spark import TEXT_ROWS, Scratch, fresh, table
 from lectern.llm._text import U, Slice, mix, signed, slices
 
 SPAN = 50
@@ -358,11 +358,12 @@ def _kept_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with the text that remains, cut down to whole characters, and n_chars to match if there is such a column."""
-    spans = repeated_spans(docs).select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("spans").alias("_spans"))
-    same = (docs["doc_id"] == spans["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == spans["_version"])
-    out = docs.join(spans, same, "left").withColumn("text", _kept_text("text", "_spans"))
+    doc, version, spans = (fresh(docs, x) for x in ("spans_doc", "spans_version", "spans"))
+    found = repeated_spans(docs).select(F.col("doc").alias(doc), F.col("version").alias(version), F.col("spans").alias(spans))
+    same = (docs["doc_id"] == found[doc]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found[version])
+    out = docs.join(found, same, "left").withColumn("text", _kept_text("text", spans))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

@@ -263,3 +263,50 @@ def test_lm_scoring_sizes_grow_with_the_vocabulary():
     assert all(a < b < c for a, b, c in zip(small, large, huge, strict=True))
     v = lm_scoring.Vocabulary([("a", 5)], np.zeros(large[2]), 5, 10**7)
     assert len({*v.encode([f"x{chr(97 + i)}".encode() for i in range(26)])}) == 26
+
+
+def thue_morse(n=512):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_alike_structure_stay_apart(spark):
+    one, two = thue_morse()
+    rows = [(1, one), (2, two), (3, f"{one}\n{two}\n{one}"), (4, f"{one} x {two} x {one} y {one} y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in quality_rules.judge_quality(docs).collect()} == {1: (0, 0), 2: (0, 0), 3: (1, 0), 4: (0, 0)}
+
+
+def test_ngram_join_spreads_sets_at_every_similarity():
+    rng = np.random.default_rng(2)
+    for percent in (51, 60, 80, 95, 100):
+        for n in (1, 2, 3, 7, 26, 27, 60, 200, 513):
+            found = list(ngram_join.Bands(percent).signatures(np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))))
+            assert all(len(sig) == len(place) for sig, place in found)
+    for percent in (0, 50, 101):
+        with pytest.raises(ValueError):
+            ngram_join.Bands(percent)
+
+
+def test_ngram_join_of_a_group_without_its_original(spark):
+    r = np.random.default_rng(5)
+    words, rows = sentence(77, 150).split(), []
+    for i in range(150):
+        own = list(words) if i % 9 else words[: 150 - 3 * int(r.integers(0, 9))]
+        for at in r.choice(len(own), r.integers(3, 7), replace=False):
+            own[at] = f"edit{r.integers(0, 60)}"
+        rows.append((i, " ".join(own)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert len({c for _, c in got.values()}) > 20
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    rows = [(5, "a b c d e f"), (9, "a b c d e f"), (5, "g h i j k l"), (7, "G h i j k l")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "doc_id long, text string, gone int, gone_id int, gone_digest int, spans int, doc int")
+    assert {(r.doc_id, r.text) for r in exact_dedup.keep_latest(docs).collect()} == {(9, rows[0][1]), (7, rows[3][1])}
+    assert {(r.doc_id, r.text) for r in ngram_join.keep_one_per_group(docs).collect()} == {(5, rows[0][1]), (5, rows[2][1])}
+    out = suffix_dedup.without_repeats(docs)
+    assert out.columns == docs.columns
+    assert out.count() == 4
