@@ -10,8 +10,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one block of a blocked job holds at most, long single texts aside.
-BLOCK_BYTES = 12 << 20
 #: Rows of one Arrow batch where each row brings a whole text and a list.
 TEXT_ROWS = 1000
 
@@ -48,7 +46,7 @@ class Scratch:
         if batch_rows:
             self.spark.conf.set(setting, batch_rows)
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(setting, usual)
         self.paths[name] = path
@@ -88,8 +86,3 @@ def fresh(df: DataFrame, name: str) -> str:
 def split_by(column: str, divisor: int, *rests: int):
     """True where crc32 of the id as decimal text leaves one of these remainders."""
     return (F.crc32(F.col(column).cast("string").cast("binary")) % divisor).isin(*rests)
-
-
-def n_blocks(docs: DataFrame, column: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    total = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(column), F.lit(""))).cast("long"))).first()[0] or 0
-    return max(1, -(-int(total) // block_bytes))

@@ -7,15 +7,18 @@ The output softmax is factored: a class given the state, then a word given class
 and state for head words, or given the class alone, by its count, for the others.
 Output biases start from the counts, so training only adds what context tells.
 
-Training is truncated backpropagation in numpy, one pass over all training documents
-in rounds: in each round every task trains from the same parameters on its own
-documents of that round, and the changes are averaged by tokens. Scoring carries the
-state of each document across windows of STEPS tokens, many documents abreast, so
-the log-likelihood covers complete documents.
+Texts are cut into words once, block by block: a block's documents become numbers
+of the block's own dictionary. Its words meet the corpus counts in a join, so counts
+of rare words are never broadcast, and come back to the block, where documents become
+symbols of the network. Training and scoring read symbols only.
 
-Counts of rare words are not broadcast. Documents are dealt into blocks of bounded
-size; a block's distinct words meet the corpus counts in a join, and come back to
-their block as its dictionary.
+Training is truncated backpropagation in numpy, one pass over all training documents
+in rounds. Documents are dealt into shards by their id. In each round every shard of
+the round is trained on from the same parameters, and the changes are averaged by
+tokens, so the result does not depend on how rows lie in files or tasks. Documents
+run one after the other in streams side by side; the state starts anew with each.
+Scoring carries the state of each document across windows, so the log-likelihood
+covers complete documents.
 
 Edge cases: null and empty texts consist of the end token; texts of any length are
 scored whole; repeated rows are scored one by one; without training rows the base
@@ -25,30 +28,38 @@ columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm._spark import Scratch, n_blocks, split_by, table, texts
+from lectern.llm._spark import TEXT_ROWS, Scratch, split_by, table, texts
 
 HIDDEN = 16
 LEAST_HEAD = 1024
-STEPS = 24
-ABREAST = 384
+STEPS = 32
+ABREAST = 512
 TRAIN_ABREAST = 128
-#: Tokens that a training task holds at once, long single texts aside.
-TRAIN_TOKENS = 2_000_000
+#: Rows of states that the softmax takes at once.
+SOFTMAX_ROWS = 4096
+#: Bytes of text of a block, long single texts aside.
+BLOCK_BYTES = 32 << 20
+#: Tokens of a training shard, and that a scoring task holds at once, long single texts aside.
+SHARD_TOKENS = 2_000_000
 #: Floats of one row of parameter changes.
 SLICE = 1 << 18
 ROUNDS = 3
-RATE = 0.08
+RATE = 0.1
 SMOOTH = 0.1
+#: No weight of an output leaves this range, so that no exponential overflows.
+LIMIT = 4.0
 #: The end of a document; no word contains white space.
 END = b"\n"
 
@@ -59,14 +70,14 @@ def tokens(text: str | None) -> list[bytes]:
 
 def sizes(distinct: int) -> tuple[int, int, int]:
     """Head words, head words of a class, and tail classes for a vocabulary: they grow with its square root, or the root of that."""
-    head = max(LEAST_HEAD, 4 * math.isqrt(distinct))
+    head = max(LEAST_HEAD, 2 * math.isqrt(distinct))
     group = 1 << round(math.log2(head) / 2)
     return head, group, group
 
 
-def tail_class(last: int, before: int, tail: int) -> int:
-    """One of the `tail` classes of words outside the head: by the last byte and the one before it (0 where there is none)."""
-    return (last + 31 * before) % tail
+def tail_class(ends, tail: int):
+    """One of the `tail` classes of words outside the head, from the last byte and 256 times the one before it (0 where there is none)."""
+    return ((ends & 255) + 31 * (ends >> 8)) % tail
 
 
 class Vocabulary:
@@ -75,13 +86,13 @@ class Vocabulary:
     def __init__(self, head: list[tuple[str, int]], tail_mass: np.ndarray, total: int, distinct: int):
         self.total, self.distinct = total, distinct
         self.group, self.tail = sizes(distinct)[1], len(tail_mass)
-        self.index = {w.encode(): i for i, (w, _) in enumerate(head)}
         self.count = np.array([c for _, c in head], dtype=np.float64)
         self.groups = max(1, -(-len(head) // self.group))
         self.classes = self.groups + self.tail
         #: Symbols: head words, tail classes, the start of a document.
         self.head = self.groups * self.group
         self.start = self.head + self.tail
+        self.symbol = "<u2" if self.start < 1 << 16 else "<u4"
         mass = np.zeros(self.head)
         mass[: len(head)] = self.count + SMOOTH
         self.word_bias = np.full(self.head, -30.0)
@@ -90,15 +101,12 @@ class Vocabulary:
         self.tail_mass = tail_mass + SMOOTH
         self.class_bias = np.log(np.append(np.maximum(mass.reshape(self.groups, self.group).sum(axis=1), 1e-9), self.tail_mass))
         self.class_bias -= self.class_bias.max()
+        word = self.word_bias.reshape(self.groups, self.group)
+        self.word_bias = word - word.max(axis=1, keepdims=True)
 
     def base(self, count):
         return np.log10((np.asarray(count) + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        """Head words by index, tail words by head + class."""
-        find, head, tail = self.index.get, self.head, self.tail
-        return np.array([i if (i := find(w)) is not None else head + tail_class(w[-1], w[-2] if len(w) > 1 else 0, tail) for w in words], dtype=np.int32)
-
 
 class Gru:
     """Parameters and passes of the network; symbols are head words and tail classes."""
@@ -112,221 +120,276 @@ class Gru:
             "cls": np.zeros((h, v.classes), dtype=np.float32),
             "cls_b": v.class_bias.astype(np.float32),
             "word": np.zeros((v.groups, h, v.group), dtype=np.float32),
-            "word_b": v.word_bias.reshape(v.groups, v.group).astype(np.float32),
+            "word_b": v.word_bias.astype(np.float32),
         }
 
-    def run(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """States after each of the symbols x (steps, rows) from state h; gates are kept for the way back."""
-        n, trace, out = HIDDEN, [], []
+    def run(self, x: np.ndarray, first: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
+        """States after each of the symbols x (steps, rows) from state h; where `first`, a document begins."""
+        n, rec = HIDDEN, self.p["rec"]
+        out, inputs, starts = np.empty((*x.shape, n), dtype=np.float32), self.p["emb"][x], first.any(axis=1)
         for t in range(len(x)):
-            e, r = self.p["emb"][x[t]], h @ self.p["rec"]
-            gate = 1 / (1 + np.exp(-(e[:, : 2 * n] + r[:, : 2 * n])))
-            z, s = gate[:, :n], gate[:, n:]
-            c = np.tanh(e[:, 2 * n :] + s * r[:, 2 * n :])
-            new = h + z * (c - h)
-            trace.append((h, z, s, c, r[:, 2 * n :]))
+            if starts[t]:
+                h = h * ~first[t][:, None]
+            r = h @ rec
+            gate = inputs[t, :, : 2 * n]
+            gate += r[:, : 2 * n]
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            c = inputs[t, :, 2 * n :]
+            c += gate[:, n:] * r[:, 2 * n :]
+            np.tanh(c, out=c)
+            if trace is not None:
+                trace.append((h, gate[:, :n], gate[:, n:], c, r[:, 2 * n :]))
+            new = out[t]
+            np.subtract(c, h, out=new)
+            new *= gate[:, :n]
+            new += h
             h = new
-            out.append(h)
-        return np.stack(out), trace
-
-    def losses(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """ln probability of symbols y from states h (both flat); what the gradients need comes along."""
-        tail = y >= self.v.head
-        cls = np.where(tail, self.v.groups + y - self.v.head, y // self.v.group)
-        a = h @ self.p["cls"] + self.p["cls_b"]
-        a -= a.max(axis=1, keepdims=True)
-        pc = np.exp(a)
-        sums = pc.sum(axis=1)
-        row = np.arange(len(y))
-        out = a[row, cls] - np.log(sums)
-        head = np.flatnonzero(~tail)
-        order = head[np.argsort(cls[head], kind="stable")]
-        parts = []
-        bounds = np.flatnonzero(np.diff(cls[order], prepend=-1, append=-1)) if len(order) else []
+        return out
+
+    def losses(self, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """ln probability of symbols y from states h (both flat). With `grads`, adds the gradients of minus their sum there and returns that of h."""
+        v, p, row = self.v, self.p, np.arange(len(y))
+        tail = y >= v.head
+        cls = np.where(tail, v.groups + y - v.head, y // v.group)
+        a = h @ p["cls"]
+        a += p["cls_b"]
+        out = a[row, cls]
+        np.exp(a, out=a)
+        sums = a.sum(axis=1)
+        out -= np.log(sums)
+        dh = None
+        if grads is not None:
+            a /= sums[:, None]
+            a[row, cls] -= 1
+            grads["cls"] += h.T @ a
+            grads["cls_b"] += a.sum(axis=0)
+            dh = a @ p["cls"].T
+        order = np.flatnonzero(~tail)
+        order = order[np.argsort(cls[order].astype(np.int16), kind="stable")]
+        states, own = h[order], cls[order]
+        at, ln = y[order] % v.group, np.empty(len(order), dtype=np.float32)
+        bounds = np.flatnonzero(np.diff(own, prepend=-1, append=-1)).tolist() if len(order) else []
+        back = np.empty_like(states) if grads is not None else None
         for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-            rows, g = order[i:j], cls[order[i]]
-            b = h[rows] @ self.p["word"][g] + self.p["word_b"][g]
-            b -= b.max(axis=1, keepdims=True)
-            pw = np.exp(b)
-            total = pw.sum(axis=1)
-            at = y[rows] % self.v.group
-            out[rows] += b[np.arange(len(rows)), at] - np.log(total)
-            parts.append((rows, g, pw / total[:, None], at))
-        return out, (cls, pc / sums[:, None], parts)
-
-    def train(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray, rate: float, memory: dict[str, np.ndarray]) -> np.ndarray:
+            g = own[i]
+            b = states[i:j] @ p["word"][g]
+            b += p["word_b"][g]
+            target = row[: j - i], at[i:j]
+            ln[i:j] = b[target]
+            np.exp(b, out=b)
+            total = b.sum(axis=1)
+            ln[i:j] -= np.log(total)
+            if grads is not None:
+                b /= total[:, None]
+                b[target] -= 1
+                grads["word"][g] += states[i:j].T @ b
+                grads["word_b"][g] += b.sum(axis=0)
+                back[i:j] = b @ p["word"][g].T
+        out[order] += ln
+        if grads is not None:
+            dh[order] += back
+        return out, dh
+
+    def train(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, live: np.ndarray, h: np.ndarray, rate: float, memory: dict[str, np.ndarray]) -> np.ndarray:
         """One truncated window: forward, backward, an Adagrad step. Returns the state to go on with."""
-        n, p = HIDDEN, self.p
-        states, trace = self.run(x, h)
+        n, p, trace = HIDDEN, self.p, []
+        states = self.run(x, first, h, trace)
         use = np.flatnonzero(live.ravel())
         flat, want = states.reshape(-1, n)[use], y.ravel()[use]
-        _, (cls, pc, parts) = self.losses(flat, want)
+        grads = {k: np.zeros_like(p[k]) for k in ("rec", "cls", "cls_b", "word", "word_b")}
+        dh = np.zeros((x.size, n), dtype=np.float32)
+        for at in range(0, len(use), SOFTMAX_ROWS):
+            part = slice(at, at + SOFTMAX_ROWS)
+            dh[use[part]] = self.losses(flat[part], want[part], grads)[1]
+        dh = dh.reshape(states.shape)
+        de, back, rec = np.empty((*x.shape, 3 * n), dtype=np.float32), np.zeros_like(h), p["rec"].T.copy()
+        dr = np.empty((*x.shape, 3 * n), dtype=np.float32)
+        for t in reversed(range(len(x))):
+            prev, z, s, c, rc = trace[t]
+            dn = dh[t]
+            dn += back
+            d = de[t]
+            d[:, :n] = dn * (c - prev) * z * (1 - z)
+            dc = dn * z
+            dc *= 1 - c * c
+            d[:, n : 2 * n] = dc * rc * s * (1 - s)
+            d[:, 2 * n :] = dc
+            dr[t] = d
+            dr[t, :, 2 * n :] *= s
+            back = dn * (1 - z)
+            back += dr[t] @ rec
+            if first[t].any():
+                back *= ~first[t][:, None]
+        grads["rec"] = np.concatenate([e[0] for e in trace]).T @ dr.reshape(-1, 3 * n)
         scale = np.float32(1 / max(1, len(use)))
-        d = pc
-        d[np.arange(len(want)), cls] -= 1
-        d *= scale
 
         def step(k: str, at, g: np.ndarray) -> None:
             """An Adagrad step of the rows `at` of a parameter."""
-            g = np.clip(g, -1, 1)
+            g *= scale
             seen = memory[k][at] + g * g
             memory[k][at] = seen
-            p[k][at] -= rate * g / (np.sqrt(seen) + 1e-4)
-
-        du = d @ p["cls"].T
-        for rows, c, pw, at in parts:
-            pw[np.arange(len(rows)), at] -= 1
-            pw *= scale
-            du[rows] += pw @ p["word"][c].T
-            step("word", c, flat[rows].T @ pw)
-            step("word_b", c, pw.sum(axis=0))
-        dh = np.zeros((x.size, n), dtype=np.float32)
-        dh[use] = du
-        dh = dh.reshape(states.shape)
-        rec, de = np.zeros_like(p["rec"]), np.empty((*x.shape, 3 * n), dtype=np.float32)
-        back = np.zeros_like(h)
-        for t in reversed(range(len(x))):
-            prev, z, s, c, rc = trace[t]
-            dn = dh[t] + back
-            dz, dc = dn * (c - prev) * z * (1 - z), dn * z * (1 - c * c)
-            ds = dc * rc * s * (1 - s)
-            de[t, :, :n], de[t, :, n : 2 * n], de[t, :, 2 * n :] = dz, ds, dc
-            dr = np.concatenate([dz, ds, dc * s], axis=1)
-            rec += prev.T @ dr
-            back = dn * (1 - z) + dr @ p["rec"].T
+            new = p[k][at] - rate * g / (np.sqrt(seen) + 1e-4)
+            p[k][at] = np.clip(new, -LIMIT, LIMIT) if k in ("cls", "word", "rec") else np.minimum(new, LIMIT)
+
         # Only symbols of this window have a gradient in the embeddings.
-        order = np.argsort(x.ravel(), kind="stable")
-        symbols, first = np.unique(x.ravel()[order], return_index=True)
-        step("emb", symbols, np.add.reduceat(de.reshape(-1, 3 * n)[order], first, axis=0))
-        step("rec", slice(None), rec)
-        step("cls", slice(None), flat.T @ d)
-        step("cls_b", slice(None), d.sum(axis=0))
+        order = np.argsort(x.ravel().astype(np.uint16) if self.v.start < 1 << 16 else x.ravel(), kind="stable")
+        symbols, begin = np.unique(x.ravel()[order], return_index=True)
+        step("emb", symbols, np.add.reduceat(de.reshape(-1, 3 * n)[order], begin, axis=0))
+        for k, g in grads.items():
+            step(k, slice(None), g)
         return states[-1]
 
 
-class Abreast:
-    """Sequences side by side: each step window holds the next tokens of every open document."""
+class Streams:
+    """Documents one after the other in streams of about the same length, side by side."""
 
     def __init__(self, docs: list[np.ndarray], width: int, start: int):
-        self.docs, self.width, self.start = docs, width, start
-
-    def windows(self):
-        """Yields (document numbers, fresh, x, y, live) with arrays (STEPS, rows)."""
-        order = iter(np.argsort([-len(d) for d in self.docs], kind="stable"))
-        slot: list[list] = []
-        while True:
-            slot = [s for s in slot if s[1] < len(self.docs[s[0]])]
-            while len(slot) < self.width and (d := next(order, None)) is not None:
-                slot.append([int(d), 0])
-            if not slot:
-                return
-            steps = min(STEPS, max(len(self.docs[d]) - at for d, at in slot))
-            x = np.full((steps, len(slot)), self.start, dtype=np.int32)
-            y = np.zeros((steps, len(slot)), dtype=np.int32)
-            live = np.zeros((steps, len(slot)), dtype=bool)
-            for i, (d, at) in enumerate(slot):
-                part = self.docs[d][at : at + steps]
-                y[: len(part), i], live[: len(part), i] = part, True
-                before = self.docs[d][max(0, at - 1) : at + len(part) - 1]
-                x[(1 if at == 0 else 0) : len(part), i] = before
-            yield [d for d, _ in slot], [at == 0 for _, at in slot], x, y, live
-            for s in slot:
-                s[1] += steps
-
-    def states(self):
-        """As `windows`, with a place to keep each document's state."""
-        kept: dict[int, np.ndarray] = {}
-        for which, fresh, x, y, live in self.windows():
-            h = np.stack([np.zeros(HIDDEN, dtype=np.float32) if f else kept.pop(d) for d, f in zip(which, fresh, strict=True)])
-            end = yield which, x, y, live, h
-            kept = dict(zip(which, end, strict=True))
-
-
-def _drive(abreast: Abreast, work) -> None:
-    feed = abreast.states()
-    item = next(feed, None)
-    while item is not None:
-        try:
-            item = feed.send(work(*item))
-        except StopIteration:
-            return
-
-
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each block in this task, with their counts in training rows."""
-    found: dict[int, Counter] = {}
-    for b in batches:
-        for block, held, text in zip(*(b.column(c).to_pylist() for c in ("block", "held_out", "text")), strict=True):
-            counts = found.setdefault(block, Counter())
-            if held:
-                for w in tokens(text):
-                    counts[w] += 0
-            else:
-                counts.update(tokens(text))
-        if sum(map(len, found.values())) > 400_000:
-            yield from _flush(found)
-            found = {}
-    yield from _flush(found)
-
-
-def _flush(found: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
-    for block, counts in found.items():
-        words, n = list(counts), list(counts.values())
-        for at in range(0, len(words), 50_000):
-            w = words[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(w), pa.int64()), pa.array(w, pa.string()), pa.array(n[at : at + 50_000], pa.int64())], ["block", "word", "n"])
-
-
-def _encoded(v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """All documents, some TRAIN_TOKENS tokens at a time."""
-    docs, n = [], 0
+        length = np.array([len(d) for d in docs])
+        loads = [(0, k) for k in range(min(width, len(docs)))]
+        rows: list[list[int]] = [[] for _ in loads]
+        for i in np.argsort(-length, kind="stable").tolist():
+            load, k = loads[0]
+            rows[k].append(i)
+            heapq.heapreplace(loads, (load + int(length[i]), k))
+        rows.sort(key=lambda r: -sum(int(length[i]) for i in r))
+        rng = np.random.default_rng(23)
+        for r in rows:  # long documents would come first, and short ones have the last word in training
+            rng.shuffle(r)
+        self.order = [i for r in rows for i in r]
+        self.y = np.concatenate([docs[i] for i in self.order]).astype(np.int32)
+        self.at = np.append(0, np.cumsum(length[self.order]))[:-1]
+        self.first = np.zeros(len(self.y), dtype=bool)
+        self.first[self.at] = True
+        self.x = np.append(start, self.y[:-1]).astype(np.int32)
+        self.x[self.at] = start
+        self.size = np.array([sum(int(length[i]) for i in r) for r in rows])
+        self.begin = np.append(0, np.cumsum(self.size))[:-1]
+
+    def windows(self, steps: int = STEPS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (steps, streams) in x and y, and which of them are live; streams that have ended drop out at the end of the row."""
+        for t in range(0, int(self.size[0]), steps):
+            open_ones = int(np.count_nonzero(self.size > t))
+            k = np.arange(t, min(t + steps, int(self.size[0])))[:, None]
+            live = k < self.size[:open_ones]
+            yield np.where(live, self.begin[:open_ones] + k, 0), live
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as numbers of their block's dictionary, and the dictionary with counts in training rows."""
+    task, block, held, n_bytes = TaskContext.get().partitionId(), 0, [], 0
+    find: defaultdict = defaultdict()
+    find.default_factory = find.__len__
     for b in batches:
-        for text in b.column("text"):
-            docs.append(v.encode(tokens(text.as_py())))
-            n += len(docs[-1])
-            if n >= TRAIN_TOKENS:
-                yield docs
-                docs, n = [], 0
-    if docs:
-        yield docs
+        for doc, apart, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
+            words = tokens(text)
+            held.append((doc, apart, np.fromiter(map(find.__getitem__, words), np.int32, len(words))))
+            n_bytes += len(text or "")
+            if n_bytes >= BLOCK_BYTES:
+                yield from _block_rows((task << 20) + block, held, find)
+                block, held, n_bytes = block + 1, [], 0
+                find.clear()
+    if held:
+        yield from _block_rows((task << 20) + block, held, find)
 
 
-def _train_task(v: Vocabulary, params: dict[str, np.ndarray], rate: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n = Gru(v, {k: w.copy() for k, w in params.items()}), 0
-        memory = {k: np.full_like(w, 1e-3) for k, w in params.items()}
-        for docs in _encoded(v, batches):
-            _drive(Abreast(docs, TRAIN_ABREAST, v.start), lambda which, x, y, live, h: model.train(x, y, live, h, rate, memory))
-            n += sum(map(len, docs))
-        for k, w in model.p.items() if n else ():
-            change = ((w - params[k]) * n).astype("<f4").ravel()
-            for i, at in enumerate(range(0, len(change), SLICE)):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i], pa.int64()), pa.array([n], pa.int64()), pa.array([change[at : at + SLICE].tobytes()], pa.binary())], ["name", "slice", "n", "change"])
+BLOCK_ROWS = "block long, doc_id long, held_out boolean, ids binary, word string, ends int, local int, n long"
+
+
+def _block_rows(block: int, held: list[tuple], find: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    kinds = {"block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "ids": pa.binary(), "word": pa.string(), "ends": pa.int32(), "local": pa.int32(), "n": pa.int64()}
+
+    def batch(size: int, **columns) -> pa.RecordBatch:
+        arrays = [pa.array(columns[k], kind) if k in columns else pa.nulls(size, kind) for k, kind in kinds.items()]
+        return pa.RecordBatch.from_arrays(arrays, list(kinds))
+
+    count = np.zeros(len(find), dtype=np.int64)
+    learned = [ids for _, apart, ids in held if not apart]
+    if learned:
+        count += np.bincount(np.concatenate(learned), minlength=len(find))
+    for at in range(0, len(held), 500):
+        part = held[at : at + 500]
+        yield batch(len(part), block=[block] * len(part), doc_id=[d for d, _, _ in part], held_out=[a for _, a, _ in part], ids=[i.astype("<i4").tobytes() for _, _, i in part])
+    words = list(find)
+    for at in range(0, len(words), 50_000):
+        part = words[at : at + 50_000]
+        ends = [w[-1] + (256 * w[-2] if len(w) > 1 else 0) for w in part]
+        yield batch(len(part), block=[block] * len(part), word=part, ends=ends, local=range(at, at + len(part)), n=count[at : at + len(part)])
+
+
+CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, symbols binary"
+
+
+def _code_block(v: Vocabulary):
+    """Documents of a block and its dictionary with corpus counts, to symbols and what counts alone decide."""
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        local = words.column("local").to_numpy()
+        total, symbol = np.zeros(len(local)), np.zeros(len(local), dtype=np.int64)
+        total[local], symbol[local] = words.column("total").to_numpy(), words.column("symbol").to_numpy()
+        found = [np.frombuffer(x, dtype="<i4") for x in docs.column("ids").to_pylist()]
+        if not found:
+            return pa.Table.from_arrays([pa.array([], k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())], ["doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "symbols"])
+        length = np.array([len(x) for x in found])
+        ids, at = np.concatenate(found), np.append(0, np.cumsum(length))[:-1]
+        tail = symbol >= v.head
+        inner = np.where(tail, np.log10((total + SMOOTH) / v.tail_mass[np.where(tail, symbol - v.head, 0)]), 0.0)
+        sums = lambda x: np.add.reduceat(x[ids], at)
+        raw, width = symbol.astype(v.symbol)[ids].tobytes(), np.dtype(v.symbol).itemsize
+        codes = [raw[a * width : (a + n) * width] for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+        arrays = [docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), pa.array(length, pa.int64()), pa.array(sums((total > 0).astype(np.int64)), pa.int64())]
+        arrays += [pa.array(sums(v.base(total))), pa.array(sums(inner)), pa.array(codes, pa.binary())]
+        return pa.Table.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "symbols"])
+
+    return run
+
+
+def _train_shard(v: Vocabulary, params: dict[str, np.ndarray], rate: float):
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        found = sorted(zip(docs.column("doc_id").to_pylist(), docs.column("symbols").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0], r[1]))
+        model, streams = Gru(v, {k: w.copy() for k, w in params.items()}), Streams([np.frombuffer(s, dtype=v.symbol) for _, s in found], TRAIN_ABREAST, v.start)
+        memory = {k: np.full_like(w, 1e-5) for k, w in params.items()}
+        h = np.zeros((len(streams.size), HIDDEN), dtype=np.float32)
+        for at, live in streams.windows():
+            h = model.train(streams.x[at], streams.y[at], streams.first[at] & live, live, h[: at.shape[1]], rate, memory)
+        rows: list[tuple] = []
+        for k, w in model.p.items():
+            change = ((w - params[k]) * len(streams.y)).astype("<f4").ravel()
+            rows += [(k, i, key[0].as_py(), len(streams.y), change[a : a + SLICE].tobytes()) for i, a in enumerate(range(0, len(change), SLICE))]
+        columns = list(zip(*rows, strict=True))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["name", "slice", "shard", "n", "change"])
 
     return run
 
 
 def _sum_changes(found: pd.DataFrame) -> pd.DataFrame:
+    found = found.sort_values("shard")
     total = np.zeros(len(found["change"].iloc[0]) // 4)
     for c in found["change"]:
         total += np.frombuffer(c, dtype="<f4")
-    return pd.DataFrame({"name": found["name"].iloc[:1], "slice": found["slice"].iloc[:1], "n": [int(found["n"].sum())], "change": [total.astype("<f4").tobytes()]})
+    one = found.iloc[:1]
+    return pd.DataFrame({"name": one["name"], "slice": one["slice"], "shard": one["shard"], "n": [int(found["n"].sum())], "change": [total.astype("<f4").tobytes()]})
 
 
-def training_rounds(docs: DataFrame) -> list[DataFrame]:
-    """The training documents (text) of each round: every one of them is in just one round."""
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(ROUNDS))
-    return [docs.filter(~F.col("held_out") & (turn == i)).select("text") for i in range(ROUNDS)]
+def training_rounds(coded: DataFrame) -> list[DataFrame]:
+    """The training documents of each round with their shard: every one of them is in just one shard."""
+    learned = coded.filter(~F.col("held_out"))
+    n = learned.agg(F.sum("n_tokens")).first()[0] or 0
+    shards = ROUNDS * max(1, -(-int(n) // (ROUNDS * SHARD_TOKENS)))
+    dealt = learned.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(shards)))
+    return [dealt.filter(F.pmod("shard", F.lit(ROUNDS)) == i) for i in range(ROUNDS)]
 
 
 def train(rounds: list[DataFrame], v: Vocabulary) -> dict[str, np.ndarray]:
-    """Rounds of local training and averaging over the rows (text) of each."""
+    """Rounds of local training and averaging over the rows (doc_id, symbols, shard) of each."""
     params = Gru(v).p
-    shape = "name string, slice long, n long, change binary"
+    shape = "name string, slice long, shard long, n long, change binary"
     for turn, rows in enumerate(rounds):
-        changes = rows.mapInArrow(_train_task(v, params, RATE / (1 + turn)), shape)
+        changes = rows.select("doc_id", "symbols", "shard").groupBy("shard").applyInArrow(_train_shard(v, params, RATE / (1 + turn)), shape)
         # Two levels, so that no task adds up more than a share of the changes.
-        first = changes.withColumn("part", F.pmod(F.hash("change"), F.lit(16))).groupBy("name", "slice", "part").applyInPandas(_sum_changes, shape)
+        first = changes.withColumn("part", F.pmod("shard", F.lit(16 * ROUNDS))).groupBy("name", "slice", "part").applyInPandas(_sum_changes, shape)
         for r in first.groupBy("name", "slice").applyInPandas(_sum_changes, shape).collect():
             mean = np.frombuffer(r["change"], dtype="<f4") / max(1, r["n"])
             at = r["slice"] * SLICE
@@ -334,33 +397,42 @@ def train(rounds: list[DataFrame], v: Vocabulary) -> dict[str, np.ndarray]:
     return params
 
 
-def _score_block(v: Vocabulary, params: dict[str, np.ndarray]):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        count = dict(zip(words.column("word").cast(pa.binary()).to_pylist(), words.column("total").to_pylist(), strict=True))
-        model, ids = Gru(v, params), docs.column("doc_id").to_pylist()
-        encoded, n_known, base, extra = [], [], [], []
-        for text in docs.column("text").to_pylist():
-            found = tokens(text)
-            c = np.array([count[w] for w in found], dtype=np.float64)
-            codes = v.encode(found)
-            tail = codes >= v.head
-            encoded.append(codes)
-            n_known.append(int((c > 0).sum()))
-            base.append(float(v.base(c).sum()))
-            extra.append(float(np.log10((c[tail] + SMOOTH) / v.tail_mass[codes[tail] - v.head]).sum()))
-        score = np.array(extra)
-
-        def work(which, x, y, live, h):
-            states, _ = model.run(x, h)
-            ln, _ = model.losses(states.reshape(-1, HIDDEN), y.ravel())
-            score[which] += (ln.reshape(y.shape) * live).sum(axis=0) / np.log(10)
-            return states[-1]
-
-        _drive(Abreast(encoded, ABREAST, v.start), work)
-        n = len(ids)
-        arrays = [pa.array(ids, pa.int64()), pa.array(docs.column("held_out").to_pylist(), pa.bool_()), pa.array([len(e) for e in encoded], pa.int64()), pa.array(n_known, pa.int64())]
-        arrays += [pa.array([v.total] * n, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
-        return pa.Table.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+def log_likelihoods(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of the symbols of each whole document."""
+    streams = Streams(docs, ABREAST, model.v.start)
+    ln, h = np.zeros(len(streams.y)), np.zeros((len(streams.size), HIDDEN), dtype=np.float32)
+    for at, live in streams.windows():
+        states = model.run(streams.x[at], streams.first[at] & live, h[: at.shape[1]])
+        h, use = states[-1], np.flatnonzero(live.ravel())
+        flat, places = states.reshape(-1, HIDDEN)[use], at.ravel()[use]
+        for i in range(0, len(use), SOFTMAX_ROWS):
+            part = slice(i, i + SOFTMAX_ROWS)
+            ln[places[part]] = model.losses(flat[part], streams.y[places[part]])[0]
+    out = np.empty(len(docs))
+    out[streams.order] = np.add.reduceat(ln, streams.at) / np.log(10)
+    return out
+
+
+def _score(v: Vocabulary, params: dict[str, np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Gru(v, params)
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += sum(b.column("n_tokens").to_pylist())
+            if n >= SHARD_TOKENS:
+                yield scored(model, held)
+                held, n = [], 0
+        if held:
+            yield scored(model, held)
+
+    def scored(model: Gru, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        take = lambda name: rows.column(name).combine_chunks()
+        docs = [np.frombuffer(s, dtype=v.symbol) for s in rows.column("symbols").to_pylist()]
+        score = rows.column("inner").to_numpy() + (log_likelihoods(model, docs) if docs else 0)
+        arrays = [take("doc_id"), take("held_out"), take("n_tokens"), take("n_known"), pa.array([v.total] * len(docs), pa.int64()), take("base"), pa.array(score, pa.float64())]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -370,30 +442,33 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = texts(docs).withColumn("held_out", held_out)
-    blocks = n_blocks(docs)
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
-    per_block = blocked.repartition(blocks, "block").mapInArrow(_block_words, "block long, word string, n long")
-    per_block = scratch.keep(per_block, "block_words")
-    scratch.sweep()
-    counts = scratch.keep(per_block.groupBy("word").agg(F.sum("n").cast("long").alias("total")), "counts")
+    blocks = scratch.keep(docs.mapInArrow(_read_blocks, BLOCK_ROWS), "blocks", TEXT_ROWS)
+    words = blocks.filter("word IS NOT NULL")
+    counts = scratch.keep(words.groupBy("word").agg(F.sum("n").alias("total"), F.min("ends").alias("ends")), "counts")
     scratch.sweep()
     facts = counts.agg(F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v")).first()
     size, _, classes = sizes(int(facts["v"] or 0))
     head = counts.filter("total > 0").orderBy(F.desc("total"), "word").limit(size).collect()
-    names = F.broadcast(spark.createDataFrame([(r["word"],) for r in head], "word string"))
-    ends = F.conv(F.substring(F.concat(F.lit("00"), F.hex(F.encode("word", "utf-8"))), -4, 4), 16, 10).cast("int")
+    # The head grows with the square root of the vocabulary, so this side stays small.
+    names = F.broadcast(spark.createDataFrame([(r["word"], i) for i, r in enumerate(head)], "word string, place int"))
     tail = np.zeros(classes)
-    for r in counts.join(names, "word", "left_anti").filter("total > 0").groupBy(ends.alias("ends")).agg(F.sum(F.col("total") + F.lit(SMOOTH)).alias("mass")).collect():
-        tail[tail_class(r["ends"] & 255, r["ends"] >> 8, classes)] += r["mass"]
+    known = counts.join(names, "word", "left").select("word", "total", "ends", "place")
+    for r in known.filter("place IS NULL AND total > 0").groupBy("ends").agg(F.sum(F.col("total") + F.lit(SMOOTH)).alias("mass")).collect():
+        tail[tail_class(r["ends"], classes)] += r["mass"]
     v = Vocabulary([(r["word"], r["total"]) for r in head], tail, int(facts["n"] or 0), int(facts["v"] or 0))
 
-    params = train(training_rounds(docs), v)
-    scratch.sweep()
-
+    low, high = F.col("ends").bitwiseAND(255), F.shiftright("ends", 8)
+    symbols = known.select("word", "total", F.coalesce("place", F.lit(v.head) + (low + 31 * high) % classes).alias("symbol"))
     # Each block's words with the corpus counts: its dictionary.
-    dictionary = per_block.select("block", "word").join(counts, "word")
+    dictionary = words.select(F.col("block").alias("of"), "local", "word").join(symbols, "word").select("of", "local", "total", "symbol")
+    coded = blocks.filter("ids IS NOT NULL").select("block", "doc_id", "held_out", "ids").groupBy("block").cogroup(dictionary.groupBy("of")).applyInArrow(_code_block(v), CODED)
+    coded = scratch.keep(coded, "coded")
+    scratch.forget("blocks", "counts")
+    scratch.sweep()
+    params = train(training_rounds(coded), v)
+    scratch.sweep()
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocked.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(_score_block(v, params), shape)
+    return coded.mapInArrow(_score(v, params), shape)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
