@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,16 +40,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm._spark import TEXT_ROWS, Scratch, split_by, table, texts
+from lectern.llm._text import Slice, slices
 
 HIDDEN = 16
 LEAST_HEAD = 1024
-STEPS = 32
+#: Steps of a window: of truncated backpropagation, and in scoring.
+STEPS = 24
+SCORE_STEPS = 64
 ABREAST = 512
-TRAIN_ABREAST = 128
+#: Windows that a shard should have at least, so that it takes some steps however small it is.
+TRAIN_WINDOWS = 160
 #: Rows of states that the softmax takes at once.
 SOFTMAX_ROWS = 4096
 #: Bytes of text of a block, long single texts aside.
 BLOCK_BYTES = 32 << 20
+#: Bytes of text that are cut into words at once, long single texts aside.
+PART_BYTES = 4 << 20
 #: Tokens of a training shard, and that a scoring task holds at once, long single texts aside.
 SHARD_TOKENS = 2_000_000
 #: Floats of one row of parameter changes.
@@ -117,11 +122,12 @@ class Gru:
         self.p = params or {
             "emb": rng.normal(0, 0.1, (v.start + 1, 3 * h)).astype(np.float32),
             "rec": rng.normal(0, 0.2, (h, 3 * h)).astype(np.float32),
-            "cls": np.zeros((h, v.classes), dtype=np.float32),
-            "cls_b": v.class_bias.astype(np.float32),
-            "word": np.zeros((v.groups, h, v.group), dtype=np.float32),
-            "word_b": v.word_bias.astype(np.float32),
+            # The last row of an output is its bias: states end with a one.
+            "cls": np.zeros((h + 1, v.classes), dtype=np.float32),
+            "word": np.zeros((v.groups, h + 1, v.group), dtype=np.float32),
         }
+        if params is None:
+            self.p["cls"][h], self.p["word"][:, h] = v.class_bias, v.word_bias
 
     def run(self, x: np.ndarray, first: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
         """States after each of the symbols x (steps, rows) from state h; where `first`, a document begins."""
@@ -151,59 +157,59 @@ class Gru:
 
     def losses(self, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln probability of symbols y from states h (both flat). With `grads`, adds the gradients of minus their sum there and returns that of h."""
-        v, p, row = self.v, self.p, np.arange(len(y))
+        v, p, n = self.v, self.p, HIDDEN
+        states = np.ones((len(h), n + 1), dtype=np.float32)
+        states[:, :n] = h
         tail = y >= v.head
         cls = np.where(tail, v.groups + y - v.head, y // v.group)
-        a = h @ p["cls"]
-        a += p["cls_b"]
-        out = a[row, cls]
-        np.exp(a, out=a)
-        sums = a.sum(axis=1)
-        out -= np.log(sums)
-        dh = None
-        if grads is not None:
-            a /= sums[:, None]
-            a[row, cls] -= 1
-            grads["cls"] += h.T @ a
-            grads["cls_b"] += a.sum(axis=0)
-            dh = a @ p["cls"].T
+        out, dh = np.empty(len(y), dtype=np.float32), None if grads is None else np.empty_like(h)
+        for i in range(0, len(y), SOFTMAX_ROWS):
+            part = slice(i, i + SOFTMAX_ROWS)
+            out[part], back = self._softmax(states[part], p["cls"], cls[part], None if grads is None else grads["cls"])
+            if grads is not None:
+                dh[part] = back
         order = np.flatnonzero(~tail)
         order = order[np.argsort(cls[order].astype(np.int16), kind="stable")]
-        states, own = h[order], cls[order]
-        at, ln = y[order] % v.group, np.empty(len(order), dtype=np.float32)
+        states, own, at = states[order], cls[order], y[order] % v.group
+        ln, back = np.empty(len(order), dtype=np.float32), None if grads is None else np.empty((len(order), n), dtype=np.float32)
         bounds = np.flatnonzero(np.diff(own, prepend=-1, append=-1)).tolist() if len(order) else []
-        back = np.empty_like(states) if grads is not None else None
         for i, j in zip(bounds[:-1], bounds[1:], strict=True):
             g = own[i]
-            b = states[i:j] @ p["word"][g]
-            b += p["word_b"][g]
-            target = row[: j - i], at[i:j]
-            ln[i:j] = b[target]
-            np.exp(b, out=b)
-            total = b.sum(axis=1)
-            ln[i:j] -= np.log(total)
+            ln[i:j], found = self._softmax(states[i:j], p["word"][g], at[i:j], None if grads is None else grads["word"][g])
             if grads is not None:
-                b /= total[:, None]
-                b[target] -= 1
-                grads["word"][g] += states[i:j].T @ b
-                grads["word_b"][g] += b.sum(axis=0)
-                back[i:j] = b @ p["word"][g].T
+                back[i:j] = found
         out[order] += ln
         if grads is not None:
             dh[order] += back
         return out, dh
 
+    def _softmax(self, states: np.ndarray, w: np.ndarray, y: np.ndarray, grad: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """ln probability of columns y; adds the gradient of minus their sum to `grad` and returns that of the states."""
+        a = states @ w
+        at = np.arange(len(y)), y
+        ln = a[at]
+        np.exp(a, out=a)
+        total = a @ np.ones(a.shape[1], dtype=np.float32)
+        ln -= np.log(total)
+        if grad is None:
+            return ln, None
+        # The wide array is left as it is; what is narrow is divided by the totals.
+        a[at] -= total
+        total = np.reciprocal(total)[:, None]
+        grad += (states * total).T @ a
+        back = a @ w[:HIDDEN].T
+        back *= total
+        return ln, back
+
     def train(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, live: np.ndarray, h: np.ndarray, rate: float, memory: dict[str, np.ndarray]) -> np.ndarray:
         """One truncated window: forward, backward, an Adagrad step. Returns the state to go on with."""
         n, p, trace = HIDDEN, self.p, []
         states = self.run(x, first, h, trace)
         use = np.flatnonzero(live.ravel())
         flat, want = states.reshape(-1, n)[use], y.ravel()[use]
-        grads = {k: np.zeros_like(p[k]) for k in ("rec", "cls", "cls_b", "word", "word_b")}
+        grads = {k: np.zeros_like(p[k]) for k in ("rec", "cls", "word")}
         dh = np.zeros((x.size, n), dtype=np.float32)
-        for at in range(0, len(use), SOFTMAX_ROWS):
-            part = slice(at, at + SOFTMAX_ROWS)
-            dh[use[part]] = self.losses(flat[part], want[part], grads)[1]
+        dh[use] = self.losses(flat, want, grads)[1]
         dh = dh.reshape(states.shape)
         de, back, rec = np.empty((*x.shape, 3 * n), dtype=np.float32), np.zeros_like(h), p["rec"].T.copy()
         dr = np.empty((*x.shape, 3 * n), dtype=np.float32)
@@ -231,8 +237,15 @@ class Gru:
             g *= scale
             seen = memory[k][at] + g * g
             memory[k][at] = seen
-            new = p[k][at] - rate * g / (np.sqrt(seen) + 1e-4)
-            p[k][at] = np.clip(new, -LIMIT, LIMIT) if k in ("cls", "word", "rec") else np.minimum(new, LIMIT)
+            np.sqrt(seen, out=seen)
+            seen += 1e-4
+            g /= seen
+            g *= rate
+            p[k][at] -= g
+            if k != "emb":
+                np.minimum(p[k], LIMIT, out=p[k])
+                weights = p[k][..., :n, :]  # all rows but the biases
+                np.maximum(weights, -LIMIT, out=weights)
 
         # Only symbols of this window have a gradient in the embeddings.
         order = np.argsort(x.ravel().astype(np.uint16) if self.v.start < 1 << 16 else x.ravel(), kind="stable")
@@ -268,7 +281,7 @@ class Streams:
         self.size = np.array([sum(int(length[i]) for i in r) for r in rows])
         self.begin = np.append(0, np.cumsum(self.size))[:-1]
 
-    def windows(self, steps: int = STEPS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def windows(self, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions (steps, streams) in x and y, and which of them are live; streams that have ended drop out at the end of the row."""
         for t in range(0, int(self.size[0]), steps):
             open_ones = int(np.count_nonzero(self.size > t))
@@ -279,22 +292,31 @@ class Streams:
 
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents as numbers of their block's dictionary, and the dictionary with counts in training rows."""
-    task, block, held, n_bytes = TaskContext.get().partitionId(), 0, [], 0
-    find: defaultdict = defaultdict()
-    find.default_factory = find.__len__
+    task, block, held, n_bytes, find = TaskContext.get().partitionId(), 0, [], 0, {END: 0}
     for b in batches:
-        for doc, apart, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
-            words = tokens(text)
-            held.append((doc, apart, np.fromiter(map(find.__getitem__, words), np.int32, len(words))))
-            n_bytes += len(text or "")
+        for s in slices(b.column("text"), PART_BYTES):
+            held += zip(*(b.column(c).slice(s.first, s.rows).to_pylist() for c in ("doc_id", "held_out")), _numbered(s, find), strict=True)
+            n_bytes += len(s.data)
             if n_bytes >= BLOCK_BYTES:
                 yield from _block_rows((task << 20) + block, held, find)
-                block, held, n_bytes = block + 1, [], 0
-                find.clear()
+                block, held, n_bytes, find = block + 1, [], 0, {END: 0}
     if held:
         yield from _block_rows((task << 20) + block, held, find)
 
 
+def _numbered(s: Slice, find: dict[bytes, int]) -> list[np.ndarray]:
+    """Each text's words and the end as numbers of the dictionary `find`, which grows with them."""
+    starts, ends, row = s.words()
+    edges, n = np.empty(2 * len(starts) + 1, dtype=np.int64), len(starts)
+    edges[0:-1:2], edges[1::2], edges[-1] = starts, ends, ends[-1] if n else 0
+    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * n, [None, pa.py_buffer(edges), pa.py_buffer(s.lowered())])
+    coded = every.take(pa.array(np.arange(0, 2 * n, 2))).dictionary_encode()
+    known = np.array([find.setdefault(w, len(find)) for w in coded.dictionary.to_pylist()], dtype=np.int32)
+    numbers = known[coded.indices.to_numpy()] if n else np.zeros(0, dtype=np.int32)
+    cut = np.searchsorted(row, np.arange(s.rows + 1))
+    return [np.append(numbers[a:z], np.int32(0)) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+
+
 BLOCK_ROWS = "block long, doc_id long, held_out boolean, ids binary, word string, ends int, local int, n long"
 
 
@@ -349,10 +371,12 @@ def _code_block(v: Vocabulary):
 def _train_shard(v: Vocabulary, params: dict[str, np.ndarray], rate: float):
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         found = sorted(zip(docs.column("doc_id").to_pylist(), docs.column("symbols").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0], r[1]))
-        model, streams = Gru(v, {k: w.copy() for k, w in params.items()}), Streams([np.frombuffer(s, dtype=v.symbol) for _, s in found], TRAIN_ABREAST, v.start)
+        texts = [np.frombuffer(s, dtype=v.symbol) for _, s in found]
+        width = min(ABREAST, max(32, sum(map(len, texts)) // (STEPS * TRAIN_WINDOWS)))
+        model, streams = Gru(v, {k: w.copy() for k, w in params.items()}), Streams(texts, width, v.start)
         memory = {k: np.full_like(w, 1e-5) for k, w in params.items()}
         h = np.zeros((len(streams.size), HIDDEN), dtype=np.float32)
-        for at, live in streams.windows():
+        for at, live in streams.windows(STEPS):
             h = model.train(streams.x[at], streams.y[at], streams.first[at] & live, live, h[: at.shape[1]], rate, memory)
         rows: list[tuple] = []
         for k, w in model.p.items():
@@ -401,13 +425,11 @@ def log_likelihoods(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of the symbols of each whole document."""
     streams = Streams(docs, ABREAST, model.v.start)
     ln, h = np.zeros(len(streams.y)), np.zeros((len(streams.size), HIDDEN), dtype=np.float32)
-    for at, live in streams.windows():
+    for at, live in streams.windows(SCORE_STEPS):
         states = model.run(streams.x[at], streams.first[at] & live, h[: at.shape[1]])
         h, use = states[-1], np.flatnonzero(live.ravel())
         flat, places = states.reshape(-1, HIDDEN)[use], at.ravel()[use]
-        for i in range(0, len(use), SOFTMAX_ROWS):
-            part = slice(i, i + SOFTMAX_ROWS)
-            ln[places[part]] = model.losses(flat[part], streams.y[places[part]])[0]
+        ln[places] = model.losses(flat, streams.y[places])[0]
     out = np.empty(len(docs))
     out[streams.order] = np.add.reduceat(ln, streams.at) / np.log(10)
     return out

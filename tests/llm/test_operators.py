@@ -8,12 +8,14 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import byte_bpe, exact_dedup, language_id, lm_scoring, ngram_join, packing, quality_rules, suffix_dedup, toxicity, url_filters
+from lectern.llm._text import slices
 from lectern.llm.queries import ORACLES, QUERIES
 from tests.compare import connection, same
 from tests.conftest import SF
@@ -280,10 +282,10 @@ def plain_log10(model, codes):
         z, s = (1 / (1 + np.exp(-(e[k : k + n] + r[k : k + n]))) for k in (0, n))
         h = (1 - z) * h + z * np.tanh(e[2 * n :] + s * r[2 * n :])
         c = v.groups + y - v.head if y >= v.head else y // v.group
-        a = np.exp(h @ p["cls"] + p["cls_b"])
+        a = np.exp(np.append(h, 1) @ p["cls"])
         total += np.log10(a[c] / a.sum())
         if y < v.head:
-            b = np.exp(h @ p["word"][c] + p["word_b"][c])
+            b = np.exp(np.append(h, 1) @ p["word"][c])
             total += np.log10(b[y % v.group] / b.sum())
         before = y
     return total
@@ -304,9 +306,9 @@ def test_lm_scoring_gradients_are_those_of_the_loss():
     model = lm_scoring.Gru(v)
     model.p = {k: w + r.normal(0, 0.3, w.shape).astype(np.float32) for k, w in model.p.items()}
     h, y = r.normal(0, 0.5, (20, lm_scoring.HIDDEN)).astype(np.float32), r.integers(0, 64, 20)
-    grads = {k: np.zeros_like(model.p[k]) for k in ("cls", "cls_b", "word", "word_b")}
+    grads = {k: np.zeros_like(model.p[k]) for k in ("cls", "word")}
     model.losses(h, y, grads)
-    for k, at in (("cls", (3, 1)), ("cls_b", (0,)), ("word", (0, 2, 5)), ("word_b", (1, 4))):
+    for k, at in (("cls", (3, 1)), ("cls", (16, 0)), ("word", (0, 2, 5)), ("word", (1, 16, 4))):
         sides = []
         for move in (1e-2, -1e-2):
             model.p[k][at] += move
@@ -321,6 +323,14 @@ def test_lm_scoring_sizes_grow_with_the_vocabulary():
     assert len({lm_scoring.tail_class(97 + i, large[2]) for i in range(26)}) == 26
 
 
+def test_lm_scoring_numbers_words(docs):
+    find = {lm_scoring.END: 0}
+    for s in slices(pa.array(list(TEXTS.values()), pa.string()), 1000):
+        for i, found in enumerate(lm_scoring._numbered(s, find)):
+            names = list(find)
+            assert [names[k] for k in found] == lm_scoring.tokens(list(TEXTS.values())[s.first + i])
+
+
 def thue_morse(n=512):
     word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
     return word, word.translate(str.maketrans("ab", "ba"))
