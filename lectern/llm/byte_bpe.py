@@ -1,16 +1,17 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
 Encodings of byte strings form a monoid under `join`: the encoding of a piece is
-the join of the encodings of its halves, down to leaves of LEAF bytes that the public
-library encodes. A join
-re-encodes a window around the seam and widens it until both of its outer borders
+the join of the encodings of its halves, down to single bytes. A join re-encodes a
+window around the seam and widens it until both of its outer borders
 are stable. Two adjacent tokens are stable if their bytes together encode to just
 these two tokens; merges take the lowest rank first, so a sequence whose adjacent
 pairs are all stable is the encoding of its bytes (the first merge across any
 border would also happen with only the two neighbours present). Decoding
-concatenates the tokens' bytes up the same kind of tree.
+concatenates neighbours level by level up the same kind of tree.
 
-Text is first cut by the pattern of the vocabulary, every match on its own.
+Text is first cut by the pattern of the vocabulary, every match on its own. A match
+that is a token of the vocabulary is that token; all others go through the tree,
+unless the task has met them before.
 
 Edge cases: null and empty texts have no tokens; texts and matches of any length
 are encoded whole; bytes that are no token of their own cannot occur in the given
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -30,13 +32,15 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm._spark import table, texts
 
-LEAF = 32
+#: Windows of more bytes are merged with a heap.
+SHORT = 48
+#: Entries of each cache of a task; longer matches are not kept.
 CACHE = 300_000
+LONGEST = 64
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Unicode white space only: some engines also take U+001C..U+001F for \s.
 PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
@@ -51,21 +55,60 @@ class Bpe:
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
-        self.library = tiktoken.core._tiktoken.CoreBPE(self.ranks, {}, "(?s).+")
+        self.byte = [self.ranks[bytes([i])] for i in range(256)]
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.stable: dict[tuple[int, int], bool] = {}
 
-    def leaf(self, data: bytes) -> list[int]:
-        """The encoding of a short byte string on its own."""
-        return self.library.encode_single_piece(data)
+    def merge(self, data: bytes) -> list[int]:
+        """The encoding of a byte string by its definition: the neighbours of lowest rank, the first ones of equals, become one token."""
+        if len(data) > SHORT:
+            return self._merge_long(data)
+        rank, parts = self.ranks.get, [data[i : i + 1] for i in range(len(data))]
+        while len(parts) > 1:
+            least, at = None, -1
+            for i, pair in enumerate(zip(parts, parts[1:], strict=False)):
+                r = rank(pair[0] + pair[1])
+                if r is not None and (least is None or r < least):
+                    least, at = r, i
+            if least is None:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [self.ranks[x] for x in parts]
+
+    def _merge_long(self, data: bytes) -> list[int]:
+        """As `merge`, with candidates in a heap: n log n steps."""
+        n, rank = len(data), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+
+        def offer(i: int) -> None:
+            if i >= 0 and end[i] < n and (r := rank(data[i : end[end[i]]])) is not None:
+                heapq.heappush(heap, (r, i, end[end[i]]))
+
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            middle = end[i]
+            if middle < 0 or middle >= n or end[middle] != stop:  # one of the two has been merged meanwhile
+                continue
+            end[i], end[middle] = stop, -1
+            if stop < n:
+                before[stop] = i
+            offer(before[i])
+            offer(i)
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[data[i : end[i]]])
+            i = end[i]
+        return out
 
     def is_stable(self, a: int, b: int) -> bool:
         known = self.stable.get((a, b))
         if known is None:
             if len(self.stable) > CACHE:
                 self.stable.clear()
-            known = self.stable[a, b] = self.leaf(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.stable[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -75,7 +118,7 @@ class Bpe:
         i = j = 1
         while True:
             i, j = min(i, len(left)), min(j, len(right))
-            window = self.leaf(self.decode(left[len(left) - i :]) + self.decode(right[:j]))
+            window = self.merge(self.decode(left[len(left) - i :]) + self.decode(right[:j]))
             left_ok = i == len(left) or self.is_stable(left[-i - 1], window[0])
             right_ok = j == len(right) or self.is_stable(window[-1], right[j])
             if left_ok and right_ok:
@@ -83,8 +126,9 @@ class Bpe:
             i, j = (i if left_ok else 2 * i), (j if right_ok else 2 * j)
 
     def tree(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.leaf(data)
+        """The encoding of a byte string from those of its halves."""
+        if len(data) == 1:
+            return [self.byte[data[0]]]
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
@@ -102,14 +146,23 @@ class Bpe:
             ids = pieces.get(match)
             if ids is None:
                 ids = self.piece(match)
-                if len(match) <= 2 * LEAF:
+                if len(match) <= LONGEST:
                     pieces[match] = ids
             out.append(ids)
         return list(chain.from_iterable(out))
 
     def decode(self, ids: list[int]) -> bytes:
-        """Concatenation is the same monoid on bytes; its tree is evaluated flat."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """Neighbours are concatenated level by level."""
+        parts = [self.bytes_of[i] for i in ids]
+        while len(parts) > 1:
+            rest = parts[-1:] if len(parts) % 2 else []
+            parts = [a + b for a, b in zip(parts[::2], parts[1::2], strict=False)] + rest
+        return parts[0] if parts else b""
+
+    def forget(self) -> None:
+        """Empty the caches: a worker process outlives its task."""
+        self.pieces.clear()
+        self.stable.clear()
 
 
 @lru_cache(maxsize=4)
@@ -127,6 +180,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 part = b.slice(at, 256)
                 ids = [np.array(bpe.encode(t or ""), dtype=np.int32) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        bpe.forget()
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -158,6 +212,7 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
+        bpe.forget()
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -199,8 +199,16 @@ def identify(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: ByteCnn | None, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of `docs` whose language is recognised with at least this score."""
-    p = predictor(model)("text")
-    return docs.filter((p["lang_pred"] != "und") & (p["score"] >= min_score))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                names, scores = _predict(part.column(place), model)
+                yield part.filter(pa.array([n != "und" and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    place = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

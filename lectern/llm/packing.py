@@ -36,7 +36,10 @@ WINDOW = 4096
 OPEN_WINDOWS = 8
 MERGE_TASKS = 32
 END_ID = 2
-CACHE = 600_000
+#: Bytes that a task's caches of words and pieces take together, about.
+CACHE_BYTES = 128 << 20
+#: Of one entry besides its contents: two objects and a place in a table.
+ENTRY_BYTES = 180
 VOCABULARY = "word_bpe_49k.json"
 _BELOW_MARKS = bytes(range(0xCA))
 # Fixed value: the vocabulary's own pattern, used on words of code points below U+0280.
@@ -57,6 +60,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -68,12 +72,18 @@ class WordIds:
         words = (data if data.translate(None, _BELOW_MARKS) else data.lower()).split()
         new = {w for w in words if w not in self.known}
         if new:
-            if len(self.known) > CACHE:
-                self.known.clear()
+            if self.held > CACHE_BYTES:
+                self.forget()
                 new = set(words)
             self._learn(new)
         return b"".join(map(self.known.__getitem__, words))
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.known.clear()
+        self.pieces.clear()
+        self.held = 0
+
     def _learn(self, words: set[bytes]) -> None:
         cut, whole = {}, []
         for w in words:
@@ -85,8 +95,6 @@ class WordIds:
                 cut[w] = _PIECE(w.decode().lower())
         for w, found in zip(whole, self.tokenizer.encode_batch([w.decode() for w in whole], add_special_tokens=False), strict=True):
             self.known[w] = _packed(found.ids)
-        if len(self.pieces) > CACHE // 2:
-            self.pieces.clear()
         new = list({p for found in cut.values() for p in found if p not in self.pieces})
         for at in range(0, len(new), 1000):
             part = new[at : at + 1000]
@@ -101,6 +109,7 @@ class WordIds:
                     self.pieces[piece] = _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         for w, found in cut.items():
             self.known[w] = b"".join(map(self.pieces.__getitem__, found))
+        self.held += sum(len(w) + len(self.known[w]) + ENTRY_BYTES for w in words) + sum(len(p) + len(self.pieces[p]) + ENTRY_BYTES for p in new)
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -200,6 +209,7 @@ def pack(docs: DataFrame, path: str, size: int = WINDOW, open_windows: int = OPE
                 made += len(done)
                 done.clear()
                 yield _batch(rows, keep_ids, None)
+        words.forget()  # the worker process outlives its task
         yield _batch([r for i, w in enumerate(packer.open) for r in _rows(w, (task << 32) + made + i)], True, task // MERGE_TASKS)
 
     full = f"{PIECES}, ids binary"

@@ -174,6 +174,21 @@ def test_byte_bpe(docs, empty):
     assert byte_bpe.round_trips(empty, path).count() == 0
 
 
+def test_byte_bpe_joins_up_the_tree(docs):
+    path = public_tokenizers.path(byte_bpe.VOCABULARY)
+    bpe, seams = byte_bpe.Bpe(path), Counter()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    join = bpe.join
+    bpe.join = lambda a, b: (seams.update([bpe.is_stable(a[-1], b[0])]), join(a, b))[1]
+    r = np.random.default_rng(8)
+    for text in [sentence(31, 2000), "a" * 3000, "ab" * 777, *("".join(r.choice(list(letters), n)) for letters in ("abe", "xthe é", "0\u4e00\U0001f642\n ") for n in (5, 60, 300))]:
+        assert bpe.encode(text) == library.encode_ordinary(text)
+        assert bpe.tree(text.encode()) == bpe._merge_long(text.encode())
+        assert bpe.decode(bpe.encode(text)) == text.encode()
+    # The words of the fixture are not tokens: most of them are joined from their halves.
+    assert seams[True] > 2000 and seams[False] > 2000
+
+
 def test_quality_rules(docs, empty):
     got = {r.doc_id: r for r in quality_rules.judge_quality(docs).collect()}
     assert (got[5].n_words, got[5].kept, got[7].n_words, got[10].word_chars) == (0, False, 0, 11)
