@@ -1,23 +1,26 @@
-"""Removal of repeated passages with a sampled, range-partitioned suffix array.
+"""Removal of repeated passages with a range-partitioned suffix array.
 
 Every byte covered by a SPAN-byte string that also starts in a document with a
-smaller id goes. Suffixes are sampled at anchors: in each window of SPAN bytes the
-KEY-byte string of smallest hash is one, so two documents that share SPAN bytes
-share an anchor at the same place in them. Leading tokens of a suffix are the
-hashed KEY bytes at its anchor.
-
-1. Anchor suffixes are range-partitioned by their leading token with
-   splitters from a sample and sorted within their bucket; equal tokens never cross a
-   border, and neighbours of different documents are the shared ones.
-2. The starts that belong to a shared anchor form a run with its context (all
-   bytes that its strings cover). Equal contexts settle a run at once: all but the
-   smallest document lose it.
-3. What is left, a context's smallest document against other contexts of the same
-   token, is compared further: first by the wider key that one half of the starts
-   has in common, then string by string, sorted once more with neighbours compared.
-
-Exact copies of a text are covered by its smallest document and take no part in
-steps 2 and 3.
+smaller id goes. A suffix array of all positions would be many times the size of the
+texts, so a filter first finds the places that can matter: in each window of SPAN
+bytes the KEY-byte string of smallest hash is an anchor, so two documents that share
+SPAN bytes share an anchor at the same place in them. Anchors that one text alone
+has drop out, and with them most positions.
+
+1. The starts that belong to one shared anchor form a run with its context (all bytes
+   that its strings cover). Of equal contexts, told apart by a 128-bit digest, only
+   one goes on, with the smallest document that has it: all others lose the whole run.
+2. Contexts are range-partitioned by their leading token, the KEY bytes at the
+   anchor, with splitters that Spark samples. A token is never split, so strings that
+   are equal lie in one bucket and no comparison has to cross a border.
+3. Each bucket sorts the suffixes of its contexts, one at each start, by multikey
+   quicksort on their bytes. Neighbours that agree in SPAN bytes are equal strings, and
+   all but those of the smallest document are lost.
+
+A token with more than HOT contexts would make a bucket too large. Its strings are
+dealt by their bytes instead, with the smallest document of each taken on the map side.
+Exact copies of a text are covered by its smallest document and take no part. Texts
+are told apart by a 64-bit hash in the filter; all later comparisons are of bytes or digests.
 
 Edge cases: null text is empty; texts shorter than SPAN lose nothing and texts of
 any length are read whole; rows that repeat a doc_id never remove each other; rows
@@ -42,7 +45,13 @@ from lectern.llm._text import U, Slice, mix, signed, slices
 SPAN = 50
 KEY = 24
 WINDOW = SPAN - KEY + 1
-HALF = WINDOW // 2
+#: Contexts of one token that a bucket takes.
+HOT = 40_000
+#: Suffixes that are sorted at once, those of one token aside, and those that no longer need to be divided.
+SUFFIXES = 1_000_000
+SMALL = 8192
+#: Where the eight-byte characters of a suffix lie; the last one overlaps.
+PLACES = (*range(0, SPAN - 7, 8), SPAN - 8)
 #: One text in so many gives the splitters.
 SAMPLE = 64
 CELLS = 1024
@@ -68,7 +77,7 @@ class Runs:
         self.token = np.zeros(0, dtype=U)
         if n < SPAN:
             return
-        h = s.sliding(KEY)
+        h = self.hashes = s.sliding(KEY)
         least = _window_min(h, WINDOW)
         valid = np.zeros(n + 1, dtype=np.int8)
         long = np.flatnonzero(np.diff(s.offs) >= SPAN)
@@ -84,8 +93,14 @@ class Runs:
         self.start, self.stop, self.token = first, end, least[first]
         self.row = np.searchsorted(s.offs, first, side="right") - 1
 
-    def contexts(self) -> np.ndarray:
-        return self.slice.hashes(self.start, self.stop + SPAN - 1, lower=False)
+    def anchors(self, runs: np.ndarray) -> np.ndarray:
+        """Where the token of each of these runs stands: the first place from the run's last start on."""
+        h, last = self.hashes, self.stop[runs] - 1
+        out = np.full(len(runs), -1)
+        for shift in range(WINDOW):
+            spot = np.minimum(last + shift, len(h) - 1)
+            out = np.where((out < 0) & (h[spot] == self.token[runs]), spot, out)
+        return out
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +171,6 @@ def _shared(x: dict[str, np.ndarray], before, last: bool):
     return out, hit[-1], {c: v[-1:] for c, v in x.items()}
 
 
-def _later(x: dict[str, np.ndarray], before, last: bool):
-    """Rows whose string occurs in a document before theirs. `before`: (string, its smallest document)."""
-    first = np.append(True, x["token"][1:] != x["token"][:-1])
-    at = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-    least = x["doc"][at]
-    if before is not None and before[0] == x["token"][0]:
-        least = np.where(at == 0, before[1], least)
-    n = len(first) if last else len(first) - 1
-    keep = np.flatnonzero(x["doc"][:n] > least[:n])
-    out = pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in ("doc", "version", "start")] + [pa.array(np.ones(len(keep), dtype=np.int64))], ["doc", "version", "start", "n"])
-    return out, (x["token"][-1], least[-1]), {c: v[-1:] for c, v in x.items()}
-
-
 def _runs_of_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         hits = b.column("tokens")
@@ -181,69 +183,116 @@ def _runs_of_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rows = np.arange(s.first, s.first + s.rows)
             wanted = mix(values[bounds[s.first] : bounds[s.first + s.rows]] + np.repeat(rows - s.first, size[rows]).astype(U))
             ok = np.flatnonzero(np.isin(mix(r.token + r.row.astype(U)), wanted))
-            context, row = r.contexts()[ok], r.row[ok]
-            start, stop = r.start[ok], r.stop[ok]
-            arrays = [signed(r.token[ok]), signed(context), doc[s.first + row], version[s.first + row], start - s.offs[row], (stop - start).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays)], ["token", "context", "doc", "version", "start", "n"])
-
+            row, start, stop = r.row[ok], r.start[ok], r.stop[ok]
+            raw = s.data.tobytes()
+            data = [raw[a:z] for a, z in zip(start.tolist(), (stop + SPAN - 1).tolist(), strict=True)]
+            digest = [hashlib.blake2b(d, digest_size=16).digest() for d in data]
+            arrays = [signed(r.token[ok]), doc[s.first + row], version[s.first + row], start - s.offs[row], (stop - start).astype(np.int32), (r.anchors(ok) - start).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(digest, pa.binary()), pa.array(data, pa.binary())], ["token", "doc", "version", "start", "n", "anchor", "context", "data"])
 
-def _open_data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each text's open runs."""
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            rows = []
-            for r in b.slice(at, 256).to_pylist():
-                raw = r["text"].encode()
-                rows += [(x["token"], r["doc"], r["version"], x["start"], raw[x["start"] : x["start"] + x["n"] + SPAN - 1]) for x in r["runs"]]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["token", "doc", "version", "start", "data"])
 
+RUNS = "token long, doc long, version long, start long, n int, anchor int, context binary, data binary"
 
-def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
-    return [b.column(c).to_numpy(zero_copy_only=False) for c in names]
 
+def multikey_quicksort(chunks: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the SPAN-byte strings at these places, and where in it a string differs from the one before.
 
-def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each run in two: starts at least HALF bytes before the anchor, and the others, with the key that all of them cover."""
-    names = ["key", "doc", "version", "start", "data"]
+    `chunks` has the eight bytes from each place on. A part is divided by one character
+    of its strings into the smaller, the equal and the larger ones; the equal ones go on
+    with the next character. Small parts are sorted by all characters that are left.
+    """
+    order, new = np.arange(len(at)), np.zeros(len(at), dtype=bool)
+    new[:1] = True
+    parts = [(0, len(at), 0)]
+    while parts:
+        low, high, depth = parts.pop()
+        if high - low < 2 or depth == len(PLACES):
+            continue
+        own = order[low:high]
+        if high - low <= SMALL:
+            keys = [chunks[at[own] + place].byteswap() for place in PLACES[depth:]]
+            found = np.lexsort(keys[::-1])
+            order[low:high] = own[found]
+            for k in keys:
+                new[low + 1 : high] |= k[found[1:]] != k[found[:-1]]
+            continue
+        key = chunks[at[own] + PLACES[depth]].byteswap()
+        pivot = np.sort(key[:: (high - low) // 31])[16]
+        smaller, larger = key < pivot, key > pivot
+        order[low:high] = np.concatenate([own[smaller], own[~(smaller | larger)], own[larger]])
+        a, b = low + int(smaller.sum()), high - int(larger.sum())
+        new[a] = True
+        new[min(b, high - 1)] |= b < high
+        parts += [(low, a, depth), (a, b, depth + 1), (b, high, depth)]
+    return order, new
+
+
+def _starts(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """The row, and the number in it, of every SPAN-byte string of these contexts."""
+    n = np.maximum(np.diff(s.offs) - SPAN + 1, 0)
+    row = np.repeat(np.arange(s.rows), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _lost_of(rows: pa.Table) -> pa.RecordBatch:
+    """context and the numbers of its strings that a smaller document has, of contexts whose tokens are all here."""
+    doc, out = rows.column("least").to_numpy(), []
+    contexts = rows.column("context").to_pylist()
+    for s in slices(rows.column("data"), 1 << 40):
+        row, k = _starts(s)
+        order, new = multikey_quicksort(s.chunks(False), s.offs[row] + k)
+        own = doc[row[order]]
+        first = np.flatnonzero(new)
+        lost = np.zeros(len(order), dtype=bool)
+        if len(order):
+            lost[order] = own > np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(order))))
+        hit = np.flatnonzero(lost)
+        cut = np.flatnonzero(np.append(True, row[hit][1:] != row[hit][:-1])) if len(hit) else []
+        out += [(contexts[row[hit[a]]], k[hit[a:z]]) for a, z in zip(cut, np.append(cut, len(hit))[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.binary()), pa.array([x.astype(np.int32) for _, x in out], pa.list_(pa.int32()))], ["context", "lost"])
+
+
+def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`_lost_of` for a bucket that comes in the order of its leading tokens, some whole tokens at a time."""
+    held, n = [], 0
     for b in batches:
-        token, doc, version, start = _columns(b, "token", "doc", "version", "start")
-        first = 0
-        for s in slices(b.column("data")):
-            h = s.sliding(KEY)
-            rows = np.arange(s.rows)
-            # The anchor: the first place from the last start on where the run's token stands.
-            n = np.diff(s.offs) - SPAN + 1
-            place = np.full(s.rows, -1)
-            for shift in range(WINDOW):
-                spot = s.offs[:-1] + n - 1 + shift
-                fits = (place < 0) & (spot + KEY <= s.offs[1:])
-                fits[fits] = h[spot[fits]] == token[first + rows[fits]].view(U)
-                place[fits] = n[fits] - 1 + shift
-            out = []
-            for low, high, a, z in (
-                (np.zeros(s.rows, dtype=np.int64), np.clip(place - HALF + 1, 0, n), place - HALF, place + KEY),
-                (np.clip(place - HALF + 1, 0, n), n, place, place + KEY + HALF),
-            ):
-                ok = np.flatnonzero(low < high)
-                key = s.hashes(s.offs[ok] + a[ok], s.offs[ok] + z[ok], lower=False)
-                data = [s.data[s.offs[i] + low[i] : s.offs[i] + high[i] + SPAN - 1].tobytes() for i in ok]
-                out.append((signed(key), doc[first + ok], version[first + ok], start[first + ok] + low[ok], data))
-            for arrays in out:
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays[:4]), pa.array(arrays[4], pa.binary())], names)
-            first += s.rows
+        held.append(b)
+        n += b.column("data").nbytes
+        if n < SUFFIXES * 5:  # a context has as many bytes as five of its suffixes on average, about
+            continue
+        rows = pa.Table.from_batches(held)
+        leads = rows.column("lead").to_pylist()
+        cut = len(leads)
+        while cut and leads[cut - 1] == leads[-1]:
+            cut -= 1
+        if cut:
+            yield _lost_of(rows.slice(0, cut).combine_chunks())
+        held, n = rows.slice(cut).to_batches(), rows.slice(cut).nbytes
+    if held:
+        yield _lost_of(pa.Table.from_batches(held).combine_chunks())
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        doc, version, start = _columns(b, "doc", "version", "start")
+        contexts, least = b.column("context").to_pylist(), b.column("least").to_numpy()
         for s in slices(b.column("data")):
-            n = np.diff(s.offs) - SPAN + 1
-            row = np.repeat(np.arange(s.rows), n)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            at = s.offs[row] + k
-            arrays = [signed(s.hashes(at, at + SPAN, lower=False)), doc[s.first + row], version[s.first + row], start[s.first + row] + k]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays)], ["token", "doc", "version", "start"])
+            row, k = _starts(s)
+            raw = s.data.tobytes()
+            data = [raw[a : a + SPAN] for a in (s.offs[row] + k).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), pa.array([contexts[s.first + r] for r in row], pa.binary()), pa.array(least[s.first + row]), pa.array(k.astype(np.int32))], ["string", "context", "least", "k"])
+
+
+def lost_strings(contexts: DataFrame, hot: int = HOT) -> DataFrame:
+    """context and lost: the strings of each context (token, context, least, data, anchor) that a smaller document has."""
+    tokens = contexts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
+    shared = contexts.join(tokens, "token").select("context", "least", "data", F.expr(f"substring(data, anchor + 1, {KEY})").alias("lead"), "k")
+    n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = shared.filter(f"k <= {hot}").select("context", "least", "data", "lead").repartitionByRange(n, "lead").sortWithinPartitions("lead")
+    sorted_ones = buckets.mapInArrow(_lost, "context binary, lost array<int>")
+    strings = shared.filter(f"k > {hot}").select("context", "least", "data").mapInArrow(_strings, "string binary, context binary, least long, k int")
+    first = strings.groupBy("string").agg(F.min("least").alias("first"))
+    dealt = strings.join(first, "string").filter("least > first").groupBy("context").agg(F.collect_list("k").alias("lost"))
+    return sorted_ones.unionByName(dealt)
 
 
 def _removed(size: int, spans) -> np.ndarray:
@@ -277,31 +326,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     per_text = hits.groupBy("version").agg(F.collect_list("token").alias("tokens"))
     fresh = keyed.join(per_text, "version").join(copies.select("doc", "version"), ["doc", "version"], "left_anti").select("doc", "version", "text", "tokens")
-    runs = scratch.keep(fresh.mapInArrow(_runs_of_hits, "token long, context long, doc long, version long, start long, n int"), "runs", TEXT_ROWS)
+    runs = scratch.keep(fresh.mapInArrow(_runs_of_hits, RUNS), "runs", TEXT_ROWS)
     scratch.forget("hits")
     scratch.sweep()
 
-    contexts = runs.groupBy("token", "context").agg(F.min("doc").alias("least"))
-    several = contexts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token", F.lit(True).alias("several"))
-    settled = runs.join(contexts.join(several, "token", "left"), ["token", "context"])
-    settled = settled.filter("doc > least OR several").select(F.when(F.col("doc") == F.col("least"), F.col("token")).alias("token"), "doc", "version", "start", "n", (F.col("doc") == F.col("least")).alias("open"))
-    settled = scratch.keep(settled, "settled")
-    scratch.forget("runs")
+    contexts = runs.groupBy("token", "context").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("data").alias("data"), F.first("anchor").alias("anchor"))
+    contexts = scratch.keep(contexts, "contexts")
     scratch.sweep()
-
-    open_runs = settled.filter("open").groupBy("doc", "version").agg(F.collect_list(F.struct("token", "start", "n")).alias("runs"))
-    cut = keyed.join(open_runs, ["doc", "version"]).select("doc", "version", "text", "runs").mapInArrow(_open_data, "token long, doc long, version long, start long, data binary")
-    halves = scratch.keep(cut.mapInArrow(_halves, "key long, doc long, version long, start long, data binary"), "halves", TEXT_ROWS)
+    lost = scratch.keep(lost_strings(contexts), "lost")
     scratch.sweep()
-    open_keys = halves.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("key")
-    strings = halves.join(open_keys, "key").mapInArrow(_strings, "token long, doc long, version long, start long")
-    strings = strings.repartition("token").sortWithinPartitions("token", "doc")
-    later = strings.mapInArrow(_neighbours(["token", "doc", "version", "start"], _later), "doc long, version long, start long, n long")
+    judged = contexts.select("context", "least", "most").join(lost, "context", "left").filter("most > least OR lost IS NOT NULL").drop("most")
+    several = runs.select("context", "doc", "version", "start", F.col("n").cast("long").alias("n")).join(judged, "context")
+    later = several.filter("doc > least").select("doc", "version", "start", "n")
+    shifted = F.transform("lost", lambda k: F.col("start") + k)
+    least = several.filter("doc = least").select("doc", "version", F.explode(shifted).alias("start"), F.lit(1).cast("long").alias("n"))
 
     whole = copies.select("doc", "version", F.lit(0).cast("long").alias("start"), (F.col("size") - SPAN + 1).cast("long").alias("n"))
-    spans = settled.filter("NOT open").select("doc", "version", "start", F.col("n").cast("long").alias("n")).unionByName(later).unionByName(whole)
+    spans = later.unionByName(least).unionByName(whole)
     out = scratch.keep(spans.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
-    scratch.forget("settled", "halves", "digests", "copies")
+    scratch.forget("runs", "contexts", "lost", "digests", "copies")
     scratch.sweep()
     return out
 

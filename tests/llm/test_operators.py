@@ -161,6 +161,34 @@ def test_suffix_dedup_of_overlapping_repeats(spark):
     assert got == brute_cut(rows)
 
 
+def test_multikey_quicksort(monkeypatch):
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(suffix_dedup, "SMALL", 40)
+    for letters, n in (("ab", 3000), ("a", 500), ("abcdefgh é", 4000), ("ab", 50)):
+        data = "".join(r.choice(list(letters), n)).encode()
+        data += data[: n // 3]
+        s = next(slices(pa.array([data], pa.binary()), 1 << 20))
+        at = r.permutation(len(data) - 49)
+        order, new = suffix_dedup.multikey_quicksort(s.chunks(False), at)
+        found = [data[i : i + 50] for i in at[order]]
+        assert found == sorted(found)
+        assert new.tolist() == [True] + [x != y for x, y in zip(found[1:], found[:-1], strict=True)]
+
+
+def test_suffix_dedup_of_a_hot_token(spark):
+    rng = np.random.default_rng(12)
+    line = "a line of some sixty bytes that many of these documents have, always"
+    letters = list("abcdefg ")
+    rows = [(i, "".join(rng.choice(letters, 60)) + line + "".join(rng.choice(letters, 60)) + ("aaaaaaaaab" * 9 if i % 3 else "")) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests_of_kept(docs).collect()}
+    assert got == brute_cut(rows)
+    runs = [(7, bytes([i]) * 16, i, f"{i % 4}{line}"[:75].encode(), 1) for i in range(40)]
+    contexts = spark.createDataFrame(runs, "token long, context binary, least long, data binary, anchor int")
+    one, two = ({(bytes(r.context), *sorted(r.lost)) for r in suffix_dedup.lost_strings(contexts, hot).collect()} for hot in (5, 500))
+    assert one == two and len(one) == 39
+
+
 def test_byte_bpe(docs, empty):
     path = public_tokenizers.path(byte_bpe.VOCABULARY)
     bpe = byte_bpe.load(path)
