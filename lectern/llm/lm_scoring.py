@@ -51,7 +51,7 @@ ABREAST = 512
 #: Windows that a shard should have at least, so that it takes some steps however small it is.
 TRAIN_WINDOWS = 160
 #: Rows of states that the softmax takes at once.
-SOFTMAX_ROWS = 4096
+SOFTMAX_ROWS = 1024
 #: Bytes of text of a block, long single texts aside.
 BLOCK_BYTES = 32 << 20
 #: Bytes of text that are cut into words at once, long single texts aside.
@@ -130,31 +130,39 @@ class Gru:
             self.p["cls"][h], self.p["word"][:, h] = v.class_bias, v.word_bias
 
     def run(self, x: np.ndarray, first: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """States after each of the symbols x (steps, rows) from state h; where `first`, a document begins."""
-        n, rec = HIDDEN, self.p["rec"]
-        out, inputs, starts = np.empty((*x.shape, n), dtype=np.float32), self.p["emb"][x], first.any(axis=1)
+        """States (steps, units, rows) after each of the symbols x (steps, rows) from state h (units, rows); where `first`, a document begins.
+
+        Units come before rows, so that every gate is one stretch of memory.
+        """
+        n, rec = HIDDEN, np.ascontiguousarray(self.p["rec"].T)
+        inputs, starts = np.ascontiguousarray(self.p["emb"][x].transpose(0, 2, 1)), first.any(axis=1)
+        out = np.empty((len(x), n, x.shape[1]), dtype=np.float32)
         for t in range(len(x)):
             if starts[t]:
-                h = h * ~first[t][:, None]
-            r = h @ rec
-            gate = inputs[t, :, : 2 * n]
-            gate += r[:, : 2 * n]
+                h = h * ~first[t]
+            r = rec @ h
+            gate, c = inputs[t, : 2 * n], inputs[t, 2 * n :]
+            gate += r[: 2 * n]
             np.negative(gate, out=gate)
             np.exp(gate, out=gate)
             gate += 1
             np.reciprocal(gate, out=gate)
-            c = inputs[t, :, 2 * n :]
-            c += gate[:, n:] * r[:, 2 * n :]
+            c += gate[n:] * r[2 * n :]
             np.tanh(c, out=c)
             if trace is not None:
-                trace.append((h, gate[:, :n], gate[:, n:], c, r[:, 2 * n :]))
+                trace.append((h, gate[:n], gate[n:], c, r[2 * n :]))
             new = out[t]
             np.subtract(c, h, out=new)
-            new *= gate[:, :n]
+            new *= gate[:n]
             new += h
             h = new
         return out
 
+    @staticmethod
+    def rows(states: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """The states at these places of (steps, rows), one after the other."""
+        return states.transpose(0, 2, 1).reshape(-1, HIDDEN)[use]
+
     def losses(self, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln probability of symbols y from states h (both flat). With `grads`, adds the gradients of minus their sum there and returns that of h."""
         v, p, n = self.v, self.p, HIDDEN
@@ -206,30 +214,34 @@ class Gru:
         n, p, trace = HIDDEN, self.p, []
         states = self.run(x, first, h, trace)
         use = np.flatnonzero(live.ravel())
-        flat, want = states.reshape(-1, n)[use], y.ravel()[use]
         grads = {k: np.zeros_like(p[k]) for k in ("rec", "cls", "word")}
         dh = np.zeros((x.size, n), dtype=np.float32)
-        dh[use] = self.losses(flat, want, grads)[1]
-        dh = dh.reshape(states.shape)
-        de, back, rec = np.empty((*x.shape, 3 * n), dtype=np.float32), np.zeros_like(h), p["rec"].T.copy()
-        dr = np.empty((*x.shape, 3 * n), dtype=np.float32)
+        dh[use] = self.losses(self.rows(states, use), y.ravel()[use], grads)[1]
+        dh = np.ascontiguousarray(dh.reshape(*x.shape, n).transpose(0, 2, 1))
+        de, back = np.empty((len(x), 3 * n, x.shape[1]), dtype=np.float32), np.zeros_like(h)
         for t in reversed(range(len(x))):
             prev, z, s, c, rc = trace[t]
-            dn = dh[t]
+            dn, d = dh[t], de[t]
             dn += back
-            d = de[t]
-            d[:, :n] = dn * (c - prev) * z * (1 - z)
-            dc = dn * z
+            dz, ds, dc = d[:n], d[n : 2 * n], d[2 * n :]
+            keep = 1 - z
+            np.multiply(dn, z, out=dc)
+            np.subtract(c, prev, out=dz)
+            dz *= dc
+            dz *= keep
             dc *= 1 - c * c
-            d[:, n : 2 * n] = dc * rc * s * (1 - s)
-            d[:, 2 * n :] = dc
-            dr[t] = d
-            dr[t, :, 2 * n :] *= s
-            back = dn * (1 - z)
-            back += dr[t] @ rec
+            np.multiply(dc, s, out=ds)
+            dr = np.concatenate([d[:n], ds, ds])
+            dr_s = dr[n : 2 * n]
+            dr_s *= rc
+            dr_s *= 1 - s
+            ds[:] = dr_s
+            grads["rec"] += prev @ dr.T
+            back = p["rec"] @ dr
+            dn *= keep
+            back += dn
             if first[t].any():
-                back *= ~first[t][:, None]
-        grads["rec"] = np.concatenate([e[0] for e in trace]).T @ dr.reshape(-1, 3 * n)
+                back *= ~first[t]
         scale = np.float32(1 / max(1, len(use)))
 
         def step(k: str, at, g: np.ndarray) -> None:
@@ -250,7 +262,7 @@ class Gru:
         # Only symbols of this window have a gradient in the embeddings.
         order = np.argsort(x.ravel().astype(np.uint16) if self.v.start < 1 << 16 else x.ravel(), kind="stable")
         symbols, begin = np.unique(x.ravel()[order], return_index=True)
-        step("emb", symbols, np.add.reduceat(de.reshape(-1, 3 * n)[order], begin, axis=0))
+        step("emb", symbols, np.add.reduceat(de.transpose(0, 2, 1).reshape(-1, 3 * n)[order], begin, axis=0))
         for k, g in grads.items():
             step(k, slice(None), g)
         return states[-1]
@@ -375,9 +387,9 @@ def _train_shard(v: Vocabulary, params: dict[str, np.ndarray], rate: float):
         width = min(ABREAST, max(32, sum(map(len, texts)) // (STEPS * TRAIN_WINDOWS)))
         model, streams = Gru(v, {k: w.copy() for k, w in params.items()}), Streams(texts, width, v.start)
         memory = {k: np.full_like(w, 1e-5) for k, w in params.items()}
-        h = np.zeros((len(streams.size), HIDDEN), dtype=np.float32)
+        h = np.zeros((HIDDEN, len(streams.size)), dtype=np.float32)
         for at, live in streams.windows(STEPS):
-            h = model.train(streams.x[at], streams.y[at], streams.first[at] & live, live, h[: at.shape[1]], rate, memory)
+            h = model.train(streams.x[at], streams.y[at], streams.first[at] & live, live, h[:, : at.shape[1]], rate, memory)
         rows: list[tuple] = []
         for k, w in model.p.items():
             change = ((w - params[k]) * len(streams.y)).astype("<f4").ravel()
@@ -424,12 +436,12 @@ def train(rounds: list[DataFrame], v: Vocabulary) -> dict[str, np.ndarray]:
 def log_likelihoods(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of the symbols of each whole document."""
     streams = Streams(docs, ABREAST, model.v.start)
-    ln, h = np.zeros(len(streams.y)), np.zeros((len(streams.size), HIDDEN), dtype=np.float32)
+    ln, h = np.zeros(len(streams.y)), np.zeros((HIDDEN, len(streams.size)), dtype=np.float32)
     for at, live in streams.windows(SCORE_STEPS):
-        states = model.run(streams.x[at], streams.first[at] & live, h[: at.shape[1]])
+        states = model.run(streams.x[at], streams.first[at] & live, h[:, : at.shape[1]])
         h, use = states[-1], np.flatnonzero(live.ravel())
-        flat, places = states.reshape(-1, HIDDEN)[use], at.ravel()[use]
-        ln[places] = model.losses(flat, streams.y[places])[0]
+        places = at.ravel()[use]
+        ln[places] = model.losses(model.rows(states, use), streams.y[places])[0]
     out = np.empty(len(docs))
     out[streams.order] = np.add.reduceat(ln, streams.at) / np.log(10)
     return out

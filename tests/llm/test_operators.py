@@ -343,6 +343,19 @@ def test_lm_scoring_equals_a_plain_forward_pass():
     assert lm_scoring.log_likelihoods(model, docs) == pytest.approx([plain_log10(model, d) for d in docs], rel=1e-4)
 
 
+def test_lm_scoring_learns_a_cycle_through_its_state():
+    v = lm_scoring.Vocabulary([(f"w{i}", 10) for i in range(16)], np.full(32, 1.0), 160, 16)
+    model, docs = lm_scoring.Gru(v), [np.array([0, 1, 2, 0, 2, 1] * 40)] * 8
+    memory, streams = {k: np.full_like(w, 1e-5) for k, w in model.p.items()}, lm_scoring.Streams([np.array([0, 1, 2, 0, 2, 1] * 40)] * 8, 8, v.start)
+    before = lm_scoring.log_likelihoods(model, docs)
+    for _ in range(40):
+        h = np.zeros((lm_scoring.HIDDEN, 8), dtype=np.float32)
+        for at, live in streams.windows(lm_scoring.STEPS):
+            h = model.train(streams.x[at], streams.y[at], streams.first[at] & live, live, h, 0.1, memory)
+    # What follows a 0 depends on the word before it.
+    assert (lm_scoring.log_likelihoods(model, docs) > 0.1 * before).all()
+
+
 def test_lm_scoring_gradients_are_those_of_the_loss():
     r = np.random.default_rng(1)
     v = lm_scoring.Vocabulary([(f"w{i}", 100 - i) for i in range(64)], np.arange(1.0, 33.0), 10**4, 500)
