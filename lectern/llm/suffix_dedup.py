@@ -185,13 +185,27 @@ def _runs_of_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ok = np.flatnonzero(np.isin(mix(r.token + r.row.astype(U)), wanted))
             row, start, stop = r.row[ok], r.start[ok], r.stop[ok]
             raw = s.data.tobytes()
-            data = [raw[a:z] for a, z in zip(start.tolist(), (stop + SPAN - 1).tolist(), strict=True)]
-            digest = [hashlib.blake2b(d, digest_size=16).digest() for d in data]
-            arrays = [signed(r.token[ok]), doc[s.first + row], version[s.first + row], start - s.offs[row], (stop - start).astype(np.int32), (r.anchors(ok) - start).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(digest, pa.binary()), pa.array(data, pa.binary())], ["token", "doc", "version", "start", "n", "anchor", "context", "data"])
+            digest = [hashlib.blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(start.tolist(), (stop + SPAN - 1).tolist(), strict=True)]
+            arrays = [signed(r.token[ok]), doc[s.first + row], version[s.first + row], (start - s.offs[row]).astype(np.int32), (stop - start).astype(np.int32), (r.anchors(ok) - start).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(digest, pa.binary())], ["token", "doc", "version", "start", "n", "anchor", "context"])
 
 
-RUNS = "token long, doc long, version long, start long, n int, anchor int, context binary, data binary"
+RUNS = "token long, doc long, version long, start int, n int, anchor int, context binary"
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each text's open contexts and their leading tokens, each context once."""
+    names = ["context", "least", "k", "lead", "data"]
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            rows = []
+            for r in b.slice(at, 256).to_pylist():
+                raw = r["text"].encode()
+                for x in {x["context"]: x for x in r["runs"]}.values():
+                    data, a = raw[x["start"] : x["start"] + x["n"] + SPAN - 1], x["anchor"]
+                    rows.append((x["context"], r["doc"], x["k"], data[a : a + KEY], data))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
 
 
 def multikey_quicksort(chunks: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,10 +297,8 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lost_strings(contexts: DataFrame, hot: int = HOT) -> DataFrame:
-    """context and lost: the strings of each context (token, context, least, data, anchor) that a smaller document has."""
-    tokens = contexts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
-    shared = contexts.join(tokens, "token").select("context", "least", "data", F.expr(f"substring(data, anchor + 1, {KEY})").alias("lead"), "k")
-    n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """context and lost: the strings of each context (context, least, k, lead, data) that a smaller document has; k contexts have its token."""
+    n, shared = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), contexts
     buckets = shared.filter(f"k <= {hot}").select("context", "least", "data", "lead").repartitionByRange(n, "lead").sortWithinPartitions("lead")
     sorted_ones = buckets.mapInArrow(_lost, "context binary, lost array<int>")
     strings = shared.filter(f"k > {hot}").select("context", "least", "data").mapInArrow(_strings, "string binary, context binary, least long, k int")
@@ -330,21 +342,33 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     scratch.forget("hits")
     scratch.sweep()
 
-    contexts = runs.groupBy("token", "context").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("data").alias("data"), F.first("anchor").alias("anchor"))
-    contexts = scratch.keep(contexts, "contexts")
+    contexts = scratch.keep(runs.groupBy("token", "context").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "contexts")
+    scratch.sweep()
+    several = contexts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
+    judged = contexts.join(several, "token", "left").filter("most > least OR k > 1").select("context", "least", "k")
+    settled = runs.select("context", "doc", "version", "start", "n", "anchor").join(judged, "context").filter("doc > least OR k > 1")
+    gone = F.col("doc") > F.col("least")
+    # What is settled needs only its place.
+    settled = scratch.keep(settled.select(F.when(~gone, F.col("context")).alias("context"), "doc", "version", "start", "n", F.when(~gone, F.col("anchor")).alias("anchor"), F.when(~gone, F.col("k")).alias("k")), "settled")
+    scratch.forget("runs", "contexts")
+    scratch.sweep()
+
+    left = settled.filter("context IS NOT NULL")
+    per_text = left.groupBy("doc", "version").agg(F.collect_list(F.struct("context", "start", "n", "anchor", "k")).alias("runs"))
+    cut = keyed.join(per_text, ["doc", "version"]).select("doc", "text", "runs").mapInArrow(_contexts, "context binary, least long, k long, lead binary, data binary")
+    cut = scratch.keep(cut, "cut", TEXT_ROWS)
     scratch.sweep()
-    lost = scratch.keep(lost_strings(contexts), "lost")
+    lost = scratch.keep(lost_strings(cut), "lost")
+    scratch.forget("cut")
     scratch.sweep()
-    judged = contexts.select("context", "least", "most").join(lost, "context", "left").filter("most > least OR lost IS NOT NULL").drop("most")
-    several = runs.select("context", "doc", "version", "start", F.col("n").cast("long").alias("n")).join(judged, "context")
-    later = several.filter("doc > least").select("doc", "version", "start", "n")
-    shifted = F.transform("lost", lambda k: F.col("start") + k)
-    least = several.filter("doc = least").select("doc", "version", F.explode(shifted).alias("start"), F.lit(1).cast("long").alias("n"))
+    shifted = F.transform("lost", lambda k: (F.col("start") + k).cast("long"))
+    later = left.join(lost, "context").select("doc", "version", F.explode(shifted).alias("start"), F.lit(1).cast("long").alias("n"))
+    plain = settled.filter("context IS NULL").select("doc", "version", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"))
 
     whole = copies.select("doc", "version", F.lit(0).cast("long").alias("start"), (F.col("size") - SPAN + 1).cast("long").alias("n"))
-    spans = later.unionByName(least).unionByName(whole)
+    spans = plain.unionByName(later).unionByName(whole)
     out = scratch.keep(spans.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
-    scratch.forget("runs", "contexts", "lost", "digests", "copies")
+    scratch.forget("settled", "lost", "digests", "copies")
     scratch.sweep()
     return out
 

@@ -183,8 +183,8 @@ def test_suffix_dedup_of_a_hot_token(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests_of_kept(docs).collect()}
     assert got == brute_cut(rows)
-    runs = [(7, bytes([i]) * 16, i, f"{i % 4}{line}"[:75].encode(), 1) for i in range(40)]
-    contexts = spark.createDataFrame(runs, "token long, context binary, least long, data binary, anchor int")
+    made = [(bytes([i]) * 16, i, 40, line[:24].encode(), f"{i % 4}{line}"[:75].encode()) for i in range(40)]
+    contexts = spark.createDataFrame(made, "context binary, least long, k long, lead binary, data binary")
     one, two = ({(bytes(r.context), *sorted(r.lost)) for r in suffix_dedup.lost_strings(contexts, hot).collect()} for hot in (5, 500))
     assert one == two and len(one) == 39
 
