@@ -8,7 +8,7 @@ and state for head words, or given the class alone, by its count, for the others
 Output biases start from the counts, so training only adds what context tells.
 
 Texts are cut into words once, block by block: a block's documents become numbers
-of the block's own dictionary. Its words meet the corpus counts in a join, so counts
+of the block's own dictionary. Its words meet those of other blocks in a shuffle, so counts
 of rare words are never broadcast, and come back to the block, where documents become
 symbols of the network. Training and scoring read symbols only.
 
@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm._spark import TEXT_ROWS, Scratch, split_by, table, texts
@@ -55,7 +55,7 @@ SOFTMAX_ROWS = 1024
 #: Bytes of text of a block, long single texts aside.
 BLOCK_BYTES = 32 << 20
 #: Bytes of text that are cut into words at once, long single texts aside.
-PART_BYTES = 4 << 20
+PART_BYTES = 12 << 20
 #: Tokens of a training shard, and that a scoring task holds at once, long single texts aside.
 SHARD_TOKENS = 2_000_000
 #: Floats of one row of parameter changes.
@@ -161,7 +161,8 @@ class Gru:
     @staticmethod
     def rows(states: np.ndarray, use: np.ndarray) -> np.ndarray:
         """The states at these places of (steps, rows), one after the other."""
-        return states.transpose(0, 2, 1).reshape(-1, HIDDEN)[use]
+        flat = states.transpose(0, 2, 1).reshape(-1, HIDDEN)
+        return flat if len(use) == len(flat) else flat[use]
 
     def losses(self, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln probability of symbols y from states h (both flat). With `grads`, adds the gradients of minus their sum there and returns that of h."""
@@ -477,27 +478,29 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     scratch = Scratch(spark)
     docs = texts(docs).withColumn("held_out", held_out)
     blocks = scratch.keep(docs.mapInArrow(_read_blocks, BLOCK_ROWS), "blocks", TEXT_ROWS)
-    words = blocks.filter("word IS NOT NULL")
-    counts = scratch.keep(words.groupBy("word").agg(F.sum("n").alias("total"), F.min("ends").alias("ends")), "counts")
+    # A word has one row in each block at most, so no partition of this window is as large as a word is frequent.
+    same = Window.partitionBy("word")
+    words = blocks.filter("word IS NOT NULL").select("word", "block", "local", "ends", F.sum("n").over(same).alias("total"), (F.row_number().over(same.orderBy("block")) == 1).alias("speaks"))
+    words = scratch.keep(words, "words")
     scratch.sweep()
+    counts = words.filter("speaks")
     facts = counts.agg(F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v")).first()
     size, _, classes = sizes(int(facts["v"] or 0))
     head = counts.filter("total > 0").orderBy(F.desc("total"), "word").limit(size).collect()
     # The head grows with the square root of the vocabulary, so this side stays small.
     names = F.broadcast(spark.createDataFrame([(r["word"], i) for i, r in enumerate(head)], "word string, place int"))
     tail = np.zeros(classes)
-    known = counts.join(names, "word", "left").select("word", "total", "ends", "place")
-    for r in known.filter("place IS NULL AND total > 0").groupBy("ends").agg(F.sum(F.col("total") + F.lit(SMOOTH)).alias("mass")).collect():
+    known = words.join(names, "word", "left")
+    for r in known.filter("speaks AND place IS NULL AND total > 0").groupBy("ends").agg(F.sum(F.col("total") + F.lit(SMOOTH)).alias("mass")).collect():
         tail[tail_class(r["ends"], classes)] += r["mass"]
     v = Vocabulary([(r["word"], r["total"]) for r in head], tail, int(facts["n"] or 0), int(facts["v"] or 0))
 
     low, high = F.col("ends").bitwiseAND(255), F.shiftright("ends", 8)
-    symbols = known.select("word", "total", F.coalesce("place", F.lit(v.head) + (low + 31 * high) % classes).alias("symbol"))
     # Each block's words with the corpus counts: its dictionary.
-    dictionary = words.select(F.col("block").alias("of"), "local", "word").join(symbols, "word").select("of", "local", "total", "symbol")
+    dictionary = known.select(F.col("block").alias("of"), "local", "total", F.coalesce("place", F.lit(v.head) + (low + 31 * high) % classes).alias("symbol"))
     coded = blocks.filter("ids IS NOT NULL").select("block", "doc_id", "held_out", "ids").groupBy("block").cogroup(dictionary.groupBy("of")).applyInArrow(_code_block(v), CODED)
     coded = scratch.keep(coded, "coded")
-    scratch.forget("blocks", "counts")
+    scratch.forget("blocks", "words")
     scratch.sweep()
     params = train(training_rounds(coded), v)
     scratch.sweep()
