@@ -37,7 +37,7 @@ OPEN_WINDOWS = 8
 MERGE_TASKS = 32
 END_ID = 2
 #: Bytes that a task's caches of words and pieces take together, about.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 256 << 20
 #: Of one entry besides its contents: two objects and a place in a table.
 ENTRY_BYTES = 180
 VOCABULARY = "word_bpe_49k.json"
