@@ -36,21 +36,59 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", phrase.alias("phrase"), F.when(F.size(terms) > 0, terms).otherwise(raw).alias("terms")).filter(F.size("terms") > 0)
 
 
+#: Runs of the characters that search terms consist of.
+TERM_RUN = r"((?U)[\w'-]{2,})"
+
+
+def _parts(word) -> F.Column:
+    """All parts of two and of three characters of a word, and none twice."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(n)))
+    return F.array_distinct(F.concat(of(2), of(3)))
+
+
+def words_with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(word, term) for every distinct word that contains a term of two characters or more.
+
+    A term is filed under its first three characters, a word looks up all of its parts, so neither meets all of the other.
+    """
+    filed = terms.select("term", F.substring("term", 1, 3).alias("part")).distinct()
+    return words.select("word").distinct().select("word", F.explode(_parts(F.col("word"))).alias("part")).join(filed, "part").filter(F.contains("word", F.col("term"))).select("word", "term").distinct()
+
+
 def ranked_search(questions: DataFrame, chunks: DataFrame, docs: DataFrame, limit: int = 10) -> DataFrame:
     """#73: the best chunks of each question; documents without chunks can be found by their names.
 
-    A stated set of questions meets all chunks: the terms are broadcast, the chunks are scanned once.
+    A term lies within one run of word characters. So the distinct runs meet the
+    distinct terms once, and chunks, names and subjects are joined with what matched.
     """
-    asked = F.broadcast(question_terms(questions))
+    asked = question_terms(questions)
+    asked_terms = asked.select("question_id", F.explode("terms").alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
     named = docs.select("document_id", F.lower("name").alias("name"), F.lower("subject").alias("subject"))
-    text = named.join(chunks, "document_id", "left").select("document_id", "name", "subject", F.coalesce("locator", F.lit("Stored file")).alias("locator"), F.lower(F.coalesce("content", F.lit(""))).alias("low"))
-    total = lambda f: F.aggregate(F.transform("terms", f), F.lit(0), lambda a, x: a + x)
-    hits = total(lambda t: occurrences(F.col("low"), t))
-    meta = total(lambda t: 2 * F.contains("name", t).cast("int") + F.contains("subject", t).cast("int"))
-    matched = F.size(F.filter(F.array_distinct("terms"), lambda t: F.contains("low", t) | F.contains("name", t)))
-    bonus = F.when((F.length("phrase") > 3) & F.contains("low", F.col("phrase")), 6).otherwise(0)
-    scored = text.join(asked, F.exists("terms", lambda t: F.contains("low", t) | F.contains("name", t) | F.contains("subject", t)))
-    scored = scored.select("question_id", "document_id", "name", "locator", (hits + meta + bonus + 0.5 * matched).alias("score")).filter("score > 0")
+    own = chunks.select("document_id", "ordinal", "locator", "content")
+    text = named.join(own, "document_id", "left").select("document_id", "name", "subject", F.coalesce("ordinal", F.lit(-1)).alias("ordinal"), F.coalesce("locator", F.lit("Stored file")).alias("locator"), F.lower(F.coalesce("content", F.lit(""))).alias("low"))
+    runs = lambda df, column: df.select("*", F.explode(F.regexp_extract_all(column, F.lit(TERM_RUN), 1)).alias("word"))
+    key = ["document_id", "ordinal"]
+    in_text = runs(text.select(*key, "low"), "low").groupBy(*key, "word").agg(F.count("*").alias("n"))
+    in_name = runs(named.select("document_id", "name"), "name").select("document_id", "word").distinct()
+    in_subject = runs(named.select("subject").distinct(), "subject").select("subject", "word").distinct()
+    pairs = words_with_terms(in_text.select("word").union(in_name.select("word")).union(in_subject.select("word")), asked_terms.select("term").distinct())
+
+    places = text.select(*key, "subject")
+    text_hits = in_text.join(pairs, "word").groupBy(*key, "term").agg(F.sum(F.col("n") * occurrences(F.col("word"), F.col("term"))).alias("hits"))
+    name_hits = in_name.join(pairs, "word").select("document_id", "term").distinct().join(places, "document_id").select(*key, "term", F.lit(2).alias("meta"), F.lit(1).alias("named"))
+    subject_hits = in_subject.join(pairs, "word").select("subject", "term").distinct().join(places, "subject").select(*key, "term", F.lit(1).alias("meta"), F.lit(0).alias("named"))
+    every = text_hits.select(*key, "term", "hits", F.lit(0).alias("meta"), F.lit(0).alias("named")).unionByName(name_hits.unionByName(subject_hits).withColumn("hits", F.lit(0)))
+    every = every.groupBy(*key, "term").agg(F.sum("hits").alias("hits"), F.sum("meta").alias("meta"), F.max("named").alias("named"))
+    matched = (F.col("hits") > 0) | (F.col("named") > 0)
+    scored = every.join(asked_terms, "term").groupBy("question_id", *key).agg(
+        F.sum(F.col("times") * (F.col("hits") + F.col("meta"))).alias("sum"), F.count_if(matched).alias("matched"), F.count_if(F.col("hits") > 0).alias("found")
+    )
+    # Only a chunk that has all terms can have the phrase that they come from.
+    whole = asked.select("question_id", "phrase", F.size(F.array_distinct("terms")).alias("needed")).filter(F.length("phrase") > 3)
+    phrased = scored.join(whole, "question_id").filter("found = needed").select("question_id", *key, "phrase").join(text.select(*key, "low"), key).filter(F.contains("low", F.col("phrase")))
+    scored = scored.join(phrased.select("question_id", *key, F.lit(6).alias("bonus")), ["question_id", *key], "left")
+    scored = scored.select("question_id", *key, (F.col("sum") + F.coalesce("bonus", F.lit(0)) + 0.5 * F.col("matched")).alias("score")).filter("score > 0")
+    scored = scored.join(text.select(*key, "name", "locator"), key)
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "name", "locator", "document_id")
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= max(1, min(limit, 50))).select("question_id", "place", "document_id", "locator", "score")
 
