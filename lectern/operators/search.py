@@ -40,6 +40,10 @@ def question_terms(questions: DataFrame) -> DataFrame:
 TERM_RUN = r"((?U)[\w'-]{2,})"
 
 
+#: Runs of the characters that the terms of passage retrieval consist of.
+CHAT_RUN = "([a-z0-9'’-]{2,}|[\\x{3400}-\\x{9fff}]{2,})"
+
+
 def _parts(word) -> F.Column:
     """All parts of two and of three characters of a word, and none twice."""
     of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(n)))
@@ -126,10 +130,12 @@ def chat_terms(questions: DataFrame) -> DataFrame:
 
 def passages(questions: DataFrame, chunks: DataFrame, docs: DataFrame, most: int = 6) -> DataFrame:
     """#74: per question the chunks that contain most of its terms, one per document and locator."""
-    asked = F.broadcast(chat_terms(questions).filter(F.size("terms") > 0))
-    low = chunks.withColumn("low", F.lower("content"))
-    score = F.size(F.filter("terms", lambda t: F.contains("low", t)))
-    found = low.join(asked, F.exists("terms", lambda t: F.contains("low", t))).withColumn("score", score).join(docs.select("document_id", "name"), "document_id")
+    asked = chat_terms(questions).select("question_id", F.explode("terms").alias("term"))
+    key = ["document_id", "ordinal"]
+    words = chunks.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(CHAT_RUN), 1))).alias("word"))
+    hits = words.join(words_with_terms(words, asked.select("term").distinct()), "word").select(*key, "term").distinct()
+    scored = hits.join(asked, "term").groupBy("question_id", *key).agg(F.count("*").cast("int").alias("score"))
+    found = scored.join(chunks, key).join(docs.select("document_id", "name"), "document_id")
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "name", "ordinal")
     fetched = found.withColumn("k", F.row_number().over(w)).filter("k <= 120").filter(~is_internal(F.col("name")))
     once = fetched.withColumn("again", F.row_number().over(Window.partitionBy("question_id", "document_id", "locator").orderBy("k"))).filter("again = 1")
