@@ -46,8 +46,9 @@ HIDDEN = 16
 LEAST_HEAD = 1024
 #: Steps of a window: of truncated backpropagation, and in scoring.
 STEPS = 24
-SCORE_STEPS = 64
+SCORE_STEPS = 32
 ABREAST = 512
+SCORE_ABREAST = 1024
 #: Windows that a shard should have at least, so that it takes some steps however small it is.
 TRAIN_WINDOWS = 160
 #: Rows of states that the softmax takes at once.
@@ -324,7 +325,9 @@ def _numbered(s: Slice, find: dict[bytes, int]) -> list[np.ndarray]:
     edges[0:-1:2], edges[1::2], edges[-1] = starts, ends, ends[-1] if n else 0
     every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * n, [None, pa.py_buffer(edges), pa.py_buffer(s.lowered())])
     coded = every.take(pa.array(np.arange(0, 2 * n, 2))).dictionary_encode()
-    known = np.array([find.setdefault(w, len(find)) for w in coded.dictionary.to_pylist()], dtype=np.int32)
+    _, places, raw = coded.dictionary.buffers()
+    cuts, raw = np.frombuffer(places, dtype=np.int64)[: len(coded.dictionary) + 1].tolist(), (raw or pa.py_buffer(b"")).to_pybytes()
+    known = np.array([find.setdefault(raw[a:z], len(find)) for a, z in zip(cuts, cuts[1:], strict=False)], dtype=np.int32)
     numbers = known[coded.indices.to_numpy()] if n else np.zeros(0, dtype=np.int32)
     cut = np.searchsorted(row, np.arange(s.rows + 1))
     return [np.append(numbers[a:z], np.int32(0)) for a, z in zip(cut[:-1], cut[1:], strict=True)]
@@ -436,7 +439,7 @@ def train(rounds: list[DataFrame], v: Vocabulary) -> dict[str, np.ndarray]:
 
 def log_likelihoods(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of the symbols of each whole document."""
-    streams = Streams(docs, ABREAST, model.v.start)
+    streams = Streams(docs, SCORE_ABREAST, model.v.start)
     ln, h = np.zeros(len(streams.y)), np.zeros((HIDDEN, len(streams.size)), dtype=np.float32)
     for at, live in streams.windows(SCORE_STEPS):
         states = model.run(streams.x[at], streams.first[at] & live, h[:, : at.shape[1]])
