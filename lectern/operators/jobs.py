@@ -20,8 +20,8 @@ def queue_order(jobs: DataFrame) -> DataFrame:
 
 
 def display_order(jobs: DataFrame, limit: int = 50) -> DataFrame:
-    """#70: running first, then waiting and queued, the rest by age; between 1 and 500 rows."""
-    rank = F.when(F.col("status") == "running", 0).when(F.col("status") == "waiting", 1).when(F.col("status") == "queued", 2).otherwise(3)
+    """#70: running first, then waiting, queued and deferred, the rest by age; between 1 and 500 rows."""
+    rank = F.when(F.col("status") == "running", 0).when(F.col("status") == "waiting", 1).when(F.col("status") == "queued", 2).when(F.col("status") == "deferred", 3).otherwise(4)
     return jobs.withColumn("rank", rank).orderBy("rank", F.desc("created"), "job_id").limit(max(1, min(limit, 500))).select("job_id", "status", "rank")
 
 
@@ -151,7 +151,7 @@ QUERIES = {
 
 ORACLES = {
     "queue_order": f"{_J} SELECT job_id, kind, row_number() OVER (PARTITION BY kind ORDER BY priority, created, job_id) AS place FROM m_jobs WHERE status = 'queued' OR job_id % 4 = 0",
-    "display_order": f"{_J} SELECT job_id, status, CASE status WHEN 'running' THEN 0 WHEN 'waiting' THEN 1 WHEN 'queued' THEN 2 ELSE 3 END AS rank FROM m_jobs ORDER BY 3, created DESC, job_id LIMIT 50",
+    "display_order": f"{_J} SELECT job_id, status, CASE status WHEN 'running' THEN 0 WHEN 'waiting' THEN 1 WHEN 'queued' THEN 2 WHEN 'deferred' THEN 3 ELSE 4 END AS rank FROM m_jobs ORDER BY 3, created DESC, job_id LIMIT 50",
     "latest_events": f"{_E}, l AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY event_id DESC) AS k FROM m_events) SELECT job_id, event_id, status, row_number() OVER (PARTITION BY job_id ORDER BY event_id) AS place FROM l WHERE k <= 5",
     "latest_reviews": f"{_J} SELECT source_job_id % 10 AS source_job_id, job_id % 4 AS slide, arg_max(job_id, created) AS job_id FROM m_jobs WHERE kind <> 'lecture' GROUP BY 1, 2",
     "job_lineage": f"{_J}, up AS (SELECT job_id, subject, source_job_id AS nxt, 0 AS steps FROM m_jobs UNION ALL SELECT u.job_id, j.subject, j.source_job_id, u.steps + 1 FROM up u JOIN m_jobs j ON u.nxt = j.job_id WHERE u.subject IS NULL AND u.steps < 32) SELECT job_id, max(subject) AS subject, max(CASE WHEN subject IS NOT NULL THEN steps END) AS steps FROM up GROUP BY job_id",
