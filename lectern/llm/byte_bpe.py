@@ -41,6 +41,8 @@ SHORT = 48
 #: Entries of each cache of a task; longer matches are not kept.
 CACHE = 300_000
 LONGEST = 64
+#: Bytes of the halves whose encodings a task keeps.
+KEPT = 6
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Unicode white space only: some engines also take U+001C..U+001F for \s.
 PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
@@ -59,6 +61,7 @@ class Bpe:
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.stable: dict[tuple[int, int], bool] = {}
+        self.halves: dict[bytes, list[int]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The encoding of a byte string by its definition: the neighbours of lowest rank, the first ones of equals, become one token."""
@@ -129,8 +132,15 @@ class Bpe:
         """The encoding of a byte string from those of its halves."""
         if len(data) == 1:
             return [self.byte[data[0]]]
-        half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        known = self.halves.get(data)
+        if known is None:
+            half = len(data) // 2
+            known = self.join(self.tree(data[:half]), self.tree(data[half:]))
+            if len(data) <= KEPT:
+                if len(self.halves) > CACHE:
+                    self.halves.clear()
+                self.halves[data] = known
+        return known
 
     def piece(self, match: str) -> tuple[int, ...]:
         """A match of the pattern: one token if it is in the vocabulary, else its tree."""
@@ -163,6 +173,7 @@ class Bpe:
         """Empty the caches: a worker process outlives its task."""
         self.pieces.clear()
         self.stable.clear()
+        self.halves.clear()
 
 
 @lru_cache(maxsize=4)
