@@ -38,11 +38,16 @@ from lectern.llm._spark import table, texts
 
 #: Windows of more bytes are merged with a heap.
 SHORT = 48
-#: Entries of each cache of a task; longer matches are not kept.
+#: Entries of each cache of a task, and of the one of whole matches; longer matches are not kept.
 CACHE = 300_000
+PIECES = 600_000
 LONGEST = 64
 #: Bytes of the halves whose encodings a task keeps.
 KEPT = 6
+#: Bytes of the windows whose merges a task keeps.
+KEPT_WINDOW = 10
+#: The rank of two neighbours that form no token.
+NONE = 1 << 40
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Unicode white space only: some engines also take U+001C..U+001F for \s.
 PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
@@ -62,22 +67,31 @@ class Bpe:
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.stable: dict[tuple[int, int], bool] = {}
         self.halves: dict[bytes, list[int]] = {}
+        self.windows: dict[bytes, list[int]] = {}
+        self.names = [str(i) for i in range(len(self.bytes_of))]
 
     def merge(self, data: bytes) -> list[int]:
         """The encoding of a byte string by its definition: the neighbours of lowest rank, the first ones of equals, become one token."""
         if len(data) > SHORT:
             return self._merge_long(data)
-        rank, parts = self.ranks.get, [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            least, at = None, -1
-            for i, pair in enumerate(zip(parts, parts[1:], strict=False)):
-                r = rank(pair[0] + pair[1])
-                if r is not None and (least is None or r < least):
-                    least, at = r, i
-            if least is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[x] for x in parts]
+        known = self.windows.get(data)
+        if known is not None:
+            return known
+        rank, cuts = self.ranks.get, list(range(len(data) + 1))
+        pairs = [rank(data[i : i + 2], NONE) for i in range(len(data) - 1)]
+        while pairs and (least := min(pairs)) != NONE:
+            at = pairs.index(least)
+            del pairs[at], cuts[at + 1]
+            if at:
+                pairs[at - 1] = rank(data[cuts[at - 1] : cuts[at + 1]], NONE)
+            if at < len(pairs):
+                pairs[at] = rank(data[cuts[at] : cuts[at + 2]], NONE)
+        known = [self.ranks[data[i:j]] for i, j in zip(cuts, cuts[1:], strict=False)]
+        if len(data) <= KEPT_WINDOW:
+            if len(self.windows) > CACHE:
+                self.windows.clear()
+            self.windows[data] = known
+        return known
 
     def _merge_long(self, data: bytes) -> list[int]:
         """As `merge`, with candidates in a heap: n log n steps."""
@@ -150,7 +164,7 @@ class Bpe:
 
     def encode(self, text: str) -> list[int]:
         pieces, out = self.pieces, []
-        if len(pieces) > CACHE:
+        if len(pieces) > PIECES:
             pieces.clear()
         for match in self.split(text):
             ids = pieces.get(match)
@@ -174,6 +188,7 @@ class Bpe:
         self.pieces.clear()
         self.stable.clear()
         self.halves.clear()
+        self.windows.clear()
 
 
 @lru_cache(maxsize=4)
@@ -217,7 +232,7 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
             rows = []
             for text in b.column("text").to_pylist():
                 ids = bpe.encode(text or "")
-                listed = ",".join(map(str, ids)).encode()
+                listed = ",".join([bpe.names[i] for i in ids]).encode()
                 rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
             n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
