@@ -1,7 +1,7 @@
 """Catalog operators: subjects, folders, documents, and change jobs on them.
 
 A change job takes a table of requests and gives one row per request with a reason
-where it is rejected; `apply_*` gives the new snapshot. Names compare without the
+where it is rejected. Names compare without the
 case of A-Z, a missing folder is the subject's root.
 """
 
@@ -16,6 +16,9 @@ from lectern.sources.model import cte, query
 # Endings of generated files' stems, after runs of other characters became `_`.
 INTERNAL_ENDINGS = ("transcript_raw", "transcript_cleaned", "slides_extracted", "slide_summaries", "alignment", "quality_report", "manifest")
 MEDIA_TYPES = {".txt": "text/plain", ".md": "text/markdown", ".pdf": "application/pdf", ".json": "application/json"}
+# How a request for a change starts, and what a plan may do.
+CHANGE_REQUEST = r"^\s*(?:please\s+)?(?:rename|move|list|change\s+(?:the\s+)?(?:file\s+)?name|show\s+(?:my\s+)?(?:files|documents)|create\s+(?:a\s+)?(?:subject|folder))\b"
+ACTIONS = ("answer", "list_documents", "rename_document", "move_document", "create_subject")
 STATUSES = ("queued", "running", "waiting", "deferred", "completed", "failed", "cancelled")
 
 
@@ -231,6 +234,28 @@ def share_index(docs: DataFrame) -> DataFrame:
     return rows.union(heads).groupBy("subject").agg(F.concat(F.lit("## "), F.col("subject"), F.lit("\n"), body).alias("markdown"))
 
 
+def is_change_request(text):
+    """#34: whether a request asks for a change of the library, or else is a question."""
+    return F.coalesce(text.rlike("(?iU)" + CHANGE_REQUEST), F.lit(False))
+
+
+def checked_plans(plans: DataFrame, docs: DataFrame, subjects: DataFrame) -> DataFrame:
+    """#34: one row per plan with the first reason against it; null where it is accepted."""
+    known = docs.select(F.col("document_id").alias("known_document")).distinct()
+    places = subjects.select(F.col("subject").alias("known_subject")).distinct()
+    found = plans.join(known, F.col("document_id") == F.col("known_document"), "left").join(places, F.trim("target_subject") == F.col("known_subject"), "left")
+    action, blank = F.col("action"), lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    reason = (
+        F.when(~F.coalesce(action.isin(*ACTIONS), F.lit(False)), "unknown action")
+        .when(action.isin("rename_document", "move_document") & F.col("known_document").isNull(), "unknown document")
+        .when((action == "rename_document") & blank("new_name"), "no new name")
+        .when((action == "move_document") & F.col("known_subject").isNull(), "unknown subject")
+        .when((action == "list_documents") & ~blank("target_subject") & F.col("known_subject").isNull(), "unknown subject")
+        .when((action == "create_subject") & blank("subject_name"), "no subject name")
+    )
+    return found.select("plan_id", "action", reason.alias("reason"))
+
+
 def _paths(docs: DataFrame, shift: int = 0) -> DataFrame:
     n = F.col("document_id") + shift
     return docs.select(F.concat(F.when(n % 50 == 0, "../").otherwise(""), F.lit("f"), (n % 400).cast("string")).alias("path"), "digest").groupBy("path").agg(F.min("digest").alias("digest"))
@@ -258,6 +283,18 @@ _SIZE = """CASE WHEN {0} >= 1073741824 THEN printf('%.1f GB', {0} / 1073741824.0
 _NAMES = "CASE document_id % 9 WHEN 0 THEN 'x_Transcript.json' WHEN 1 THEN 'Week 1 alignment.txt' WHEN 2 THEN 'my_notes.md' WHEN 3 THEN 'notes.fr.pdf' WHEN 4 THEN 'slide_3.md' WHEN 5 THEN 'a_deep_review_b.md' WHEN 6 THEN 'slides.pdf' WHEN 7 THEN 'Notes slides.pdf' ELSE 'intro.pptx' END"
 
 
+_REQUEST = "CASE document_id % 8 WHEN 0 THEN '  Please RENAME ' || name WHEN 1 THEN 'create a folder' WHEN 2 THEN 'renamed ' || name WHEN 3 THEN 'Show documents of ' || subject WHEN 4 THEN 'change the name' ELSE text END"
+_ACTION = "CASE document_id % 6 WHEN 0 THEN 'answer' WHEN 1 THEN 'list_documents' WHEN 2 THEN 'rename_document' WHEN 3 THEN 'move_document' WHEN 4 THEN 'create_subject' ELSE 'erase' END"
+_PLAN = (
+    "document_id AS plan_id",
+    f"{_ACTION} AS action",
+    "CASE WHEN document_id % 5 = 0 THEN -1 - document_id ELSE document_id END AS document_id",
+    "CASE WHEN document_id % 7 = 0 THEN ' ' ELSE name END AS new_name",
+    "CASE WHEN document_id % 11 = 0 THEN 'nowhere' WHEN document_id % 13 = 0 THEN '' ELSE subject END AS target_subject",
+    "CASE WHEN document_id % 9 = 1 THEN '' ELSE 'new' END AS subject_name",
+)
+
+
 def _named(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.expr(_NAMES).alias("name"))
 
@@ -287,6 +324,8 @@ QUERIES = {
     "ensure_names": query(lambda d, f: ensure_names(f.select(F.col("folder").alias("name")), d.select(F.expr("CASE WHEN document_id % 5 = 0 THEN ' ' ELSE upper(coalesce(folder, 'new  one')) END").alias("name"))), "m_docs", "m_folders"),
     "content_provenance": query(lambda d: content_provenance(d, _jobs_of(d)), "m_docs"),
     "run_matches": query(lambda d: run_matches(_runs(d), d), "m_docs"),
+    "request_routes": query(lambda d: d.select("document_id", is_change_request(F.expr(_REQUEST)).alias("is_change")), "m_docs"),
+    "checked_plans": query(lambda d: checked_plans(d.selectExpr(*_PLAN), d, d), "m_docs"),
     "share_index": query(share_index, "m_docs"),
 }
 
@@ -332,6 +371,11 @@ ORACLES = {
     "content_provenance": f"{_D} SELECT document_id, (SELECT max(j.document_id) FROM m_docs j WHERE j.document_id % 6 <> 0 AND j.document_id % 4 <> 3 AND j.subject = d.subject AND j.digest = d.digest AND j.size_bytes = d.size_bytes) AS job_id FROM m_docs d",
     "run_matches": f"""{_D}, r AS (SELECT a.document_id AS run_id, a.digest AS x, b.digest AS y FROM m_docs a JOIN m_docs b ON b.document_id = a.document_id + 20 WHERE a.document_id % 3 = 0)
       SELECT p.subject, p.folder, max(run_id) AS run_id FROM r JOIN m_docs p ON p.digest = x JOIN m_docs q ON q.digest = y AND q.subject = p.subject AND q.folder IS NOT DISTINCT FROM p.folder GROUP BY p.subject, p.folder""",
+    "request_routes": f"{_D} SELECT document_id, coalesce(regexp_matches({_REQUEST}, '{CHANGE_REQUEST}', 'i'), false) AS is_change FROM m_docs",
+    "checked_plans": f"""{_D}, p AS (SELECT {", ".join(_PLAN)} FROM m_docs)
+      SELECT plan_id, action, CASE WHEN action = 'erase' THEN 'unknown action' WHEN action IN ('rename_document', 'move_document') AND document_id NOT IN (SELECT document_id FROM m_docs) THEN 'unknown document'
+        WHEN action = 'rename_document' AND trim(new_name) = '' THEN 'no new name' WHEN action IN ('move_document', 'list_documents') AND (action = 'move_document' OR target_subject <> '') AND target_subject NOT IN (SELECT subject FROM m_docs) THEN 'unknown subject'
+        WHEN action = 'create_subject' AND subject_name = '' THEN 'no subject name' END AS reason FROM p""",
     "share_index": f"""{_D}, r AS (SELECT subject, coalesce(folder, '') AS f, 1 AS kind, lower(name) AS k, '- [' || name || '](' || subject || '/' || name || ') · ' || {_SIZE.format("size_bytes")} AS line FROM m_docs
       UNION ALL SELECT DISTINCT subject, folder, 0, '', '### ' || folder FROM m_docs WHERE folder IS NOT NULL) SELECT subject, '## ' || subject || chr(10) || string_agg(line, chr(10) ORDER BY f, kind, k, line) AS markdown FROM r GROUP BY subject""",
 }

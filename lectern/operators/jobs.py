@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.durable import durable
 from lectern.sources.model import cte, query
 
 FINAL = ("completed", "failed", "cancelled")
@@ -37,21 +38,22 @@ def latest_reviews(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("source_job_id", "slide").agg(F.max_by("job_id", "created").alias("job_id"))
 
 
-def lineage(jobs: DataFrame, depth: int = 32) -> DataFrame:
-    """#35: the subject of each job: its own, else that of the nearest source job that has one; cycles find none."""
-    spark = jobs.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE up(job_id, at, subject, next, steps) AS (
-          SELECT job_id, job_id, subject, source_job_id, 0 FROM {jobs}
-          UNION ALL
-          SELECT u.job_id, j.job_id, j.subject, j.source_job_id, u.steps + 1 FROM up u JOIN {jobs} j ON u.next = j.job_id
-          WHERE u.subject IS NULL AND u.steps < {depth})
-        SELECT job_id, max(subject) AS subject, max(CASE WHEN subject IS NOT NULL THEN steps END) AS steps FROM up GROUP BY job_id
-        """,
-        jobs=jobs,
-        depth=depth,
-    )
+def lineage(jobs: DataFrame) -> DataFrame:
+    """#35: the subject of each job: its own, else that of the nearest source job that has one; cycles and unknown sources find none.
+
+    Each open job points `steps` hops up; a round puts that job's own pointer in its place, so hops double from round to round.
+    What is still open when hops exceed the number of jobs goes in a cycle.
+    """
+    own = F.col("subject").isNotNull()
+    state = jobs.select("job_id", "subject", F.when(~own, F.col("source_job_id")).alias("next"), F.when(own, 0).otherwise(1).cast("long").alias("steps"))
+    state, hops = durable(state), 1
+    n = state.count()
+    while hops <= n and not state.filter("next IS NOT NULL").isEmpty():
+        up = state.select(F.col("job_id").alias("next"), F.col("subject").alias("up_subject"), F.col("next").alias("up_next"), F.col("steps").alias("up_steps"))
+        moved = state.join(up, "next", "left")
+        state = durable(moved.select("job_id", F.coalesce("subject", "up_subject").alias("subject"), F.col("up_next").alias("next"), (F.col("steps") + F.coalesce("up_steps", F.lit(0))).alias("steps")))
+        hops *= 2
+    return state.select("job_id", "subject", F.when(own, F.col("steps").cast("int")).alias("steps"))
 
 
 def pending_models(jobs: DataFrame, needs: DataFrame, present: DataFrame) -> DataFrame:
@@ -154,7 +156,7 @@ ORACLES = {
     "display_order": f"{_J} SELECT job_id, status, CASE status WHEN 'running' THEN 0 WHEN 'waiting' THEN 1 WHEN 'queued' THEN 2 WHEN 'deferred' THEN 3 ELSE 4 END AS rank FROM m_jobs ORDER BY 3, created DESC, job_id LIMIT 50",
     "latest_events": f"{_E}, l AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY event_id DESC) AS k FROM m_events) SELECT job_id, event_id, status, row_number() OVER (PARTITION BY job_id ORDER BY event_id) AS place FROM l WHERE k <= 5",
     "latest_reviews": f"{_J} SELECT source_job_id % 10 AS source_job_id, job_id % 4 AS slide, arg_max(job_id, created) AS job_id FROM m_jobs WHERE kind <> 'lecture' GROUP BY 1, 2",
-    "job_lineage": f"{_J}, up AS (SELECT job_id, subject, source_job_id AS nxt, 0 AS steps FROM m_jobs UNION ALL SELECT u.job_id, j.subject, j.source_job_id, u.steps + 1 FROM up u JOIN m_jobs j ON u.nxt = j.job_id WHERE u.subject IS NULL AND u.steps < 32) SELECT job_id, max(subject) AS subject, max(CASE WHEN subject IS NOT NULL THEN steps END) AS steps FROM up GROUP BY job_id",
+    "job_lineage": f"{_J}, up AS (SELECT job_id, subject, source_job_id AS nxt, 0 AS steps FROM m_jobs UNION ALL SELECT u.job_id, j.subject, j.source_job_id, u.steps + 1 FROM up u JOIN m_jobs j ON u.nxt = j.job_id WHERE u.subject IS NULL) SELECT job_id, max(subject) AS subject, max(CASE WHEN subject IS NOT NULL THEN steps END) AS steps FROM up GROUP BY job_id",
     "pending_models": f"{_J} SELECT model, count(*) AS n_jobs FROM m_jobs JOIN (VALUES ('lecture', 'embed'), ('review', 'judge:7b')) n(kind, model) USING (kind) WHERE status IN ('queued', 'running', 'waiting') GROUP BY model",
     "request_reuse": f"{_J} SELECT job_id AS request_id, (SELECT arg_max(k.job_id, (k.created % 97, k.job_id)) FROM m_jobs k WHERE k.status <> 'failed' AND k.kind = j.kind AND k.source_job_id IS NOT DISTINCT FROM j.source_job_id AND k.priority = j.priority) AS job_id FROM m_jobs j",
     "job_state": f"""{_E}, d AS (SELECT job_id, min(event_id) FILTER (status IN ('completed', 'failed', 'cancelled')) AS f, max(event_id) AS l, max(progress) AS progress, count(*) AS n_events FROM m_events GROUP BY job_id)

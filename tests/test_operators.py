@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions.rules import byte_size, clean_text, clock, cosine, nocase, words_within
-from lectern.operators import align, catalog, chunking, models, notes, search, transcript
+from lectern.operators import align, catalog, chunking, jobs, models, notes, search, transcript
 
 
 def one(spark, column, **values):
@@ -127,3 +127,37 @@ def test_lectures_do_not_grow_with_the_table(spark, tmp_path, name):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = notes.QUERIES[name](spark, str(tmp_path)).select("lecture").distinct().count()
     assert got == 2000 // notes.DOCS_PER_LECTURE
+
+
+def test_lineage_of_long_chains_cycles_and_unknown_sources(spark):
+    chain = [(i, i - 1 if i else None, None if i else "root") for i in range(3000)]
+    odd = [(5000, 5001, None), (5001, 5000, None), (5002, 5002, None), (5003, 9999, None), (5004, 5000, "own"), (5005, 5004, None), (5006, None, None), (5007, 5001, None)]
+    got = {r.job_id: (r.subject, r.steps) for r in jobs.lineage(spark.createDataFrame(chain + odd, "job_id long, source_job_id long, subject string")).collect()}
+    assert len(got) == 3008
+    assert all(got[i] == ("root", i) for i in range(3000))
+    assert got[5004] == ("own", 0)
+    assert got[5005] == ("own", 1)
+    assert all(got[i] == (None, None) for i in (5000, 5001, 5002, 5003, 5006, 5007))
+    assert jobs.lineage(spark.createDataFrame([], "job_id long, source_job_id long, subject string")).count() == 0
+
+
+def test_requests_and_plans(spark):
+    asked = {"please  move it": True, "LIST": True, "listing": False, "show my files": True, "create subject": True, "Change the file name": True, "Please tell me": False, "how to rename": False, "": False, None: False}
+    rows = spark.createDataFrame([(t,) for t in asked], "t string").select("t", catalog.is_change_request(F.col("t")).alias("is_change")).collect()
+    assert {r.t: r.is_change for r in rows} == asked
+    docs = spark.createDataFrame([(1, "a")], "document_id long, subject string")
+    plans = [
+        (1, "rename_document", 1, "x", None, None, None),
+        (2, "rename_document", 1, " ", None, None, "no new name"),
+        (3, "rename_document", 2, " ", None, None, "unknown document"),
+        (4, "move_document", 1, None, "b", None, "unknown subject"),
+        (5, "move_document", 1, None, " a ", None, None),
+        (6, "list_documents", None, None, "", None, None),
+        (7, "list_documents", None, None, "b", None, "unknown subject"),
+        (8, "create_subject", None, None, None, None, "no subject name"),
+        (9, "create_subject", None, None, None, "n", None),
+        (10, None, None, None, None, None, "unknown action"),
+        (11, "answer", None, None, None, None, None),
+    ]
+    table = spark.createDataFrame([p[:6] for p in plans], "plan_id long, action string, document_id long, new_name string, target_subject string, subject_name string")
+    assert {r.plan_id: r.reason for r in catalog.checked_plans(table, docs, docs).collect()} == {p[0]: p[6] for p in plans}
