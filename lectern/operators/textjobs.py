@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.rules import clean_text, words_within
+from lectern.operators import chunking
+from lectern.operators.chunking import markdown_batches
+from lectern.operators.models import transformed
 from lectern.sources.model import cte, query
 
+# Bounds, marks and patterns of notes, names and Markdown structure.
 NOTE_WORDS = 90
 PLACEHOLDER = "No concise source-grounded summary is available for this slide."
 MARKER = "## Concise summary"
@@ -85,7 +91,7 @@ def lecture_identities(lectures: DataFrame) -> DataFrame:
     return rows.select("lecture", number.alias("number"), F.concat(F.lit("Lecture_"), F.lpad(number.cast("string"), F.greatest(F.lit(2), F.length(number.cast("string"))), F.lit("0")), F.lit("_"), slug).alias("base_name"))
 
 
-def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
+def signature(text):
     """#104: the sequence of headings, list items, fences and quotes of a Markdown text."""
 
     def kind(line):
@@ -95,8 +101,12 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
             out = F.when(F.rlike(line, F.lit(pattern)), F.concat(F.lit("heading:"), depth) if name == "heading" else F.lit(name)).otherwise(out)
         return out
 
-    marks = F.filter(F.transform(F.split(text, "\n"), kind), lambda k: k != "")
-    return docs.select("document_id", F.array_join(marks, " ").alias("signature"))
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), kind), lambda k: k != ""), " ")
+
+
+def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """#104: `signature` of each document."""
+    return docs.select("document_id", signature(F.col(text)).alias("signature"))
 
 
 def signature_diff(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -105,13 +115,36 @@ def signature_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     return both.select("document_id", F.coalesce("signature", F.lit("")).alias("signature"), F.coalesce("translated", F.lit("")).alias("translated"), F.col("signature").eqNullSafe(F.col("translated")).alias("same"))
 
 
-def translation_guard(pairs: DataFrame) -> DataFrame:
+def translation_fault(source, target):
     """#112: a translation must keep the structure, 0.15 to 3 times the length, and not be empty."""
-    a = signatures(pairs, "source").withColumnRenamed("signature", "a")
-    b = signatures(pairs, "target").withColumnRenamed("signature", "b")
-    ratio = F.length(F.trim("target")) / F.greatest(F.lit(1), F.length("source"))
-    reason = F.when(F.trim("target") == "", "empty").when(F.col("a") != F.col("b"), "structure").when(~ratio.between(0.15, 3.0), "length")
-    return pairs.join(a, "document_id").join(b, "document_id").select("document_id", reason.alias("reason"))
+    ratio = F.length(F.trim(target)) / F.greatest(F.lit(1), F.length(source))
+    return F.when(F.coalesce(F.trim(target), F.lit("")) == "", "empty").when(signature(source) != signature(target), "structure").when(~ratio.between(0.15, 3.0), "length")
+
+
+def translation_guard(pairs: DataFrame) -> DataFrame:
+    """#112: `translation_fault` of each pair of texts."""
+    return pairs.select("document_id", translation_fault(F.col("source"), F.col("target")).alias("reason"))
+
+
+def translated_documents(docs: DataFrame, model: Callable[[list[tuple[int, str]]], dict[int, str]], limit: int = 12_000) -> DataFrame:
+    """#115: whole documents through a translation model, batch by batch, in order; the fault of the first batch that has one voids the document."""
+    batches = markdown_batches(docs, limit)
+    asked = batches.select(F.col("document_id").alias("lecture"), F.array(F.col("batch").cast("long")).alias("ids"), F.array("text").alias("texts"))
+    got = transformed(asked, model).select(F.col("lecture").alias("document_id"), F.col("id").alias("batch"), F.col("text").alias("target"), "error")
+    pairs = batches.join(got, ["document_id", "batch"]).withColumn("fault", F.when(F.col("error").isNotNull(), "model").otherwise(translation_fault(F.col("text"), F.col("target"))))
+    parts = F.array_sort(F.collect_list(F.struct("batch", F.coalesce("target", F.lit("")).alias("target"))))
+    first = F.min(F.when(F.col("fault").isNotNull(), F.struct("batch", "fault")))["fault"]
+    found = pairs.groupBy("document_id").agg(parts.alias("parts"), first.alias("fault"))
+    whole = F.concat(F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["target"]), "\n\n"), r"^\s+|\s+$", ""), F.lit("\n"))
+    reason = F.when(F.col("parts").isNull(), "nothing to translate").otherwise(F.col("fault"))
+    return docs.select("document_id").join(found, "document_id", "left").select("document_id", F.when(reason.isNull(), whole).alias("text"), reason.alias("reason"))
+
+
+def _swapped_vowels(items: list[tuple[int, str]]) -> dict[int, str]:
+    """A stand-in model: fails on texts with 77 in them."""
+    if any("77" in t for _, t in items):
+        raise ValueError("marked")
+    return {i: t.replace("a", "o") for i, t in items}
 
 
 def translated_sections(docs: DataFrame) -> DataFrame:
@@ -151,6 +184,7 @@ _NB = f"{_D}, n AS (SELECT document_id AS note_id, {_NOTE} AS note FROM m_docs)"
 _MB = f"{_D}, md AS (SELECT document_id, {_MD} AS a, CASE WHEN document_id % 3 = 0 THEN replace({_MD}, '- ', '') ELSE {_MD} END AS b FROM m_docs)"
 
 QUERIES = {
+    "translated_documents": query(lambda d: translated_documents(d, _swapped_vowels, 700), "m_docs"),
     "text_normalisation": query(normalised_texts, "m_docs"),
     "page_sections": query(page_sections, "pages"),
     "slide_titles": query(lambda s: slide_titles(s.withColumn("ocr", F.col("title")).withColumn("content", F.when(F.col("slide") % 3 == 0, " ").otherwise(F.concat(F.substring("content", 1, 400), F.lit("\nsecond"))))), "m_slides"),
@@ -163,6 +197,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "translated_documents": f"""{cte("m_docs")}, b AS ({chunking.ORACLES["markdown_batches"]}), g AS (SELECT document_id, string_agg(replace(text, 'a', 'o'), chr(10) || chr(10) ORDER BY batch) AS text, bool_or(contains(text, '77')) AS bad FROM b GROUP BY document_id)
+      SELECT document_id, CASE WHEN NOT bad THEN g.text || chr(10) END AS text, CASE WHEN bad IS NULL THEN 'nothing to translate' WHEN bad THEN 'model' END AS reason FROM m_docs LEFT JOIN g USING (document_id)""",
     "text_normalisation": f"{_D} SELECT document_id, md5({_WS.format('text')}) AS text_md5, name AS safe_name, {_WS.format('text')} <> text AS changed FROM m_docs",
     "page_sections": f"""WITH b AS (SELECT page_id, unnest(x) AS block, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS x FROM pages)), t AS (SELECT page_id, 'Page ' || i AS locator, {_WS.format("regexp_replace(block, '<[^>]*>', '', 'g')")} AS text FROM b) SELECT * FROM t WHERE text <> ''""",
     "slide_titles": f"""{cte("m_slides")}, c AS (SELECT lecture, slide, CASE WHEN slide % 3 = 0 THEN title ELSE substr(content, 1, 400) || chr(10) || 'second' END AS c FROM m_slides)

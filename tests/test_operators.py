@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions.rules import byte_size, clean_text, clock, cosine, nocase, words_within
-from lectern.operators import align, catalog, chunking, jobs, models, notes, search, transcript
+from lectern.operators import align, catalog, chunking, jobs, models, notes, search, textjobs, transcript
 
 
 def one(spark, column, **values):
@@ -161,3 +161,16 @@ def test_requests_and_plans(spark):
     ]
     table = spark.createDataFrame([p[:6] for p in plans], "plan_id long, action string, document_id long, new_name string, target_subject string, subject_name string")
     assert {r.plan_id: r.reason for r in catalog.checked_plans(table, docs, docs).collect()} == {p[0]: p[6] for p in plans}
+
+
+def test_translation_of_whole_documents(spark):
+    def model(items):
+        if any("fail" in t for _, t in items):
+            raise ValueError("no answer")
+        return {i: "" if "void" in t else t.replace("#", "") if "flat" in t else t * 4 if "long" in t else t.upper() for i, t in items}
+
+    texts = {1: "# one\n\n" + "b" * 40 + "\n\n- c", 2: "a fail", 3: "ok\n\n# flat " + "x" * 40, 4: "void", 5: " \n ", 6: None, 7: "long", 8: "# void " + "y" * 40 + "\n\n fail"}
+    docs = spark.createDataFrame(list(texts.items()), "document_id long, text string")
+    got = {r.document_id: (r.text, r.reason) for r in textjobs.translated_documents(docs, model, 50).collect()}
+    assert got[1] == ("# ONE\n\n" + "B" * 40 + "\n\n- C\n", None)
+    assert {k: r for k, (t, r) in got.items() if k > 1 and t is None} == {2: "model", 3: "structure", 4: "empty", 5: "nothing to translate", 6: "nothing to translate", 7: "length", 8: "empty"}
