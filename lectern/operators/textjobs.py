@@ -19,6 +19,7 @@ PLACEHOLDER = "No concise source-grounded summary is available for this slide."
 MARKER = "## Concise summary"
 NUMBERED = r"(?i)\b(?:lecture|lec|week|class|session|chapter)\s*[-_ ]*0*(\d{1,3})\b"
 GENERIC = r"(?i)\b(?:recording|audio|video|slides?|deck|presentation|powerpoint|final|copy)\b"
+SLIDE_HEADING = r"(?i)^(?:Slide\s+|幻灯片\s*|幻燈片\s*|投影片\s*|第\s*)([0-9]+)(?:\s*[：:页頁張张]|\b)"
 SIGNATURE = (("heading", r"^#{1,6}\s+"), ("bullet", r"^\s*[-*+]\s+"), ("numbered", r"^\s*\d+[.)]\s+"), ("fence", r"^\s*```"), ("quote", r"^\s*>"))
 
 
@@ -148,14 +149,15 @@ def _swapped_vowels(items: list[tuple[int, str]]) -> dict[int, str]:
 
 
 def translated_sections(docs: DataFrame) -> DataFrame:
-    """#105: sections under numbered slide headings; a number that comes twice voids the document."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), "text"), "\n##[ \t]+"), 2, 100_000)
-    rows = docs.select("document_id", F.explode(parts).alias("part"))
-    number = F.regexp_extract("part", r"(?i)^(?:Slide\s+|幻灯片\s*|幻燈片\s*|投影片\s*|第\s*)([0-9]+)(?:\s*[：:页頁張张]|\b)", 1).try_cast("int")
+    """#105: sections, with their headings, under numbered slide headings; a number that comes again after a section that is not empty voids the document."""
+    parts = F.split(F.concat(F.lit("\n"), "text"), "\n(?=##[ \t])")
+    rows = docs.select("document_id", F.posexplode(F.slice(parts, 2, F.size(parts))).alias("at", "part"))
+    number = F.regexp_extract(F.regexp_replace("part", "^##[ \t]+", ""), SLIDE_HEADING, 1).try_cast("int")
     body = F.regexp_replace(F.substring("part", F.instr("part", "\n") + 1, F.length("part")), r"^\s+|\s+$", "")
-    found = rows.select("document_id", number.alias("slide"), F.when(F.instr("part", "\n") > 0, body).otherwise("").alias("body")).filter("slide IS NOT NULL")
-    twice = found.filter("body <> ''").groupBy("document_id", "slide").agg(F.count("*").alias("n")).filter("n > 1").select("document_id").distinct()
-    return found.filter("body <> ''").join(twice, "document_id", "left_anti").select("document_id", "slide", "body")
+    filled = (F.instr("part", "\n") > 0) & (body != "")
+    found = rows.select("document_id", "at", number.alias("slide"), filled.alias("filled"), F.regexp_replace("part", r"\s+$", "").alias("section")).filter("slide IS NOT NULL")
+    again = found.groupBy("document_id", "slide").agg(F.min(F.when(F.col("filled"), F.col("at"))).alias("first"), F.max("at").alias("last")).filter("last > first").select("document_id").distinct()
+    return found.filter("filled").join(again, "document_id", "left_anti").select("document_id", "slide", "section")
 
 
 def _note(docs: DataFrame) -> DataFrame:
@@ -213,7 +215,9 @@ ORACLES = {
     "markdown_signatures": f"{_MB} SELECT document_id, {_SIG.format('a')} AS signature, {_SIG.format('b')} AS translated, {_SIG.format('a')} = {_SIG.format('b')} AS same FROM md",
     "translation_guard": f"""{_D}, md AS (SELECT document_id, {_MD} AS a, CASE WHEN document_id % 7 = 0 THEN ' ' WHEN document_id % 5 = 0 THEN repeat({_MD} || ' ', 4) ELSE {_MD} END AS b FROM m_docs)
       SELECT document_id, CASE WHEN trim(b) = '' THEN 'empty' WHEN {_SIG.format('a')} <> {_SIG.format('b')} THEN 'structure' WHEN NOT length(trim(b)) / greatest(1, length(a)) BETWEEN 0.15 AND 3.0 THEN 'length' END AS reason FROM md""",
-    "translated_sections": f"""{_MB}, p AS (SELECT document_id, unnest(regexp_split_to_array(chr(10) || a, '\\n##[ \\t]+')[2:]) AS part FROM md),
-      f AS (SELECT document_id, try_cast(regexp_extract(part, '(?i)^(?:Slide\\s+|幻灯片\\s*|幻燈片\\s*|投影片\\s*|第\\s*)([0-9]+)(?:\\s*[：:页頁張张]|\\b)', 1) AS INT) AS slide, CASE WHEN contains(part, chr(10)) THEN regexp_replace(substr(part, instr(part, chr(10)) + 1), '^\\s+|\\s+$', '', 'g') ELSE '' END AS body FROM p),
-      g AS (SELECT *, count(*) OVER (PARTITION BY document_id, slide) AS k FROM f WHERE slide IS NOT NULL AND body <> '') SELECT document_id, slide, body FROM g WHERE document_id NOT IN (SELECT document_id FROM g WHERE k > 1)""",
+    "translated_sections": f"""{_MB}, r AS (SELECT document_id, string_split(regexp_replace(chr(10) || a, '\\n(##[ \\t])', chr(1) || '\\1', 'g'), chr(1))[2:] AS parts FROM md),
+      p AS (SELECT document_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM r),
+      f AS (SELECT document_id, place, try_cast(regexp_extract(regexp_replace(part, '^##[ \\t]+', ''), '{SLIDE_HEADING}', 1) AS INT) AS slide, contains(part, chr(10)) AND regexp_replace(substr(part, instr(part, chr(10)) + 1), '^\\s+|\\s+$', '', 'g') <> '' AS filled, regexp_replace(part, '\\s+$', '') AS section FROM p),
+      g AS (SELECT *, min(CASE WHEN filled THEN place END) OVER w AS first, max(place) OVER w AS last FROM f WHERE slide IS NOT NULL WINDOW w AS (PARTITION BY document_id, slide))
+      SELECT document_id, slide, section FROM g WHERE filled AND document_id NOT IN (SELECT document_id FROM g WHERE last > first)""",
 }

@@ -174,3 +174,9 @@ def test_translation_of_whole_documents(spark):
     got = {r.document_id: (r.text, r.reason) for r in textjobs.translated_documents(docs, model, 50).collect()}
     assert got[1] == ("# ONE\n\n" + "B" * 40 + "\n\n- C\n", None)
     assert {k: r for k, (t, r) in got.items() if k > 1 and t is None} == {2: "model", 3: "structure", 4: "empty", 5: "nothing to translate", 6: "nothing to translate", 7: "length", 8: "empty"}
+
+
+def test_translated_sections_keep_headings_and_repeats_void(spark):
+    texts = {1: "x\n##  Slide 1: A\nbody\n\n## Slide 2\n\n## other\nz\n## 第3页\nc", 2: "## Slide 1\na\n## Slide 1\n", 3: "## Slide 1\n## Slide 1\nb", 4: "## Slide 1\na\n## Slide 2\nb\n## Slide 1\nc", 5: "", 6: None}
+    got = textjobs.translated_sections(spark.createDataFrame(list(texts.items()), "document_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "##  Slide 1: A\nbody"), (1, 3, "## 第3页\nc"), (3, 1, "## Slide 1\nb")]
