@@ -63,13 +63,17 @@ def live_transcripts(chunks: DataFrame, plan: DataFrame, folder: str, checkpoint
     return accepted_chunks(chunks, plan).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Start of the held paragraph where none is open.
+CLOSED = -1
+
+
 def _paragraph(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    no, end, chars, first, text = state.get if state.exists else (0, 0, 0, 0, "")
+    no, end, chars, first, text = state.get if state.exists else (0, 0, 0, CLOSED, "")
     out = []
     rows = pd.concat(list(parts)).sort_values("segment")
     for r in rows.itertuples():
-        if no == 0 or r.start_ms - end > 2750 or chars + len(r.text) > 900:
-            if no:
+        if first == CLOSED or r.start_ms - end > 2750 or chars + len(r.text) > 900:
+            if first != CLOSED:
                 out.append((key[0], no, first, end, text))
             no, first, text = no + 1, int(r.start_ms), r.text
         else:
@@ -77,6 +81,7 @@ def _paragraph(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) ->
         end, chars = int(r.end_ms), len(text)
         if r.last:
             out.append((key[0], no, first, end, text))
+            first = CLOSED
     state.update((no, end, chars, first, text))
     yield pd.DataFrame(out, columns=["lecture", "paragraph", "start_ms", "end_ms", "text"])
 

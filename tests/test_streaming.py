@@ -51,6 +51,13 @@ def test_paragraphs(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, twin.collect()))
 
 
+def test_rows_after_the_last_one_open_a_new_paragraph(spark, tmp_path):
+    rows = [(1, 1, 0, 100, "a", False), (1, 2, 200, 300, "b", True), (1, 3, 400, 500, "c", False), (1, 4, 600, 700, "d", True)]
+    s = spark.createDataFrame(rows, "lecture long, segment long, start_ms long, end_ms long, text string, last boolean")
+    out = run(live.streaming_paragraphs(in_parts(s, str(tmp_path / "in"), "segment")), "append", "paragraphs_last", tmp_path)
+    assert sorted((r.paragraph, r.start_ms, r.end_ms, r.text) for r in out.collect()) == [(1, 0, 300, "a b"), (2, 400, 700, "c d")]
+
+
 def test_ingest_drops_repeats(spark, tmp_path):
     rows = [(1, "a", "x", 0), (2, "a", "x", 60), (3, "b", "x", 120), (4, "a", "y", 180)]
     docs = spark.createDataFrame(rows, "document_id long, subject string, digest string, t long").withColumn("ts", F.timestamp_seconds("t"))
