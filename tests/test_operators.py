@@ -1,6 +1,8 @@
 """Literal cases: boundaries, odd characters, ties and empty inputs."""
 
-import pandas as pd
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,11 +100,43 @@ def test_failing_items_become_rows(spark):
     assert got == {0: ("ok", None), 1: (None, "ValueError: marked"), 2: ("fine", None)}
 
 
-def test_overview_covers_the_lecture():
-    found = pd.DataFrame({"lecture": [1] * 6, "i": range(6), "j": [0] * 6, "n_sections": [6] * 6, "sentence": [f"alpha beta topic{i} and more words" for i in range(6)]})
-    text = notes._greedy(found)["overview"][0]
-    assert text.startswith(notes.INTRODUCTION)
-    assert text.count("topic") == 4
+def test_overview_covers_the_lecture(spark):
+    rows = [(1, i, f"alpha beta topic{i} and more words") for i in range(6)] + [(2, 1, "Slide 3."), (2, 2, "short")]
+    titles = spark.createDataFrame([(1, " Lecture\tone"), (2, "Lecture two")], "lecture long, lecture_title string")
+    got = {r.lecture: r.overview for r in notes.extractive_overview(spark.createDataFrame(rows, "lecture long, slide long, note string"), titles).collect()}
+    assert got[1].startswith(f"# Lecture one — General Summary\n\n{notes.INTRODUCTION}\n\n")
+    assert got[1].count("topic") == 4 and got[2] is None
+
+
+def test_overview_equals_a_count_of_all_choices(spark):
+    random = np.random.default_rng(5)
+    names = [f"term{k}" for k in range(60)]
+    rows = [(k, i, " ".join(" ".join(random.choice(names, random.integers(2, 9))) + " said." for _ in range(random.integers(1, 4)))) for k in range(1, 75, 6) for i in range(k)]
+    noted = spark.createDataFrame(rows, "lecture long, slide long, note string")
+    titles = noted.select("lecture", F.lit("t").alias("lecture_title")).distinct()
+    got = {r.lecture: r.overview for r in notes.extractive_overview(noted, titles).collect()}
+    for lecture, text in got.items():
+        own = [(i, j, s) for k, i, note in rows if k == lecture for j, s in enumerate(re.split(r"(?<=\.) ", note))]
+        stretches, total = min(4, lecture), min(12, max(5, -(-lecture // 8)))
+        used, chosen = set(), []
+        for stretch in range(stretches):
+            inside = [x for x in own if stretch * lecture // stretches <= x[0] < (stretch + 1) * lecture // stretches]
+            for _ in range(total // stretches + (stretch < total % stretches)):
+                if inside:
+                    best = min(inside, key=lambda x: (len(x[2]) - 1000 * len(set(re.findall(r"\w{3,}", x[2])) - used), x[0], x[1]))
+                    inside.remove(best)
+                    chosen.append(best)
+                    used |= set(re.findall(r"\w{3,}", best[2]))
+        said = [x[2] for x in sorted(chosen, key=lambda x: x[0])]
+        size = max(2, -(-len(said) // 4))
+        assert text.rstrip("\n").split("\n\n")[2:] == [" ".join(said[at : at + size]) for at in range(0, len(said), size)]
+
+
+def test_digest_that_does_not_shrink_is_an_error(spark):
+    rows = spark.createDataFrame([(1, i, "word " * 200) for i in range(30)], "lecture long, slide long, note string")
+    kept, slow = lambda text, most: text, lambda text, most: text[:-1]
+    assert tuple(notes.digest_rounds(rows, 12_000, 9_000, 4_000, reduce=kept).first())[1:] == (None, "not reduced")
+    assert tuple(notes.digest_rounds(rows, 12_000, 9_000, 4_000, reduce=slow).first())[1:] == (None, "too long after the last round")
 
 
 def test_digest_shrinks(spark):
