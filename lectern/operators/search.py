@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.rules import clean_text, cosine, occurrences
+from lectern.functions.rules import clean_text, cosine, nocase, occurrences
 from lectern.operators.catalog import is_internal
 from lectern.operators.chunking import CHUNKS, library_chunks, text_sections
 from lectern.sources.model import TABLES, cte, query  # noqa: F401
@@ -111,9 +111,19 @@ def snippets(results: DataFrame, questions: DataFrame, chunks: DataFrame, most:
 def literal_search(questions: DataFrame, chunks: DataFrame, docs: DataFrame, limit: int = 8) -> DataFrame:
     """#20: chunks that contain the question's text literally, but for the case of A-Z; internal files are dropped after the fetch."""
     n = min(max(limit, 1), 30)
-    fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    asked = questions.filter(F.length("question") <= 500).select("question_id", fold("question").alias("needle"))
-    found = chunks.join(F.broadcast(asked), F.contains(fold("content"), F.col("needle")))
+    key = ["document_id", "ordinal"]
+    asked = questions.filter(F.length("question") <= 500).select("question_id", nocase("question").alias("needle"))
+    runs = lambda c: F.regexp_extract_all(c, F.lit(TERM_RUN), 1)
+    longest = F.array_max(F.transform(runs("needle"), lambda r: F.struct(F.length(r).alias("n"), r.alias("term"))))["term"]
+    asked = asked.withColumn("term", longest)
+    text = chunks.withColumn("low", nocase("content"))
+    # The longest run of word characters in a question lies within one run of the text.
+    words = text.select(*key, F.explode(F.array_distinct(runs("low"))).alias("word"))
+    terms = asked.filter("term IS NOT NULL").select("term").distinct()
+    near = words.join(words_with_terms(words, terms), "word").select(*key, "term").distinct().join(asked, "term").join(text, key)
+    # Questions of signs alone are few and meet every chunk.
+    signs = text.join(asked.filter("term IS NULL"), F.contains("low", F.col("needle")))
+    found = near.filter(F.contains("low", F.col("needle"))).unionByName(signs)
     fetched = found.withColumn("k", F.row_number().over(Window.partitionBy("question_id").orderBy("document_id", "ordinal"))).filter(F.col("k") <= min(4 * n, 120))
     shown = fetched.join(docs.select("document_id", "name"), "document_id").filter(~is_internal(F.col("name")))
     place = F.row_number().over(Window.partitionBy("question_id").orderBy("k"))
@@ -177,7 +187,7 @@ def document_body(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def nearest(queries: DataFrame, vectors: DataFrame, keys: list[str], k: int) -> DataFrame:
     """#75: the k vectors of smallest cosine distance with equal `keys`; queries are a stated set."""
-    joined = vectors.join(F.broadcast(queries), keys)
+    joined = vectors.join(queries, keys)
     scored = joined.select("query_id", "id", F.round(1 - cosine(F.col("vector"), F.col("query_vector")), 6).alias("distance"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return scored.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "place", "id", "distance")
@@ -193,8 +203,10 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return library_chunks(text_sections(docs))
 
 
-def _some(q: DataFrame) -> DataFrame:
-    return q.select("question_id", F.array_join(F.slice(F.split("question", " "), 2, 1), " ").alias("question"))
+def _literals(q: DataFrame) -> DataFrame:
+    """Whole questions and, under negative ids, their second words."""
+    word = q.select((-1 - F.col("question_id")).alias("question_id"), F.get(F.split("question", " "), 1).alias("question"))
+    return q.unionByName(word)
 
 
 def _knn(e: DataFrame) -> DataFrame:
@@ -205,7 +217,7 @@ def _knn(e: DataFrame) -> DataFrame:
 QUERIES = {
     "ranked_search": query(lambda q, d: ranked_search(q, _chunks(d), d), "m_questions", "m_docs"),
     "search_snippets": query(lambda q, d: snippets(ranked_search(q, _chunks(d), d, 3), q, _chunks(d)), "m_questions", "m_docs"),
-    "literal_search": query(lambda q, d: literal_search(_some(q), _chunks(d), d), "m_questions", "m_docs"),
+    "literal_search": query(lambda q, d: literal_search(_literals(q), _chunks(d), d), "m_questions", "m_docs"),
     "passages": query(lambda q, d: passages(q, _chunks(d), d), "m_questions", "m_docs"),
     "passages_in_document": query(lambda q, d: passages_with_fallback(q.withColumn("document_id", F.col("question_id") * 3), _chunks(d), d), "m_questions", "m_docs"),
     "evidence_text": query(lambda q, d: evidence_text(ranked_search(q, _chunks(d), d, 4), _chunks(d)), "m_questions", "m_docs"),
@@ -227,7 +239,7 @@ ORACLES = {
     "ranked_search": f"{_RANK} SELECT * FROM rk WHERE place <= 10",
     "search_snippets": f"""{_RANK}, j AS (SELECT question_id, place, coalesce(content, '') AS content, coalesce((SELECT min(instr(lower(content), t)) - 1 FROM te WHERE te.question_id = rk.question_id AND instr(lower(content), t) > 0), 0) AS p FROM rk LEFT JOIN m_chunks USING (document_id, locator) WHERE place <= 3), k AS (SELECT *, greatest(0, p - 175) AS a FROM j)
       SELECT question_id, place, CASE WHEN content = '' THEN '{NO_TEXT}' WHEN length(content) <= 700 THEN content ELSE CASE WHEN a > 0 THEN '…' ELSE '' END || trim(substr(content, a + 1, 700)) || CASE WHEN a + 700 < length(content) THEN '…' ELSE '' END END AS snippet FROM k""",
-    "literal_search": f"""{CHUNKS}, {cte("m_questions").removeprefix("WITH RECURSIVE ")}, q AS (SELECT question_id, lower(split_part(question, ' ', 2)) AS needle FROM m_questions),
+    "literal_search": f"""{CHUNKS}, {cte("m_questions").removeprefix("WITH RECURSIVE ")}, q AS (SELECT question_id, question AS needle FROM m_questions UNION ALL SELECT -1 - question_id, split_part(question, ' ', 2) FROM m_questions),
       f AS (SELECT question_id, document_id, locator, content, row_number() OVER (PARTITION BY question_id ORDER BY document_id, ordinal) AS place FROM m_chunks JOIN q ON contains(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), translate(needle, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))
       SELECT question_id, place, document_id, locator, substr(replace(content, chr(10), ' '), 1, 400) AS snippet FROM f WHERE place <= 8""",
     "passages": f"""{_BASE}, {_CT}, tt AS (SELECT question_id, unnest(terms) AS t FROM ct), f AS (SELECT question_id, document_id, locator, ordinal, any_value(content) AS content, count(*) AS score FROM m_chunks JOIN tt ON contains(lower(content), t) GROUP BY ALL)

@@ -56,11 +56,16 @@ def concise(note):
     return F.when(at > 0, F.regexp_replace(body, r"^\s+|\s+$", "")).otherwise(clean_text(F.substring_index(note, "##", 1)))
 
 
+def bounded_summary(note, most: int = NOTE_WORDS):
+    """A note's summary of at most so many words; a placeholder where there is none."""
+    text = clean_text(concise(note))
+    return F.when(text == "", PLACEHOLDER).otherwise(words_within(text, most))
+
+
 def bounded_notes(notes: DataFrame, most: int = NOTE_WORDS) -> DataFrame:
     """#100: summaries of at most 90 words; a placeholder where there is none."""
     text = clean_text(concise(F.col("note")))
-    out = F.when(text == "", PLACEHOLDER).otherwise(words_within(text, most))
-    return notes.select("note_id", out.alias("summary"), (F.size(F.split(text, " ")) > most).alias("bounded"), (text == "").alias("placeholder"))
+    return notes.select("note_id", bounded_summary(F.col("note"), most).alias("summary"), (F.size(F.split(text, " ")) > most).alias("bounded"), (text == "").alias("placeholder"))
 
 
 def upgraded_notes(notes: DataFrame) -> DataFrame:
@@ -164,9 +169,9 @@ def _note(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("document_id").alias("note_id"), F.expr(_NOTE).alias("note"))
 
 
-_NOTE = """CASE document_id % 5 WHEN 0 THEN '## Slide content' || chr(10) || substr(text, 1, 80) || chr(10) || '## Professor explanation' || chr(10) || 'No additional professor words' WHEN 1 THEN 'Intro' || chr(10) || '## Concise summary' || chr(10) || text || chr(10) || '## Next' || chr(10) || 'x'
-  WHEN 2 THEN '## Concise summary' || chr(10) WHEN 3 THEN '## Professor explanation' || chr(10) || substr(text, 1, 40) ELSE substr(text, 1, 500) END"""
-_MD = "CASE document_id % 4 WHEN 0 THEN '# ' || replace(substr(text, 1, 200), '. ', chr(10) || '- ') WHEN 1 THEN '1. ' || replace(substr(text, 1, 200), ' the ', chr(10) || '> ') ELSE '## Slide ' || (document_id % 6) || chr(10) || substr(text, 1, 50) || chr(10) || '## 第' || (document_id % 8) || '页' || chr(10) || ' body ' || chr(10) || '## Slide 5' END"
+_NOTE = """CASE document_id % 5 WHEN 0 THEN '## Slide content' || chr(10) || text || chr(10) || '## Professor explanation' || chr(10) || 'No additional professor words' WHEN 1 THEN 'Intro' || chr(10) || '## Concise summary' || chr(10) || text || chr(10) || '## Next' || chr(10) || 'x'
+  WHEN 2 THEN '## Concise summary' || chr(10) WHEN 3 THEN '## Professor explanation' || chr(10) || text ELSE text END"""
+_MD = "CASE document_id % 4 WHEN 0 THEN '# ' || replace(text, '. ', chr(10) || '- ') WHEN 1 THEN '1. ' || replace(text, ' the ', chr(10) || '> ') ELSE '## Slide ' || (document_id % 6) || chr(10) || text || chr(10) || '## 第' || (document_id % 8) || '页' || chr(10) || ' body ' || chr(10) || '## Slide 5' END"
 _TITLE = "CASE document_id % 6 WHEN 0 THEN 'Week 03 - ' || substr(name, 1, 6) || ' final' WHEN 1 THEN 'Slides v1.2 (intro)' WHEN 2 THEN 'Lecture-12_graph theory' WHEN 3 THEN 'deck' WHEN 4 THEN 'Algebra  audio  basics' ELSE '' END"
 
 
@@ -189,7 +194,7 @@ QUERIES = {
     "translated_documents": query(lambda d: translated_documents(d, _swapped_vowels, 700), "m_docs"),
     "text_normalisation": query(normalised_texts, "m_docs"),
     "page_sections": query(page_sections, "pages"),
-    "slide_titles": query(lambda s: slide_titles(s.withColumn("ocr", F.col("title")).withColumn("content", F.when(F.col("slide") % 3 == 0, " ").otherwise(F.concat(F.substring("content", 1, 400), F.lit("\nsecond"))))), "m_slides"),
+    "slide_titles": query(lambda s: slide_titles(s.withColumn("ocr", F.col("title")).withColumn("content", F.when(F.col("slide") % 3 == 0, " ").otherwise(F.concat("content", F.lit("\nsecond"))))), "m_slides"),
     "bounded_notes": query(lambda d: bounded_notes(_note(d)), "m_docs"),
     "upgraded_notes": query(lambda d: upgraded_notes(_note(d)), "m_docs"),
     "lecture_identities": query(lambda d: lecture_identities(d.select("subject", F.col("document_id").alias("lecture"), F.expr(_TITLE).alias("title"), F.lit("").alias("deck"), F.when(F.col("document_id") % 12 == 5, "class 7 recording").alias("recording"))), "m_docs"),
@@ -203,7 +208,7 @@ ORACLES = {
       SELECT document_id, CASE WHEN NOT bad THEN g.text || chr(10) END AS text, CASE WHEN bad IS NULL THEN 'nothing to translate' WHEN bad THEN 'model' END AS reason FROM m_docs LEFT JOIN g USING (document_id)""",
     "text_normalisation": f"{_D} SELECT document_id, md5({_WS.format('text')}) AS text_md5, name AS safe_name, {_WS.format('text')} <> text AS changed FROM m_docs",
     "page_sections": f"""WITH b AS (SELECT page_id, unnest(x) AS block, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS x FROM pages)), t AS (SELECT page_id, 'Page ' || i AS locator, {_WS.format("regexp_replace(block, '<[^>]*>', '', 'g')")} AS text FROM b) SELECT * FROM t WHERE text <> ''""",
-    "slide_titles": f"""{cte("m_slides")}, c AS (SELECT lecture, slide, CASE WHEN slide % 3 = 0 THEN title ELSE substr(content, 1, 400) || chr(10) || 'second' END AS c FROM m_slides)
+    "slide_titles": f"""{cte("m_slides")}, c AS (SELECT lecture, slide, CASE WHEN slide % 3 = 0 THEN title ELSE content || chr(10) || 'second' END AS c FROM m_slides)
       SELECT lecture, slide, coalesce(list_filter(list_transform(string_split(c, chr(10)), lambda x: {_WS.format('x')}), lambda x: length(x) BETWEEN 2 AND 180)[1], 'Slide ' || slide) AS title, length(c) AS n_chars FROM c""",
     "bounded_notes": f"""{_NB}, c AS (SELECT note_id, {_WS.format("CASE WHEN contains(note, '## Concise summary') THEN split_part(ltrim(substr(note, instr(note, '## Concise summary') + 18), chr(10) || ' '), chr(10) || '## ', 1) ELSE split_part(note, '##', 1) END")} AS t FROM n)
       SELECT note_id, CASE WHEN t = '' THEN '{PLACEHOLDER}' WHEN len(string_split(t, ' ')) > 90 THEN rtrim(array_to_string(string_split(t, ' ')[1:90], ' '), ' ,;:') || '…' ELSE t END AS summary, len(string_split(t, ' ')) > 90 AS bounded, t = '' AS placeholder FROM c""",

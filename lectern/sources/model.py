@@ -32,21 +32,21 @@ TABLES = {
     "m_decisions": """
         SELECT conv_id AS lecture, turn AS segment, role <> 'system' AND turn % 5 <> 4 AS keep,
                trim(replace(text, chr(10), ' ')) AS clean_text, 'from ' || role AS reason FROM {conversations}""",
-    # Vectors: ten lectures of paragraphs; a deck holds one slide for each label.
+    # Vectors: lectures of 50 paragraphs; a deck holds one slide for each label.
     "m_vectors": """
-        SELECT vec_id % 10 AS lecture, vec_id @DIV 10 AS paragraph, embedding AS vector, label,
-               CAST((vec_id @DIV 10) * 10 AS DOUBLE) AS start_s, CAST((vec_id @DIV 10) * 10 + 5 AS DOUBLE) AS end_s,
+        SELECT vec_id @DIV 50 AS lecture, vec_id % 50 AS paragraph, embedding AS vector, label,
+               CAST((vec_id % 50) * 10 AS DOUBLE) AS start_s, CAST((vec_id % 50) * 10 + 5 AS DOUBLE) AS end_s,
                CASE WHEN vec_id % 37 = 0 THEN 'as on slide ' || CAST(label + 1 AS STRING) ELSE 'next we see' END AS text
         FROM {embeddings}""",
     "m_deck": """
         SELECT lecture, row_number() OVER (PARTITION BY lecture ORDER BY label) AS slide, vector FROM (
-          SELECT vec_id % 10 AS lecture, label, embedding AS vector, row_number() OVER (PARTITION BY vec_id % 10, label ORDER BY vec_id) AS k FROM {embeddings}) d WHERE k = 1""",
-    # Slides with text: twenty decks of pages.
+          SELECT vec_id @DIV 50 AS lecture, label, embedding AS vector, row_number() OVER (PARTITION BY vec_id @DIV 50, label ORDER BY vec_id) AS k FROM {embeddings}) d WHERE k = 1""",
+    # Slides with text: decks of twenty pages, with all paragraphs of each.
     "m_slides": r"""
-        SELECT page_id % 20 AS lecture, page_id @DIV 20 + 1 AS slide, @EXTRACT(html, '<title>([^<]*)</title>') AS title, @EXTRACT(html, '<p>([^<]*)</p>') AS content,
+        SELECT page_id @DIV 20 AS lecture, page_id % 20 + 1 AS slide, @EXTRACT(html, '<title>([^<]*)</title>') AS title, array_join(regexp_extract_all(html, '<p>([^<]*)</p>', 1), chr(10)) AS content,
                CASE WHEN page_id % 9 = 0 THEN '' ELSE @EXTRACT(html, '<h1>([^<]*)</h1>') END AS notes FROM {pages}""",
     "m_questions": """
-        SELECT item_id AS question_id, trim(array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ')) AS question FROM {benchmark}""",
+        SELECT item_id AS question_id, trim(text) AS question FROM {benchmark}""",
     # Jobs: a user is a job, events are its history.
     "m_events": """
         SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS job_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'waiting'
@@ -59,8 +59,8 @@ TABLES = {
         FROM {m_events} GROUP BY job_id""",
 }
 
-_SPARK = [("@BYTES(text)", "octet_length(text)"), ("@SHA(text)", "sha2(text, 256)"), ("@DIV", "div"), ("trim(array_to_string(list_slice(string_split(text, ' '), 1, 6), ' '))", "trim(array_join(slice(split(text, ' '), 1, 6), ' '))"), ("@LATEST(status, event_id)", "max_by(status, event_id)")]
-_DUCK = [("@BYTES(text)", "strlen(text)"), ("@SHA(text)", "sha256(text)"), ("@DIV", "//"), ("AS STRING", "AS VARCHAR"), ("@LATEST(status, event_id)", "arg_max(status, event_id)")]
+_SPARK = [("@BYTES(text)", "octet_length(text)"), ("@SHA(text)", "sha2(text, 256)"), ("@DIV", "div"), ("@LATEST(status, event_id)", "max_by(status, event_id)")]
+_DUCK = [("array_join(", "array_to_string("), ("@BYTES(text)", "strlen(text)"), ("@SHA(text)", "sha256(text)"), ("@DIV", "//"), ("AS STRING", "AS VARCHAR"), ("@LATEST(status, event_id)", "arg_max(status, event_id)")]
 
 
 def _written(name: str, spark: bool) -> str:
