@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.rules import clean_text, cosine, nocase, occurrences
 from lectern.operators.catalog import is_internal
-from lectern.operators.chunking import CHUNKS, library_chunks, text_sections
+from lectern.operators.chunking import CHUNKS, _WS, library_chunks, text_sections
 from lectern.sources.model import TABLES, cte, query  # noqa: F401
 
 # Words that ranked search ignores.
@@ -228,7 +228,7 @@ QUERIES = {
 }
 
 _QT = f"""qt AS (SELECT question_id, phrase, CASE WHEN len(list_filter(raw, lambda t: NOT list_contains({list(SEARCH_STOP_WORDS)}, t))) > 0 THEN list_filter(raw, lambda t: NOT list_contains({list(SEARCH_STOP_WORDS)}, t)) ELSE raw END AS terms
-  FROM (SELECT question_id, lower(question) AS phrase, regexp_extract_all(lower(question), '[\\p{{L}}\\p{{M}}\\p{{N}}_''-]{{2,}}') AS raw FROM m_questions))""".replace("\\\\", "\\")
+  FROM (SELECT question_id, lower({_WS.format('question')}) AS phrase, regexp_extract_all(lower(question), '[\\p{{L}}\\p{{M}}\\p{{N}}_''-]{{2,}}') AS raw FROM m_questions))""".replace("\\\\", "\\")
 _BASE = CHUNKS + ", " + cte("m_questions").removeprefix("WITH RECURSIVE ") + ", " + _QT
 _RANK = f"""{_BASE}, te AS (SELECT question_id, phrase, unnest(terms) AS t FROM qt), tx AS (SELECT document_id, d.name, lower(d.subject) AS subject, coalesce(locator, 'Stored file') AS locator, lower(coalesce(content, '')) AS low FROM m_docs d LEFT JOIN m_chunks USING (document_id)),
   sc AS (SELECT question_id, document_id, name, locator, any_value(phrase) AS phrase, any_value(low) AS low, sum((length(low) - length(replace(low, t, ''))) // length(t) + 2 * contains(name, t)::INT + contains(subject, t)::INT) AS s, count(DISTINCT t) FILTER (contains(low, t) OR contains(name, t)) AS m FROM tx, te GROUP BY ALL HAVING s > 0 OR m > 0),
