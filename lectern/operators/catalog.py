@@ -1,8 +1,9 @@
 """Catalog operators: subjects, folders, documents, and change jobs on them.
 
 A change job takes a table of requests and gives one row per request with a reason
-where it is rejected. Names compare without the
-case of A-Z, a missing folder is the subject's root.
+where it is rejected; `apply_*` gives the catalog after the accepted ones. Of accepted
+requests that would clash with each other the one of the lowest document applies. Names
+compare without the case of A-Z, a missing folder is the subject's root.
 """
 
 from __future__ import annotations
@@ -165,6 +166,42 @@ def rename_requests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return asked.join(clash, "document_id", "left").select("document_id", "target", reason.alias("reason"))
 
 
+def _first_of(accepted: DataFrame, *clashes: list) -> DataFrame:
+    """Accepted requests without those that an earlier one forbids."""
+    for keys in clashes:
+        accepted = accepted.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("document_id"))).filter("nth = 1").drop("nth")
+    return accepted
+
+
+def apply_renames(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """#81: the documents with their new names; `decided` comes from `rename_requests`."""
+    accepted = decided.filter("reason IS NULL").join(docs.select("document_id", "subject"), "document_id")
+    new = _first_of(accepted, ["subject", nocase("target")]).select("document_id", "target")
+    return docs.join(new, "document_id", "left").withColumn("name", F.coalesce("target", "name")).drop("target")
+
+
+def apply_moves(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """#82: the documents at their new places; `decided` comes from `move_requests`."""
+    accepted = decided.filter("reason IS NULL").join(docs.select("document_id", "name", "digest"), "document_id")
+    new = _first_of(accepted, ["to_subject", "digest"], ["to_subject", nocase("name")]).select("document_id", "to_subject", "to_folder")
+    moved = docs.join(new, "document_id", "left")
+    folder = F.when(F.col("to_subject").isNull(), F.col("folder")).otherwise(F.col("to_folder"))
+    return moved.withColumns({"folder": folder, "subject": F.coalesce("to_subject", "subject")}).drop("to_subject", "to_folder")
+
+
+def apply_replacements(docs: DataFrame, wanted: DataFrame, decided: DataFrame) -> DataFrame:
+    """#84: the documents with their new digests and sizes; `decided` comes from `replace_content` on `wanted`."""
+    accepted = decided.filter("state = 'replaced'").join(wanted, "document_id").join(docs.select("document_id", "subject"), "document_id")
+    new = _first_of(accepted, ["subject", "new_digest"]).select("document_id", "new_digest", "new_size")
+    out = docs.join(new, "document_id", "left")
+    return out.withColumns({"digest": F.coalesce("new_digest", "digest"), "size_bytes": F.coalesce("new_size", "size_bytes")}).drop("new_digest", "new_size")
+
+
+def apply_names(existing: DataFrame, decided: DataFrame) -> DataFrame:
+    """#80: all names after the missing ones were created; `decided` comes from `ensure_names`."""
+    return existing.select("name").distinct().unionByName(decided.filter("state = 'created'").select("name"))
+
+
 def move_requests(docs: DataFrame, folders: DataFrame, wanted: DataFrame) -> DataFrame:
     """#82: (document_id, to_subject, to_folder): rejected for equal content or name there, or an unknown folder."""
     asked = wanted.join(docs.select("document_id", "name", "digest"), "document_id")
@@ -299,7 +336,31 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.expr(_NAMES).alias("name"))
 
 
+def _renames(d: DataFrame) -> DataFrame:
+    return d.filter(_ids(1, 3)).select("document_id", F.expr("CASE document_id % 4 WHEN 0 THEN 'DOC_' || (document_id + 20) || '.txt' WHEN 1 THEN 'fresh' || document_id WHEN 2 THEN 'x.pdf' ELSE name END").alias("new_name"))
+
+
+def _moves(d: DataFrame) -> DataFrame:
+    return d.filter(_ids(2, 5)).select("document_id", F.concat(F.lit("src"), (F.col("document_id") % 20).cast("string")).alias("to_subject"), F.expr("CASE document_id % 3 WHEN 0 THEN 'nowhere' WHEN 1 THEN 'en' END").alias("to_folder"))
+
+
+def _replacements(d: DataFrame) -> DataFrame:
+    return d.filter(_ids(1, 4)).select("document_id", F.expr("CASE document_id % 3 WHEN 0 THEN digest WHEN 1 THEN sha2('x' || document_id, 256) ELSE sha2('same', 256) END").alias("new_digest"), (F.col("document_id") % 5).alias("new_size"))
+
+
+def _names(d: DataFrame) -> DataFrame:
+    return d.select(F.expr("CASE WHEN document_id % 5 = 0 THEN ' ' ELSE upper(coalesce(folder, 'new  one')) END").alias("name"))
+
+
+def _folder_names(f: DataFrame) -> DataFrame:
+    return f.select(F.col("folder").alias("name"))
+
+
 QUERIES = {
+    "renamed_documents": query(lambda d: apply_renames(d, rename_requests(d, _renames(d))).select("document_id", "subject", "name"), "m_docs"),
+    "moved_documents": query(lambda d, f: apply_moves(d, move_requests(d, f, _moves(d))).select("document_id", "subject", "folder"), "m_docs", "m_folders"),
+    "replaced_documents": query(lambda d: apply_replacements(d, _replacements(d), replace_content(d, _replacements(d))).select("document_id", "digest", F.col("size_bytes").cast("long").alias("size_bytes")), "m_docs"),
+    "created_names": query(lambda d, f: apply_names(_folder_names(f), ensure_names(_folder_names(f), _names(d))), "m_docs", "m_folders"),
     "scope_filter": query(lambda d: in_scope(d, "src1", root=True).select("document_id", "name"), "m_docs"),
     "internal_artifacts": query(lambda d: _named(d).select("document_id", "name", is_internal(F.col("name")).alias("internal")), "m_docs"),
     "fingerprints": query(fingerprints, "m_docs"),
@@ -316,12 +377,12 @@ QUERIES = {
     "largest_files": query(largest_files, "m_docs"),
     "artifact_conflicts": query(lambda d: artifact_conflicts(_paths(d.filter(_ids(0, 3))), _paths(d.filter(_ids(0, 2)))), "m_docs"),
     "file_inventory": query(lambda d: inventory(_paths(d.filter(_ids(0, 3))), _paths(d.filter(_ids(0, 2)), 7)), "m_docs"),
-    "rename_documents": query(lambda d: rename_requests(d, d.filter(_ids(1, 3)).select("document_id", F.expr("CASE document_id % 4 WHEN 0 THEN 'DOC_' || (document_id + 20) || '.txt' WHEN 1 THEN 'fresh' || document_id WHEN 2 THEN 'x.pdf' ELSE name END").alias("new_name"))), "m_docs"),
-    "move_documents": query(lambda d, f: move_requests(d, f, d.filter(_ids(2, 5)).select("document_id", F.concat(F.lit("src"), (F.col("document_id") % 20).cast("string")).alias("to_subject"), F.expr("CASE document_id % 3 WHEN 0 THEN 'nowhere' WHEN 1 THEN 'en' END").alias("to_folder"))), "m_docs", "m_folders"),
+    "rename_documents": query(lambda d: rename_requests(d, _renames(d)), "m_docs"),
+    "move_documents": query(lambda d, f: move_requests(d, f, _moves(d)), "m_docs", "m_folders"),
     "delete_subjects": query(lambda d: delete_subjects(d, d.filter("subject LIKE 'src1%'").select("subject").distinct()), "m_docs"),
     "delete_folders": query(lambda d, f: delete_folders(d, f.filter("folder IN ('de', 'fr')").select("subject", "folder", (F.col("folder") == "de").alias("with_content"))), "m_docs", "m_folders"),
-    "replace_content": query(lambda d: replace_content(d, d.filter(_ids(1, 4)).select("document_id", F.expr("CASE document_id % 3 WHEN 0 THEN digest WHEN 1 THEN sha2('x' || document_id, 256) ELSE sha2('same', 256) END").alias("new_digest"), (F.col("document_id") % 5).alias("new_size"))), "m_docs"),
-    "ensure_names": query(lambda d, f: ensure_names(f.select(F.col("folder").alias("name")), d.select(F.expr("CASE WHEN document_id % 5 = 0 THEN ' ' ELSE upper(coalesce(folder, 'new  one')) END").alias("name"))), "m_docs", "m_folders"),
+    "replace_content": query(lambda d: replace_content(d, _replacements(d)), "m_docs"),
+    "ensure_names": query(lambda d, f: ensure_names(_folder_names(f), _names(d)), "m_docs", "m_folders"),
     "content_provenance": query(lambda d: content_provenance(d, _jobs_of(d)), "m_docs"),
     "run_matches": query(lambda d: run_matches(_runs(d), d), "m_docs"),
     "request_routes": query(lambda d: d.select("document_id", is_change_request(F.expr(_REQUEST)).alias("is_change")), "m_docs"),
@@ -379,3 +440,15 @@ ORACLES = {
     "share_index": f"""{_D}, r AS (SELECT subject, coalesce(folder, '') AS f, 1 AS kind, lower(name) AS k, '- [' || name || '](' || subject || '/' || name || ') · ' || {_SIZE.format("size_bytes")} AS line FROM m_docs
       UNION ALL SELECT DISTINCT subject, folder, 0, '', '### ' || folder FROM m_docs WHERE folder IS NOT NULL) SELECT subject, '## ' || subject || chr(10) || string_agg(line, chr(10) ORDER BY f, kind, k, line) AS markdown FROM r GROUP BY subject""",
 }
+
+# The catalog after the accepted requests.
+ORACLES |= {
+    "renamed_documents": f"""{_D} SELECT d.document_id, d.subject, coalesce(r.target, d.name) AS name FROM m_docs d LEFT JOIN (SELECT q.document_id, q.target FROM ({ORACLES["rename_documents"]}) q JOIN m_docs m USING (document_id) WHERE reason IS NULL
+      QUALIFY row_number() OVER (PARTITION BY m.subject, {_LOW.format("q.target")} ORDER BY q.document_id) = 1) r USING (document_id)""",
+    "moved_documents": f"""{_DF}, a AS (SELECT q.*, m.digest, m.name FROM ({ORACLES["move_documents"]}) q JOIN m_docs m USING (document_id) WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY to_subject, m.digest ORDER BY q.document_id) = 1),
+      b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY to_subject, name ORDER BY document_id) = 1)
+      SELECT document_id, coalesce(to_subject, subject) AS subject, CASE WHEN to_subject IS NULL THEN folder ELSE to_folder END AS folder FROM m_docs LEFT JOIN b USING (document_id)""",
+    "replaced_documents": f"""{_D}, r AS (SELECT q.document_id, CASE q.document_id % 3 WHEN 1 THEN sha256('x' || q.document_id) ELSE sha256('same') END AS new_digest FROM ({ORACLES["replace_content"]}) q JOIN m_docs m USING (document_id) WHERE state = 'replaced' QUALIFY row_number() OVER (PARTITION BY m.subject, new_digest ORDER BY q.document_id) = 1)
+      SELECT document_id, coalesce(new_digest, digest) AS digest, CASE WHEN new_digest IS NULL THEN size_bytes ELSE document_id % 5 END::BIGINT AS size_bytes FROM m_docs LEFT JOIN r USING (document_id)""",
+    "created_names": f"""{_DF} SELECT DISTINCT folder AS name FROM m_folders UNION ALL SELECT name FROM ({ORACLES["ensure_names"]}) WHERE state = 'created'""",
+}
