@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.rules import clean_text
-from lectern.operators.align import _anchored, source_coverage
+from lectern.functions.rules import clean_text, suffix
+from lectern.operators.align import _anchored, backtracks, coverage_diff, source_coverage
 from lectern.sources.model import cte, query
 
 VERSION = 2
+# Endings of recordings, and the files that a lecture with one consists of.
+RECORDINGS = (".m4a", ".mp3", ".wav", ".flac", ".ogg", ".opus", ".aac", ".mp4", ".mov", ".webm", ".m4v", ".mkv")
+PORTABLE = ("slides.json", "slide_summaries.json", "alignment.json", "transcript.json", "transcript.txt")
 
 
 def batch_digests(rows: DataFrame, version: int = VERSION, settings: str = "") -> DataFrame:
@@ -43,22 +46,56 @@ def provenance_backfill(notes: DataFrame, coverage: DataFrame) -> DataFrame:
     return both.filter(differs).select("lecture", "slide", F.col("slide_evidence").alias("has_slide"), F.col("teacher_audio").alias("has_audio"), F.lit(True).alias("reconstructed"))
 
 
-def integrity_audit(files: DataFrame, disk: DataFrame, alignment: DataFrame, slides: DataFrame) -> DataFrame:
-    """#98: violations (level, rule, subject of the complaint), one query per rule."""
+def file_audit(files: DataFrame, disk: DataFrame) -> DataFrame:
+    """#98: violations (level, rule, what) of stored files, one query per rule."""
     both = files.join(disk.select("path", F.col("size_bytes").alias("found_size"), F.col("digest").alias("found_digest"), "head"), "path", "left")
-    say = lambda df, level, rule: df.select(F.lit(level).alias("level"), F.lit(rule).alias("rule"), F.col("path").alias("what"))
-    known = slides.select("lecture", "slide").distinct()
-    lost = alignment.join(known, ["lecture", "slide"], "left_anti").select("lecture", "slide").distinct()
+    say = lambda df, rule: _said(df, "error", rule, F.col("path"))
     return (
-        say(both.filter("found_size IS NULL"), "error", "missing file")
-        .unionByName(say(both.filter("found_size <> size_bytes"), "error", "size"))
-        .unionByName(say(both.filter("found_size = size_bytes AND found_digest <> digest"), "error", "digest"))
-        .unionByName(say(both.filter("head LIKE 'version https://git-lfs%'"), "error", "pointer file"))
-        .unionByName(say(both.filter(F.col("path").rlike(r"(^|/)\.\.(/|$)")), "error", "path escape"))
-        .unionByName(lost.select(F.lit("warning").alias("level"), F.lit("unknown slide").alias("rule"), F.concat_ws("/", F.col("lecture").cast("string"), F.col("slide").cast("string")).alias("what")))
+        say(both.filter("found_size IS NULL"), "missing file")
+        .unionByName(say(both.filter("found_size <> size_bytes"), "size"))
+        .unionByName(say(both.filter("found_size = size_bytes AND found_digest <> digest"), "digest"))
+        .unionByName(say(both.filter("head LIKE 'version https://git-lfs%'"), "pointer file"))
+        .unionByName(say(both.filter(F.col("path").rlike(r"(^|/)\.\.(/|$)")), "path escape"))
     )
 
 
+def folder_audit(docs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """#98: files that a folder with results lacks, and folders with a recording that have no results at all.
+
+    `artifacts` holds (subject, folder, artifact). A folder without a recording needs its notes only.
+    """
+    place = ["subject", "folder"]
+    what = F.concat_ws("/", *place)
+    folders = docs.filter("folder IS NOT NULL").groupBy(*place).agg(F.bool_or(suffix(F.col("name")).isin(*RECORDINGS)).alias("recorded"))
+    built = artifacts.select(*place).distinct()
+    needed = F.explode(F.when(F.col("recorded"), F.array(*map(F.lit, PORTABLE))).otherwise(F.array(F.lit("slide_summaries.json")))).alias("artifact")
+    lost = folders.join(built, place, "left_semi").select(*place, needed).join(artifacts, [*place, "artifact"], "left_anti")
+    none = folders.filter("recorded").join(built, place, "left_anti")
+    return _said(lost, "error", "missing artifact", F.concat_ws("/", *place, "artifact")).unionByName(_said(none, "error", "no artifacts", what))
+
+
+def lecture_audit(alignment: DataFrame, slides: DataFrame, notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """#98: violations of a lecture's results: notes that do not cover its deck once each, empty notes, alignments to nothing or backwards."""
+    known, place = slides.select("lecture", "slide").distinct(), F.concat_ws("/", "lecture", "slide")
+    decks = slides.select("lecture").distinct()
+    uncovered = coverage_diff(slides, notes).join(decks, "lecture", "left_semi").select("lecture").distinct()
+    empty = notes.filter(clean_text("note") == "").select("lecture", "slide").distinct()
+    unknown = alignment.join(decks, "lecture", "left_semi").join(known, ["lecture", "slide"], "left_anti").select("lecture", "slide").distinct()
+    unheard = alignment.join(paragraphs.select("lecture", "paragraph"), ["lecture", "paragraph"], "left_anti").select("lecture", "paragraph").distinct()
+    back = backtracks(alignment).select("lecture").distinct()
+    return (
+        _said(uncovered, "error", "slide set", F.col("lecture").cast("string"))
+        .unionByName(_said(empty, "error", "empty note", place))
+        .unionByName(_said(unknown, "error", "unknown slide", place))
+        .unionByName(_said(unheard, "error", "unknown paragraph", F.concat_ws("/", "lecture", "paragraph")))
+        .unionByName(_said(back, "warning", "backwards", F.col("lecture").cast("string")))
+    )
+
+
+def _said(rows: DataFrame, level: str, rule: str, what) -> DataFrame:
+    return rows.select(F.lit(level).alias("level"), F.lit(rule).alias("rule"), what.alias("what"))
+
+
 def _batched(s: DataFrame) -> DataFrame:
     return s.withColumn("batch", F.floor(F.col("segment") / 3))
 
@@ -78,7 +115,14 @@ def _files(d: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _audit(d: DataFrame, s: DataFrame) -> DataFrame:
-    return integrity_audit(*_files(d), _anchored(s).withColumn("slide", F.when(F.col("paragraph") % 23 == 1, F.col("slide") + 50).otherwise(F.col("slide"))), s)
+    """Files, folders and lectures with planted faults."""
+    alignment = _anchored(s).withColumn("slide", F.when(F.col("paragraph") % 23 == 1, F.col("slide") + 50).otherwise(F.col("slide")))
+    # Lectures with odd numbers have a note for every slide, half of the others lack some.
+    notes = s.filter("lecture % 2 = 1 OR length(content) >= 1000").select("lecture", "slide", F.when(F.col("title").contains("7"), " ").otherwise("note").alias("note"))
+    paragraphs = s.select("lecture", F.explode(F.sequence(F.col("slide") * 3, F.col("slide") * 3 + 1)).alias("paragraph"))
+    named = d.withColumn("name", F.when(F.col("document_id") % 8 == 1, F.concat("name", F.lit(".M4A"))).otherwise(F.col("name")))
+    artifacts = d.filter("folder IS NOT NULL").select("subject", "folder", F.element_at(F.array(*map(F.lit, PORTABLE)), (F.col("document_id") % 5 + 1).cast("int")).alias("artifact")).filter("subject NOT LIKE '%3'").distinct()
+    return file_audit(*_files(d)).unionByName(folder_audit(named, artifacts)).unionByName(lecture_audit(alignment, s, notes, paragraphs))
 
 
 def _provenance(s: DataFrame) -> DataFrame:
@@ -107,7 +151,15 @@ ORACLES = {
     "provenance_backfill": f"""{_L}, {_AN}, c AS (SELECT s.lecture, s.slide, trim(title) NOT IN ('', 'slide', 'Slide ' || s.slide, s.slide::VARCHAR) OR trim(content) <> '' AS a, EXISTS (FROM an WHERE an.lecture = s.lecture AND an.slide = s.slide AND trim(text) <> '') AS b FROM m_slides s)
       SELECT lecture, slide, a AS has_slide, b AS has_audio, true AS reconstructed FROM c WHERE a <> (slide % 2 = 0) OR b IS DISTINCT FROM CASE WHEN slide % 3 > 0 THEN true END""",
     "integrity_audit": f"""{cte("m_docs", "m_slides")}, f AS (SELECT document_id AS i, CASE WHEN document_id % 97 = 0 THEN '../' ELSE '' END || 'files/' || name AS path, size_bytes FROM m_docs),
-      al AS (SELECT lecture, CASE WHEN p % 23 = 1 THEN s + 50 ELSE s END AS slide FROM (SELECT lecture, p, CASE WHEN p % 17 = 5 THEN greatest(1, slide - 2) ELSE slide END AS s FROM (SELECT lecture, slide, unnest(range(slide * 3, slide * 3 + 3)) AS p FROM m_slides WHERE slide % 4 <> 3)))
+      al AS (SELECT lecture, p, CASE WHEN p % 23 = 1 THEN s + 50 ELSE s END AS slide, CASE WHEN p % 3 < lecture % 4 THEN 'temporal_fallback' WHEN lecture % 2 = 0 AND p % 17 = 5 THEN 'spoken_reference' ELSE 'semantic' END AS method FROM (SELECT lecture, p, CASE WHEN p % 17 = 5 THEN greatest(1, slide - 2) ELSE slide END AS s FROM (SELECT lecture, slide, unnest(range(slide * 3, slide * 3 + 3)) AS p FROM m_slides WHERE slide % 4 <> 3)))
       SELECT 'error' AS level, 'missing file' AS rule, path AS what FROM f WHERE i % 50 = 3 UNION ALL SELECT 'error', 'size', path FROM f WHERE i % 50 <> 3 AND i % 60 = 7 AND size_bytes <> 1 UNION ALL SELECT 'error', 'digest', path FROM f WHERE i % 50 <> 3 AND i % 45 = 2 AND (i % 60 <> 7 OR size_bytes = 1)
-      UNION ALL SELECT 'error', 'pointer file', path FROM f WHERE i % 50 <> 3 AND i % 80 = 9 UNION ALL SELECT 'error', 'path escape', path FROM f WHERE i % 97 = 0 UNION ALL SELECT DISTINCT 'warning', 'unknown slide', lecture || '/' || slide FROM al WHERE (lecture, slide) NOT IN (SELECT (lecture, slide) FROM m_slides)""",
+      UNION ALL SELECT 'error', 'pointer file', path FROM f WHERE i % 50 <> 3 AND i % 80 = 9 UNION ALL SELECT 'error', 'path escape', path FROM f WHERE i % 97 = 0 UNION ALL SELECT DISTINCT 'error', 'unknown slide', lecture || '/' || slide FROM al WHERE (lecture, slide) NOT IN (SELECT (lecture, slide) FROM m_slides)
+      UNION ALL SELECT 'error', 'slide set', lecture::VARCHAR FROM m_slides GROUP BY lecture HAVING lecture % 2 = 0 AND bool_or(length(content) < 1000)
+      UNION ALL SELECT 'error', 'empty note', lecture || '/' || slide FROM m_slides WHERE (lecture % 2 = 1 OR length(content) >= 1000) AND contains(title, '7')
+      UNION ALL SELECT DISTINCT 'error', 'unknown paragraph', lecture || '/' || p FROM al WHERE p % 3 = 2
+      UNION ALL SELECT DISTINCT 'warning', 'backwards', lecture::VARCHAR FROM (SELECT lecture, method, slide < lag(slide) OVER (PARTITION BY lecture ORDER BY p) AS back FROM al) WHERE back AND method <> 'spoken_reference'
+      UNION ALL SELECT 'error', CASE WHEN artifact IS NULL THEN 'no artifacts' ELSE 'missing artifact' END, concat_ws('/', subject, folder, artifact) FROM (
+        SELECT subject, folder, CASE WHEN subject NOT LIKE '%3' THEN unnest(CASE WHEN recorded THEN names ELSE ['slide_summaries.json'] END) END AS artifact, recorded, have FROM (
+          SELECT subject, folder, bool_or(document_id % 8 = 1) AS recorded, list(DISTINCT document_id % 5) AS have, {list(PORTABLE)} AS names FROM m_docs WHERE folder IS NOT NULL GROUP BY ALL))
+        WHERE CASE WHEN artifact IS NULL THEN recorded ELSE NOT list_contains(have, list_position({list(PORTABLE)}, artifact) - 1) END GROUP BY ALL""",
 }
