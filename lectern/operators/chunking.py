@@ -85,14 +85,20 @@ def index_documents(docs: DataFrame) -> DataFrame:
 
 
 def source_documents(slides: DataFrame, paragraphs: DataFrame, alignment: DataFrame) -> DataFrame:
-    """#42: tagged retrieval chunks of slides and transcript paragraphs; alignment columns where there is one."""
-    part = lambda label, c: F.when(clean_text(c) != "", F.concat(F.lit(label), F.col(c)))
+    """#42: tagged retrieval chunks of slides and transcript paragraphs with their times; how a paragraph was aligned, where it was.
+
+    `visual_text` of a slide is an array of what was recognised in its images, or null.
+    """
+    part = lambda label, c: F.when(clean_text(c) != "", F.concat(F.lit(label), c))
     head = F.concat(F.lit("Slide "), F.col("slide").cast("string"), F.lit(": "), F.coalesce("title", F.lit("")))
-    text = F.concat_ws("\n", head, part("", "content"), part("Speaker notes: ", "notes"))
+    text = F.concat_ws("\n", head, part("", F.col("content")), part("Speaker notes: ", F.col("notes")), part("Text detected in diagrams/images: ", F.array_join("visual_text", " ")))
     a = chunked(slides.select("lecture", "slide", text.alias("text")), *RETRIEVAL)
     a = a.select("lecture", F.concat(F.lit("slide-"), F.col("slide"), F.lit("-chunk-"), F.col("piece")).alias("id"), F.lit("slide").alias("source"), F.col("slide").cast("long").alias("slide_number"), "piece", "content")
-    b = chunked(paragraphs.select("lecture", "paragraph", "text"), *RETRIEVAL).join(alignment.select("lecture", "paragraph", F.col("slide").cast("long").alias("aligned_slide")), ["lecture", "paragraph"], "left")
-    b = b.select("lecture", F.concat(F.lit("transcript-"), F.col("paragraph"), F.lit("-chunk-"), F.col("piece")).alias("id"), F.lit("transcript").alias("source"), "aligned_slide", "piece", "content")
+    mapped = alignment.select("lecture", "paragraph", F.col("slide").cast("long").alias("aligned_slide"), F.col("method").alias("alignment_method"), F.col("confidence").cast("double").alias("alignment_confidence"))
+    spoken = paragraphs.select("lecture", "paragraph", F.coalesce("start_s", F.lit(0.0)).alias("start_s"), F.coalesce("end_s", F.lit(0.0)).alias("end_s")).join(mapped, ["lecture", "paragraph"], "left")
+    b = chunked(paragraphs.select("lecture", "paragraph", "text"), *RETRIEVAL).join(spoken, ["lecture", "paragraph"])
+    name = F.concat(F.lit("transcript-"), F.col("paragraph"), F.lit("-chunk-"), F.col("piece"))
+    b = b.select("lecture", name.alias("id"), F.lit("transcript").alias("source"), F.col("paragraph").cast("long").alias("paragraph"), "start_s", "end_s", "aligned_slide", "alignment_method", "alignment_confidence", "piece", "content")
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -174,8 +180,10 @@ def narration_chunks(docs: DataFrame, limit: int = 320) -> DataFrame:
 
 
 def _slides(slides: DataFrame, segments: DataFrame) -> DataFrame:
-    paragraphs = segments.select((F.col("lecture") % 20).alias("lecture"), (F.col("lecture") * 100 + F.col("segment")).alias("paragraph"), "text")
-    return source_documents(slides, paragraphs, paragraphs.filter("paragraph % 3 = 0").select("lecture", "paragraph", (F.col("paragraph") % 5 + 1).alias("slide")))
+    seen = slides.withColumn("visual_text", F.when(F.col("notes") == "", F.array("title", F.lit("axis"))))
+    paragraphs = segments.select((F.col("lecture") % 20).alias("lecture"), (F.col("lecture") * 100 + F.col("segment")).alias("paragraph"), "text", (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), "role")
+    mapped = paragraphs.filter("role <> 'user'").select("lecture", "paragraph", (F.col("paragraph") % 5 + 1).alias("slide"), F.lit("semantic").alias("method"), (F.col("paragraph") % 4 / 4).alias("confidence"))
+    return source_documents(seen, paragraphs, mapped)
 
 
 _D, _S = cte("m_docs"), cte("m_segments")
@@ -223,15 +231,15 @@ QUERIES = {
     "narration_chunks": query(lambda d: narration_chunks(d), "m_docs"),
 }
 
-_PARAGRAPHS = "pp AS (SELECT lecture % 20 AS lecture, lecture * 100 + segment AS paragraph, text FROM m_segments)"
+_PARAGRAPHS = "pp AS (SELECT lecture % 20 AS lecture, lecture * 100 + segment AS paragraph, text, start_ms / 1000 AS start_s, end_ms / 1000 AS end_s, role FROM m_segments)"
 ORACLES = {
     "library_chunks": f"{CHUNKS} SELECT * FROM m_chunks",
     "index_documents": f"{CHUNKS} SELECT document_id, CASE WHEN text IS NULL THEN 'extraction_failed' WHEN n > 0 THEN 'indexed' ELSE 'stored' END AS status, coalesce(n, 0) AS n_chunks, CASE WHEN text IS NULL THEN 'no text' END AS error FROM m_docs LEFT JOIN (SELECT document_id, count(*) AS n FROM m_chunks GROUP BY document_id) USING (document_id)",
     "source_documents": f"""{cte("m_slides", "m_segments")}, {_PARAGRAPHS},
-      s1 AS (SELECT lecture, slide, {_WS.format("concat_ws(chr(10), 'Slide ' || slide || ': ' || coalesce(title, ''), CASE WHEN " + _WS.format('content') + " <> '' THEN content END, CASE WHEN " + _WS.format('notes') + " <> '' THEN 'Speaker notes: ' || notes END)")} AS t FROM m_slides), {chunk_cte("s1", "lecture, slide", 900, 140, "c1")},
+      s1 AS (SELECT lecture, slide, {_WS.format("concat_ws(chr(10), 'Slide ' || slide || ': ' || coalesce(title, ''), CASE WHEN " + _WS.format('content') + " <> '' THEN content END, CASE WHEN " + _WS.format('notes') + " <> '' THEN 'Speaker notes: ' || notes END, CASE WHEN notes = '' THEN 'Text detected in diagrams/images: ' || title || ' axis' END)")} AS t FROM m_slides), {chunk_cte("s1", "lecture, slide", 900, 140, "c1")},
       s2 AS (SELECT lecture, paragraph, {_WS.format("text")} AS t FROM pp), {chunk_cte("s2", "lecture, paragraph", 900, 140, "c2")}
-      SELECT lecture, 'slide-' || slide || '-chunk-' || piece AS id, 'slide' AS source, slide AS slide_number, piece, content, NULL::BIGINT AS aligned_slide FROM c1
-      UNION ALL SELECT lecture, 'transcript-' || paragraph || '-chunk-' || piece, 'transcript', NULL, piece, content, CASE WHEN paragraph % 3 = 0 THEN paragraph % 5 + 1 END FROM c2""",
+      SELECT lecture, 'slide-' || slide || '-chunk-' || piece AS id, 'slide' AS source, slide AS slide_number, NULL::BIGINT AS paragraph, NULL::DOUBLE AS start_s, NULL::DOUBLE AS end_s, piece, content, NULL::BIGINT AS aligned_slide, NULL AS alignment_method, NULL::DOUBLE AS alignment_confidence FROM c1
+      UNION ALL SELECT lecture, 'transcript-' || paragraph || '-chunk-' || piece, 'transcript', NULL, paragraph, start_s, end_s, piece, content, CASE WHEN role <> 'user' THEN paragraph % 5 + 1 END, CASE WHEN role <> 'user' THEN 'semantic' END, CASE WHEN role <> 'user' THEN paragraph % 4 / 4 END FROM c2 JOIN pp USING (lecture, paragraph)""",
     "cleanup_batches": f"{_S}, {_fold('m_segments', 'lecture', 'segment', 'length(text) + 120', 2000)} SELECT lecture, segment, batch FROM f",
     "block_batches": f"{_S}, fit AS (SELECT * FROM m_segments WHERE length(text) <= 1000), {_fold('fit', 'lecture', 'segment', 'length(text)', 1000)} SELECT lecture, segment, batch FROM f UNION ALL SELECT lecture, segment, -1 FROM m_segments WHERE length(text) > 1000",
     "markdown_batches": f"""{_D}, bl AS (SELECT document_id, unnest(b) AS b, generate_subscripts(b, 1) AS i FROM (SELECT document_id, regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\n\\s*\\n') AS b FROM m_docs)),
