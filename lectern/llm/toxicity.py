@@ -2,7 +2,8 @@
 
 Features of a text are the distinct hashes of its words, of its adjacent word pairs
 and of its pairs with one word skipped. Training visits a bounded, balanced sample
-of labelled texts (at most about TRAIN_PER_CLASS of each class); every coordinate
+of labelled texts (of each class at most about TRAIN_PER_CLASS texts and at most
+SAMPLE_BYTES together, none of them longer than LONGEST); every coordinate
 has its own learning rate, and L1 keeps only the weights that matter, so the model
 that tasks receive is a short list of (index, weight).
 
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm._spark import split_by, table, texts
@@ -26,6 +27,7 @@ from lectern.llm._text import U, Slice, mix, slices
 
 BITS = 20
 TRAIN_PER_CLASS = 4000
+SAMPLE_BYTES, LONGEST = 24 << 20, 1 << 18
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.05
 THRESHOLD = 0.7
@@ -90,10 +92,14 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     if not share:
         return model.sparse()
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
-    # The share bounds the sample, so this side of the join is small at any size.
-    chosen = texts(docs).join(F.broadcast(known.filter(pick)), "doc_id").select("doc_id", "text", "toxic")
+    # The share bounds the sample, so this side of the join is small at any size, and so is what is ranked.
+    chosen = texts(docs).join(F.broadcast(known.filter(pick)), "doc_id").select("doc_id", "text", "toxic").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    size = chosen.groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    drawn = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = size.withColumn("drawn", drawn).filter(F.col("drawn") <= SAMPLE_BYTES).select("doc_id")
+    chosen = chosen.join(F.broadcast(fits), "doc_id", "left_semi")
     rows = chosen.mapInArrow(_vectors, "doc_id long, toxic int, features binary").collect()
-    rows.sort(key=lambda r: r["doc_id"])
+    rows.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
     vectors = [(np.append(np.frombuffer(r["features"], dtype="<i4"), 1 << BITS).astype(np.int64), r["toxic"]) for r in rows]
     rng = np.random.default_rng(3)
     for _ in range(EPOCHS):
