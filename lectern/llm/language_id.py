@@ -51,7 +51,8 @@ def windows(s: Slice, per_row: int | None = None) -> tuple[np.ndarray, np.ndarra
 def gather(s: Slice, start: np.ndarray, held: np.ndarray) -> np.ndarray:
     at = start[:, None] + np.arange(WINDOW)
     inside = np.arange(WINDOW) < held[:, None]
-    return np.where(inside, s.data[np.minimum(at, len(s.data) - 1)], PAD).astype(np.int32)
+    # The padding does not fit a byte.
+    return np.where(inside, s.data[np.minimum(at, len(s.data) - 1)].astype(np.int32), PAD)
 
 
 class ByteCnn:

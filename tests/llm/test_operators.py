@@ -269,6 +269,92 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def plain_ftrl(rows, order):
+    """Weights by the published update, one coordinate at a time; coordinate -1 is the bias, which L1 leaves alone."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        l1 = 0 if i == -1 else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 and i != -1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for k in order:
+        found, label = rows[k]
+        w = {i: weight(i) for i in [*found, -1]}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for i, v in w.items():
+            rate = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+            z[i] += g - rate * v
+            n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def plain_features(text):
+    return set(toxicity.features(next(slices(pa.array([text or ""]))))[1].tolist())
+
+
+def test_toxicity_equals_a_plain_learner(spark):
+    rows = [(i, f"{'you awful person ' if i % 3 == 0 else 'kind words '}number {i % 7} here {'and there ' * (i % 5)}") for i in range(120)]
+    made = documents(spark, rows)
+    labels = made.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("toxic"))
+    # The repeated row of the table is learned from twice.
+    vectors = [(plain_features(t), int(i % 3 == 0)) for i, t in [rows[0], *rows]]
+    rng = np.random.default_rng(3)
+    w = plain_ftrl(vectors, [k for _ in range(toxicity.EPOCHS) for k in rng.permutation(len(vectors))])
+    assert any(v for i, v in w.items() if i != -1)
+    got = {r.doc_id: r.score for r in toxicity.score(made, toxicity.train(made, labels)).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-sum(w.get(f, 0) for f in [*plain_features(t), -1]))), abs=1e-5)
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.Ftrl, "learn", lambda self, i, y: seen.append((len(i), y)))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)
+    monkeypatch.setattr(toxicity, "LONGEST", 300)
+    made = documents(spark, [(i, f"w{i} " * (200 if i % 10 == 9 else 20)) for i in range(200)])
+    labels = made.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    toxicity.train(made, labels)
+    for label in (0, 1):
+        assert 2000 // 100 - 2 <= sum(y == label for _, y in seen) // toxicity.EPOCHS <= 2000 // 60
+
+
+def test_toxicity_of_ties_repeated_rows_and_a_very_long_text(spark):
+    long = "calm words " * 50_000
+    made = documents(spark, [(1, "awful grob"), (1, "awful grob"), (2, "calm words"), (3, long), (4, None)])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (9, 1)], "doc_id long, toxic int")
+    got = [(r.doc_id, r.score) for r in toxicity.score(made, toxicity.train(made, labels)).collect()]
+    assert sorted(d for d, _ in got) == [1, 1, 1, 2, 3, 4]  # the first row of these tables comes twice
+    assert len({s for d, s in got if d == 1}) == 1 and all(0 <= s <= 1 for _, s in got)
+
+
+def test_language_id_equals_a_plain_forward_pass(spark):
+    rows = [(i, ("the cat sat on the mat " if i % 2 else "le chat est sur le tapis ") * (1 + i % 30)) for i in range(60)] + [(60, "x"), (61, "le chat est sur le tapis " * 2000)]
+    made = documents(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "fr").otherwise("en"))
+    model = language_id.train(made.filter("doc_id < 60"))
+    p, widths = model.p, np.repeat(language_id.WIDTHS, language_id.FILTERS)
+    wide, size = max(language_id.WIDTHS), language_id.WINDOW
+
+    def plain(window):
+        x = [*window, *[language_id.PAD] * (size - len(window))]
+        emb = [p["emb"][b] for b in x]
+        top = []
+        for f, width in enumerate(widths):
+            kernel = p["conv"][: width * language_id.DIM, f]
+            top.append(max(0.0, max(float(np.concatenate(emb[at : at + width]) @ kernel) for at in range(size - wide + 1)) + float(p["bias"][f])))
+        out = np.exp(np.array(top) @ p["out"] + p["base"])
+        return out / out.sum()
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(made, model).collect()}
+    for i, t in [rows[0], rows[1], rows[58], rows[60]]:
+        data = t.encode()
+        s = next(slices(pa.array([t])))
+        start, _, held = language_id.windows(s)
+        assert sum(held) == len(data)
+        share = sum(plain(s.data[a : a + n].tolist()) * n for a, n in zip(start, held, strict=True)) / len(data)
+        assert got[i] == (model.labels[int(share.argmax())], pytest.approx(share.max(), abs=1e-4))
+    assert got[61][0] == "fr"
+
+
 def test_lm_scoring(docs, empty):
     held = F.col("doc_id") % 4 == 0
     got = lm_scoring.score_documents(docs, held).collect()
