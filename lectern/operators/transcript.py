@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.rules import clean_text, clock
+from lectern.operators.search import words_with_terms
 from lectern.sources.model import cte, query
 
 GAP_MS, PARAGRAPH_CHARS = 2750, 900
@@ -157,11 +158,9 @@ def focus_cues(questions: DataFrame, cues: DataFrame, most: int = 12) -> DataFra
     """#30: per question the cue that contains most of its terms of three letters or more; the earliest on a tie."""
     terms = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"([a-z0-9]{3,})"), 1)), 1, most)
     asked = questions.select("question_id", F.explode(terms).alias("term"))
-    vocabulary = asked.select("term").distinct()
     # Terms meet the cues' own words of which they are a part, so only words are compared, once each.
     words = cues.select("lecture", "segment", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9]+"))).alias("word"))
-    match = words.select("word").distinct().join(F.broadcast(vocabulary), F.expr("contains(word, term)")).distinct()
-    hits = words.join(match, "word").select("lecture", "segment", "term").distinct().join(asked, "term")
+    hits = words.join(words_with_terms(words, asked), "word").select("lecture", "segment", "term").distinct().join(asked, "term")
     n = hits.groupBy("question_id", "lecture", "segment").agg(F.count("*").alias("hits"))
     best = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("hits"), "lecture", "segment"))
     return n.withColumn("place", best).filter("place = 1").select("question_id", "lecture", "segment", "hits")
@@ -255,7 +254,7 @@ ORACLES = {
       SELECT *, retained >= 0.55 * words AND clean_chars / raw_chars BETWEEN 0.45 AND 1.65 AS passed FROM s JOIN z USING (lecture)""".replace("\\\\", "\\"),
     "cue_lookup": f"{_S}, {_CUES} SELECT * FROM c",
     "active_cue_changes": f"{_S}, {_CUES}, l AS (SELECT *, lag(segment) OVER (PARTITION BY lecture ORDER BY t_ms) AS b FROM c) SELECT lecture, t_ms, segment FROM l WHERE segment IS DISTINCT FROM b",
-    "focus_cues": f"""{cte("m_questions", "m_segments")}, t AS (SELECT DISTINCT question_id, unnest(list_slice(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]{{3,}}')), 1, 12)) AS term FROM m_questions),
+    "focus_cues": f"""{cte("m_questions", "m_segments")}, t AS (SELECT question_id, unnest(list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 12)) AS term FROM (SELECT question_id, regexp_extract_all(lower(question), '[a-z0-9]{{3,}}') AS w FROM m_questions)),
       h AS (SELECT question_id, lecture, segment, count(*) AS hits FROM t JOIN m_segments ON contains(lower(text), term) GROUP BY ALL) SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY hits DESC, lecture, segment) = 1""",
     "truncated_narration": f"{_S} SELECT lecture, count(*) AS segments, count(*) FILTER ((end_ms - start_ms) / 1000.0 < greatest(0.18, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_''][\\p{{L}}\\p{{M}}\\p{{N}}_'']*')) * 60 / 175 * 0.42)) AS short_segments FROM m_segments GROUP BY lecture",
     "transcript_text": f"{_S} SELECT lecture, string_agg('[' || {_SEC('start_ms')} || '–' || {_SEC('end_ms')} || '] ' || trim({_WS}), chr(10) || chr(10) ORDER BY segment) AS text FROM m_segments WHERE trim({_WS}) <> '' GROUP BY lecture",
