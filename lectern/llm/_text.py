@@ -20,6 +20,10 @@ _LOWER[65:91] += 32
 _SOLID = np.ones(256, dtype=bool)
 _SOLID[[0x20, *range(0x09, 0x0E)]] = False
 
+#: Digits, letters and all bytes of characters beyond ASCII.
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
 _SEED = U(0x9C1F3A75D2E84B63)
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U)
 

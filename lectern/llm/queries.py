@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import byte_bpe, exact_dedup, language_id, lm_scoring, ngram_join, packing, quality_rules, suffix_dedup, toxicity, url_filters
+from lectern.llm import byte_bpe, exact_dedup, language_id, lm_scoring, ngram_join, packing, quality_rules, resampling, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_resampling": resampling.op11_resampling,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op9_url_filters": url_filters.OP9_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
+    "op11_resampling": resampling.OP11_SQL,
 }
