@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import byte_bpe, exact_dedup, language_id, lm_scoring, ngram_join, packing, quality_rules, resampling, suffix_dedup, toxicity, url_filters
+from lectern.llm import byte_bpe, exact_dedup, fingerprints, language_id, lm_scoring, ngram_join, packing, quality_rules, ranked_retrieval, resampling, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_resampling": resampling.op11_resampling,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
+    "op13_ranked_search": ranked_retrieval.op13_ranked_search,
 }
 
 ORACLES = {
@@ -23,4 +25,5 @@ ORACLES = {
     "op9_url_filters": url_filters.OP9_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
     "op11_resampling": resampling.OP11_SQL,
+    "op13_ranked_search": ranked_retrieval.OP13_SQL,
 }
