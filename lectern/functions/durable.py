@@ -3,21 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` computed once and written to the folder of `spark.checkpoint.dir`, so that a lost executor does not repeat what led to it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`. A cluster has to name one; a local master without one takes a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="lectern-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: computed once, and later reads take only the columns that they need."""
+    path = f"{shared_folder(df.sparkSession)}/lectern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    A cluster has to name that folder; a local master without one takes a temporary folder.
-    """
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df` computed once and written to the folder of `spark.checkpoint.dir`, so that a lost executor does not repeat what led to it."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="lectern-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

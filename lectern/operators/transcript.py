@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.rules import clean_text, clock
-from lectern.operators.search import words_with_terms
+from lectern.functions.rules import clean_text, clock, words_with_terms
 from lectern.sources.model import cte, query
 
 GAP_MS, PARAGRAPH_CHARS = 2750, 900

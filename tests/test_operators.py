@@ -84,7 +84,7 @@ def test_search_ranks_and_finds_by_name(spark):
     docs = spark.createDataFrame([(1, "maths", "graphs.txt"), (2, "law", "empty_graphs.bin"), (3, "law", "other.txt")], "document_id long, subject string, name string")
     chunks = spark.createDataFrame([(1, 1, "Text", "Graphs and graphs"), (3, 1, "Text", "nothing")], "document_id long, ordinal int, locator string, content string")
     q = spark.createDataFrame([(1, "what are graphs"), (2, "the what")], "question_id long, question string")
-    got = search.ranked_search(q, chunks, docs).orderBy("question_id", "place").collect()
+    got = search.ranked_search(q, search.indexed(chunks, docs)).orderBy("question_id", "place").collect()
     assert [(r.question_id, r.document_id, r.locator) for r in got][:2] == [(1, 1, "Text"), (1, 2, "Stored file")]
     assert got[0].score == 4.5
 
