@@ -48,6 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.order import numbered
 from lectern.llm._components import components
 from lectern.llm._spark import Scratch, fresh, table, texts
 from lectern.llm._text import U, Slice, grams, mix, signed, slices
@@ -352,9 +353,23 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its group of near copies."""
-    gone = jaccard_components(docs, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias(name := fresh(docs, "gone"))).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    """One row of each group of near copies: the one with the smallest doc_id.
+
+    Of several texts with one doc_id, all but the first by digest are nodes of their own, numbered beyond all
+    ids, so that each text is kept or dropped for itself. Rows that are equal in both
+    are kept or dropped together; rows without doc_id stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    light = texts(docs).filter("doc_id IS NOT NULL").select("doc_id", digest.alias("digest")).distinct()
+    several = light.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).filter("first < last")
+    others = scratch.keep(light.join(several, "doc_id").filter("digest > first").select("doc_id", "digest"), "others")
+    beyond = texts(docs).agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long")).first()[0]
+    id_, digest_, node = (fresh(docs, c) for c in ("id", "digest", "node"))
+    own = numbered(others, ["doc_id", "digest"], "n", lambda df: scratch.keep(df, "own")).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest_), (F.col("n") + beyond).alias(node))
+    rows = docs.join(own, (docs["doc_id"] == own[id_]) & (digest == own[digest_]), "left").withColumn(node, F.coalesce(node, docs["doc_id"].cast("long")))
+    gone = jaccard_components(rows.select(F.col(node).alias("doc_id"), "text"), percent).filter("component_id <> doc_id").select(F.col("doc_id").alias(lost := fresh(rows, "lost"))).distinct()
+    return rows.join(gone, F.col(node) == F.col(lost), "left_anti").select(*(docs[c] for c in docs.columns))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
