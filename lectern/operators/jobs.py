@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.durable import durable
+from lectern.functions.durable import durable, written
+from lectern.functions.order import numbered_within
+from lectern.operators import automaton
 from lectern.sources.model import cte, query
 
-FINAL = ("completed", "failed", "cancelled")
 # Progress at the start of each stage, and where counted steps end.
 STAGE_BASE = {"preflight": 2, "cleanup": 62, "slides": 70, "alignment": 74, "quality": 78, "rag": 82, "notes": 84, "summary": 96, "translation": 5, "export": 98, "complete": 100}
 STAGE_STEPS = {"recording": (5, 55, 60), "cleanup": (60, 8, 68), "notes": (84, 12, 96), "translation": (5, 90, 95)}
@@ -16,8 +17,8 @@ STAGE_STEPS = {"recording": (5, 55, 60), "cleanup": (60, 8, 68), "notes": (84, 1
 
 def queue_order(jobs: DataFrame) -> DataFrame:
     """#69: queued jobs by priority, then age."""
-    place = F.row_number().over(Window.partitionBy("kind").orderBy("priority", "created", "job_id"))
-    return jobs.filter("status = 'queued'").select("job_id", "kind", place.alias("place"))
+    queued = jobs.filter("status = 'queued'").select("kind", "priority", "created", "job_id")
+    return numbered_within(queued, ["kind"], ["priority", "created", "job_id"], "place", written).select("job_id", "kind", F.col("place").cast("int").alias("place"))
 
 
 def display_order(jobs: DataFrame, limit: int = 50) -> DataFrame:
@@ -64,22 +65,21 @@ def pending_models(jobs: DataFrame, needs: DataFrame, present: DataFrame) -> Dat
     return n.join(present.select(plain("model").alias("model")).distinct(), "model", "left_anti")
 
 
+#: What a translation request must have in common with a job to use its result.
+REQUEST_FIELDS = ("source_job_id", "target_language", "slide_number", "source_explanation", "source_slide_content")
+
+
 def reusable_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
-    """#37: for each request the newest job, not failed, with equal fields; nulls are equal."""
-    usable = jobs.filter("status <> 'failed'").select("kind", F.col("source_job_id").alias("s"), "priority", "job_id", "created")
-    same = (requests["kind"] == usable["kind"]) & requests["source_job_id"].eqNullSafe(usable["s"]) & (requests["priority"] == usable["priority"])
+    """#37: for each translation request the newest translation, neither failed nor cancelled, of the same source, language, slide and texts; nulls are equal."""
+    usable = jobs.filter("kind = 'translation'").filter(F.col("status").isin("queued", "waiting", "running", "deferred", "completed"))
+    usable = usable.select("job_id", "created", *(F.col(c).alias(f"_{c}") for c in REQUEST_FIELDS))
+    same = F.lit(True)
+    for c in REQUEST_FIELDS:
+        same = same & requests[c].eqNullSafe(usable[f"_{c}"])
     found = requests.join(usable, same).groupBy("request_id").agg(F.max_by("job_id", F.struct("created", "job_id")).alias("job_id"))
     return requests.select("request_id").join(found, "request_id", "left")
 
 
-def current_state(events: DataFrame) -> DataFrame:
-    """#86: state of each job from its history: final states stay, others follow the latest event."""
-    done = F.min(F.when(F.col("status").isin(*FINAL), F.struct("event_id", "status")))
-    last = F.max_by(F.struct("event_id", "status"), "event_id")
-    state = events.groupBy("job_id").agg(F.coalesce(done, last).alias("x"), F.max("progress").alias("progress"), F.count("*").alias("n_events"))
-    return state.select("job_id", F.col("x.status").alias("status"), F.col("x.event_id").alias("since"), "progress", "n_events")
-
-
 def stage_progress(messages: DataFrame) -> DataFrame:
     """#87: percent from a stage and a message such as `(3/7)` or `3/7 chunks complete`."""
     base = F.coalesce(*[F.when(F.col("stage") == s, v) for s, v in STAGE_BASE.items()], F.when(F.col("stage") == "recording", 5), F.lit(1))
@@ -89,13 +89,6 @@ def stage_progress(messages: DataFrame) -> DataFrame:
     return messages.select("event_id", F.coalesce(F.when(k.isNotNull(), steps), base).alias("percent"))
 
 
-def recovered(jobs: DataFrame) -> DataFrame:
-    """#92: after a restart running and waiting jobs are deferred, with a message that tells which."""
-    lost = F.col("status").isin("running", "waiting")
-    message = F.when(F.col("status") == "running", "interrupted while running").when(F.col("status") == "waiting", "interrupted while waiting")
-    return jobs.select("job_id", F.when(lost, "deferred").otherwise(F.col("status")).alias("status"), message.alias("message"))
-
-
 def backfilled_events(jobs: DataFrame, events: DataFrame) -> DataFrame:
     """#93: one synthetic event for every job without history."""
     return jobs.join(events.select("job_id").distinct(), "job_id", "left_anti").select("job_id", "status", F.concat(F.lit("backfilled: "), "status").alias("message"))
@@ -132,7 +125,34 @@ def _manifest(docs: DataFrame) -> DataFrame:
     return docs.select(d.alias("run_id"), part(2, "transcript"), part(3, "slides"), part(5, "notes"))
 
 
+def _translations(jobs: DataFrame) -> DataFrame:
+    """Jobs with the fields of translation requests, many of them equal."""
+    j = F.col("job_id")
+    text = lambda n, name: F.when(j % n > 0, F.concat(F.lit(name + " "), (j % n).cast("string")))
+    return jobs.select(
+        "job_id", "kind", "status", (F.col("created") % 97).alias("created"), (F.col("source_job_id") % 5).alias("source_job_id"), F.when(j % 2 == 0, "fr").otherwise("de").alias("target_language"),
+        F.when(j % 3 > 0, (j % 2).cast("int")).alias("slide_number"), text(2, "explanation").alias("source_explanation"), text(3, "content").alias("source_slide_content"),
+    )
+
+
+def _requests(events: DataFrame) -> DataFrame:
+    """Events as requests, with some to cancel, defer and resume among them."""
+    e = F.col("event_id")
+    request = F.when(e % 11 == 0, "cancel").when(e % 13 == 0, "defer").when(e % 7 == 0, "resume").when(e % 17 == 0, "deferred").when(e % 5 == 0, "running").otherwise(F.col("status"))
+    return events.select("job_id", "event_id", request.alias("request"), "progress")
+
+
+def _stopped(jobs: DataFrame) -> DataFrame:
+    return jobs.select("job_id", "status", (F.col("job_id") % 4 == 0).alias("defer_requested"), (F.col("n_events") % 100).cast("int").alias("progress"))
+
+
 _J, _E = cte("m_jobs"), cte("m_events")
+_LEGAL = ", ".join(f"({i}, '{r}', {n})" for (i, r), n in automaton.NEXT.items())
+_NAMED = ", ".join(f"({i}, {'NULL' if s == 'none' else repr(s)}, {c}, {d})" for i, (s, c, d) in enumerate(automaton.STATES))
+_FOLD = f"""{_E}, tr(b, r, a) AS (VALUES {_LEGAL}), st(i, status, c, d) AS (VALUES {_NAMED}),
+      o AS (SELECT job_id, event_id, progress, row_number() OVER (PARTITION BY job_id ORDER BY event_id) AS k, CASE WHEN event_id % 11 = 0 THEN 'cancel' WHEN event_id % 13 = 0 THEN 'defer' WHEN event_id % 7 = 0 THEN 'resume' WHEN event_id % 17 = 0 THEN 'deferred' WHEN event_id % 5 = 0 THEN 'running' ELSE status END AS request FROM m_events),
+      f AS (SELECT job_id, k, event_id, request, progress, {automaton.NONE} AS b, a, coalesce(a, {automaton.NONE}) AS s FROM o LEFT JOIN tr ON tr.b = {automaton.NONE} AND r = request WHERE k = 1 UNION ALL
+        SELECT o.job_id, o.k, o.event_id, o.request, o.progress, f.s, tr.a, coalesce(tr.a, f.s) FROM f JOIN o ON o.job_id = f.job_id AND o.k = f.k + 1 LEFT JOIN tr ON tr.b = f.s AND tr.r = o.request)"""
 _STAGES = [*STAGE_BASE, "recording", "other"]
 
 QUERIES = {
@@ -142,10 +162,12 @@ QUERIES = {
     "latest_reviews": query(lambda j: latest_reviews(j.filter("kind <> 'lecture'").withColumn("slide", F.col("job_id") % 4).withColumn("source_job_id", F.col("source_job_id") % 10)), "m_jobs"),
     "job_lineage": query(lineage, "m_jobs"),
     "pending_models": query(lambda j: pending_models(j, *_needs(j)), "m_jobs"),
-    "request_reuse": query(lambda j: reusable_requests(j.select(F.col("job_id").alias("request_id"), "kind", (F.col("source_job_id") - 0).alias("source_job_id"), "priority"), j.withColumn("created", F.col("created") % 97)), "m_jobs"),
-    "job_state": query(current_state, "m_events"),
+    "request_reuse": query(lambda j: reusable_requests(_translations(j).drop("kind", "status", "created").withColumnRenamed("job_id", "request_id"), _translations(j)), "m_jobs"),
+    "job_state": query(lambda e: automaton.current_state(_requests(e)), "m_events"),
+    "rejected_events": query(lambda e: automaton.rejected_events(_requests(e)), "m_events"),
     "stage_progress": query(lambda e: stage_progress(_messages(e)), "m_events"),
-    "restart_recovery": query(recovered, "m_jobs"),
+    "restart_recovery": query(lambda j: automaton.recovered(_stopped(j)), "m_jobs"),
+    "recovery_events": query(lambda j: automaton.recovery_events(_stopped(j)), "m_jobs"),
     "event_backfill": query(lambda j, e: backfilled_events(j, e.filter("job_id % 5 <> 0")), "m_jobs", "m_events"),
     "json_payloads": query(lambda e: parsed_payloads(e.withColumn("data", F.when(F.col("event_id") % 9 == 0, "{broken").otherwise(F.col("data")))), "m_events"),
     "manifest_unpivot": query(lambda d: unpivoted_manifest(_manifest(d)), "m_docs"),
@@ -158,13 +180,19 @@ ORACLES = {
     "latest_reviews": f"{_J} SELECT source_job_id % 10 AS source_job_id, job_id % 4 AS slide, arg_max(job_id, created) AS job_id FROM m_jobs WHERE kind <> 'lecture' GROUP BY 1, 2",
     "job_lineage": f"{_J}, up AS (SELECT job_id, subject, source_job_id AS nxt, 0 AS steps FROM m_jobs UNION ALL SELECT u.job_id, j.subject, j.source_job_id, u.steps + 1 FROM up u JOIN m_jobs j ON u.nxt = j.job_id WHERE u.subject IS NULL) SELECT job_id, max(subject) AS subject, max(CASE WHEN subject IS NOT NULL THEN steps END) AS steps FROM up GROUP BY job_id",
     "pending_models": f"{_J} SELECT model, count(*) AS n_jobs FROM m_jobs JOIN (VALUES ('lecture', 'embed'), ('review', 'judge:7b')) n(kind, model) USING (kind) WHERE status IN ('queued', 'running', 'waiting') GROUP BY model",
-    "request_reuse": f"{_J} SELECT job_id AS request_id, (SELECT arg_max(k.job_id, (k.created % 97, k.job_id)) FROM m_jobs k WHERE k.status <> 'failed' AND k.kind = j.kind AND k.source_job_id IS NOT DISTINCT FROM j.source_job_id AND k.priority = j.priority) AS job_id FROM m_jobs j",
-    "job_state": f"""{_E}, d AS (SELECT job_id, min(event_id) FILTER (status IN ('completed', 'failed', 'cancelled')) AS f, max(event_id) AS l, max(progress) AS progress, count(*) AS n_events FROM m_events GROUP BY job_id)
-      SELECT d.job_id, e.status, e.event_id AS since, d.progress, n_events FROM d JOIN m_events e ON e.event_id = coalesce(f, l)""",
+    "request_reuse": f"""{_J}, t AS (SELECT job_id, kind, status, created % 97 AS created, source_job_id % 5 AS src, CASE WHEN job_id % 2 = 0 THEN 'fr' ELSE 'de' END AS lang, CASE WHEN job_id % 3 > 0 THEN job_id % 2 END AS slide,
+        CASE WHEN job_id % 2 > 0 THEN 'explanation ' || job_id % 2 END AS e, CASE WHEN job_id % 3 > 0 THEN 'content ' || job_id % 3 END AS c FROM m_jobs)
+      SELECT job_id AS request_id, (SELECT arg_max(k.job_id, (k.created, k.job_id)) FROM t k WHERE k.kind = 'translation' AND k.status NOT IN ('failed', 'cancelled') AND k.src IS NOT DISTINCT FROM j.src AND k.lang = j.lang
+        AND k.slide IS NOT DISTINCT FROM j.slide AND k.e IS NOT DISTINCT FROM j.e AND k.c IS NOT DISTINCT FROM j.c) AS job_id FROM t j""",
+    "job_state": f"""{_FOLD} SELECT job_id, any_value(z.status) AS status, any_value(z.c) AS cancel_requested, any_value(z.d) AS defer_requested, max(event_id) FILTER (a IS NOT NULL AND p.status IS DISTINCT FROM n.status) AS since, max(progress) FILTER (a IS NOT NULL) AS progress, count(*) AS n_events, count(*) FILTER (a IS NULL) AS n_rejected
+      FROM f JOIN st p ON p.i = f.b JOIN st n ON n.i = f.s JOIN (SELECT job_id, arg_max(s, k) AS e FROM f GROUP BY job_id) g USING (job_id) JOIN st z ON z.i = g.e GROUP BY job_id""",
+    "rejected_events": f"{_FOLD} SELECT job_id, event_id, request, status, c AS cancel_requested, d AS defer_requested FROM f JOIN st ON st.i = f.b WHERE a IS NULL",
     "stage_progress": f"""{_E}, m AS (SELECT event_id, ({_STAGES})[event_id % 13 + 1] AS stage, event_id % 5 <> 0 AS counted, event_id % 11 AS k, greatest(1, event_id % 7) AS n FROM m_events)
       SELECT event_id, CASE WHEN counted AND stage = 'recording' THEN least(60, 5 + round_even(55 * k / n, 0)::INT) WHEN counted AND stage = 'cleanup' THEN least(68, 60 + round_even(8 * k / n, 0)::INT) WHEN counted AND stage = 'notes' THEN least(96, 84 + round_even(12 * k / n, 0)::INT)
         WHEN counted AND stage = 'translation' THEN least(95, 5 + round_even(90 * k / n, 0)::INT) WHEN stage = 'recording' THEN 5 ELSE coalesce(({list(STAGE_BASE.values())})[list_position({list(STAGE_BASE)}, stage)], 1) END AS percent FROM m""",
-    "restart_recovery": f"{_J} SELECT job_id, CASE WHEN status IN ('running', 'waiting') THEN 'deferred' ELSE status END AS status, CASE status WHEN 'running' THEN 'interrupted while running' WHEN 'waiting' THEN 'interrupted while waiting' END AS message FROM m_jobs",
+    "restart_recovery": f"""{_J} SELECT job_id, CASE WHEN status IN ('running', 'waiting') THEN 'deferred' ELSE status END AS status, job_id % 4 = 0 AND status NOT IN ('running', 'waiting') AS defer_requested,
+      CASE WHEN status IN ('running', 'waiting') THEN CASE WHEN job_id % 4 = 0 THEN '{automaton.STOPPED}' ELSE '{automaton.MOVED}' END END AS message FROM m_jobs""",
+    "recovery_events": f"{_J} SELECT job_id, 'warning' AS level, 'deferred' AS status, (n_events % 100)::INT AS progress, CASE WHEN job_id % 4 = 0 THEN '{automaton.STOPPED_EVENT}' ELSE '{automaton.MOVED_EVENT}' END AS message FROM m_jobs WHERE status IN ('running', 'waiting')",
     "event_backfill": f"{_J} SELECT job_id, status, 'backfilled: ' || status AS message FROM m_jobs WHERE job_id % 5 = 0",
     "json_payloads": f"{_E} SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN (data->>'$.k')::INT END AS k, CASE WHEN event_id % 9 = 0 THEN '{{}}' ELSE data END AS data FROM m_events",
     "manifest_unpivot": f"{cte('m_docs')} SELECT document_id AS run_id, unnest(['transcript', 'slides', 'notes']) AS role, unnest([CASE WHEN document_id % 2 > 0 THEN 'transcript/' || document_id ELSE '' END, CASE WHEN document_id % 3 > 0 THEN 'slides/' || document_id ELSE '' END, CASE WHEN document_id % 5 > 0 THEN 'notes/' || document_id ELSE '' END]) AS path FROM m_docs",
