@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.durable import written
+from lectern.functions.order import numbered, numbered_within
 from lectern.functions.rules import byte_size, nocase, suffix
 from lectern.sources.model import cte, query
 
@@ -57,8 +59,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def listing(docs: DataFrame, folders: DataFrame) -> DataFrame:
     """#21: every document with its folder's name, empty at the root, newest first per subject."""
     f = folders.select("subject", "folder", F.concat(F.lit("folder "), "folder").alias("folder_name"))
-    rank = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("document_id")))
-    return docs.join(f, ["subject", "folder"], "left").select("document_id", "subject", "name", F.coalesce("folder_name", F.lit("")).alias("folder_name"), rank.alias("place"))
+    rows = docs.join(f, ["subject", "folder"], "left").select("document_id", "subject", "name", F.coalesce("folder_name", F.lit("")).alias("folder_name"))
+    return numbered_within(rows, ["subject"], [F.desc("document_id")], "place", written).withColumn("place", F.col("place").cast("int"))
 
 
 def duplicate_content(docs: DataFrame) -> DataFrame:
@@ -81,11 +83,27 @@ def related_documents(docs: DataFrame) -> DataFrame:
     return docs.join(place, same).select("document_id", (F.col("n") - 1).alias("n_related"), "first_id")
 
 
+#: Artifacts of a lecture, and what their names hold.
+ARTIFACT_TOKENS = {"slides": ("slides", "extracted"), "summaries": ("slide", "summaries"), "alignment": ("alignment",)}
+
+
+def related_artifacts(docs: DataFrame, tokens: dict[str, tuple[str, ...]] = ARTIFACT_TOKENS) -> DataFrame:
+    """#26: for each document and kind of artifact the newest document beside it whose name has all tokens of the kind; null where there is none."""
+    key = F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "_"))
+    holds = lambda words: F.forall(F.array(*map(F.lit, words)), lambda w: F.contains(key, w))
+    kinds = F.filter(F.array(*(F.when(holds(words), kind) for kind, words in tokens.items())), lambda k: k.isNotNull())
+    found = docs.select("subject", "folder", "document_id", F.explode(kinds).alias("kind")).groupBy("subject", "folder", "kind").agg(F.max("document_id").alias("artifact_id"))
+    asked = docs.select("document_id", F.col("subject").alias("s"), F.col("folder").alias("f"), F.explode(F.array(*map(F.lit, tokens))).alias("k"))
+    same = asked["s"].eqNullSafe(found["subject"]) & asked["f"].eqNullSafe(found["folder"]) & (asked["k"] == found["kind"])
+    return asked.join(found, same, "left").select("document_id", F.col("k").alias("kind"), "artifact_id")
+
+
 def subject_counts(docs: DataFrame, folders: DataFrame) -> DataFrame:
     """#58: documents per folder, empty folders included, ordered by count."""
     n = docs.filter("folder IS NOT NULL").groupBy("subject", "folder").agg(F.count("*").alias("n"))
     out = folders.join(n, ["subject", "folder"], "left").select("subject", "folder", F.coalesce("n", F.lit(0)).cast("long").alias("n_documents"))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("n_documents"), nocase("folder"))))
+    keyed = out.withColumn("key", nocase("folder"))
+    return numbered_within(keyed, ["subject"], [F.desc("n_documents"), "key"], "place", written).drop("key").withColumn("place", F.col("place").cast("int"))
 
 
 def explorer_counts(docs: DataFrame) -> DataFrame:
@@ -121,14 +139,41 @@ def _with_kind(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", "subject", "folder", kind.alias("kind"))
 
 
-def deck_flags(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """#17: whether a file is a slide deck: ppt and pptx always; pdf by name or by page count."""
+#: What a run puts before the names of its stored inputs.
+STORED_PREFIXES = ("slides_", "recording_")
+
+
+def deck_flags(docs: DataFrame, pages: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """#17: whether a file is a slide deck: ppt and pptx always; pdf with slides by name, as an input of its own run, or by page count.
+
+    `sources` holds (document_id, stored_name) of the inputs of the run that a document comes from.
+    """
     key = F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "_")
-    pdf = (F.col("ext") == ".pdf") & (F.col("n_slides") > 0) & ~F.lower("name").contains("notes") & (key.contains("slides") | (F.col("n_pages") == F.col("n_slides")))
     joined = docs.withColumn("ext", suffix(F.col("name"))).join(pages, "document_id", "left").fillna(0, ["n_pages", "n_slides"])
+    if sources is None:
+        joined = joined.withColumn("source", F.lit(False))
+    else:
+        stored = F.lower("stored_name")
+        plain = F.coalesce(*(F.when(F.startswith(stored, F.lit(p)), F.substring(stored, len(p) + 1, F.length(stored))) for p in STORED_PREFIXES), stored)
+        names = sources.select("document_id", F.explode(F.array_distinct(F.array(stored, plain))).alias("low")).distinct().withColumn("source", F.lit(True))
+        joined = joined.withColumn("low", F.lower("name")).join(names, ["document_id", "low"], "left").fillna(False, ["source"])
+    pdf = (F.col("ext") == ".pdf") & (F.col("n_slides") > 0) & ~F.lower("name").contains("notes") & (key.contains("slides") | F.col("source") | (F.col("n_pages") == F.col("n_slides")))
     return joined.select("document_id", "name", (F.col("ext").isin(".ppt", ".pptx") | pdf).alias("is_deck"))
 
 
+# Beyond which a shared file is large, and beyond which it is refused unless large files are tracked.
+LARGE_BYTES, BLOCKED_BYTES = 50 * 1024 * 1024, 100 * 1024 * 1024
+
+
+def sharing_summary(files: DataFrame, large: int = LARGE_BYTES, blocked: int = BLOCKED_BYTES) -> DataFrame:
+    """#65: files (path, size_bytes, origin, tracked) per origin and, as `all`, of all origins with each path once; a tracked file is never refused."""
+    refused = (F.col("size_bytes") > blocked) & ~F.coalesce("tracked", F.lit(False))
+    total = F.sum("size_bytes").cast("long")
+    figures = (F.count("*").alias("files"), total.alias("bytes"), F.count_if(F.col("size_bytes") > large).alias("large"), F.count_if(refused).alias("blocked"), byte_size(total).alias("label"))
+    once = files.groupBy("path").agg(F.max("size_bytes").alias("size_bytes"), F.bool_or(F.coalesce("tracked", F.lit(False))).alias("tracked"))
+    return files.groupBy("origin").agg(*figures).unionByName(once.withColumn("origin", F.lit("all")).groupBy("origin").agg(*figures))
+
+
 def storage_summary(docs: DataFrame, large: int, blocked: int) -> DataFrame:
     """#65: per subject, sizes and how many files are large or too large."""
     total = F.sum("size_bytes").cast("long")
@@ -221,9 +266,9 @@ def delete_subjects(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def delete_folders(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """#83: (subject, folder, with_content): documents go along if asked for, else they move to the root."""
-    marked = docs.join(gone, ["subject", "folder"], "left")
-    return marked.filter("NOT coalesce(with_content, false)").select("document_id", "subject", F.when(F.col("with_content").isNull(), F.col("folder")).alias("folder"))
+    """#83: (subject, folder, with_content): documents go along if that is asked for; else a folder that holds some stays."""
+    asked = gone.filter("with_content").select("subject", "folder").distinct()
+    return docs.join(asked, ["subject", "folder"], "left_anti").select("document_id", "subject", "folder")
 
 
 def replace_content(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -251,24 +296,32 @@ def content_provenance(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     return docs.join(found, "document_id", "left").select("document_id", "job_id")
 
 
-def run_matches(runs: DataFrame, docs: DataFrame) -> DataFrame:
-    """#8: runs whose recording and deck both resolve to one subject and folder; the later run wins there."""
-    d = docs.select("digest", "subject", "folder").distinct()
-    a = runs.join(d.withColumnRenamed("digest", "recording_digest"), "recording_digest")
+# Files without which a run is not exported.
+REQUIRED_FILES = ("slides.json", "slide_summaries.json", "alignment.json", "transcript.json")
+
+
+def run_matches(runs: DataFrame, docs: DataFrame, files: DataFrame) -> DataFrame:
+    """#8: runs that have all required files (run_id, name) and whose recording and deck both resolve to one subject and folder; the later run wins there."""
+    whole = files.filter(F.col("name").isin(*REQUIRED_FILES)).groupBy("run_id").agg(F.count_distinct("name").alias("n")).filter(F.col("n") == len(REQUIRED_FILES)).select("run_id")
+    d = docs.filter("folder IS NOT NULL").select("digest", "subject", "folder").distinct()
+    a = runs.join(whole, "run_id", "left_semi").join(d.withColumnRenamed("digest", "recording_digest"), "recording_digest")
     b = d.select(F.col("digest").alias("deck_digest"), F.col("subject").alias("s"), F.col("folder").alias("f"))
-    both = a.join(b, "deck_digest").filter("subject = s AND folder <=> f")
+    both = a.join(b, "deck_digest").filter("subject = s AND folder = f")
     return both.groupBy("subject", "folder").agg(F.max("run_id").alias("run_id"))
 
 
 def share_index(docs: DataFrame) -> DataFrame:
-    """#12: the catalog as Markdown, one text per subject: root documents first, then folders by name."""
+    """#12: the catalog as numbered Markdown lines: subjects by name, in each the root's documents first, then folders by name.
+
+    Lines are ordered where they lie, so a subject of any size spreads over partitions; `write_lines` keeps the order.
+    """
     label = F.regexp_replace("name", r"([\\\[\]])", r"\\$1")
     line = F.concat(F.lit("- ["), label, F.lit("]("), F.col("subject"), F.lit("/"), F.col("name"), F.lit(") · "), byte_size(F.col("size_bytes")))
-    rows = docs.select("subject", F.coalesce("folder", F.lit("")).alias("f"), F.lit(1).alias("kind"), F.lower("name").alias("k"), line.alias("line"))
-    heads = docs.filter("folder IS NOT NULL").select("subject", F.col("folder").alias("f"), F.lit(0), F.lit(""), F.concat(F.lit("### "), "folder")).distinct()
-    listed = F.array_sort(F.collect_list(F.struct("f", "kind", "k", "line")))
-    body = F.array_join(F.transform(listed, lambda x: x["line"]), "\n")
-    return rows.union(heads).groupBy("subject").agg(F.concat(F.lit("## "), F.col("subject"), F.lit("\n"), body).alias("markdown"))
+    rows = docs.select("subject", F.coalesce("folder", F.lit("")).alias("f"), F.lit(2).alias("kind"), F.lower("name").alias("k"), line.alias("line"))
+    heads = docs.filter("folder IS NOT NULL").select("subject", F.col("folder").alias("f"), F.lit(1), F.lit(""), F.concat(F.lit("### "), "folder")).distinct()
+    titles = docs.select("subject", F.lit("").alias("f"), F.lit(0), F.lit(""), F.concat(F.lit("## "), "subject")).distinct()
+    lines = rows.union(heads).union(titles)
+    return numbered(lines, ["subject", "f", "kind", "k", "line"], "line_number", written).select("line_number", "line")
 
 
 def is_change_request(text):
@@ -298,6 +351,27 @@ def _paths(docs: DataFrame, shift: int = 0) -> DataFrame:
     return docs.select(F.concat(F.when(n % 50 == 0, "../").otherwise(""), F.lit("f"), (n % 400).cast("string")).alias("path"), "digest").groupBy("path").agg(F.min("digest").alias("digest"))
 
 
+def _with_artifact_names(docs: DataFrame) -> DataFrame:
+    name = F.expr("CASE document_id % 17 WHEN 0 THEN 'Week 1 Slides-Extracted.json' WHEN 1 THEN 'slide summaries v' || document_id % 3 || '.json' WHEN 2 THEN 'alignment.json' ELSE name END")
+    return docs.select("document_id", "subject", "folder", name.alias("name"))
+
+
+def _stored_names(docs: DataFrame) -> DataFrame:
+    return _named(docs).select("document_id", F.when(F.col("document_id") % 2 == 0, F.concat(F.lit("Slides_"), F.upper("name"))).otherwise(F.concat(F.lit("x_"), "name")).alias("stored_name"))
+
+
+def _shared_files(docs: DataFrame) -> DataFrame:
+    d = F.col("document_id")
+    origin = F.when(d % 5 == 0, "loose").when(d % 101 == 0, "generated").otherwise("library")
+    return docs.select(F.concat(F.lit("f"), (d % 700).cast("string")).alias("path"), (F.col("size_bytes") * 4000).alias("size_bytes"), origin.alias("origin"), (d % 3 == 0).alias("tracked"))
+
+
+def _run_files(docs: DataFrame) -> DataFrame:
+    """Files of runs; some runs lack one."""
+    name = F.explode(F.array(*map(F.lit, (*REQUIRED_FILES, "transcript.txt")))).alias("name")
+    return docs.select(F.col("document_id").alias("run_id"), name).filter("NOT (run_id % 5 = 0 AND name = 'alignment.json')")
+
+
 def _ids(rest: int, of: int):
     return F.col("document_id") % of == rest
 
@@ -384,7 +458,10 @@ QUERIES = {
     "replace_content": query(lambda d: replace_content(d, _replacements(d)), "m_docs"),
     "ensure_names": query(lambda d, f: ensure_names(_folder_names(f), _names(d)), "m_docs", "m_folders"),
     "content_provenance": query(lambda d: content_provenance(d, _jobs_of(d)), "m_docs"),
-    "run_matches": query(lambda d: run_matches(_runs(d), d), "m_docs"),
+    "run_matches": query(lambda d: run_matches(_runs(d), d, _run_files(d)), "m_docs"),
+    "related_artifacts": query(lambda d: related_artifacts(_with_artifact_names(d)), "m_docs"),
+    "sharing_summary": query(lambda d: sharing_summary(_shared_files(d)), "m_docs"),
+    "deck_sources": query(lambda d: deck_flags(_named(d), d.filter(~_ids(0, 4)).select("document_id", (F.col("document_id") % 7 + 1).alias("n_pages"), (F.col("document_id") % 2 + 1).alias("n_slides")), _stored_names(d)), "m_docs"),
     "request_routes": query(lambda d: d.select("document_id", is_change_request(F.expr(_REQUEST)).alias("is_change")), "m_docs"),
     "checked_plans": query(lambda d: checked_plans(d.selectExpr(*_PLAN), d, d), "m_docs"),
     "share_index": query(share_index, "m_docs"),
@@ -424,21 +501,30 @@ ORACLES = {
       SELECT document_id, to_subject, to_folder, CASE WHEN to_folder IS NOT NULL AND NOT EXISTS (FROM m_folders f WHERE f.subject = to_subject AND f.folder = to_folder) THEN 'folder'
         WHEN EXISTS (FROM m_docs d WHERE d.subject = to_subject AND d.document_id <> w.document_id AND d.digest = w.digest) THEN 'content' WHEN EXISTS (FROM m_docs d WHERE d.subject = to_subject AND d.document_id <> w.document_id AND d.name = w.name) THEN 'name' END AS reason FROM w""",
     "delete_subjects": f"{_D} SELECT document_id, subject, folder FROM m_docs WHERE NOT starts_with(subject, 'src1')",
-    "delete_folders": f"{_D} SELECT document_id, subject, CASE WHEN folder <> 'fr' THEN folder END AS folder FROM m_docs WHERE folder IS NULL OR folder <> 'de'",
+    "delete_folders": f"{_D} SELECT document_id, subject, folder FROM m_docs WHERE folder IS NULL OR folder <> 'de'",
     "replace_content": f"""{_D}, w AS (SELECT *, CASE document_id % 3 WHEN 0 THEN digest WHEN 1 THEN sha256('x' || document_id) ELSE sha256('same') END AS new_digest, document_id % 5 AS new_size FROM m_docs WHERE document_id % 4 = 1)
       SELECT document_id, CASE WHEN new_size = 0 THEN 'empty' WHEN new_digest = digest THEN 'unchanged' WHEN EXISTS (FROM m_docs d WHERE d.subject = w.subject AND d.digest = w.new_digest AND d.document_id <> w.document_id) THEN 'duplicate' ELSE 'replaced' END AS state FROM w""",
     "ensure_names": f"""{_DF}, w AS (SELECT DISTINCT trim(CASE WHEN document_id % 5 = 0 THEN ' ' ELSE upper(coalesce(folder, 'new one')) END) AS name FROM m_docs), h AS (SELECT DISTINCT folder FROM m_folders)
       SELECT coalesce(folder, name) AS name, CASE WHEN length(name) = 0 THEN 'invalid' WHEN folder IS NOT NULL THEN 'existing' ELSE 'created' END AS state FROM w LEFT JOIN h ON lower(name) = lower(folder)""",
     "content_provenance": f"{_D} SELECT document_id, (SELECT max(j.document_id) FROM m_docs j WHERE j.document_id % 6 <> 0 AND j.document_id % 4 <> 3 AND j.subject = d.subject AND j.digest = d.digest AND j.size_bytes = d.size_bytes) AS job_id FROM m_docs d",
-    "run_matches": f"""{_D}, r AS (SELECT a.document_id AS run_id, a.digest AS x, b.digest AS y FROM m_docs a JOIN m_docs b ON b.document_id = a.document_id + 20 WHERE a.document_id % 3 = 0)
-      SELECT p.subject, p.folder, max(run_id) AS run_id FROM r JOIN m_docs p ON p.digest = x JOIN m_docs q ON q.digest = y AND q.subject = p.subject AND q.folder IS NOT DISTINCT FROM p.folder GROUP BY p.subject, p.folder""",
+    "run_matches": f"""{_D}, r AS (SELECT a.document_id AS run_id, a.digest AS x, b.digest AS y FROM m_docs a JOIN m_docs b ON b.document_id = a.document_id + 20 WHERE a.document_id % 3 = 0 AND a.document_id % 5 <> 0)
+      SELECT p.subject, p.folder, max(run_id) AS run_id FROM r JOIN m_docs p ON p.digest = x JOIN m_docs q ON q.digest = y AND q.subject = p.subject AND q.folder = p.folder GROUP BY p.subject, p.folder""",
+    "related_artifacts": f"""{_D}, n AS (SELECT document_id, subject, folder, trim(regexp_replace(lower(CASE document_id % 17 WHEN 0 THEN 'Week 1 Slides-Extracted.json' WHEN 1 THEN 'slide summaries v' || document_id % 3 || '.json' WHEN 2 THEN 'alignment.json' ELSE name END), '[^a-z0-9]+', '_', 'g')) AS key FROM m_docs),
+      t(kind, a, b) AS (VALUES ('slides', 'slides', 'extracted'), ('summaries', 'slide', 'summaries'), ('alignment', 'alignment', ''))
+      SELECT n.document_id, kind, (SELECT max(o.document_id) FROM n o WHERE o.subject = n.subject AND o.folder IS NOT DISTINCT FROM n.folder AND contains(o.key, a) AND contains(o.key, b)) AS artifact_id FROM n, t""",
+    "sharing_summary": f"""{_D}, s AS (SELECT 'f' || document_id % 700 AS path, size_bytes::BIGINT * 4000 AS n, CASE WHEN document_id % 5 = 0 THEN 'loose' WHEN document_id % 101 = 0 THEN 'generated' ELSE 'library' END AS origin, document_id % 3 = 0 AS tracked FROM m_docs),
+      u AS (SELECT n, origin, tracked FROM s UNION ALL SELECT max(n), 'all', bool_or(tracked) FROM s GROUP BY path), z AS (SELECT origin, count(*) AS files, sum(n)::BIGINT AS bytes, count(*) FILTER (n > {LARGE_BYTES}) AS large, count(*) FILTER (n > {BLOCKED_BYTES} AND NOT tracked) AS blocked FROM u GROUP BY origin)
+      SELECT *, {_SIZE.format("bytes")} AS label FROM z""",
+    "deck_sources": f"""{_D}, n AS (SELECT document_id, {_NAMES} AS name, document_id % 4 <> 0 AS has, document_id % 7 + 1 AS n_pages, document_id % 2 + 1 AS n_slides FROM m_docs)
+      SELECT document_id, name, ends_with(name, '.pptx') OR (ends_with(name, '.pdf') AND has AND NOT contains(lower(name), 'notes') AND (contains(name, 'slides') OR document_id % 2 = 0 OR n_pages = n_slides)) AS is_deck FROM n""",
     "request_routes": f"{_D} SELECT document_id, coalesce(regexp_matches({_REQUEST}, '{CHANGE_REQUEST}', 'i'), false) AS is_change FROM m_docs",
     "checked_plans": f"""{_D}, p AS (SELECT {", ".join(_PLAN)} FROM m_docs)
       SELECT plan_id, action, CASE WHEN action = 'erase' THEN 'unknown action' WHEN action IN ('rename_document', 'move_document') AND document_id NOT IN (SELECT document_id FROM m_docs) THEN 'unknown document'
         WHEN action = 'rename_document' AND trim(new_name) = '' THEN 'no new name' WHEN action IN ('move_document', 'list_documents') AND (action = 'move_document' OR target_subject <> '') AND target_subject NOT IN (SELECT subject FROM m_docs) THEN 'unknown subject'
         WHEN action = 'create_subject' AND subject_name = '' THEN 'no subject name' END AS reason FROM p""",
-    "share_index": f"""{_D}, r AS (SELECT subject, coalesce(folder, '') AS f, 1 AS kind, lower(name) AS k, '- [' || name || '](' || subject || '/' || name || ') · ' || {_SIZE.format("size_bytes")} AS line FROM m_docs
-      UNION ALL SELECT DISTINCT subject, folder, 0, '', '### ' || folder FROM m_docs WHERE folder IS NOT NULL) SELECT subject, '## ' || subject || chr(10) || string_agg(line, chr(10) ORDER BY f, kind, k, line) AS markdown FROM r GROUP BY subject""",
+    "share_index": f"""{_D}, r AS (SELECT subject, coalesce(folder, '') AS f, 2 AS kind, lower(name) AS k, '- [' || name || '](' || subject || '/' || name || ') · ' || {_SIZE.format("size_bytes")} AS line FROM m_docs
+      UNION ALL SELECT DISTINCT subject, folder, 1, '', '### ' || folder FROM m_docs WHERE folder IS NOT NULL UNION ALL SELECT DISTINCT subject, '', 0, '', '## ' || subject FROM m_docs)
+      SELECT row_number() OVER (ORDER BY subject, f, kind, k, line) AS line_number, line FROM r""",
 }
 
 # The catalog after the accepted requests.

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.durable import shared_folder
 from lectern.functions.rules import clean_text, suffix
 from lectern.operators.align import _anchored, backtracks, coverage_diff, source_coverage
+from lectern.sources import artifacts
 from lectern.sources.model import cte, query
 
 VERSION = 2
@@ -136,7 +140,28 @@ _WS = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{
 _DG = lambda text, where="": f"SELECT lecture, segment // 3 AS batch, sha256(concat_ws(chr(30), '2', '', string_agg(concat_ws(chr(31), segment, start_ms, end_ms, {_WS.format(text)}), chr(30) ORDER BY segment))) AS digest FROM m_segments {where} GROUP BY 1, 2"
 _AN = """an AS (SELECT lecture, p AS paragraph, CASE WHEN p % 17 = 5 THEN greatest(1, slide - 2) ELSE slide END AS slide, CASE WHEN p % 5 = 0 THEN ' ' ELSE 'said' END AS text FROM (SELECT lecture, slide, unnest(range(slide * 3, slide * 3 + 3)) AS p FROM m_slides WHERE slide % 4 <> 3))"""
 
+def _files(slides: DataFrame) -> DataFrame:
+    """Slide files of lectures with broken files and items among them."""
+    item = F.expr("""CASE WHEN slide % 11 = 0 THEN '5' WHEN slide % 7 = 0 THEN '{"slide":"x"}' WHEN slide % 5 = 0 THEN '{"slide":"' || slide || '","title":4}' ELSE '{"slide":' || slide || ',"title":"t' || slide || '","extra":[1]}' END""")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slide", item.alias("item")))), lambda x: x["item"]), ",")
+    rows = slides.groupBy("lecture").agg(listed.alias("items"))
+    value = F.when(F.col("lecture") % 5 == 0, F.lit("[{")).when(F.col("lecture") % 5 == 1, F.lit('{"pages": []}')).when(F.col("lecture") % 5 == 2, F.concat(F.lit("["), "items", F.lit("]"))).otherwise(F.concat(F.lit('{"slides":['), "items", F.lit("]}")))
+    return rows.select(F.lit("s").alias("subject"), F.col("lecture").cast("string").alias("lecture"), value.alias("value"))
+
+
+def _exported(slides: DataFrame) -> DataFrame:
+    """Slides that went through files and back."""
+    spark = slides.sparkSession
+    folder = f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}"
+    rows = slides.select(F.concat(F.lit("subject "), (F.col("lecture") % 3).cast("string")).alias("subject"), F.col("lecture").cast("string").alias("lecture"), F.col("slide").cast("int").alias("slide"), "title", "content", "notes")
+    artifacts.export_artifacts(rows, "slides", folder)
+    return artifacts.read_slides(artifacts.exported_files(spark, folder, "slides")).select("subject", "lecture", "slide", "title", "content", "notes")
+
+
 QUERIES = {
+    "artifact_slides": query(_exported, "m_slides"),
+    "artifact_titles": query(lambda s: artifacts.read_slides(_files(s)).select("lecture", "slide", "title"), "m_slides"),
+    "artifact_rejects": query(lambda s: artifacts.rejected_items(_files(s), "slides"), "m_slides"),
     "batch_digests": query(lambda s: batch_digests(_batched(s)), "m_segments"),
     "reuse_plan": query(_reuse, "m_segments"),
     "staleness_plan": query(lambda s: staleness(s.select("lecture").distinct(), s.filter("lecture % 5 > 0").select("lecture", (F.col("lecture") % 3).alias("version")), s.filter("lecture % 4 <> 2").select("lecture")), "m_slides"),
@@ -145,6 +170,11 @@ QUERIES = {
 }
 
 ORACLES = {
+    "artifact_slides": f"{_L} SELECT 'subject ' || lecture % 3 AS subject, lecture::VARCHAR AS lecture, slide, title, content, notes FROM m_slides",
+    "artifact_titles": f"{_L} SELECT lecture::VARCHAR AS lecture, slide, CASE WHEN slide % 5 = 0 THEN '4' ELSE 't' || slide END AS title FROM m_slides WHERE lecture % 5 > 1 AND slide % 11 <> 0 AND slide % 7 <> 0",
+    "artifact_rejects": f"""{_L}, i AS (SELECT lecture, slide, row_number() OVER (PARTITION BY lecture ORDER BY slide) - 1 AS item FROM m_slides WHERE lecture % 5 > 1)
+      SELECT 's' AS subject, lecture::VARCHAR AS lecture, item, CASE WHEN slide % 11 = 0 THEN 'no object' ELSE 'no slide number' END AS reason FROM i WHERE slide % 11 = 0 OR slide % 7 = 0
+      UNION ALL SELECT DISTINCT 's', lecture::VARCHAR, NULL, CASE lecture % 5 WHEN 0 THEN 'not JSON' ELSE 'no list of items' END FROM m_slides WHERE lecture % 5 <= 1""",
     "batch_digests": f"{_S} {_DG('text')}",
     "reuse_plan": f"{_S}, a AS ({_DG('text')}), b AS ({_DG('CASE WHEN lecture % 4 = 1 THEN upper(text) ELSE text END')}) SELECT a.lecture, a.batch, CASE WHEN b.digest = a.digest THEN 'r' || a.batch END AS result, b.digest IS DISTINCT FROM a.digest AS to_do FROM a LEFT JOIN b ON b.lecture = a.lecture AND b.batch = a.batch AND b.batch <> 1 AND b.lecture % 7 <> 0",
     "staleness_plan": f"{_L}, l AS (SELECT DISTINCT lecture FROM m_slides), r AS (SELECT lecture, concat_ws('; ', CASE WHEN lecture % 5 = 0 THEN 'alignment missing' WHEN lecture % 3 < 2 THEN 'alignment version' END, CASE WHEN lecture % 4 = 2 THEN 'source coverage missing' END) AS reasons FROM l) SELECT * FROM r WHERE reasons <> ''",

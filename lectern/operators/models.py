@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from lectern.functions.durable import written
 from lectern.functions.rules import clean_text
-from lectern.operators.chunking import _let
+from lectern.operators.chunking import _WS, _let
 from lectern.sources.model import cte, query
 
 DIM = 64
@@ -82,24 +83,48 @@ def item_batches(rows: DataFrame, size: int) -> DataFrame:
 
 
 def parsed_replies(replies: DataFrame) -> DataFrame:
-    """#111: a model's reply to its items: fenced block or outermost braces, or the reason why it is none."""
+    """#111: a model's reply to its items: fenced block or outermost braces, or the reason why it is none.
+
+    Of each item: id, keep (true where it is left out, null where it is no boolean), text and reason.
+    """
     fenced = F.regexp_extract("reply", r"(?s)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract("reply", r"(?s)(\{.*\})", 1)
-    body = F.when(fenced != "", fenced).otherwise(braces)
-    shape = "struct<items:array<struct<id:long,keep:boolean,text:string>>>"
-    data = F.from_json(body, shape)
-    reason = F.when(body == "", "no object").when(F.expr(f"try_parse_json({'body'})").isNull(), "not JSON").when(data["items"].isNull(), "no items")
-    return replies.withColumn("body", body).select("reply_id", data["items"].alias("items"), reason.alias("reason"))
+    rows = replies.withColumn("body", F.when(fenced != "", fenced).otherwise(braces))
+    get = "try_variant_get(x, '$.{0}', '{1}')".format
+    kind = "schema_of_variant(variant_get(x, '$.keep'))"
+    keep = f"CASE WHEN variant_get(x, '$.keep') IS NULL THEN true WHEN {kind} = 'BOOLEAN' THEN {get('keep', 'boolean')} END"
+    item = f"named_struct('id', {get('id', 'long')}, 'keep', {keep}, 'text', {get('text', 'string')}, 'reason', {get('reason', 'string')})"
+    items = F.expr(f"transform(try_variant_get(try_parse_json(body), '$.items', 'array<variant>'), x -> {item})")
+    reason = F.when(F.col("body") == "", "no object").when(F.expr("try_parse_json(body)").isNull(), "not JSON").when(items.isNull(), "no items")
+    return rows.select("reply_id", items.alias("items"), reason.alias("reason"))
+
+
+# What a cleaned text keeps of the length and of the words of the kept sources.
+LENGTHS, WORDS_KEPT = (0.45, 1.65), 0.55
 
 
 def guarded_replies(replies: DataFrame, asked: DataFrame) -> DataFrame:
-    """#111: ids must be the asked ones in order, keep must be boolean, kept texts must not be empty."""
+    """#111: ids must be the asked ones in order, keep must be boolean, kept texts must not be empty, and what goes needs a reason; kept texts must keep length and words (#63).
+
+    `asked` holds (reply_id, ids, texts); what is wrong first is the reason.
+    """
     got = parsed_replies(replies).join(asked, "reply_id")
     ids = F.transform("items", lambda x: x["id"])
     bad_keep = F.exists("items", lambda x: x["keep"].isNull())
     empty = F.exists("items", lambda x: x["keep"] & (clean_text(x["text"]) == ""))
-    reason = F.coalesce("reason", F.when(ids != F.col("ids"), "other ids").when(bad_keep, "keep is not boolean").when(empty, "empty text"))
-    return got.select("reply_id", reason.alias("reason"))
+    silent = F.exists("items", lambda x: ~x["keep"] & x["reason"].isNotNull() & (clean_text(x["reason"]) == ""))
+    first = F.coalesce("reason", F.when(~ids.eqNullSafe(F.col("ids")), "other ids").when(bad_keep, "keep is not boolean").when(empty, "empty text").when(silent, "no reason"))
+    rows = written(got.select("reply_id", first.alias("reason"), "items", "texts"))
+
+    both = rows.filter("reason IS NULL").select("reply_id", F.explode(F.arrays_zip("items", "texts")).alias("x")).filter("x.items.keep")
+    kept = both.select("reply_id", F.coalesce("x.texts", F.lit("")).alias("source"), clean_text("x.items.text").alias("clean"))
+    size = kept.groupBy("reply_id").agg(F.sum(F.length("source")).alias("before"), F.sum(F.length("clean")).alias("after"))
+    words = lambda c, n: kept.select("reply_id", F.explode(F.regexp_extract_all(F.lower(c), F.lit(r"((?U)[\w'-]+)"), 1)).alias("word")).groupBy("reply_id", "word").agg(F.count("*").alias(n))
+    shared = words("source", "a").join(words("clean", "b"), ["reply_id", "word"], "left").groupBy("reply_id").agg(F.sum("a").alias("words"), F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("same"))
+    ratio = F.col("after") / F.col("before")
+    wrong = F.when((F.col("before") > 0) & ~ratio.between(*LENGTHS), "length").when(F.col("same") / F.col("words") < WORDS_KEPT, "wording")
+    bounds = size.join(shared, "reply_id", "left").select("reply_id", wrong.alias("bound"))
+    return rows.join(bounds, "reply_id", "left").select("reply_id", F.coalesce("reason", "bound").alias("reason"))
 
 
 def _lower_unless_marked(items: list[tuple[int, str]]) -> dict[int, str]:
@@ -111,9 +136,11 @@ def _lower_unless_marked(items: list[tuple[int, str]]) -> dict[int, str]:
 
 def _replies(s: DataFrame) -> tuple[DataFrame, DataFrame]:
     rid = (F.col("lecture") * 1000 + F.col("segment")).alias("reply_id")
-    body = F.expr("""CASE segment % 7 WHEN 0 THEN 'Sure: ```json {"items":[{"id":' || segment || ',"keep":true,"text":"ok"}]}```' WHEN 1 THEN 'none' WHEN 2 THEN '{"items":[{"id":5000,"keep":true,"text":"x"}]}' WHEN 3 THEN 'x {"items":[{"id":' || segment || ',"keep":"maybe","text":"a"}]} y'
-      WHEN 4 THEN '{"items":[{"id":' || segment || ',"keep":true,"text":" "}]}' WHEN 5 THEN '{"items": [' ELSE '{"items":[{"id":' || segment || ',"keep":false,"text":""}]} ' END""")
-    return s.select(rid, body.alias("reply")), s.select(rid, F.array(F.col("segment").cast("long")).alias("ids"))
+    whole = "to_json(named_struct('items', array(named_struct('id', segment, {}))))".format
+    body = F.expr(f"""CASE segment % 11 WHEN 0 THEN 'Sure: ```json ' || {whole("'keep', true, 'text', text")} || '```' WHEN 1 THEN 'none' WHEN 2 THEN '{{"items":[{{"id":5000,"keep":true,"text":"x"}}]}}' WHEN 3 THEN 'x {{"items":[{{"id":' || segment || ',"keep":"maybe","text":"a"}}]}} y'
+      WHEN 4 THEN '{{"items":[{{"id":' || segment || ',"keep":true,"text":" "}}]}}' WHEN 5 THEN '{{"items": [' WHEN 6 THEN '{{"items":[{{"id":' || segment || ',"keep":false,"text":""}}]}} ' WHEN 7 THEN '{{"items":[{{"id":' || segment || ',"text":"ok"}}]}}'
+      WHEN 8 THEN {whole("'keep', true, 'text', repeat('zzz ', greatest(1, length(text) div 4))")} WHEN 9 THEN {whole("'text', text")} ELSE '{{"items":[{{"id":' || segment || ',"keep":false,"reason":" "}}]}}' END""")
+    return s.select(rid, body.alias("reply")), s.select(rid, F.array(F.col("segment").cast("long")).alias("ids"), F.array("text").alias("texts"))
 
 
 QUERIES = {
@@ -126,5 +153,7 @@ QUERIES = {
 ORACLES = {
     "model_embeddings": cte("m_segments") + " SELECT lecture, segment, length(t) AS chars, length(t) - length(replace(t, ' ', '')) AS spaces FROM (SELECT lecture, segment, CASE WHEN trim(text) = '' THEN '[empty]' ELSE text END AS t FROM m_segments)",
     "validated_transform": cte("m_segments") + " SELECT lecture, segment AS id, CASE WHEN NOT contains(text, '7') THEN lower(text) END AS text, CASE WHEN contains(text, '7') THEN 'ValueError: marked' END AS error FROM m_segments",
-    "reply_guard": cte("m_segments") + " SELECT lecture * 1000 + segment AS reply_id, CASE segment % 7 WHEN 1 THEN 'no object' WHEN 2 THEN 'other ids' WHEN 3 THEN 'keep is not boolean' WHEN 4 THEN 'empty text' WHEN 5 THEN 'no object' END AS reason FROM m_segments",
+    "reply_guard": cte("m_segments") + f""", r AS (SELECT lecture * 1000 + segment AS reply_id, segment % 11 AS k, text, CASE segment % 11 WHEN 7 THEN 'ok' WHEN 8 THEN trim(repeat('zzz ', greatest(1, length(text) // 4))) ELSE {_WS.format('text')} END AS c FROM m_segments),
+      b AS (SELECT *, length(text) > 0 AND NOT length(c) / length(text) BETWEEN 0.45 AND 1.65 AS far, (SELECT coalesce(sum(least(a.n, coalesce(b.n, 0))) / sum(a.n), 1) FROM (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_''-]+')) AS w) GROUP BY w) a LEFT JOIN (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(c), '[\\p{{L}}\\p{{M}}\\p{{N}}_''-]+')) AS w) GROUP BY w) b USING (w)) AS share FROM r)
+      SELECT reply_id, CASE WHEN k IN (1, 5) THEN 'no object' WHEN k = 2 THEN 'other ids' WHEN k = 3 THEN 'keep is not boolean' WHEN k = 4 OR (k IN (0, 9) AND c = '') THEN 'empty text' WHEN k = 10 THEN 'no reason' WHEN k = 6 THEN NULL WHEN far THEN 'length' WHEN share < 0.55 THEN 'wording' END AS reason FROM b""".replace("\\\\", "\\"),
 }

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.durable import written
+from lectern.functions.order import numbered_within
 from lectern.functions.rules import clean_text, words_within
 from lectern.operators import chunking
 from lectern.operators.chunking import markdown_batches
@@ -87,7 +89,7 @@ def lecture_identities(lectures: DataFrame) -> DataFrame:
     """#103: number and topic from the first non-empty of title, deck and recording name; the running count is the default."""
     blank = lambda c: F.when(clean_text(c) != "", clean_text(c))
     source = F.coalesce(blank("title"), blank("deck"), blank("recording"), F.lit("Lecture"))
-    rows = lectures.withColumn("source", source).withColumn("k", F.row_number().over(Window.partitionBy("subject").orderBy("lecture")))
+    rows = numbered_within(lectures.select("subject", "lecture", source.alias("source")), ["subject"], ["lecture"], "k", written).withColumn("k", F.col("k").cast("int"))
     number = F.greatest(F.lit(1), F.coalesce(F.regexp_extract("source", NUMBERED, 1).try_cast("int"), F.col("k")))
     topic = F.regexp_replace(F.regexp_replace("source", NUMBERED, " "), GENERIC, " ")
     topic = F.regexp_replace(F.regexp_replace(topic, r"(?:^|\s)[vV]?\d+(?:\.\d+)+(?:\s|$)", " "), r"\s*[-_–—]+\s*", " ")

@@ -173,11 +173,14 @@ def truncated_narration(segments: DataFrame) -> DataFrame:
     return segments.select("lecture", "segment", ((F.col("end_ms") - F.col("start_ms")) / 1000 < least).alias("short")).groupBy("lecture").agg(F.count("*").alias("segments"), F.count_if("short").alias("short_segments"))
 
 
-def transcript_text(segments: DataFrame) -> DataFrame:
-    """#9: one text per lecture: `[from–to] text` blocks, blank ones dropped."""
+def transcript_text(paragraphs: DataFrame, segments: DataFrame) -> DataFrame:
+    """#9: one text per lecture: `[from–to] text` blocks of its paragraphs, or of its segments where it has none; blank ones are dropped."""
+    blocks = paragraphs.select("lecture", F.col("paragraph").cast("long").alias("place"), "start_ms", "end_ms", "text")
+    single = segments.select("lecture", F.col("segment").cast("long").alias("place"), "start_ms", "end_ms", "text")
+    units = blocks.unionByName(single.join(paragraphs.select("lecture").distinct(), "lecture", "left_anti"))
     line = F.concat(F.lit("["), clock(F.col("start_ms") / 1000), F.lit("–"), clock(F.col("end_ms") / 1000), F.lit("] "), clean_text("text"))
-    rows = F.array_sort(F.collect_list(F.struct("segment", line.alias("line"))))
-    return segments.filter(clean_text("text") != "").groupBy("lecture").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n\n").alias("text"))
+    rows = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
+    return units.filter(clean_text("text") != "").groupBy("lecture").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n\n").alias("text"))
 
 
 def _durations(segments: DataFrame) -> DataFrame:
@@ -227,7 +230,7 @@ QUERIES = {
     "active_cue_changes": query(lambda s: active_cue_changes(_times(s), s), "m_segments"),
     "focus_cues": query(focus_cues, "m_questions", "m_segments"),
     "truncated_narration": query(truncated_narration, "m_segments"),
-    "transcript_text": query(transcript_text, "m_segments"),
+    "transcript_text": query(lambda s: transcript_text(paragraphs(s.filter("lecture % 3 <> 0")), s), "m_segments"),
 }
 
 ORACLES = {
@@ -256,5 +259,7 @@ ORACLES = {
     "focus_cues": f"""{cte("m_questions", "m_segments")}, t AS (SELECT question_id, unnest(list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 12)) AS term FROM (SELECT question_id, regexp_extract_all(lower(question), '[a-z0-9]{{3,}}') AS w FROM m_questions)),
       h AS (SELECT question_id, lecture, segment, count(*) AS hits FROM t JOIN m_segments ON contains(lower(text), term) GROUP BY ALL) SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY hits DESC, lecture, segment) = 1""",
     "truncated_narration": f"{_S} SELECT lecture, count(*) AS segments, count(*) FILTER ((end_ms - start_ms) / 1000.0 < greatest(0.18, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_''][\\p{{L}}\\p{{M}}\\p{{N}}_'']*')) * 60 / 175 * 0.42)) AS short_segments FROM m_segments GROUP BY lecture",
-    "transcript_text": f"{_S} SELECT lecture, string_agg('[' || {_SEC('start_ms')} || '–' || {_SEC('end_ms')} || '] ' || trim({_WS}), chr(10) || chr(10) ORDER BY segment) AS text FROM m_segments WHERE trim({_WS}) <> '' GROUP BY lecture",
 }
+
+ORACLES["transcript_text"] = f"""{_S}, pa AS ({ORACLES["paragraphs"]}), u AS (SELECT lecture, paragraph AS place, start_ms, end_ms, text FROM pa WHERE lecture % 3 <> 0 UNION ALL SELECT lecture, segment, start_ms, end_ms, text FROM m_segments WHERE lecture % 3 = 0)
+      SELECT lecture, string_agg('[' || {_SEC('start_ms')} || '–' || {_SEC('end_ms')} || '] ' || trim({_WS}), chr(10) || chr(10) ORDER BY place) AS text FROM u WHERE trim({_WS}) <> '' GROUP BY lecture"""

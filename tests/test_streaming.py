@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from lectern.operators import automaton, jobs, transcript
-from lectern.sources.artifacts import export_slides, slide_artifacts, text_corpus
 from lectern.sources.model import frame
 from lectern.sources.snapshot import Snapshots
 from lectern.streaming import live
@@ -159,21 +158,3 @@ def test_cue_changes(spark, tmp_path):
     end = spark.createDataFrame([(-1, FAR)], "lecture long, t_ms long")
     out = run(live.cue_changes(in_parts(timed(ticks.unionByName(end), "t_ms"), str(tmp_path / "in"), "t_ms"), s), "append", "cues", tmp_path).filter("lecture >= 0")
     assert sorted(map(str, out.collect())) == sorted(map(str, transcript.active_cue_changes(ticks, s).collect()))
-
-
-def test_files(spark, tmp_path):
-    (tmp_path / "c" / "d").mkdir(parents=True)
-    (tmp_path / "c" / "a.TXT").write_bytes(b"caf\xe9")
-    (tmp_path / "c" / "d" / "b.md").write_text("  ")
-    (tmp_path / "c" / "d" / "x.bin").write_text("no")
-    got = text_corpus(spark, str(tmp_path / "c")).collect()
-    assert [(r.name, r.text) for r in got] == [("a.TXT", "caf�")]
-    at = tmp_path / "art" / "maths" / "week1"
-    at.mkdir(parents=True)
-    (at / "slides.json").write_text('[{"slide": 1, "title": "A", "images": ["p"]}, 5, {"slide": "x"}]')
-    (tmp_path / "art" / "maths" / "bad").mkdir()
-    (tmp_path / "art" / "maths" / "bad" / "slides.json").write_text("[{")
-    slides = slide_artifacts(spark, str(tmp_path / "art"))
-    assert [(r.subject, r.lecture, r.slide, r.title) for r in slides.collect()] == [("maths", "week1", 1, "A")]
-    export_slides(slides, str(tmp_path / "export"))
-    assert "images" not in spark.read.json(str(tmp_path / "export")).columns
