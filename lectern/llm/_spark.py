@@ -84,5 +84,5 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def split_by(column: str, divisor: int, *rests: int):
-    """True where crc32 of the id as decimal text leaves one of these remainders."""
-    return (F.crc32(F.col(column).cast("string").cast("binary")) % divisor).isin(*rests)
+    """True where crc32 of the id as decimal text leaves one of these remainders; false where there is no id."""
+    return F.coalesce((F.crc32(F.col(column).cast("string").cast("binary")) % divisor).isin(*rests), F.lit(False))

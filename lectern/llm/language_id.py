@@ -9,7 +9,7 @@ probabilities by the bytes that a window holds.
 
 Edge cases: texts that are null or have no letter are `und` with score 0, as is
 everything when there is nothing to learn from; rows without a label are not
-learned from; repeated rows are predicted one by one; an empty table gives an empty
+learned from; rows without doc_id are not held out; repeated rows are predicted one by one; an empty table gives an empty
 result; other columns are kept or ignored but never read.
 """
 
@@ -142,8 +142,9 @@ def train(labelled: DataFrame) -> ByteCnn | None:
     share = {r["lang"]: min(1.0, SAMPLE_PER_LANG / r["count"]) for r in rows.groupBy("lang").count().collect()}
     if not share:
         return None
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
-    got = rows.filter(pick).mapInArrow(_samples, "lang string, data binary").collect()
+    # Rows are drawn by id and text and taken once, so neither a repeated id nor a repeated row brings more than its share.
+    pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < 1_000_000 * F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
+    got = rows.filter(pick).dropDuplicates(["doc_id", "lang", "text"]).mapInArrow(_samples, "lang string, data binary").collect()
     model = ByteCnn(sorted(share))
     if got:
         got.sort(key=lambda r: (r["lang"], bytes(r["data"])))

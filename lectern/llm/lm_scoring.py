@@ -21,7 +21,8 @@ Scoring carries the state of each document across windows, so the log-likelihood
 covers complete documents.
 
 Edge cases: null and empty texts consist of the end token; texts of any length are
-scored whole; repeated rows are scored one by one; without training rows the base
+scored whole; rows without doc_id are not held out: they are counted, learned from and
+scored; repeated rows are scored one by one; without training rows the base
 is uniform over the one unseen word; an empty table gives an empty result; other
 columns are ignored.
 """

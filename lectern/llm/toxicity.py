@@ -9,7 +9,7 @@ that tasks receive is a short list of (index, weight).
 
 Edge cases: null and empty texts have no features and get the bias alone; texts are
 read whole; a document with several labels counts as toxic if any says so; without
-any label all scores are 0.5; repeated rows are scored one by one; an empty table
+any label all scores are 0.5; rows without doc_id are scored, never held out, and have no label; repeated rows are scored one by one; an empty table
 gives an empty result; other columns are ignored.
 """
 

@@ -63,15 +63,35 @@ LIST_RULES = (
     list_rule("block", "com/de/"),
 )
 
+#: Labels of hosts, segments of paths and endings of files that the policy blocks.
+HOST_LABELS = (
+    "ads", "adserver", "adservice", "doubleclick", "tracking", "tracker", "analytics", "metrics", "pixel", "beacon", "banner", "popunder", "affiliate", "clicks",
+    "xxx", "porn", "casino", "poker", "betting", "warez", "torrent", "proxy",
+)
+PATH_SEGMENTS = (
+    "login", "signin", "signup", "register", "logout", "cart", "checkout", "basket", "wishlist", "account", "wp-admin", "wp-login", "cgi-bin",
+    "unsubscribe", "captcha", "sitemap", "feed", "rss", "trackback", "search-results",
+)
+FILE_ENDINGS = ("exe", "msi", "dmg", "apk", "iso", "zip", "rar", "gz", "jpg", "png", "gif", "mp3", "mp4", "avi", "css", "js")
+
 POLICY = (
-    pattern_rule("tracker-host", r"^(?:[^/]*\.)?(?:ads|adserver|doubleclick|tracking)\.", ("ads",), ("adserver",), ("doubleclick",), ("tracking",)),
-    pattern_rule("login-path", r"^[^/]*/(?:[^?#]*/)?login(?:/|$)", ("login",)),
-    pattern_rule("cart-path", r"^[^/]*/(?:[^?#]*/)?cart(?:/|$)", ("cart",)),
-    pattern_rule("adult-host", r"^(?:[^/]*\.)?xxx(?:\.|/)", ("xxx",)),
-    pattern_rule("casino-host", r"^(?:[^/]*\.)?casino(?:\.|/)", ("casino",)),
-    pattern_rule("executable", r"^[^/]*/.*\.exe$", ("exe",)),
+    *(pattern_rule(f"host-{w}", rf"^(?:[^/]*\.)?{w}(?:\.|/)", (w,)) for w in HOST_LABELS),
+    *(pattern_rule(f"path-{w}", rf"^[^/]*/(?:[^?#]*/)?{w}(?:/|$)", tuple(_TOKEN.findall(w))) for w in PATH_SEGMENTS),
+    *(pattern_rule(f"ending-{w}", rf"^[^/]*/.*\.{w}$", (w,)) for w in FILE_ENDINGS),
+    pattern_rule("session-path", r"^[^/]*/.*;(?:jsessionid|phpsessid)=", ("jsessionid",), ("phpsessid",)),
 )
 
+#: Rules that a task takes; a table of more is refused, as every task holds all of them.
+MOST_RULES = 200_000
+
+
+def rules_from(rules: DataFrame) -> tuple[Rule, ...]:
+    """The rules of a table: (verdict, address) for list rules, (name, pattern, literals array of arrays) for patterns of the policy; null columns tell which."""
+    rows = rules.select("verdict", "address", "name", "pattern", "literals").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return tuple(list_rule(r["verdict"], r["address"]) if r["address"] is not None else pattern_rule(r["name"], r["pattern"], *map(tuple, r["literals"] or ())) for r in rows)
+
 
 class RuleIndex:
     """Rules by the rarest literal of each alternative; rules with an alternative without a literal are candidates for every URL."""
@@ -150,12 +170,12 @@ u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{_ASCII[0]}', '{_ASCII[1]}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 a AS (SELECT *, host || path AS address FROM p),
 m AS (
-  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(r.verdict, length(rule)) AS verdict
-  FROM (SELECT DISTINCT page_id, host, path FROM a) a JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) AND host <> ''
-  GROUP BY page_id)
+  SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(r.verdict, length(rule)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM a) a JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) AND host <> ''
+  GROUP BY host, path)
 SELECT a.page_id, a.host, a.path, m.rule,
        coalesce(m.verdict, CASE WHEN a.host <> '' AND ({policy}) THEN 'block' ELSE 'allow' END) AS verdict
-FROM a LEFT JOIN m USING (page_id)
+FROM a LEFT JOIN m USING (host, path)
 """
 
 
