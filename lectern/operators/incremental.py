@@ -140,7 +140,7 @@ _WS = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{
 _DG = lambda text, where="": f"SELECT lecture, segment // 3 AS batch, sha256(concat_ws(chr(30), '2', '', string_agg(concat_ws(chr(31), segment, start_ms, end_ms, {_WS.format(text)}), chr(30) ORDER BY segment))) AS digest FROM m_segments {where} GROUP BY 1, 2"
 _AN = """an AS (SELECT lecture, p AS paragraph, CASE WHEN p % 17 = 5 THEN greatest(1, slide - 2) ELSE slide END AS slide, CASE WHEN p % 5 = 0 THEN ' ' ELSE 'said' END AS text FROM (SELECT lecture, slide, unnest(range(slide * 3, slide * 3 + 3)) AS p FROM m_slides WHERE slide % 4 <> 3))"""
 
-def _files(slides: DataFrame) -> DataFrame:
+def _slide_files(slides: DataFrame) -> DataFrame:
     """Slide files of lectures with broken files and items among them."""
     item = F.expr("""CASE WHEN slide % 11 = 0 THEN '5' WHEN slide % 7 = 0 THEN '{"slide":"x"}' WHEN slide % 5 = 0 THEN '{"slide":"' || slide || '","title":4}' ELSE '{"slide":' || slide || ',"title":"t' || slide || '","extra":[1]}' END""")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slide", item.alias("item")))), lambda x: x["item"]), ",")
@@ -160,8 +160,8 @@ def _exported(slides: DataFrame) -> DataFrame:
 
 QUERIES = {
     "artifact_slides": query(_exported, "m_slides"),
-    "artifact_titles": query(lambda s: artifacts.read_slides(_files(s)).select("lecture", "slide", "title"), "m_slides"),
-    "artifact_rejects": query(lambda s: artifacts.rejected_items(_files(s), "slides"), "m_slides"),
+    "artifact_titles": query(lambda s: artifacts.read_slides(_slide_files(s)).select("lecture", "slide", "title"), "m_slides"),
+    "artifact_rejects": query(lambda s: artifacts.rejected_items(_slide_files(s), "slides"), "m_slides"),
     "batch_digests": query(lambda s: batch_digests(_batched(s)), "m_segments"),
     "reuse_plan": query(_reuse, "m_segments"),
     "staleness_plan": query(lambda s: staleness(s.select("lecture").distinct(), s.filter("lecture % 5 > 0").select("lecture", (F.col("lecture") % 3).alias("version")), s.filter("lecture % 4 <> 2").select("lecture")), "m_slides"),
