@@ -46,14 +46,34 @@ def build(chunks: DataFrame, docs: DataFrame, internal: F.Column | None = None,
     # Partitions begin at multiples of 2**33, so blocks do not cross them.
     slot = F.monotonically_increasing_id()
     placed = keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("slot", slot).withColumns({"block": F.shiftright("slot", BLOCK_BITS), "at": F.col("slot").bitwiseAND(F.lit(BLOCK - 1)).cast("int")}))
-    # All of a block's rows meet once; the groupings below need no further shuffle.
-    by_block = placed.repartition("block")
-    counted = by_block.select("block", "at", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(RUN), 1)).alias("word")).groupBy("block", "at", "word").agg(F.count("*").cast("int").alias("n"))
-    words = counted.groupBy("block", "word").agg(F.max("n").alias("most"), F.collect_list(F.struct("at", "n")).alias("places")).groupBy("block").agg(F.collect_list(F.struct("word", "most", "places")).alias("words"))
-    held = F.array_sort(F.collect_list(F.struct("at", "document_id", "ordinal", "name", "subject", "locator", "internal", "content")))
-    listed = by_block.groupBy("block").agg(held.alias("held"))
-    without = F.transform("held", lambda c: F.struct(*(c[f].alias(f) for f in ("document_id", "ordinal", "name", "subject", "locator", "internal"))))
-    return keep(listed.join(words, "block", "left").select("block", without.alias("chunks"), "words", F.transform("held", lambda c: c["content"]).alias("texts")))
+    # All of a block's rows meet once; runs are cut where they are counted.
+    cut = placed.repartition("block").withColumn("runs", F.regexp_extract_all(F.lower("content"), F.lit(RUN), 1))
+    return keep(cut.select("block", "at", *_FIELDS, "content", "runs").groupBy("block").applyInArrow(_block, _ROW))
+
+
+_FIELDS = ("document_id", "ordinal", "name", "subject", "locator", "internal")
+_ROW = (
+    "block long, chunks array<struct<document_id:long,ordinal:long,name:string,subject:string,locator:string,internal:boolean>>, "
+    "words array<struct<word:string,most:int,places:array<struct<at:int,n:int>>>>, texts array<string>"
+)
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    """The chunks of one block as one row: each distinct word with its greatest count and its places."""
+    rows = rows.sort_by("at").combine_chunks()
+    runs, at = rows.column("runs").combine_chunks(), rows.column("at").to_numpy().astype(np.int64)
+    every = runs.flatten().dictionary_encode()
+    where = np.repeat(at, runs.value_lengths().to_numpy(zero_copy_only=False))
+    key, n = np.unique(every.indices.to_numpy(zero_copy_only=False).astype(np.int64) * BLOCK + where, return_counts=True)
+    code = key // BLOCK
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else code
+    most = np.maximum.reduceat(n, first) if len(code) else n
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    places = pa.StructArray.from_arrays([pa.array(key % BLOCK, pa.int32()), pa.array(n, pa.int32())], ["at", "n"])
+    per_word = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)), pa.int32()), places)
+    words = pa.StructArray.from_arrays([every.dictionary.take(pa.array(code[first])).cast(pa.string()), pa.array(most, pa.int32()), per_word], ["word", "most", "places"])
+    chunks = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in _FIELDS], list(_FIELDS))
+    return pa.Table.from_arrays([rows.column("block").slice(0, 1), one(chunks), one(words), one(rows.column("content").combine_chunks())], ["block", "chunks", "words", "texts"])
 
 
 class Block:
