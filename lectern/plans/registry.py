@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.operators import align, catalog, chunking, incremental, jobs, library, models, notes, search, textjobs, transcript
+from lectern.streaming import queries as streams
 
-MODULES = (catalog, library, transcript, chunking, search, align, jobs, textjobs, notes, incremental, models)
+MODULES = (catalog, library, transcript, chunking, search, align, jobs, textjobs, notes, incremental, models, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -214,3 +214,63 @@ def test_translated_sections_keep_headings_and_repeats_void(spark):
     texts = {1: "x\n##  Slide 1: A\nbody\n\n## Slide 2\n\n## other\nz\n## 第3页\nc", 2: "## Slide 1\na\n## Slide 1\n", 3: "## Slide 1\n## Slide 1\nb", 4: "## Slide 1\na\n## Slide 2\nb\n## Slide 1\nc", 5: "", 6: None}
     got = textjobs.translated_sections(spark.createDataFrame(list(texts.items()), "document_id long, text string")).collect()
     assert sorted(map(tuple, got)) == [(1, 1, "##  Slide 1: A\nbody"), (1, 3, "## 第3页\nc"), (3, 1, "## Slide 1\nb")]
+
+
+def plain_reduction(text, most):
+    """The sentences that add most new words, found by looking at all of them again for each choice."""
+    if len(text) <= most:
+        return text
+    parts = []
+    for line in text.split("\n"):
+        sentence = ""
+        for token in re.split(r"\s+", line.strip()):
+            sentence = f"{sentence} {token}".strip()
+            if token[-1:] in ".!?":
+                parts.append(sentence)
+                sentence = ""
+        if sentence:
+            parts.append(sentence)
+    used, left, chosen, room = set(), list(range(len(parts))), [], most
+    while left:
+        best = max(left, key=lambda k: (1000 * len(set(re.findall(r"\w{3,}", parts[k].casefold())) - used) - len(parts[k]), -k))
+        left.remove(best)
+        new = set(re.findall(r"\w{3,}", parts[best].casefold())) - used
+        if len(parts[best]) <= room and (new or not chosen):
+            chosen.append(best)
+            used |= new
+            room -= len(parts[best]) + 1
+    return " ".join(parts[k] for k in sorted(chosen))
+
+
+def plain_digest(notes, total, pack, most, rounds=4):
+    parts = list(notes)
+    for _ in range(rounds):
+        if len("\n\n".join(parts)) <= total:
+            break
+        packs, size = [[]], 0
+        for n in parts:
+            if packs[-1] and size + len(n) > pack:
+                packs.append([])
+                size = 0
+            packs[-1].append(n)
+            size += len(n)
+        smaller = [plain_reduction("\n\n".join(p), most) for p in packs]
+        if len("\n\n".join(smaller)) >= len("\n\n".join(parts)):
+            return None
+        parts = smaller
+    text = "\n\n".join(parts)
+    return text if len(text) <= total else None
+
+
+@pytest.mark.parametrize(("total", "pack", "most"), [(12_000, 9_000, 4_000), (24_000, 18_000, 4_000), (3_000, 2_000, 700)])
+def test_digests_equal_a_plain_reduction(spark, total, pack, most):
+    """#53, #54: whole lectures of many rounds against a version that looks at all sentences again for each choice."""
+    r = np.random.default_rng(11)
+    words = ["".join(r.choice(list("abcdefghij"), r.integers(2, 8))) for _ in range(700)]
+    say = lambda: " ".join(r.choice(words, r.integers(3, 14))) + str(r.choice([".", "!", "?"]))
+    note = lambda: "\n".join(" ".join(say() for _ in range(r.integers(1, 6))) for _ in range(r.integers(1, 5)))
+    lectures = {k: [note() for _ in range(n)] for k, n in ((1, 120), (2, 30), (3, 1), (4, 400))}
+    rows = [(k, i, t) for k, own in lectures.items() for i, t in enumerate(own)]
+    got = {x.lecture: x.digest for x in notes.digest_rounds(spark.createDataFrame(rows, "lecture long, slide long, note string").repartition(5), total, pack, most).collect()}
+    assert got == {k: plain_digest(own, total, pack, most) for k, own in lectures.items()}
+    assert any(len("\n\n".join(own)) > total for own in lectures.values())
