@@ -368,7 +368,11 @@ def keep_one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     id_, digest_, node = (fresh(docs, c) for c in ("id", "digest", "node"))
     own = numbered(others, ["doc_id", "digest"], "n", lambda df: scratch.keep(df, "own")).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest_), (F.col("n") + beyond).alias(node))
     rows = docs.join(own, (docs["doc_id"] == own[id_]) & (digest == own[digest_]), "left").withColumn(node, F.coalesce(node, docs["doc_id"].cast("long")))
-    gone = jaccard_components(rows.select(F.col(node).alias("doc_id"), "text"), percent).filter("component_id <> doc_id").select(F.col("doc_id").alias(lost := fresh(rows, "lost"))).distinct()
+    found = jaccard_components(rows.select(F.col(node).alias("doc_id"), "text"), percent).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("n"), "component_id").distinct()
+    # The row that stays has the smallest doc_id, whatever the number of its node.
+    found = scratch.keep(found.join(own.select(F.col(id_).alias("of"), F.col(node).alias("n")), "n", "left").select("n", "component_id", F.coalesce("of", "n").alias("of")), "found")
+    least = found.groupBy("component_id").agg(F.min(F.struct("of", "n")).alias("least"), F.count("*").alias("size")).filter("size > 1")
+    gone = found.join(least, "component_id").filter("n <> least.n").select(F.col("n").alias(lost := fresh(rows, "lost")))
     return rows.join(gone, F.col(node) == F.col(lost), "left_anti").select(*(docs[c] for c in docs.columns))
 
 
