@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,17 @@ def test_blocks_below_the_best_scores_are_not_read(spark):
     assert 1 <= read.value < index.count() / 2
 
 
+def test_a_reader_of_the_index_decodes_few_blocks_at_once(spark, library, monkeypatch):
+    """What is decoded at once is a row group at most, however many blocks a file holds."""
+    monkeypatch.setattr(search_index, "BLOCK_BITS", 1)
+    monkeypatch.setattr(search_index, "BLOCK", 2)
+    _, _, d, c = library
+    index = search.indexed(c, d.coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    assert max(f.num_rows for f in files) > search_index.GROUP_BLOCKS
+    assert max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= search_index.GROUP_BLOCKS
+
+
 def test_empty_library(spark):
     d = spark.createDataFrame([], "document_id long, subject string, name string")
     c = spark.createDataFrame([], "document_id long, ordinal int, locator string, content string")
