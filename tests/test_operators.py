@@ -2,12 +2,17 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions.rules import byte_size, clean_text, clock, cosine, nocase, words_within
 from lectern.operators import align, catalog, chunking, jobs, models, notes, search, textjobs, transcript
+from lectern.sources.model import frame
+from tests.compare import same
+from tests.conftest import SF
 
 
 def one(spark, column, **values):
@@ -274,3 +279,19 @@ def test_digests_equal_a_plain_reduction(spark, total, pack, most):
     got = {x.lecture: x.digest for x in notes.digest_rounds(spark.createDataFrame(rows, "lecture long, slide long, note string").repartition(5), total, pack, most).collect()}
     assert got == {k: plain_digest(own, total, pack, most) for k, own in lectures.items()}
     assert any(len("\n\n".join(own)) > total for own in lectures.values())
+
+
+def test_paths_of_equal_cost_are_decided_as_in_sql(spark, tmp_path):
+    """With two paragraphs whose slides come in the other order, both paths cost the same but for the last bits."""
+    rows = frame(spark, SF, "embeddings").withColumn("k", F.row_number().over(Window.orderBy("vec_id")) - 1)
+    rows.selectExpr("CAST(k div 2 * 50 + k % 2 AS BIGINT) AS vec_id", "embedding", "label").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("alignment", "slide_rollup"):
+        same(align.QUERIES[name](spark, str(tmp_path)), con, align.ORACLES[name])
+
+
+def test_cosine_of_very_short_and_very_long_vectors(spark):
+    for x in (1e-120, 1e120):
+        df = spark.createDataFrame([([x, 0.0], [x, x])], "a array<double>, b array<double>")
+        assert abs(df.select(cosine(F.col("a"), F.col("b"))).first()[0] - 0.5**0.5) < 1e-12
