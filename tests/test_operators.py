@@ -295,3 +295,16 @@ def test_cosine_of_very_short_and_very_long_vectors(spark):
     for x in (1e-120, 1e120):
         df = spark.createDataFrame([([x, 0.0], [x, x])], "a array<double>, b array<double>")
         assert abs(df.select(cosine(F.col("a"), F.col("b"))).first()[0] - 0.5**0.5) < 1e-12
+
+
+def test_summaries_name_sizes_beyond_a_terabyte_in_gb(spark):
+    docs = spark.createDataFrame([(1, "s", "a", 2**41)], "document_id long, subject string, name string, size_bytes long")
+    files = docs.selectExpr("name AS path", "size_bytes", "'library' AS origin", "true AS tracked")
+    assert {r.label for r in catalog.sharing_summary(files).collect()} == {"2048.0 GB"}
+    assert catalog.storage_summary(docs, 1, 2).first().label == catalog.largest_files(docs).first().label == "2048.0 GB"
+    assert one(spark, byte_size(F.col("n")), n=2**41) == "2.0 TB"
+
+
+def test_files_of_more_than_half_a_megabyte_are_shared(spark):
+    docs = spark.createDataFrame([(1, 600_000)], "document_id long, size_bytes int")
+    assert catalog._shared_files(docs).first().size_bytes == 2_400_000_000
