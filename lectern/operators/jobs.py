@@ -72,12 +72,12 @@ REQUEST_FIELDS = ("source_job_id", "target_language", "slide_number", "source_ex
 def reusable_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     """#37: for each translation request the newest translation, neither failed nor cancelled, of the same source, language, slide and texts; nulls are equal."""
     usable = jobs.filter("kind = 'translation'").filter(F.col("status").isin("queued", "waiting", "running", "deferred", "completed"))
-    usable = usable.select("job_id", "created", *(F.col(c).alias(f"_{c}") for c in REQUEST_FIELDS))
+    # One row for each set of fields, so a request meets one job at most, however many are alike.
+    newest = usable.groupBy(*(F.col(c).alias(f"_{c}") for c in REQUEST_FIELDS)).agg(F.max_by("job_id", F.struct("created", "job_id")).alias("job_id"))
     same = F.lit(True)
     for c in REQUEST_FIELDS:
-        same = same & requests[c].eqNullSafe(usable[f"_{c}"])
-    found = requests.join(usable, same).groupBy("request_id").agg(F.max_by("job_id", F.struct("created", "job_id")).alias("job_id"))
-    return requests.select("request_id").join(found, "request_id", "left")
+        same = same & requests[c].eqNullSafe(newest[f"_{c}"])
+    return requests.join(newest, same, "left").select("request_id", newest["job_id"])
 
 
 def stage_progress(messages: DataFrame) -> DataFrame:

@@ -308,3 +308,14 @@ def test_summaries_name_sizes_beyond_a_terabyte_in_gb(spark):
 def test_files_of_more_than_half_a_megabyte_are_shared(spark):
     docs = spark.createDataFrame([(1, 600_000)], "document_id long, size_bytes int")
     assert catalog._shared_files(docs).first().size_bytes == 2_400_000_000
+
+
+def test_alike_requests_meet_one_job(spark):
+    """Jobs of the same fields are one row before requests meet them."""
+    fields = [f"CAST(NULL AS STRING) AS {c}" for c in jobs.REQUEST_FIELDS]
+    ids = spark.range(50)
+    done = ids.selectExpr("id AS job_id", "'translation' AS kind", "IF(id = 49, 'failed', 'completed') AS status", "id % 7 AS created", *fields)
+    df = jobs.reusable_requests(ids.selectExpr("id AS request_id", *fields), done)
+    assert sorted(tuple(r) for r in df.collect()) == [(i, 48) for i in range(50)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.index("Join ") < plan.index("Aggregate ")
