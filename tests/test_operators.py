@@ -319,3 +319,36 @@ def test_alike_requests_meet_one_job(spark):
     assert sorted(tuple(r) for r in df.collect()) == [(i, 48) for i in range(50)]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.index("Join ") < plan.index("Aggregate ")
+
+
+def _cut_by_copies(text, limit, sentences):
+    """The cuts as the SQL writes them: what is left of the text is a text."""
+    out, rest, ends = [], text, " \t\n\x0b\f\r"
+    while rest:
+        if len(rest) <= limit:
+            return [*out, rest]
+        piece = rest[:limit]
+        first = max(piece.rfind(m) for m in (".!?。！？" if sentences else "\n")) + sentences
+        at = piece.rfind(" ") if first < limit // 2 else first
+        at = limit if (at <= 0 if sentences else at < limit // 2) else at
+        out, rest = [*out, rest[:at].strip(ends)], rest[at:].strip(ends)
+    return out
+
+
+@pytest.mark.parametrize("sentences", [True, False])
+def test_cuts_of_odd_texts(spark, sentences):
+    r = np.random.default_rng(5)
+    texts = ["".join(r.choice(list("ab。é𝄞 .!\n\t \x0b\u2003"), size=n, p=[0.3, 0.2, 0.03, 0.1, 0.05, 0.1, 0.03, 0.02, 0.05, 0.02, 0.05, 0.02, 0.03])) for n in r.integers(0, 300, 300)]
+    texts += [None, "", " ", " " * 50, " " * 50 + "a", "a" + "\n" * 50, "x" * 45 + " " * 45 + "y" * 45, "a " + "x" * 41]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", chunking.cut_points(F.col("t"), 20, sentences).alias("p"))
+    for row in df.collect():
+        assert row.p == (None if texts[row.i] is None else _cut_by_copies(texts[row.i], 20, sentences))
+
+
+def test_a_text_of_megabytes_is_cut_in_time_by_its_length(spark):
+    import time
+
+    docs = spark.range(1).select(F.col("id").alias("document_id"), F.repeat(F.lit("Some words stand here and end. "), 100_000).alias("text"))
+    begin = time.time()
+    assert chunking.narration_chunks(docs).agg(F.sum(F.length("text"))).first()[0] > 3_000_000
+    assert time.time() - begin < 20
