@@ -231,36 +231,43 @@ def streaming_paragraphs(segments: DataFrame, delay: str = "10 seconds") -> Data
 
 
 class _Cues(StatefulProcessor):
-    """Ticks wait until the watermark has reached them; the cue of each is then compared with that of the one before."""
+    """Ticks wait until the watermark has reached them; the cue of each is then compared with that of the one before.
+
+    A lecture's cues are one value, and so are its ticks, since each call to the state store is a round trip.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.cues = handle.getMapState("cues", "segment long", "start_ms long, end_ms long")
-        self.waiting = handle.getMapState("waiting", "t_ms long", "at long")
+        self.cues = handle.getValueState("cues", "segment array<long>, start_ms array<long>, end_ms array<long>")
+        self.waiting = handle.getValueState("waiting", "t_ms array<long>, at array<long>")
         self.before = handle.getValueState("before", "segment long")
 
+    def _held(self) -> dict[int, tuple[int, int]]:
+        return {s: (start, end) for s, start, end in zip(*self.cues.get(), strict=True)} if self.cues.exists() else {}
+
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        for r in initialState.itertuples():
-            self.cues.updateValue((int(r.segment),), (int(r.start_ms), int(r.end_ms)))
+        held = self._held() | {int(r.segment): (int(r.start_ms), int(r.end_ms)) for r in initialState.itertuples()}
+        self.cues.update((list(held), [x[0] for x in held.values()], [x[1] for x in held.values()]))
 
     def handleInputRows(self, key, rows, timerValues):
+        waiting = self._ticks()
         for part in rows:
-            for t, at in zip(part["t_ms"], _millis(part["ts"]), strict=True):
-                self.waiting.updateValue((int(t),), (int(at),))
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+            waiting |= {int(t): int(at) for t, at in zip(part["t_ms"], _millis(part["ts"]), strict=True)}
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), waiting)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), self._ticks())
 
-    def _advance(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        waiting = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
-        due = [t for t, at in waiting if at <= watermark]
+    def _ticks(self) -> dict[int, int]:
+        return dict(zip(*self.waiting.get(), strict=True)) if self.waiting.exists() else {}
+
+    def _advance(self, key, watermark: int, waiting: dict[int, int]) -> Iterator[pd.DataFrame]:
+        due = sorted(t for t, at in waiting.items() if at <= watermark)
         out = []
         if due:
-            cues = sorted((k[0], *v) for k, v in self.cues.iterator())
+            cues = sorted((s, *x) for s, x in self._held().items())
             before = self.before.get()[0] if self.before.exists() else None
             for t in due:
-                self.waiting.removeKey((t,))
                 active = next((s for s, start, end in cues if start <= t <= max(end, start + 500)), None)
                 if active is None:
                     active = max(((start, s) for s, start, _ in cues if start <= t), default=(0, None))[1]
@@ -268,11 +275,12 @@ class _Cues(StatefulProcessor):
                     out.append((key[0], t, active))
                 before = active
             self.before.update((before,))
+        later = {t: at for t, at in waiting.items() if at > watermark}
+        self.waiting.update((list(later), list(later.values())))
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
-        later = [at for _, at in waiting if at > watermark]
         if later:
-            self.handle.registerTimer(min(later))
+            self.handle.registerTimer(min(later.values()))
         if out:
             yield pd.DataFrame({"lecture": [x[0] for x in out], "t_ms": [x[1] for x in out], "segment": pd.array([x[2] for x in out], dtype="Int64")})
 
