@@ -101,3 +101,28 @@ def test_empty_library(spark):
     q = spark.createDataFrame([(1, "graph")], "question_id long, question string")
     assert search.ranked_search(q, search.indexed(c, d)).count() == 0
     assert search.ranked_search(q.limit(0), search.indexed(c, d)).count() == 0
+
+
+def test_runs_are_cut_after_the_sort_by_blocks(spark, library):
+    _, _, d, c = library
+    plans = []
+    search_index.build(c, d, keep=lambda df, *rows: plans.append(df._jdf.queryExecution().sparkPlan().toString() if rows else "") or df)
+    [plan] = filter(None, plans)
+    assert plan.index("regexp_extract_all") < plan.index("Sort [block")
+
+
+def test_passages_read_no_texts_of_the_index(spark, library):
+    _, _, d, c = library
+    q = spark.createDataFrame(QUESTIONS[:2], "question_id long, question string")
+    index = search.indexed(c, d)
+    found = search_index.candidates(index, search.chat_terms(q).withColumn("phrase", F.lit("")), search_index.Contained(), 5)
+    assert "texts#" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert found.count() > 0
+
+
+def test_words_met_before_give_the_same_pairs(monkeypatch):
+    monkeypatch.setattr(search_index, "WORDS_MET", 2)
+    finder = search_index.Finder(["an", "na", "tree"])
+    for words in (["banana", "x", "trees"], [], ["trees", "an", "banana"]):
+        got = sorted(zip(*map(list, finder.pairs(words)), strict=True))
+        assert got == sorted((w, t, word.count(term)) for w, word in enumerate(words) for t, term in enumerate(finder.terms) if term in word)
