@@ -33,27 +33,46 @@ def append_events(events: DataFrame, folder: str, checkpoint: str) -> StreamingQ
     return clean.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
 
 
+#: Neighbouring jobs whose states are one value, since each key costs a call and a round trip to the state store.
+JOBS_BITS = 6
+_HELD = {"job_id": "long", "state": "int", "since": "long", "progress": "int", "n": "long", "rejected": "long"}
+
+
 def _state(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now, since, progress, n, rejected = state.get if state.exists else (automaton.NONE, None, None, 0, 0)
-    for row in pd.concat(list(parts)).sort_values("event_id").itertuples():
-        n, after = n + 1, automaton.after(now, row.request)
+    held = {job: x for job, *x in zip(*state.get, strict=True)} if state.exists else {}
+    touched = {}
+    rows = pd.concat(list(parts)).sort_values("event_id", kind="stable")
+    jobs = map(int, rows["job_id"]) if key[1] else [None] * len(rows)
+    for job, event, request, progress in zip(jobs, rows["event_id"], rows["request"], rows["progress"], strict=True):
+        if job not in touched:
+            touched[job] = held.setdefault(job, [automaton.NONE, None, None, 0, 0])
+        x = touched[job]
+        x[3] += 1
+        after = automaton.after(x[0], request)
         if after is None:
-            rejected += 1
+            x[4] += 1
             continue
-        if automaton.STATUS[after] != automaton.STATUS[now]:
-            since = int(row.event_id)
-        now, progress = after, int(row.progress) if progress is None else max(progress, int(row.progress))
-    state.update((now, since, progress, n, rejected))
-    status, cancel, defer = automaton.described(now)
-    yield pd.DataFrame({"job_id": [key[0]], "status": [status], "cancel_requested": [cancel], "defer_requested": [defer], "since": [since], "progress": [progress], "n_events": [n], "n_rejected": [rejected]})
+        if automaton.STATUS[after] != automaton.STATUS[x[0]]:
+            x[1] = int(event)
+        x[0], x[2] = after, int(progress) if x[2] is None else max(x[2], int(progress))
+    state.update(tuple(map(list, zip(*((job, *x) for job, x in held.items()), strict=True))))
+    now, since, progress, n, rejected = zip(*touched.values(), strict=True)
+    status, cancel, defer = zip(*map(automaton.described, now), strict=True)
+    whole = lambda values, kind="Int64": pd.array(values, dtype=kind)
+    yield pd.DataFrame({"job_id": whole(list(touched)), "status": status, "cancel_requested": cancel, "defer_requested": defer, "since": whole(since), "progress": whole(progress, "Int32"), "n_events": n, "n_rejected": rejected})
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """#86: the state of each job after every batch (update mode); a job's events come in order."""
+    """#86: the state of each job after every batch (update mode); a job's events come in order.
+
+    The states of up to 2 ** JOBS_BITS neighbouring jobs are one value; a batch answers for the jobs that it has events of.
+    """
     shape = "job_id long, status string, cancel_requested boolean, defer_requested boolean, since long, progress int, n_events long, n_rejected long"
-    held = "state int, since long, progress int, n long, rejected long"
-    rows = events.select("job_id", "event_id", "request", "progress")
-    return rows.groupBy("job_id").applyInPandasWithState(_state, shape, held, "update", GroupStateTimeout.NoTimeout)
+    held = ", ".join(f"{name} array<{kind}>" for name, kind in _HELD.items())
+    # Events without a job are those of one more; a null among ids would turn them into doubles.
+    job = F.coalesce(F.col("job_id").cast("long"), F.lit(0))
+    rows = events.select(job.alias("job_id"), F.shiftright(job, JOBS_BITS).alias("near"), F.col("job_id").isNotNull().alias("known"), "event_id", "request", "progress")
+    return rows.groupBy("near", "known").applyInPandasWithState(_state, shape, held, "update", GroupStateTimeout.NoTimeout)
 
 
 def _part(*keys: str) -> F.Column:

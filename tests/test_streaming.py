@@ -37,6 +37,21 @@ def test_job_states(spark, tmp_path):
     assert twin.agg(F.sum("n_rejected")).first()[0] > 0
 
 
+def test_states_of_neighbouring_jobs_are_one_value(spark, tmp_path):
+    requests = ["queued", "running", "waiting", "cancel", "completed", "resume"]
+    events = [(None if j == 7 else j - 200, e * 400 + j, requests[(e + j // 3) % 6], e % 5) for e in range(6) for j in range(400)]
+    events = spark.createDataFrame([(j, e + 2**60, r, p) for j, e, r, p in events], "job_id long, event_id long, request string, progress int")
+    states = live.job_states(in_parts(events, str(tmp_path / "in"), "event_id"))
+    q = states.writeStream.format("memory").queryName("near").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 400 // 64 + 3
+    twin = automaton.current_state(events)
+    last = spark.table("near").groupBy("job_id").agg(F.max_by(F.struct(*twin.columns[1:]), "n_events").alias("x")).select("job_id", "x.*")
+    keep = last.filter("job_id IS NOT NULL")
+    assert sorted(map(str, keep.collect())) == sorted(map(str, twin.filter("job_id IS NOT NULL").collect()))
+    assert last.filter("job_id IS NULL").first()["n_events"] == 6
+
+
 def test_event_log(spark, tmp_path):
     events = frame(spark, SF, "m_events").withColumn("progress", F.col("progress") * 3 - 50)
     live.append_events(in_parts(events, str(tmp_path / "in"), "event_id"), str(tmp_path / "log"), str(tmp_path / "c")).awaitTermination(120)
