@@ -1,10 +1,13 @@
 """The stored search index against plain counts, and how much of it a question reads."""
 
 import random
+import re
+from collections import Counter
 
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.operators import search, search_index
 
@@ -126,3 +129,23 @@ def test_words_met_before_give_the_same_pairs(monkeypatch):
     for words in (["banana", "x", "trees"], [], ["trees", "an", "banana"]):
         got = sorted(zip(*map(list, finder.pairs(words)), strict=True))
         assert got == sorted((w, t, word.count(term)) for w, word in enumerate(words) for t, term in enumerate(finder.terms) if term in word)
+
+
+def test_postings_are_flat_arrays(spark, library, monkeypatch):
+    """Numbers of all words in one array each: a nested struct for each posting takes several times as much of the engine's memory."""
+    monkeypatch.setattr(search_index, "BLOCK_BITS", 3)
+    monkeypatch.setattr(search_index, "BLOCK", 8)
+    _, chunks, d, c = library
+    index = search.indexed(c, d)
+    for name in ("words", "most", "places", "at", "n"):
+        assert not isinstance(index.schema[name].dataType.elementType, (T.StructType, T.ArrayType))
+    got = {}
+    for r in index.collect():
+        assert len(r["words"]) == len(r["most"]) == len(r["places"]) and sum(r["places"]) == len(r["at"]) == len(r["n"])
+        postings = iter(zip(r["at"], r["n"], strict=True))
+        for word, most, places in zip(r["words"], r["most"], r["places"], strict=True):
+            own = [next(postings) for _ in range(places)]
+            assert most == max(n for _, n in own)
+            for at, n in own:
+                got[r["chunks"][at]["document_id"], r["chunks"][at]["ordinal"], word] = n
+    assert got == {(i, o, w): n for i, o, _, text in chunks for w, n in Counter(re.findall(r"[\w'’-]{2,}", text.lower())).items()}
