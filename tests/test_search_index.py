@@ -149,3 +149,46 @@ def test_postings_are_flat_arrays(spark, library, monkeypatch):
             for at, n in own:
                 got[r["chunks"][at]["document_id"], r["chunks"][at]["ordinal"], word] = n
     assert got == {(i, o, w): n for i, o, _, text in chunks for w, n in Counter(re.findall(r"[\w'’-]{2,}", text.lower())).items()}
+
+
+@pytest.mark.parametrize("way", [search_index.Ranked, search_index.Contained, search_index.Literal])
+def test_python_gets_few_blocks_at_once(spark, library, monkeypatch, way):
+    """However many blocks a task reads, at most a row group of them is a batch; nothing is read that a way does not need."""
+    monkeypatch.setattr(search_index, "BLOCK_BITS", 1)
+    monkeypatch.setattr(search_index, "BLOCK", 2)
+    _, _, d, c = library
+    index, answers = search.indexed(c, d).coalesce(1), search_index._answers
+    assert index.count() > 2 * search_index.GROUP_BLOCKS
+    most, needed = search_index.GROUP_BLOCKS, {"words", "places", "at"} | ({"most", "n"} if way is search_index.Ranked else set())
+
+    def watched(rows, way, k):
+        def few(batches):
+            for b in batches:
+                assert b.num_rows <= most
+                assert {x for x in b.schema.names if x not in ("chunks", "texts")} == needed
+                yield b
+
+        return lambda batches: answers(rows, way, k)(few(batches))
+
+    monkeypatch.setattr(search_index, "_answers", watched)
+    name, q = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame(QUESTIONS[:2], "question_id long, question string")
+    before = spark.conf.get(name)
+    assert search_index.candidates(index, search.question_terms(q), way(), 5).count() > 0
+    assert spark.conf.get(name) == before
+
+
+def test_few_passages_do_not_shuffle_the_chunks(spark, library, monkeypatch):
+    """What is shown goes to the chunks, whatever the size of the index and of the chunks."""
+    monkeypatch.setattr(search_index, "BLOCK_BITS", 1)
+    monkeypatch.setattr(search_index, "BLOCK", 2)
+    _, _, d, c = library
+    q, index = spark.createDataFrame(QUESTIONS, "question_id long, question string"), search.indexed(c, d)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16k")
+    try:
+        for found in (search.passages(q, index, c), search.literal_search(q, index, c)):
+            plan = found._jdf.queryExecution().sparkPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set(name, before)
