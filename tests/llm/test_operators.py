@@ -2,6 +2,7 @@
 
 import hashlib
 import tempfile
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import byte_bpe, exact_dedup, language_id, lm_scoring, ngram_join, packing, quality_rules, suffix_dedup, toxicity, url_filters
+from lectern.llm._spark import Scratch
 from lectern.llm._text import slices
 from lectern.llm.queries import ORACLES, QUERIES
 from tests.compare import connection, same
@@ -518,3 +520,18 @@ def test_clashing_columns_and_repeated_ids(spark):
     out = suffix_dedup.without_repeats(docs)
     assert out.columns == docs.columns
     assert out.count() == 4
+
+
+def test_a_kept_table_leaves_no_shuffle_files(spark, tmp_path):
+    blocks, setting = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    names = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, usual = names(), spark.conf.get(setting)
+    df = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count()
+    kept = Scratch(spark).keep(df, "counts")
+    for _ in range(50):
+        if not (left := names() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(setting) == usual
+    assert kept.agg(F.sum("count")).first()[0] == df.agg(F.sum("count")).first()[0] == 5000
