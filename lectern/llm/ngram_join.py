@@ -17,7 +17,9 @@ which is cheap there and far more selective; large bands use equal segments only
 A signature that occurs once costs nothing, so after one shuffle the allocation of
 a set takes all its unique segments and adds the least frequent shared ones until
 D + 1 units are reached: passages that many documents share are skipped as long
-as the rest of a document suffices.
+as the rest of a document suffices. Signatures of different bands never meet, so that
+shuffle is done in PASSES parts of the bands, one after the other: together they
+would take several times the input on disk.
 
 Links are verified exactly on the whole sets. Equal sets are one class and are
 joined once. Inside a group of candidates, sets are first compared with a hub. What
@@ -42,6 +44,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +61,8 @@ PERCENT = 80
 SMALL = 26
 STAR_ROUNDS = 2
 HUBS = 2
+#: Parts of the bands whose signatures are on disk one after the other.
+PASSES = 2
 
 #: Least similarity in percent: below, a similar pair may share too little for the pigeonhole.
 LEAST_PERCENT = 51
@@ -118,9 +123,9 @@ class Bands:
         top = _EDGES[band + 1] - 1
         return difference(n + min(n * 100 // self.percent, top), self.percent) + 1
 
-    def signatures(self, u: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of signatures and places; a place packs band, function, units, slack and segment."""
-        for band in self.of(len(u)):
+    def signatures(self, u: np.ndarray, among: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of signatures and places, of the bands `among` the set's own ones; a place packs band, function, units, slack and segment."""
+        for band in self.of(len(u)) if among is None else among:
             need = self.units(len(u), band)
             if need == 1:
                 continue
@@ -167,23 +172,44 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s.first, s.rows), *arrays], ["doc_id", "n", "class_key", "class"])
 
 
-def _signature_rows(percent: int):
+def _passes(classes: DataFrame, percent: int, parts: int) -> list[tuple[int, int]]:
+    """Ranges of bands, from the first to before the last, with about as many signatures each; together all bands."""
+    size = F.floor(F.log2("n") * 8)  # at most 8 * 64 rows for the driver
+    bands, sums = Bands(percent), np.zeros(len(_EDGES))
+    for level, sets, total in classes.groupBy(size.alias("level")).agg(F.count("*"), F.sum("n")).collect():
+        for band in bands.of(max(1, total // sets)):
+            sums[band] += sets * bands.shape(band)[0]
+    below = np.append(0, np.cumsum(sums))
+    cuts = [int(np.abs(below - below[-1] * k / parts).argmin()) for k in range(1, parts)]
+    ends = [0, *cuts, len(_EDGES)]
+    return [(a, b) for a, b in zip(ends, ends[1:], strict=False) if a < b]
+
+
+def _long_enough(low: int):
+    """Column: false only for texts whose sets have no place in band `low` or above, as n shingles take n words with a byte between them."""
+    return F.octet_length("text") >= 2 * _EDGES[max(low - 1, 0)] - 1
+
+
+def _signature_rows(percent: int, low: int = 0, high: int = len(_EDGES)):
+    """Signature rows of the bands from `low` to before `high`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for b in batches:
             for s in slices(b.column("text")):
-                sig, own, place = [], [], []
+                sig, of, place = [], [], []
                 for u in word_sets(s):
-                    key = _class_key(u) if len(u) else None
+                    own = [band for band in bands.of(len(u)) if low <= band < high] if len(u) else []
+                    key = _class_key(u) if own else None
                     if key is None or key in seen:  # an equal set of this task has spoken for the class
                         continue
                     seen.add(key)
-                    for found, where in bands.signatures(u):
+                    for found, where in bands.signatures(u, own):
                         sig.append(found)
                         place.append(where)
-                        own.append(np.full(len(found), _short(key), dtype=np.int64))
+                        of.append(np.full(len(found), _short(key), dtype=np.int64))
                 if sig:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sig))), pa.array(np.concatenate(own)), pa.array(np.concatenate(place))], ["sig", "class", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sig))), pa.array(np.concatenate(of)), pa.array(np.concatenate(place))], ["sig", "class", "place"])
 
     return run
 
@@ -243,9 +269,8 @@ def _bands_up_to(n, limit, percent: int):
     return F.sequence(_band(F.ceil(n * percent / 100)), _band(F.least(limit, F.floor(n * 100 / percent))))
 
 
-def _against_reference(sets: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc, comp, n, r and own of all `members` (doc, comp, hub): elements in the reference of their hub, and the others."""
-    held = sets.join(members, "doc")
+def _against_reference(held: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, comp, n, r and own of all `members` (doc, comp, hub), `held` with their items: elements in the reference of their hub, and the others."""
     of = members.groupBy("hub").agg(F.count("*").alias("of"))
     often = held.select("hub", F.explode("items").alias("item")).groupBy("hub", "item").agg(F.count("*").alias("k")).join(of, "hub").filter("2 * k > of")
     centre = scratch.keep(often.groupBy("hub").agg(F.collect_list("item").alias("centre")), "centres")
@@ -253,15 +278,16 @@ def _against_reference(sets: DataFrame, members: DataFrame, scratch: Scratch) ->
     return held.join(centre, "hub", "left").select("doc", "comp", F.size("items").alias("n"), F.size(F.array_intersect("items", there)).alias("r"), F.array_except("items", there).alias("own"))
 
 
-def _pairs_by_own(sets: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+def _pairs_by_own(held: DataFrame, described: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, na, b, nb) of different components that share an own element of a, by a's rarest ones.
 
     Of k own elements that other components have, in order of frequency, the one at
     place p is the first that a shares with b only if b is small enough for the
     elements from there on, and r, to reach the similarity.
     """
-    items = sets.join(described.select("doc", "comp"), "doc").select("doc", "comp", F.size("items").alias("n"), F.explode("items").alias("item"))
+    items = held.select("doc", "comp", F.size("items").alias("n"), F.explode("items").alias("item"))
     across = items.groupBy("item").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("k")).filter("least < most").select("item", "k")
+    across = scratch.keep(across, "across")
     own = described.select("doc", "comp", "n", "r", F.explode("own").alias("item")).join(across, "item")
     lists = own.groupBy("doc", "comp", "n", "r").agg(F.array_sort(F.collect_list(F.struct("k", "item"))).alias("known"))
     probes = lists.select("*", F.posexplode("known").alias("p", "e"))
@@ -290,15 +316,17 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = summary.filter("class_key IS NOT NULL").groupBy("class_key", "class", "n").agg(F.min("doc_id").alias("rep"))
     classes = scratch.keep(classes, "classes")
 
-    rows = docs.mapInArrow(_signature_rows(percent), "sig long, class long, place long")
-    same = Window.partitionBy("sig")
-    shared = rows.withColumns({"k": F.count("*").over(same), "least": F.min("class").over(same), "most": F.max("class").over(same)})
-    shared = scratch.keep(shared.filter("least < most").select("sig", "class", "place", "k"), "shared")
-    scratch.sweep()
+    same, parts = Window.partitionBy("sig"), []
+    for low, high in _passes(classes, percent, PASSES):
+        rows = (docs.filter(_long_enough(low)) if low else docs).mapInArrow(_signature_rows(percent, low, high), "sig long, class long, place long")
+        met = rows.withColumns({"k": F.count("*").over(same), "least": F.min("class").over(same), "most": F.max("class").over(same)})
+        parts.append(scratch.keep(met.filter("least < most").select("sig", "class", "place", "k"), f"shared{low}"))
+        scratch.sweep()
+    shared = reduce(DataFrame.unionByName, parts)
 
     per_class = shared.groupBy("class").agg(F.collect_list(F.struct("k", "place", "sig")).alias("rows"))
     flagged = scratch.keep(per_class.mapInArrow(_allocate, "sig long, class long, chosen boolean"), "flagged_all")
-    scratch.forget("shared")
+    scratch.forget(*(name for name in scratch.paths if name.startswith("shared")))
     scratch.sweep()
     live = flagged.filter("chosen").select("sig").distinct()
     reps = classes.select("class", F.col("rep").alias("doc"), "n")
@@ -314,6 +342,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = scratch.keep(sets, "sets")
     scratch.sweep()
 
+    def pairs_of(votes: DataFrame) -> DataFrame:
+        close = votes.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
     comps = scratch.keep(wanted.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp")), "comps0")
     for turn in range(STAR_ROUNDS + 1):
         now = flagged.join(comps, "doc")
@@ -327,14 +359,20 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             if turn == 0:
                 votes = scratch.keep(votes, "votes")
                 hubs = votes.filter("place = 1").groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("hub"))
+            pairs = pairs_of(votes)
         else:
             now = scratch.keep(now.join(mixed.select("sig"), "sig"), "rest")
             members = now.select("doc", "comp").distinct().join(hubs, "doc", "left").select("doc", "comp", F.coalesce("hub", "doc").alias("hub"))
-            described = scratch.keep(_against_reference(sets, scratch.keep(members, "members"), scratch), "described")
+            members = scratch.keep(members, "members")
+            # From here on only members count: their sets take the place of all.
+            sets = scratch.keep(sets.join(members, "doc"), "held")
+            scratch.forget("sets")
+            described = scratch.keep(_against_reference(sets, members, scratch), "described")
             scratch.sweep()
-            votes = _pairs_by_index(now, described, percent).unionByName(_pairs_by_own(sets, described, percent))
-        close = votes.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        pairs = scratch.keep(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs{turn}")
+            # Each way has its shuffles alone on disk.
+            ways = {"by_index": _pairs_by_index(now, described, percent), "by_own": _pairs_by_own(sets, described, percent, scratch)}
+            pairs = reduce(DataFrame.unionByName, [scratch.keep(pairs_of(found), way) for way, found in ways.items()]).distinct()
+        pairs = scratch.keep(pairs, f"pairs{turn}")
         if pairs.isEmpty():
             scratch.forget(f"pairs{turn}")
             continue
@@ -345,7 +383,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         comps = scratch.keep(new, f"comps{turn + 1}")
         scratch.forget(f"pairs{turn}", f"links{turn}")
         scratch.sweep()
-    scratch.forget("sets", "flagged", "rest", "members", "centres", "described", "votes")
+    scratch.forget("held", "flagged", "rest", "members", "centres", "described", "across", "by_index", "by_own", "votes")
 
     group = classes.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").select("class_key", F.coalesce("comp", "rep").alias("component"))
     out = summary.join(group, "class_key", "left")

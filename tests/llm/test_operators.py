@@ -535,3 +535,19 @@ def test_a_kept_table_leaves_no_shuffle_files(spark, tmp_path):
     assert not left
     assert spark.conf.get(setting) == usual
     assert kept.agg(F.sum("count")).first()[0] == df.agg(F.sum("count")).first()[0] == 5000
+
+
+def test_ngram_join_shuffles_its_signatures_in_parts(spark):
+    rows = [(i, sentence(500 + i, 3 + i * i % 397)) for i in range(150)] + [(150, "one"), (151, " "), (152, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shape = "sig long, class long, place long"
+    whole = sorted(map(tuple, docs.mapInArrow(ngram_join._signature_rows(80), shape).distinct().collect()))
+    sizes = [(len(s),) for s in ngram_join.word_sets(next(slices(pa.array([t or "" for _, t in rows])))) if len(s)]
+    parts, found = ngram_join._passes(spark.createDataFrame(sizes, "n long"), 80, 2), []
+    for low, high in parts:
+        of = docs.filter(ngram_join._long_enough(low)) if low else docs
+        found.append(list(map(tuple, of.mapInArrow(ngram_join._signature_rows(80, low, high), shape).distinct().collect())))
+    assert len(parts) == ngram_join.PASSES == 2
+    assert sorted(found[0] + found[1]) == whole
+    assert max(map(len, found)) < 0.7 * len(whole)
+    assert ngram_join._passes(spark.createDataFrame([], "n long"), 80, 2) == [(0, len(ngram_join._EDGES))]
