@@ -63,6 +63,8 @@ STAR_ROUNDS = 2
 HUBS = 2
 #: Parts of the bands whose signatures are on disk one after the other.
 PASSES = 2
+#: Elements that pairs carry at once when they are verified: this part of all, and so many at least.
+CARRIED, LEAST_CARRIED = 1 / 8, 1 << 22
 
 #: Least similarity in percent: below, a similar pair may share too little for the pigeonhole.
 LEAST_PERCENT = 51
@@ -250,13 +252,22 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s.first, s.rows), pa.array(out, pa.list_(pa.int64()))], ["doc", "items"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str, most: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar.
+
+    To be verified a pair carries a whole set, and in large tables there are many more candidates
+    than sets. So they go in parts, one after the other, whose sets have about `most` elements.
+    """
+    carried = pairs.agg(F.sum("n")).first()[0] or 0
+    parts, found = max(1, -(-carried // most)), []
     left = sets.select(F.col("doc").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    for part in range(parts):
+        both = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part).select("a", "b").join(left, "a").join(right, "b")
+        links = both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+        found.append(scratch.keep(links, f"{name}_{part}"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _band(n):
@@ -315,6 +326,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     summary = scratch.keep(docs.mapInArrow(_summaries, "doc_id long, n long, class_key binary, class long"), "summary")
     classes = summary.filter("class_key IS NOT NULL").groupBy("class_key", "class", "n").agg(F.min("doc_id").alias("rep"))
     classes = scratch.keep(classes, "classes")
+    most = max(LEAST_CARRIED, int((classes.agg(F.sum("n")).first()[0] or 0) * CARRIED))
 
     same, parts = Window.partitionBy("sig"), []
     for low, high in _passes(classes, percent, PASSES):
@@ -344,7 +356,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def pairs_of(votes: DataFrame) -> DataFrame:
         close = votes.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest("na", "nb").alias("n")).distinct()
 
     comps = scratch.keep(wanted.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp")), "comps0")
     for turn in range(STAR_ROUNDS + 1):
@@ -376,12 +388,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if pairs.isEmpty():
             scratch.forget(f"pairs{turn}")
             continue
-        links = scratch.keep(_verified(pairs, sets, percent), f"links{turn}")
+        links = _verified(pairs, sets, percent, scratch, f"links{turn}", most)
         of = lambda side: comps.select(F.col("doc").alias(side), F.col("comp").alias(f"c{side}"))
         joined = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)
         new = comps.join(joined.withColumnRenamed("id", "comp"), "comp", "left").select("doc", F.coalesce("component", "comp").alias("comp"))
         comps = scratch.keep(new, f"comps{turn + 1}")
-        scratch.forget(f"pairs{turn}", f"links{turn}")
+        scratch.forget(f"pairs{turn}", *(name for name in scratch.paths if name.startswith(f"links{turn}")))
         scratch.sweep()
     scratch.forget("held", "flagged", "rest", "members", "centres", "described", "across", "by_index", "by_own", "votes")
 

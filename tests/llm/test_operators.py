@@ -551,3 +551,18 @@ def test_ngram_join_shuffles_its_signatures_in_parts(spark):
     assert sorted(found[0] + found[1]) == whole
     assert max(map(len, found)) < 0.7 * len(whole)
     assert ngram_join._passes(spark.createDataFrame([], "n long"), 80, 2) == [(0, len(ngram_join._EDGES))]
+
+
+def test_ngram_join_verifies_pairs_in_parts(spark, monkeypatch):
+    r = np.random.default_rng(31)
+    words, rows, kept, keep = sentence(88, 100).split(), [], [], Scratch.keep
+    for i in range(60):
+        own = list(words)
+        for at in r.choice(100, r.integers(0, 7), replace=False):
+            own[at] = f"edit{r.integers(0, 300)}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(ngram_join, "LEAST_CARRIED", 500)
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, *a: (kept.append(name), keep(self, df, name, *a))[1])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert sum(name.startswith("links0_") for name in kept) > 3
